@@ -141,4 +141,5 @@ def sorted_labels(array: Column) -> Column:
 
 
 def clamp(c: Column, low: Column, high: Column) -> Column:
-    return F.least(F.greatest(c, low), high)
+    """Bounded value; null stays null (``least`` and ``greatest`` skip nulls)."""
+    return F.when(c.isNotNull(), F.least(F.greatest(c, low), high))

@@ -70,9 +70,12 @@ def quote_bands(
     def inside(x: Column) -> Column:
         return clamp(x.cast(_WIDE), low.cast(_WIDE), high.cast(_WIDE)).cast(PRICE)
 
-    def on_tick(x: Column, rounding: Callable[[Column], Column]) -> Column:
-        ticks = rounding((inside(x).cast("decimal(38,18)") / c["tick_size"]).cast("decimal(38,6)"))
-        return inside((ticks.cast("decimal(18,0)") * c["tick_size"]).cast(_WIDE))
+    def on_tick(x: Column, up: bool) -> Column:
+        """Exact grid point at or below (above) ``x``: a remainder, never a rounded quotient."""
+        x = inside(x)
+        rest = x % c["tick_size"]
+        down = (x - rest).cast(_WIDE)
+        return inside(F.when(rest > 0, down + c["tick_size"]).otherwise(down) if up else down)
 
     base = fair_value(df, model)
     skew = clamp(
@@ -88,8 +91,8 @@ def quote_bands(
     q = q.withColumn("adjusted_fair_value", inside(F.col("fair_value") - F.col("inventory_skew")))
     q = q.withColumns(
         {
-            "_bid": on_tick(F.col("adjusted_fair_value") - half, F.floor),
-            "_ask": on_tick(F.col("adjusted_fair_value") + half, F.ceil),
+            "_bid": on_tick(F.col("adjusted_fair_value") - half, up=False),
+            "_ask": on_tick(F.col("adjusted_fair_value") + half, up=True),
         }
     )
     bid, ask, tick = F.col("_bid"), F.col("_ask"), c["tick_size"]

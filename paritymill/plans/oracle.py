@@ -38,16 +38,354 @@ cand AS (
   FROM priced
 )"""
 
-
-def sql() -> dict[str, str]:
-    out: dict[str, str] = {}
-    out["scan_report"] = f"""WITH {CAND}
-SELECT venue, count(*) AS candidate_count,
+M = "CAST(CAST({} AS DECIMAL(14,2)) AS VARCHAR)"
+KEY = (
+    "concat_ws(':', l_orderkey, l_partkey, l_suppkey, l_linenumber, "
+    + ", ".join(M.format(c) for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d'))"
+)
+FLAGS = """concat_ws('|', 'manual_review_required', CASE WHEN stale THEN 'stale_book' END,
+    CASE WHEN size <= 0 THEN 'insufficient_depth' END,
+    CASE WHEN fee_status = 'missing' THEN 'missing_fee_model' END,
+    CASE WHEN fee_status = 'unknown' THEN 'unknown_fee_model' END,
+    CASE WHEN gross > 0 THEN 'crossed_book' WHEN gross = 0 THEN 'locked_book' END)"""
+REASONS = """CASE WHEN decision = 'paper_candidate' THEN '' ELSE concat_ws('|',
+    CASE WHEN gross > 0 THEN 'failed_leg_reserve' END,
+    CASE WHEN gross > 0 AND fee IS NOT NULL THEN 'fee_adjustment' END,
+    CASE WHEN size <= 0 THEN 'insufficient_depth' END,
+    CASE WHEN fee_status = 'missing' THEN 'missing_fee_model' END,
+    CASE WHEN gross <= 0 THEN 'no_complement_edge' END,
+    CASE WHEN decision = 'reject' THEN 'not_paper_candidate' END,
+    CASE WHEN stale THEN 'stale_book' END,
+    CASE WHEN fee_status = 'unknown' THEN 'unknown_fee_model' END) END"""
+COUNTS = f"""count(*) AS candidate_count,
   count(*) FILTER (decision = 'paper_candidate') AS paper_candidate_count,
   count(*) FILTER (decision = 'audit_only') AS audit_only_count,
   count(*) FILTER (decision = 'reject') AS reject_count,
   count(*) FILTER (fee_status = 'missing') AS missing_fee_count,
   count(*) FILTER (fee_status = 'unknown') AS unknown_fee_count,
-  {d6("sum(total)")} AS total_estimated_net_edge
-FROM cand GROUP BY venue"""
+  {d6("sum(total)")} AS total_estimated_net_edge"""
+
+SCEN = f"""{CAND},
+scen(scenario, policy, target, yes_av, no_av, ysl, nsl, lat, res) AS (VALUES
+  ('fok20', 'fok', 20, NULL, NULL, 0.0, 0.0, 0.0, NULL),
+  ('ioc30', 'ioc', 30, NULL, NULL, 0.01, 0.02, 0.0, NULL),
+  ('ioc_all', 'ioc', NULL, NULL, NULL, 0.0, 0.0, 0.005, 0.0),
+  ('fok_thin', 'fok', 10, 8, NULL, 0.0, 0.0, 0.0, 0.02)),
+sized AS (
+  SELECT *, CAST(coalesce(target, size) AS {Q}) AS tgt, CAST(coalesce(yes_av, ys) AS {Q}) AS ya,
+    CAST(coalesce(no_av, ns) AS {Q}) AS na, CAST(coalesce(res, 0.005) AS {P}) AS reserve
+  FROM cand CROSS JOIN scen
+),
+filled AS (
+  SELECT *, CASE WHEN policy = 'fok' AND (ya < tgt OR na < tgt) THEN CAST(0 AS {Q}) ELSE least(tgt, ya) END AS fy,
+    CASE WHEN policy = 'fok' AND (ya < tgt OR na < tgt) THEN CAST(0 AS {Q}) ELSE least(tgt, na) END AS fn,
+    CAST(gross - coalesce(fee, 0) - ysl - nsl - lat - reserve AS {P}) AS pair_net
+  FROM sized
+)"""
+
+TWO = f"""{TOP},
+two AS (
+  SELECT {KEY} AS book_key, CASE WHEN l_linenumber NOT IN (1, 3) THEN yb END AS bid,
+    CASE WHEN l_linenumber NOT IN (2, 3) THEN CAST(1 - nb AS {P}) END AS ask,
+    CAST(CAST(l_quantity - 25 AS DECIMAL(14,2)) AS {Q}) AS inv
+  FROM top
+),
+fair AS (
+  SELECT *, coalesce(CAST((bid + ask) * 0.5 AS DECIMAL(20,18)),
+      CASE WHEN bid IS NOT NULL THEN least(greatest(CAST(bid + 0.01 AS {P}), 0), 1)
+           WHEN ask IS NOT NULL THEN least(greatest(CAST(ask - 0.01 AS {P}), 0), 1) END) AS fv
+  FROM two
+)"""
+
+RISK = f"""{CAND},
+risk AS (
+  SELECT {KEY} AS proposal_id, concat_ws('|', 'manual_approval_required',
+    CASE WHEN l_linenumber <> 7 AND stale THEN 'stale_data' END,
+    CASE WHEN l_linenumber = 7 THEN 'data_gap' END,
+    CASE WHEN fee_status = 'missing' THEN 'missing_fee_model' END,
+    CASE WHEN fee_status = 'unknown' THEN 'unknown_fee_model' END,
+    CASE WHEN net < 0.01 THEN 'insufficient_net_edge' END,
+    CASE WHEN CAST(l_extendedprice AS DECIMAL(14,2)) > 60000 THEN 'exposure_limit_breach' END,
+    CASE WHEN l_linenumber > 5 THEN 'open_order_limit_breach' END,
+    CASE WHEN CAST(l_tax * 100 AS DECIMAL(14,2)) > 6 THEN 'daily_loss_limit_breach' END,
+    CASE WHEN l_suppkey % 11 = 0 THEN 'reconciliation_mismatch' END,
+    CASE WHEN l_partkey % 97 = 0 THEN 'kill_switch_active' END) AS reasons
+  FROM cand
+),
+decided AS (
+  SELECT *, CASE WHEN reasons <> 'manual_approval_required' THEN 'reject' ELSE 'manual_review_required' END AS decision
+  FROM risk
+)"""
+
+PROPOSE = f"""{CAND},
+keyed AS (SELECT *, {KEY} AS line_key FROM cand),
+sim_rows AS (
+  SELECT venue, market_id, line_key AS sim_key, least(least(CAST(30 AS {Q}), ys), least(CAST(30 AS {Q}), ns)) AS completed,
+    abs(least(CAST(30 AS {Q}), ys) - least(CAST(30 AS {Q}), ns)) AS failed,
+    CAST(gross - coalesce(fee, 0) - 0.03 - 0.005 AS {P}) AS pair_net,
+    CAST(yes_ask + 0.01 AS {P}) AS yfp, CAST(no_ask + 0.02 AS {P}) AS nfp
+  FROM keyed WHERE l_linenumber >= 4
+),
+sims AS (
+  SELECT *, sha256('sim:' || sim_key) AS simulation_hash FROM sim_rows
+  QUALIFY row_number() OVER (PARTITION BY venue, market_id ORDER BY sim_key DESC) = 1
+),
+paired AS (
+  SELECT k.line_key, k.decision, k.market_id, s.*, sha256(k.line_key) AS candidate_hash,
+    CASE WHEN s.simulation_hash IS NOT NULL THEN sha256('{{"candidate_hash":"' || sha256(k.line_key)
+      || '","market_id":"' || k.market_id || '","simulation_hash":"' || s.simulation_hash
+      || '","venue":"' || k.venue || '"}}') END AS proposal_id
+  FROM keyed k LEFT JOIN sims s ON s.venue = k.venue AND s.market_id = k.market_id
+  WHERE k.decision <> 'reject'
+)"""
+
+K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
+FEED = f"""
+feed AS (
+  SELECT event_id, 'v' || (user_id % 2) AS venue, 'M-' || (user_id % 10) AS market_id, ts AS received_at,
+    ts - to_minutes({K}) AS observed_at, event_type, user_id, value,
+    CAST(sum(1 + CASE WHEN event_id % 17 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id % 10 ORDER BY event_id) AS BIGINT) AS sequence
+  FROM events
+),
+flagged AS (
+  SELECT *, lag(sequence) OVER w AS pseq, lag(observed_at) OVER w AS pobs
+  FROM feed WINDOW w AS (PARTITION BY venue, market_id ORDER BY event_id)
+)"""
+GAP = "pseq IS NOT NULL AND sequence <> pseq + 1"
+OOO = "pobs IS NOT NULL AND observed_at < pobs"
+STALE = "received_at - observed_at > INTERVAL 30 MINUTE"
+
+YN = """
+yn AS (
+  SELECT event_id, 'M-' || (user_id % 10) AS instrument_id,
+    CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 3 + 2) / 10.0 AS DECIMAL(6,2)) END AS bb,
+    CASE WHEN event_id % 5 <> 0 THEN CAST((event_id % 3 + 1) / 10.0 AS DECIMAL(6,2)) END AS b2,
+    CAST(1 - (event_id % 4 + 3) / 10.0 AS DECIMAL(6,2)) AS ba,
+    CAST(1 - (event_id % 4 + 1) / 10.0 AS DECIMAL(6,2)) AS a2
+  FROM events
+)"""
+MSG = f"""
+msg AS (
+  SELECT event_id AS row_index, 'M-' || (user_id % 10) AS market_ticker,
+    'conn-' || CAST((day(ts) - 1) // 10 AS VARCHAR) AS connection_id, event_type = 'signup' AS snap,
+    event_type = 'signup' AND event_id % 37 <> 0 AS good,
+    CASE WHEN event_type = 'signup' THEN CASE WHEN event_id % 37 = 0 THEN 'DUPLICATE_SNAPSHOT_PRICE' END
+         WHEN event_id % 101 = 0 THEN 'MALFORMED_DELTA' WHEN event_id % 103 = 0 THEN 'IMPOSSIBLE_PRICE' END AS perr,
+    CASE WHEN event_id % 2 = 0 THEN 'yes' ELSE 'no' END AS side,
+    CAST((event_id % 9 + 1) / 10.0 AS DECIMAL(6,2)) AS price,
+    CAST(CASE WHEN event_type = 'purchase' THEN -floor(value / 10) ELSE floor(value) + 1 END AS BIGINT) AS delta
+  FROM events WHERE event_type <> 'error'
+),
+ep AS (
+  SELECT *, CAST(sum(CASE WHEN good THEN 1 ELSE 0 END) OVER (
+    PARTITION BY market_ticker, connection_id ORDER BY row_index) AS BIGINT) AS epoch FROM msg
+),
+chg AS (
+  SELECT market_ticker, connection_id, epoch, row_index, side, price, delta AS change FROM ep
+  WHERE NOT snap AND perr IS NULL AND epoch > 0
+  UNION ALL
+  SELECT market_ticker, connection_id, epoch, row_index, l.side, CAST(l.price AS DECIMAL(6,2)), l.qty
+  FROM ep, LATERAL (VALUES ('yes', (row_index % 3 + 1) / 10.0, 5), ('yes', (row_index % 3 + 2) / 10.0, 7),
+    ('no', (row_index % 4 + 1) / 10.0, 6), ('no', (row_index % 4 + 3) / 10.0, 4)) AS l(side, price, qty)
+  WHERE good
+),
+lev AS (
+  SELECT *, CAST(sum(change) OVER (PARTITION BY market_ticker, connection_id, epoch, side, price ORDER BY row_index) AS BIGINT) AS qty
+  FROM chg
+),
+badrows AS (
+  SELECT market_ticker, connection_id, epoch, row_index, 'NEGATIVE_RESULTING_QUANTITY' AS bad FROM lev WHERE qty < 0
+  UNION ALL
+  SELECT market_ticker, connection_id, epoch, row_index,
+    CASE WHEN epoch = 0 AND NOT snap THEN 'DELTA_BEFORE_SNAPSHOT' ELSE perr END
+  FROM ep WHERE perr IS NOT NULL OR epoch = 0
+),
+fb AS (
+  SELECT market_ticker, connection_id, epoch, min(row_index) AS bad_from, arg_min(bad, row_index) AS bad_reason
+  FROM badrows GROUP BY ALL
+),
+disp AS (
+  SELECT ep.*, fb.bad_from, fb.bad_reason, pb.bad_from IS NOT NULL AS after_bad,
+    CASE WHEN (snap AND perr IS NOT NULL) OR ep.row_index = fb.bad_from THEN 'QUARANTINED'
+         WHEN fb.bad_from IS NULL OR ep.row_index < fb.bad_from THEN 'FRAME_EMITTED' ELSE 'EXCLUDED' END AS disposition
+  FROM ep LEFT JOIN fb USING (market_ticker, connection_id, epoch)
+  LEFT JOIN fb pb ON pb.market_ticker = ep.market_ticker AND pb.connection_id = ep.connection_id AND pb.epoch = ep.epoch - 1
+)"""
+TOB = f"""{MSG},
+seg AS (
+  SELECT lev.*, lead(lev.row_index) OVER (PARTITION BY lev.market_ticker, lev.connection_id, lev.epoch, lev.side, lev.price ORDER BY lev.row_index) AS nxt
+  FROM lev JOIN disp ON disp.row_index = lev.row_index WHERE disp.disposition = 'FRAME_EMITTED'
+),
+tob AS (
+  SELECT f.row_index, f.market_ticker,
+    max(CASE WHEN s.side = 'yes' THEN s.price END) AS bb, arg_max(s.qty, s.price) FILTER (s.side = 'yes') AS bs,
+    max(CASE WHEN s.side = 'no' THEN s.price END) AS nb, arg_max(s.qty, s.price) FILTER (s.side = 'no') AS asz,
+    count(*) FILTER (s.side = 'yes') AS bl, count(*) FILTER (s.side = 'no') AS al
+  FROM disp f LEFT JOIN seg s ON s.market_ticker = f.market_ticker AND s.connection_id = f.connection_id
+    AND s.epoch = f.epoch AND s.row_index <= f.row_index AND (s.nxt IS NULL OR f.row_index < s.nxt) AND s.qty > 0
+  WHERE f.disposition = 'FRAME_EMITTED' GROUP BY ALL
+)"""
+
+
+def sql() -> dict[str, str]:
+    out: dict[str, str] = {}
+    out["scan_report"] = f"WITH {CAND} SELECT venue, {COUNTS} FROM cand GROUP BY venue"
+    out["complement_candidate"] = f"""WITH {CAND}
+SELECT {KEY} AS line_key, venue, market_id, {d6("yes_ask")} AS yes_ask, {d6("no_ask")} AS no_ask,
+  {d6("gross")} AS gross_edge, {d6("net")} AS net_edge, {d6("size")} AS candidate_size,
+  {d6("total")} AS total_edge, decision, {FLAGS} AS flags, {REASONS} AS rejection_reasons
+FROM cand"""
+    out["complement_from_canonical"] = (
+        f"WITH {CAND} SELECT venue, fee_status, {COUNTS} FROM cand GROUP BY venue, fee_status"
+    )
+    out["fee_resolution"] = f"""WITH {TOP},
+fees AS (SELECT s_suppkey, CASE WHEN s_acctbal > 6000 THEN 'unknown' ELSE 'supplied' END AS st
+  FROM supplier WHERE s_acctbal > 2000),
+cand AS (
+  SELECT CAST(l_suppkey AS VARCHAR) AS venue, coalesce(st, 'missing') AS fee_status,
+    CAST((yb + nb - 1 - CASE WHEN st = 'supplied' THEN 0.02 ELSE 0 END - CAST(0.005 AS {P})) AS {P}) AS net,
+    yb + nb - 1 AS gross, least(ys, ns) AS size, stale
+  FROM top LEFT JOIN fees ON l_suppkey = s_suppkey
+),
+dec AS (SELECT *, CAST(net * size AS DECIMAL(38,18)) AS total,
+    CASE WHEN gross <= 0 THEN 'reject' WHEN stale OR size <= 0 OR fee_status <> 'supplied' THEN 'audit_only'
+         WHEN net > 0.01 THEN 'paper_candidate' ELSE 'reject' END AS decision FROM cand)
+SELECT venue, {COUNTS} FROM dec GROUP BY venue"""
+    out["scan_label_counts"] = f"""WITH {CAND},
+labels AS (
+  SELECT 'rejection_reason' AS kind, unnest(string_split({REASONS}, '|')) AS label FROM cand
+  UNION ALL SELECT 'data_flag', 'stale_book' FROM cand WHERE stale
+)
+SELECT kind, label, count(*) AS label_count FROM labels WHERE label <> '' GROUP BY kind, label"""
+    out["scan_rollup"] = f"""WITH {CAND}
+SELECT venue, decision, count(*) AS candidate_count FROM cand GROUP BY ROLLUP (venue, decision)"""
+    out["fill_stress"] = f"""WITH {SCEN}
+SELECT market_id, scenario, count(*) AS simulations, {d6("sum(least(fy, fn))")} AS completed,
+  {d6("sum(abs(fy - fn))")} AS failed_leg, {d6("sum(CAST(pair_net * least(fy, fn) AS DECIMAL(38,18)))")} AS net_edge,
+  {d6("sum(CAST(reserve * abs(fy - fn) AS DECIMAL(38,18)))")} AS reserve_total,
+  {d6("sum(yes_ask + ysl)")} AS yes_price_sum, {d6("sum(no_ask + nsl)")} AS no_price_sum,
+  count(*) FILTER (ysl > 0 OR nsl > 0) AS slippage_count, count(*) FILTER (lat > 0) AS latency_count,
+  count(*) FILTER (reserve > 0) AS reserve_count
+FROM filled GROUP BY market_id, scenario"""
+    out["fill_summary"] = f"""WITH {SCEN}
+SELECT venue, scenario, count(*) AS simulations, count(*) FILTER (fy <> fn) AS partial_fill_count,
+  count(*) FILTER (fy = 0 AND fn = 0 AND tgt > 0) AS blocked_by_fok_depth_count
+FROM filled GROUP BY venue, scenario"""
+    out["fair_value"] = f"""WITH {TWO}
+SELECT book_key, {d6("fv")} AS fair_value,
+  CASE WHEN bid IS NULL AND ask IS NULL THEN 'empty_orderbook' END AS fair_value_error FROM fair"""
+    out["quote_bands"] = f"""WITH {TWO},
+skewed AS (
+  SELECT *, least(greatest(CAST(inv * 0.001 AS DECIMAL(20,8)), -0.05), 0.05) AS skew,
+    greatest(coalesce(CAST(ask - bid AS {P}), 0.02), 0.02) * 0.5 AS half FROM fair
+),
+adj AS (SELECT *, CASE WHEN fv IS NOT NULL THEN least(greatest(CAST(fv - skew AS DECIMAL(24,18)), 0), 1) END AS af FROM skewed),
+grid AS (
+  SELECT *, CAST(least(greatest(af - half, 0), 1) * 1000000 AS BIGINT) AS b6,
+    CAST(least(greatest(af + half, 0), 1) * 1000000 AS BIGINT) AS a6 FROM adj
+),
+tick AS (SELECT *, (b6 // 100) AS bt, ((a6 + 99) // 100) AS sk FROM grid),
+fixed AS (
+  SELECT *, CASE WHEN bt < sk OR sk + 1 <= 10000 THEN bt WHEN bt - 1 >= 0 THEN bt - 1 END AS bt2,
+    CASE WHEN bt < sk THEN sk WHEN sk + 1 <= 10000 THEN sk + 1 WHEN bt - 1 >= 0 THEN sk END AS at2 FROM tick
+)
+SELECT book_key, {d6("fv")} AS fair_value, {d6("af")} AS adjusted_fair_value, {d6("skew")} AS inventory_skew,
+  CASE WHEN fv IS NOT NULL THEN bt2 / 10000.0::DOUBLE END AS bid_price,
+  CASE WHEN fv IS NOT NULL THEN at2 / 10000.0::DOUBLE END AS ask_price,
+  CASE WHEN fv IS NOT NULL THEN (at2 - bt2) / 10000.0::DOUBLE END AS target_spread FROM fixed"""
+    out["risk_decisions"] = f"WITH {RISK} SELECT proposal_id, decision, reasons FROM decided"
+    out["risk_report"] = (
+        f"WITH {RISK} SELECT decision, count(*) AS risk_decision_count FROM decided GROUP BY decision"
+    )
+    out["proposal_join"] = f"""WITH {PROPOSE}
+SELECT line_key, proposal_id, CASE WHEN completed > 0 THEN 2 ELSE 0 END AS leg_count,
+  CASE WHEN proposal_id IS NULL THEN 'missing_simulation' ELSE concat_ws('|', 'manual_approval_required',
+    CASE WHEN decision <> 'paper_candidate' THEN 'candidate_not_paper_candidate' END,
+    CASE WHEN completed <= 0 THEN 'simulation_not_complete' END,
+    CASE WHEN pair_net <= 0 THEN 'non_positive_simulated_edge' END,
+    CASE WHEN failed > 0 THEN 'partial_fill_requires_review' END) END AS risk_reasons,
+  {d6("completed")} AS completed FROM paired"""
+    out["order_preview_screen"] = f"""WITH {PROPOSE},
+screened AS (
+  SELECT *, CASE WHEN completed > 0 THEN CAST((yfp + nfp) * completed AS DECIMAL(38,18)) ELSE 0 END AS notional
+  FROM paired WHERE proposal_id IS NOT NULL
+),
+named AS (
+  SELECT *, CASE WHEN completed <= 0 THEN 'leg_count'
+    WHEN yfp NOT BETWEEN 0 AND 1 OR nfp NOT BETWEEN 0 AND 1 THEN 'price_range'
+    WHEN completed > 25 THEN 'leg_quantity_limit' WHEN completed <> floor(completed) THEN 'whole_contracts_required'
+    WHEN yfp <> CAST(yfp AS DECIMAL(4,2)) OR nfp <> CAST(nfp AS DECIMAL(4,2)) THEN 'cent_precision_required'
+    WHEN notional > 20 THEN 'total_notional_limit' END AS blocked_by FROM screened
+)
+SELECT proposal_id, line_key, blocked_by, {d6("notional")} AS total_notional,
+  CASE WHEN blocked_by IS NULL THEN 'demo-' || substr(proposal_id, 1, 16) || '-yes-fok' END AS first_order_id
+FROM named"""
+    out["limit_screen"] = f"""WITH req AS (
+  SELECT {KEY} AS request_id, *, CAST(l_discount AS DECIMAL(10,4)) * 10 AS price, CAST(l_quantity AS DECIMAL(14,2)) AS qty,
+    CASE WHEN l_linestatus = 'O' THEN 1 ELSE -1 END * CAST(l_quantity AS DECIMAL(14,2)) AS signed FROM lineitem
+),
+named AS (
+  SELECT request_id, CASE WHEN l_linenumber = 7 THEN 'execution_mode' WHEN l_suppkey % 13 = 0 THEN 'base_url'
+    WHEN l_partkey % 17 = 0 THEN 'demo_opt_in' WHEN price NOT BETWEEN 0 AND 1 THEN 'price_boundary'
+    WHEN qty > 45 THEN 'max_order_quantity' WHEN price * qty > 25 THEN 'max_notional'
+    WHEN abs(l_linenumber * 5 + signed) > 40 THEN 'max_position_abs'
+    WHEN abs(l_linenumber * 7 - 20 + signed) > 40 THEN 'max_inventory_abs'
+    WHEN CAST(l_tax * 100 AS DECIMAL(14,2)) > 7 THEN 'max_daily_loss' END AS limit_name FROM req
+)
+SELECT request_id, limit_name, limit_name IS NULL AS approved FROM named"""
+    out["book_normalize_yes_no"] = f"""WITH {YN}
+SELECT event_id, instrument_id, CASE WHEN bb >= ba THEN 'locked_or_crossed' ELSE '' END AS errors,
+  {d6("bb")} AS best_bid, {d6("ba")} AS best_ask, {d6("ba - bb")} AS spread, {d6("(ba + bb) * 0.5")} AS mid,
+  CASE WHEN bb IS NULL THEN 0.0 ELSE 12.0 END::DOUBLE AS bid_depth, 10.0::DOUBLE AS ask_depth,
+  CASE WHEN bb IS NULL THEN 0 ELSE 2 END AS bid_level_count, 2 AS ask_level_count FROM yn"""
+    out["book_normalize_bid_offer"] = f"""WITH bo AS (
+  SELECT event_id, 'slug-' || (user_id % 10) AS instrument_id,
+    CASE WHEN event_id % 11 <> 0 THEN CAST((event_id % 40 + 10) / 100.0 AS DECIMAL(6,2)) END AS bb,
+    CASE WHEN event_id % 11 <> 0 THEN CAST((event_id % 30 + 45) / 100.0 AS DECIMAL(6,2)) END AS ba FROM events
+)
+SELECT event_id, instrument_id, CASE WHEN bb IS NULL THEN 'empty_orderbook' WHEN bb >= ba THEN 'locked_or_crossed' ELSE '' END AS errors,
+  {d6("bb")} AS best_bid, {d6("ba")} AS best_ask, {d6("ba - bb")} AS spread, {d6("(ba + bb) * 0.5")} AS mid,
+  CASE WHEN bb IS NULL THEN 0.0 ELSE 3.0 END::DOUBLE AS bid_depth,
+  CASE WHEN bb IS NULL THEN 0.0 ELSE event_id % 7 + 1 END::DOUBLE AS ask_depth,
+  CASE WHEN bb IS NULL THEN 0 ELSE 1 END AS bid_level_count, CASE WHEN bb IS NULL THEN 0 ELSE 1 END AS ask_level_count FROM bo"""
+    out["book_validity"] = f"""WITH {YN}
+SELECT instrument_id, CASE WHEN bb >= ba THEN 'locked_or_crossed' ELSE 'valid' END AS state, count(*) AS book_count
+FROM yn GROUP BY 1, 2"""
+    out["book_metrics"] = f"""WITH {YN}
+SELECT instrument_id, count(*) AS snapshot_count, {d6("max(bb)")} AS max_bid, {d6("min(ba)")} AS min_ask,
+  {d6("sum(ba - bb)")} AS spread_sum, {d6("sum(CASE WHEN bb IS NULL THEN 0 ELSE 12 END)")} AS bid_depth_sum,
+  {d6("sum(10)")} AS ask_depth_sum FROM yn GROUP BY 1"""
+    out["book_quality_flags"] = """SELECT concat_ws('|', CASE WHEN event_id % 11 = 0 THEN 'one_sided_book' END,
+  CASE WHEN event_id % 6 = 0 THEN 'non_open_market' END) AS labels, count(*) AS book_count FROM events GROUP BY 1"""
+    txt = lambda c: f"rtrim(CAST({c} AS VARCHAR), '0')"
+    lvl = lambda p, q: f"""'{{"price":"' || {txt(p)} || '","quantity":"{q}"}}'"""
+    out["book_hash"] = f"""WITH {YN}
+SELECT event_id, sha256('{{"asks":[' || {lvl("ba", 4)} || ',' || {lvl("a2", 6)} || '],"bids":['
+  || CASE WHEN bb IS NULL THEN '' ELSE {lvl("bb", 7)} || ',' || {lvl("b2", 5)} END
+  || '],"instrument_id":"' || instrument_id || '","source":"kalshi_orderbook_fp"}}') AS book_hash FROM yn"""
+    out["feed_consistency"] = f"""WITH {FEED}
+SELECT event_id, venue, market_id, sequence, concat_ws('|', CASE WHEN {GAP} THEN 'sequence_gap' END,
+  CASE WHEN {OOO} THEN 'out_of_order' END, CASE WHEN {STALE} THEN 'stale_event' END) AS flags FROM flagged"""
+    out["feed_consistency_summary"] = f"""WITH {FEED}
+SELECT market_id, count(*) AS events_read, count(*) FILTER ({GAP}) AS sequence_gap_count,
+  count(*) FILTER ({STALE}) AS stale_count, count(*) FILTER ({OOO}) AS out_of_order_count FROM flagged GROUP BY 1"""
+    out["replay_frames"] = f"""WITH {FEED}
+SELECT 'strict' AS mode, event_id, row_number() OVER (PARTITION BY market_id ORDER BY event_id) AS frame_sequence,
+  coalesce(observed_at < lag(observed_at) OVER (PARTITION BY market_id ORDER BY event_id), false) AS order_violation FROM feed
+UNION ALL
+SELECT 'lenient', event_id, row_number() OVER (PARTITION BY market_id ORDER BY observed_at, event_id), false FROM feed"""
+    out["book_rebuild"] = f"""WITH {MSG}
+SELECT row_index, market_ticker, connection_id, epoch, disposition,
+  CASE WHEN snap AND perr IS NOT NULL THEN perr WHEN row_index = bad_from THEN bad_reason
+       WHEN disposition = 'EXCLUDED' THEN 'SEGMENT_INVALID' END AS reason,
+  CASE WHEN good THEN CASE WHEN after_bad THEN 'RECOVERY_AFTER_INVALIDATION' WHEN epoch = 1 THEN 'INITIAL_SNAPSHOT'
+    ELSE 'RESNAPSHOT_SAME_SEGMENT' END END AS reset_reason,
+  CAST(sum(CASE WHEN disposition = 'FRAME_EMITTED' THEN 1 ELSE 0 END) OVER (
+    PARTITION BY market_ticker, connection_id ORDER BY row_index) AS BIGINT) AS frame_count FROM disp"""
+    out["book_frames"] = f"""WITH {TOB}
+SELECT row_index, market_ticker, {d6("bb")} AS best_bid, {d6("bs")} AS best_bid_size, {d6("1 - nb")} AS best_ask,
+  {d6("asz")} AS best_ask_size, bl AS bid_level_count, al AS ask_level_count,
+  CASE WHEN bl = 0 AND al = 0 THEN 'EMPTY' WHEN al = 0 THEN 'YES_BIDS_ONLY' WHEN bl = 0 THEN 'YES_ASKS_ONLY'
+    WHEN bb > 1 - nb THEN 'CROSSED' WHEN bb = 1 - nb THEN 'LOCKED' ELSE 'TWO_SIDED' END AS book_state FROM tob"""
     return out

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritymill.operators import parity
+from paritymill.functions.ordered import CHUNK_ROWS, chunk_of
+from paritymill.operators import books, controls, feed, parity, proposals, quotes, rebuild
 from paritymill.plans import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,9 +32,294 @@ def joined(array: Column | str) -> Column:
     return F.array_join(array, "|")
 
 
+def _tagged(kind: str, column: str) -> Column:
+    return F.transform(column, lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("label")))
+
+
 @register("scan_report")
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     cand = parity.complement_candidates(V.v_top_of_book(spark, sf_dir))
     return parity.scan_report(cand, by=["venue"]).withColumn(
         "total_estimated_net_edge", V.d6(F.col("total_estimated_net_edge"))
     )
+
+
+@register("complement_candidate")
+def complement_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_candidates(spark, sf_dir).select(
+        V.line_key().alias("line_key"),
+        "venue",
+        "market_id",
+        V.d6(F.col("yes_ask")).alias("yes_ask"),
+        V.d6(F.col("no_ask")).alias("no_ask"),
+        V.d6(F.col("gross_edge_per_contract")).alias("gross_edge"),
+        V.d6(F.col("net_edge_per_contract")).alias("net_edge"),
+        V.d6(F.col("candidate_size")).alias("candidate_size"),
+        V.d6(F.col("total_estimated_net_edge")).alias("total_edge"),
+        "decision",
+        joined("flags").alias("flags"),
+        joined("rejection_reasons").alias("rejection_reasons"),
+    )
+
+
+@register("complement_from_canonical")
+def complement_from_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = V.v_top_of_book(spark, sf_dir)
+    yes_book = top.withColumns(
+        {
+            "best_yes_ask": (F.lit("1").cast(V.PRICE) - F.col("best_no_bid")).cast(V.PRICE),
+            "yes_ask_size": F.col("no_bid_size"),
+        }
+    ).drop("best_no_bid", "no_bid_size")
+    return parity.scan_report(
+        parity.complement_from_canonical(yes_book), by=["venue", "fee_status"]
+    ).withColumn("total_estimated_net_edge", V.d6(F.col("total_estimated_net_edge")))
+
+
+@register("fee_resolution")
+def fee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fees per supplier from a fee table; suppliers without a row have a missing fee."""
+    top = V.v_top_of_book(spark, sf_dir).withColumn("venue", F.col("l_suppkey").cast("string"))
+    fees = V.table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 2000).select(
+        F.col("s_suppkey").cast("string").alias("venue"),
+        F.when(F.col("s_acctbal") > 6000, "unknown").otherwise("supplied").alias("fee_status"),
+        F.lit("0.02").cast(V.PRICE).alias("fee_per_contract"),
+        F.lit("supplier fee").alias("fee_source_note"),
+    )
+    cand = parity.complement_candidates(top, fees)
+    return parity.scan_report(cand, by=["venue"]).withColumn(
+        "total_estimated_net_edge", V.d6(F.col("total_estimated_net_edge"))
+    )
+
+
+@register("scan_label_counts")
+def scan_label_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand = V.v_candidates(spark, sf_dir)
+    tagged = [
+        _tagged("rejection_reason", "rejection_reasons"), _tagged("data_flag", "data_quality_flags")
+    ]
+    both = cand.select(F.explode(F.concat(*tagged)).alias("x"))
+    return both.groupBy("x.kind", "x.label").agg(F.count(F.lit(1)).alias("label_count"))
+
+
+@register("scan_rollup")
+def scan_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parity.scan_rollup(V.v_candidates(spark, sf_dir))
+
+
+@register("fill_stress")
+def fill_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fills = parity.fill_stress(V.v_candidates(spark, sf_dir), V.SCENARIOS)
+    return fills.groupBy("market_id", "scenario").agg(
+        F.count(F.lit(1)).alias("simulations"),
+        V.d6(F.sum("completed_pair_size")).alias("completed"),
+        V.d6(F.sum("failed_leg_quantity")).alias("failed_leg"),
+        V.d6(F.sum("simulated_total_net_edge")).alias("net_edge"),
+        V.d6(F.sum("failed_leg_reserve_total")).alias("reserve_total"),
+        V.d6(F.sum("yes_fill_price")).alias("yes_price_sum"),
+        V.d6(F.sum("no_fill_price")).alias("no_price_sum"),
+        F.count_if(F.array_contains("fill_flags", "slippage_applied")).alias("slippage_count"),
+        F.count_if(F.array_contains("fill_flags", "latency_shock_applied")).alias("latency_count"),
+        F.count_if(F.array_contains("fill_flags", "failed_leg_reserve_applied")).alias("reserve_count"),
+    )
+
+
+@register("fill_summary")
+def fill_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fills = parity.fill_stress(V.v_candidates(spark, sf_dir), V.SCENARIOS)
+    return parity.fill_summary(fills, by=["venue", "scenario"])
+
+
+@register("fair_value")
+def fair_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.fair_value(V.v_two_sided(spark, sf_dir))
+    return out.select("book_key", V.d6(F.col("fair_value")).alias("fair_value"), "fair_value_error")
+
+
+@register("quote_bands")
+def quote_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.quote_bands(V.v_two_sided(spark, sf_dir))
+    cols = ("fair_value", "adjusted_fair_value", "inventory_skew", "bid_price", "ask_price", "target_spread")
+    return out.select("book_key", *[V.d6(F.col(c)).alias(c) for c in cols])
+
+
+@register("risk_decisions")
+def risk_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = controls.risk_decisions(V.v_risk_inputs(spark, sf_dir))
+    return out.select("proposal_id", "decision", joined("reasons").alias("reasons"))
+
+
+@register("risk_report")
+def risk_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return controls.risk_report(controls.risk_decisions(V.v_risk_inputs(spark, sf_dir)))
+
+
+@register("proposal_join")
+def proposal_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand, sims = V.v_proposal_sides(spark, sf_dir)
+    made, missing = proposals.propose(cand, sims, "sim_key")
+    return made.select(
+        "line_key",
+        "proposal_id",
+        F.size("legs").cast("bigint").alias("leg_count"),
+        joined("risk_reasons").alias("risk_reasons"),
+        V.d6(F.col("completed_pair_size")).alias("completed"),
+    ).unionByName(
+        missing.select(
+            "line_key",
+            F.lit(None).cast("string").alias("proposal_id"),
+            F.lit(0).cast("bigint").alias("leg_count"),
+            F.lit("missing_simulation").alias("risk_reasons"),
+            F.lit(None).cast("double").alias("completed"),
+        )
+    )
+
+
+@register("order_preview_screen")
+def order_preview_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand, sims = V.v_proposal_sides(spark, sf_dir)
+    made, _ = proposals.propose(cand, sims, "sim_key")
+    out = controls.order_preview_screen(made, "25", "20")
+    return out.select(
+        "proposal_id",
+        "line_key",
+        "blocked_by",
+        V.d6(F.col("total_notional")).alias("total_notional"),
+        F.try_element_at("request_previews", F.lit(1))["client_order_id"].alias("first_order_id"),
+    )
+
+
+@register("limit_screen")
+def limit_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = V.table(spark, sf_dir, "lineitem")
+    requests = li.select(
+        V.line_key().alias("request_id"),
+        F.when(F.col("l_linenumber") == 7, "paper").otherwise("demo").alias("execution_mode"),
+        F.when(F.col("l_suppkey") % 13 == 0, "other").otherwise("demo-endpoint").alias("base_url"),
+        (F.col("l_partkey") % 17 != 0).alias("demo_opt_in"),
+        F.when(F.col("l_linestatus") == "O", "buy").otherwise("sell").alias("side"),
+        (V.price4(F.col("l_discount")) * F.lit(10)).cast("decimal(20,18)").alias("price"),
+        V.qty2(F.col("l_quantity")).alias("quantity"),
+        V.qty2(F.col("l_linenumber") * 5).alias("current_position"),
+        V.qty2(F.col("l_linenumber") * 7 - 20).alias("current_inventory"),
+        V.qty2(F.col("l_tax") * 100).alias("current_daily_loss"),
+    )
+    limits = {"max_order_quantity": 45, "max_notional": 25, "max_position_abs": 40, "max_daily_loss": 7}
+    return controls.limit_screen(requests, limits, "demo-endpoint").select(
+        "request_id", "limit_name", "approved"
+    )
+
+
+# --- books -----------------------------------------------------------------
+def _book_output(df: DataFrame) -> DataFrame:
+    m = books.book_metrics(df)
+    return m.select(
+        "event_id",
+        "instrument_id",
+        joined("errors").alias("errors"),
+        *[
+            V.d6(F.col(c)).alias(c)
+            for c in ("best_bid", "best_ask", "spread", "mid", "bid_depth", "ask_depth")
+        ],
+        "bid_level_count",
+        "ask_level_count",
+    )
+
+
+@register("book_normalize_yes_no")
+def book_normalize_yes_no(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book_output(books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)))
+
+
+@register("book_normalize_bid_offer")
+def book_normalize_bid_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _book_output(books.normalize_bid_offer(V.v_bid_offer_payloads(spark, sf_dir)))
+
+
+@register("book_validity")
+def book_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    good, bad = books.validate_books(books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)))
+    return good.select("instrument_id", F.lit("valid").alias("state")).unionByName(
+        bad.select("instrument_id", joined("errors").alias("state"))
+    ).groupBy("instrument_id", "state").agg(F.count(F.lit(1)).alias("book_count"))
+
+
+@register("book_metrics")
+def book_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = books.book_metrics(books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)))
+    return m.groupBy("instrument_id").agg(
+        F.count(F.lit(1)).alias("snapshot_count"),
+        V.d6(F.max("best_bid")).alias("max_bid"),
+        V.d6(F.min("best_ask")).alias("min_ask"),
+        V.d6(F.sum("spread")).alias("spread_sum"),
+        V.d6(F.sum("bid_depth")).alias("bid_depth_sum"),
+        V.d6(F.sum("ask_depth")).alias("ask_depth_sum"),
+    )
+
+
+@register("book_quality_flags")
+def book_quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books.normalize_bid_offer(V.v_bid_offer_payloads(spark, sf_dir))
+    labels = joined(books.quality_flags(F.col("state"))).alias("labels")
+    return b.groupBy(labels).agg(F.count(F.lit(1)).alias("book_count"))
+
+
+@register("book_hash")
+def book_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir))
+    return b.select("event_id", books.book_hash().alias("book_hash"))
+
+
+# --- feed ------------------------------------------------------------------
+def _flagged_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.feed_consistency(
+        V.v_feed(spark, sf_dir), "event_id", chunk_of(F.col("event_id"), CHUNK_ROWS), 30 * 60
+    )
+
+
+@register("feed_consistency")
+def feed_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flagged_feed(spark, sf_dir).select(
+        "event_id", "venue", "market_id", "sequence", joined("data_quality_flags").alias("flags")
+    )
+
+
+@register("feed_consistency_summary")
+def feed_consistency_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.feed_consistency_summary(_flagged_feed(spark, sf_dir), by=["market_id"])
+
+
+@register("replay_frames")
+def replay_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = V.v_feed(spark, sf_dir)
+    strict = feed.replay_frames(f, ["market_id"], "event_id", True, chunk_of(F.col("event_id"), CHUNK_ROWS))
+    lenient = feed.replay_frames(f, ["market_id"], "event_id", False)
+    cols = ("event_id", "frame_sequence", "order_violation")
+    return strict.select(F.lit("strict").alias("mode"), *cols).unionByName(
+        lenient.select(F.lit("lenient").alias("mode"), *cols)
+    )
+
+
+# --- rebuild ---------------------------------------------------------------
+@register("book_rebuild")
+def book_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_rebuilt(spark, sf_dir).select(
+        "row_index", "market_ticker", "connection_id", "epoch", "disposition", "reason",
+        "reset_reason", "frame_count",
+    )
+
+
+@register("book_frames")
+def book_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    top = rebuild.top_of_book(V.v_rebuilt(spark, sf_dir))
+    return top.select(
+        "row_index", "market_ticker",
+        *[V.d6(F.col(c)).alias(c) for c in ("best_bid", "best_bid_size", "best_ask", "best_ask_size")],
+        "bid_level_count", "ask_level_count", "book_state",
+    )
+
+
+@register("book_ladder_hash")
+def book_ladder_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = rebuild.with_frame_hash(rebuild.book_frames(V.v_rebuilt(spark, sf_dir)))
+    return frames.select("row_index", "market_ticker", "frame_hash")

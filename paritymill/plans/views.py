@@ -57,3 +57,228 @@ def v_top_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
         "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate",
     )
+
+
+def line_key() -> Column:
+    """Text that identifies a lineitem row; the table has no unique key of its own."""
+    money = lambda name: F.col(name).cast("decimal(14,2)").cast("string")
+    return F.concat_ws(
+        ":",
+        F.col("l_orderkey").cast("string"),
+        F.col("l_partkey").cast("string"),
+        F.col("l_suppkey").cast("string"),
+        F.col("l_linenumber").cast("string"),
+        money("l_quantity"),
+        money("l_extendedprice"),
+        money("l_discount"),
+        money("l_tax"),
+        "l_returnflag",
+        "l_linestatus",
+        F.date_format("l_shipdate", "yyyy-MM-dd"),
+    )
+
+
+SCENARIOS = (
+    {"name": "fok20", "policy": "fok", "target_size": "20"},
+    {
+        "name": "ioc30", "policy": "ioc", "target_size": "30",
+        "yes_slippage_per_contract": "0.01", "no_slippage_per_contract": "0.02",
+    },
+    {
+        "name": "ioc_all", "policy": "ioc", "latency_shock_per_contract": "0.005",
+        "failed_leg_reserve_per_contract": "0",
+    },
+    {
+        "name": "fok_thin", "policy": "fok", "target_size": "10",
+        "yes_available_size": "8", "failed_leg_reserve_per_contract": "0.02",
+    },
+)
+
+
+def v_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritymill.operators.parity import complement_candidates
+
+    return complement_candidates(v_top_of_book(spark, sf_dir))
+
+
+def v_two_sided(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical YES books from V3, some of them one-sided or empty."""
+    top = v_top_of_book(spark, sf_dir)
+    line = F.col("l_linenumber")
+    return top.select(
+        line_key().alias("book_key"),
+        F.when(~line.isin(1, 3), F.col("best_yes_bid")).alias("best_bid"),
+        F.when(~line.isin(2, 3), (F.lit("1").cast(PRICE) - F.col("best_no_bid")).cast(PRICE)).alias(
+            "best_ask"
+        ),
+        qty2(F.col("l_quantity") - 25).alias("inventory"),
+    )
+
+
+def v_risk_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cand = v_candidates(spark, sf_dir)
+    return cand.select(
+        line_key().alias("proposal_id"),
+        F.sha2(line_key(), 256).alias("candidate_hash"),
+        "fee_status",
+        "net_edge_per_contract",
+        "minimum_net_edge_per_contract",
+        F.when(F.col("l_linenumber") == 7, F.array(F.lit("sequence_gap")))
+        .when(F.array_contains("data_quality_flags", "stale_book"), F.array(F.lit("stale_event")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("data_quality_flags"),
+        qty2(F.col("l_extendedprice")).alias("projected_exposure"),
+        F.lit("60000").cast(QTY).alias("max_exposure"),
+        F.col("l_linenumber").cast("bigint").alias("open_order_count"),
+        F.lit(5).cast("bigint").alias("max_open_orders"),
+        qty2(F.col("l_tax") * 100).alias("daily_loss"),
+        F.lit("6").cast(QTY).alias("max_daily_loss"),
+        (F.col("l_suppkey") % 11 == 0).cast("bigint").alias("reconciliation_mismatch_count"),
+        (F.col("l_partkey") % 97 == 0).alias("kill_switch_active"),
+    )
+
+
+def v_proposal_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, simulations) keyed by market, each with a content hash."""
+    from paritymill.operators.parity import fill_stress
+
+    cand = v_candidates(spark, sf_dir)
+    chosen = cand.where(F.col("decision") != "reject").withColumns(
+        {"candidate_hash": F.sha2(line_key(), 256), "line_key": line_key()}
+    )
+    sims = fill_stress(cand.where(F.col("l_linenumber") >= 4), SCENARIOS[1:2]).withColumns(
+        {"simulation_hash": F.sha2(F.concat(F.lit("sim:"), line_key()), 256), "sim_key": line_key()}
+    )
+    return chosen, sims
+
+
+def v_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events with an instant for a clock and the number in ``props``."""
+    return table(spark, sf_dir, "events").withColumns(
+        {
+            "ts": F.col("ts").cast("timestamp"),
+            "k": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint"),
+        }
+    )
+
+
+def v_feed(spark: SparkSession, sf_dir: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """V1: a feed per market with gaps, late rows and rows out of order."""
+    ev = v_events(spark, sf_dir).select(
+        "event_id",
+        F.concat(F.lit("v"), (F.col("user_id") % 2).cast("string")).alias("venue"),
+        F.lit("orderbook").alias("channel"),
+        F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string")).alias("market_id"),
+        F.col("ts").alias("received_at"),
+        (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))).alias("observed_at"),
+        "event_type",
+        "user_id",
+        "value",
+    )
+    step = F.lit(1).cast("bigint") + (F.col("event_id") % 17 == 0).cast("bigint")
+    return scan(
+        ev, ["market_id"], ["event_id"], chunk_of(F.col("event_id"), chunk_rows),
+        running={"sequence": ("sum", step)},
+    )
+
+
+def _pairs(*levels: tuple[Column, int]) -> Column:
+    parts = [
+        F.concat(F.lit('["'), price.cast("decimal(6,2)").cast("string"), F.lit(f'","{size}"]'))
+        for price, size in levels
+    ]
+    return F.concat(F.lit("["), F.concat_ws(",", *parts), F.lit("]"))
+
+
+def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V2: native snapshot, delta and heartbeat messages as JSON payloads."""
+    e = F.col("event_id")
+    tenth = lambda c: c / F.lit(10)
+    yes = _pairs((tenth(e % 3 + 1), 5), (tenth(e % 3 + 2), 7))
+    no = F.when(e % 37 == 0, _pairs((tenth(e % 4 + 1), 6), (tenth(e % 4 + 1), 4))).otherwise(
+        _pairs((tenth(e % 4 + 1), 6), (tenth(e % 4 + 3), 4))
+    )
+    market = F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string"))
+    price = F.when(e % 103 == 0, "1.20").otherwise(tenth(e % 9 + 1).cast("decimal(6,2)").cast("string"))
+    size = F.when(
+        F.col("event_type") == "purchase", -F.floor(F.col("value") / 10)
+    ).otherwise(F.floor("value") + 1)
+    delta = F.when(e % 101 == 0, "x").otherwise(size.cast("string"))
+    kind = (
+        F.when(F.col("event_type") == "signup", "orderbook_snapshot")
+        .when(F.col("event_type") == "error", "heartbeat")
+        .otherwise("orderbook_delta")
+    )
+    head = F.concat(
+        F.lit('{"type":"'), kind, F.lit('","sid":1,"seq":'), e.cast("string"),
+        F.lit(',"msg":{"market_ticker":"'), market, F.lit('"'),
+    )
+    body = (
+        F.when(
+            kind == "orderbook_snapshot",
+            F.concat(F.lit(',"yes_dollars_fp":'), yes, F.lit(',"no_dollars_fp":'), no),
+        )
+        .when(
+            kind == "orderbook_delta",
+            F.concat(
+                F.lit(',"side":"'), F.when(e % 2 == 0, "yes").otherwise("no"),
+                F.lit('","price_dollars":"'), price, F.lit('","delta_fp":"'), delta, F.lit('"'),
+            ),
+        )
+        .otherwise(F.lit(""))
+    )
+    return v_events(spark, sf_dir).select(
+        e.cast("bigint").alias("row_index"),
+        market.alias("market_ticker"),
+        F.concat(F.lit("conn-"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string")).alias("connection_id"),
+        F.lit("seg-1").alias("segment_id"),
+        kind.alias("native_type"),
+        F.col("ts").alias("received_at"),
+        F.concat(head, body, F.lit("}}")).alias("payload"),
+        "user_id",
+        "event_type",
+        "value",
+        "k",
+    )
+
+
+def v_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritymill.operators.rebuild import parse_book_messages, rebuild_books
+
+    msgs = v_messages(spark, sf_dir).where(F.col("native_type") != "heartbeat")
+    return rebuild_books(parse_book_messages(msgs))
+
+
+def v_yes_no_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """REST-shaped YES/NO books, one per event."""
+    e = F.col("event_id")
+    tenth = lambda c: c / F.lit(10)
+    yes = _pairs((tenth(e % 3 + 1), 5), (tenth(e % 3 + 2), 7))
+    no = _pairs((tenth(e % 4 + 1), 6), (tenth(e % 4 + 3), 4))
+    body = F.concat(
+        F.lit('{"market_ticker":"'), F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string")),
+        F.lit('","orderbook_fp":{"yes_dollars":'), F.when(e % 5 == 0, F.lit("null")).otherwise(yes),
+        F.lit(',"no_dollars":'), no, F.lit("}}"),
+    )
+    return v_events(spark, sf_dir).select("event_id", body.alias("payload"))
+
+
+def v_bid_offer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bid/offer books; prices as objects or scalars, some books empty."""
+    e = F.col("event_id")
+    cents = lambda c: (c / F.lit(100)).cast("decimal(6,2)").cast("string")
+    bid = F.when(
+        e % 2 == 0, F.concat(F.lit('{"px":{"value":"'), cents(e % 40 + 10), F.lit('"},"qty":"3"}'))
+    ).otherwise(F.concat(F.lit('{"px":"'), cents(e % 40 + 10), F.lit('","qty":"3"}')))
+    offer = F.concat(
+        F.lit('{"px":{"value":"'), cents(e % 30 + 45), F.lit('"},"qty":"'), (e % 7 + 1).cast("string"),
+        F.lit('"}'),
+    )
+    full = F.concat(F.lit('"bids":['), bid, F.lit('],"offers":['), offer, F.lit("]"))
+    state = F.when(e % 6 == 0, "HALTED").otherwise("OPEN")
+    body = F.concat(
+        F.lit('{"marketData":{"marketSlug":"slug-'), (F.col("user_id") % 10).cast("string"),
+        F.lit('","state":"'), state, F.lit('",'),
+        F.when(e % 11 == 0, F.lit('"bids":[],"offers":null')).otherwise(full), F.lit("}}"),
+    )
+    return v_events(spark, sf_dir).select("event_id", body.alias("payload"), state.alias("state"))

@@ -1,10 +1,12 @@
-"""Session settings the operators rely on."""
+"""Session settings and the shared folder for stage tables."""
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -23,12 +25,34 @@ def build_session(app_name: str = "paritymill", **overrides: str) -> SparkSessio
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession, label: str, default: str | None = None) -> str:
-    """A fresh folder below the cluster's shared checkpoint directory.
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="paritymill-")
 
-    ``default`` is used only when the session names no ``spark.checkpoint.dir``.
+
+def shared_folder(spark: SparkSession, label: str) -> str | None:
+    """A fresh folder below ``spark.checkpoint.dir``.
+
+    Where that is unset, a local-mode session gets a temporary folder and a cluster gets
+    None: a folder only one machine can see would lose the table with the executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or default
+    root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        raise ValueError("spark.checkpoint.dir must name a folder every executor can reach")
+        if not spark.sparkContext.master.startswith("local"):
+            return None
+        root = _local_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def stage(df: DataFrame, label: str) -> DataFrame:
+    """Write an intermediate table once and read it back.
+
+    Used where several branches need the same expensive rows: the lineage is cut, the
+    branches read only the columns they need, and a lost executor costs one re-read.
+    Without a shared folder the plan simply stays whole.
+    """
+    folder = shared_folder(df.sparkSession, label)
+    if folder is None:
+        return df
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
