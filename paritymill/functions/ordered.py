@@ -127,3 +127,62 @@ def last_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns:
     return df.groupBy(*keys).agg(
         F.max_by(F.struct(*columns), F.struct(*order)).alias("_last")
     ).select(*keys, "_last.*")
+
+
+def scan_net(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    chunk: Column,
+    change: Column,
+    extreme: str = "min",
+    net: str = "net",
+    before: str = "extreme_before",
+    sums: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """Running total of ``change`` and the extreme of zero and all *earlier* totals.
+
+    A chunk is summed up by its total and its extreme prefix, which compose along chunks.
+    ``sums`` adds plain running sums in the same pass.
+    """
+    keys, order, sums = list(keys), list(order), dict(sums or {})
+    upto = (Window.unboundedPreceding, 0)
+    pick = F.least if extreme == "min" else F.greatest
+    agg = F.min if extreme == "min" else F.max
+    inside = Window.partitionBy(*keys, _CHUNK).orderBy(*order)
+    rows = (
+        df.withColumn(_CHUNK, chunk)
+        .withColumns(
+            {
+                "_in": F.sum(change).over(inside.rowsBetween(*upto)),
+                **{n: F.sum(e).over(inside.rowsBetween(*upto)) for n, e in sums.items()},
+            }
+        )
+        .withColumn("_ext", agg("_in").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    )
+    summary = rows.groupBy(*keys, _CHUNK).agg(
+        F.max_by(F.struct("_in", *sums), F.struct(*order)).alias("_at"), agg("_in").alias("_prefix")
+    )
+    summary = summary.withColumn("_total", F.col("_at._in"))
+    chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
+    earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
+    carried = summary.withColumn("_base", F.sum("_total").over(earlier)).withColumn(
+        "_reach", F.coalesce("_base", F.col("_total") * 0) + F.col("_prefix")
+    )
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, _CHUNK])]
+    carry = carried.select(
+        *named, "_base", agg("_reach").over(earlier).alias("_ext_base"),
+        *[F.sum(F.col(f"_at.{n}")).over(earlier).alias(f"_c_{n}") for n in sums],
+    )
+    match = reduce(
+        lambda a, b: a & b,
+        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, _CHUNK])],
+    )
+    zero = F.col("_in") * 0
+    base = F.coalesce("_base", zero)
+    return rows.join(carry, match, "left").select(
+        *df.columns,
+        (base + F.col("_in")).alias(net),
+        pick(zero, F.col("_ext_base"), base + F.col("_ext")).alias(before),
+        *[_COMBINE["sum"](F.col(n), F.col(f"_c_{n}")).alias(n) for n in sums],
+    )

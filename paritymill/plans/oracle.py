@@ -227,6 +227,108 @@ tob AS (
   WHERE f.disposition = 'FRAME_EMITTED' GROUP BY ALL
 )"""
 
+FIFO = """
+fl AS (
+  SELECT user_id, event_id, event_type IN ('purchase', 'click', 'signup') AS buy,
+    CAST((event_id % 99 + 1) / 100.0 AS DECIMAL(10,2)) AS price, CAST(floor(value / 10) + 1 AS BIGINT) AS qty FROM events
+),
+cum AS (
+  SELECT *, sum(CASE WHEN buy THEN qty ELSE 0 END) OVER w AS b, sum(CASE WHEN buy THEN qty ELSE -qty END) OVER w AS n
+  FROM fl WINDOW w AS (PARTITION BY user_id ORDER BY event_id)
+),
+low AS (SELECT *, greatest(0, -min(n) OVER (PARTITION BY user_id ORDER BY event_id)) AS u FROM cum),
+mat AS (SELECT *, b - n - u AS m, coalesce(lag(b - n - u) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS pm FROM low),
+pieces AS (
+  SELECT s.user_id, (least(s.m, y.b) - greatest(s.pm, y.b - y.qty)) * (s.price - y.price) AS gain
+  FROM mat s JOIN mat y ON s.user_id = y.user_id AND NOT s.buy AND y.buy AND s.m > y.b - y.qty AND y.b > s.pm
+  WHERE s.m > s.pm
+)"""
+LEDGER = f"""
+prop AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, date_diff('day', DATE '1970-01-01', CAST(o_orderdate AS DATE)) AS day
+  FROM orders WHERE o_orderkey % 97 <> 0
+),
+rows AS (
+  SELECT CAST(l_orderkey AS VARCHAR) AS proposal_id, {KEY} AS event_key, l_returnflag <> 'R' AS fill,
+    CASE WHEN l_linestatus = 'O' THEN 'yes' ELSE 'no' END AS side, CAST(0.3 + CAST(l_discount AS DECIMAL(10,4)) AS DOUBLE) AS price,
+    CAST(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE floor(l_quantity / 4) END AS DOUBLE) AS qty,
+    l_tax AS fee, CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END AS payout,
+    date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS day, l_partkey % 50 = 0 AS bad_c, l_suppkey % 40 = 7 AS bad_s
+  FROM lineitem
+),
+linked AS (
+  SELECT r.*, CASE WHEN p.proposal_id IS NULL THEN 'unknown_proposal' WHEN fill AND bad_c THEN 'candidate_hash_mismatch'
+    WHEN fill AND bad_s THEN 'simulation_hash_mismatch' END AS mismatch
+  FROM rows r LEFT JOIN prop p ON p.proposal_id = r.proposal_id AND (p.day, '!' || p.proposal_id) < (r.day, r.event_key)
+),
+folded AS (
+  SELECT proposal_id, side, list_reduce(
+    list_prepend({{'k': '', 'f': true, 'q': 0.0::DOUBLE, 'c': 0.0::DOUBLE, 'g': 0.0::DOUBLE, 'x': false, 'bad': []::VARCHAR[]}},
+      list({{'k': event_key, 'f': fill, 'q': qty, 'c': CASE WHEN fill THEN price * qty ELSE payout END,
+        'g': fee, 'x': fill, 'bad': []::VARCHAR[]}} ORDER BY day, event_key)),
+    lambda a, r: CASE WHEN r.f THEN {{'k': '', 'f': true, 'q': a.q + r.q, 'c': a.c + r.c, 'g': a.g, 'x': true, 'bad': a.bad}}
+      WHEN NOT a.x OR a.q < r.q THEN {{'k': '', 'f': true, 'q': a.q, 'c': a.c, 'g': a.g, 'x': a.x, 'bad': list_append(a.bad, r.k)}}
+      ELSE {{'k': '', 'f': true, 'q': a.q - r.q, 'c': CASE WHEN a.q = r.q THEN 0.0 ELSE a.c - a.c / a.q * r.q END,
+        'g': a.g + CASE WHEN a.q > 0 THEN (r.c - a.c / a.q) * r.q ELSE r.c * r.q END, 'x': true, 'bad': a.bad}} END) AS st,
+    sum(CASE WHEN fill THEN fee END) AS fees
+  FROM linked WHERE mismatch IS NULL GROUP BY proposal_id, side
+)"""
+DEMO = """
+ev AS (
+  SELECT event_id AS ord, event_id // 500 AS block, user_id, 'A-' || (event_id // 500) AS audit_id,
+    'O-' || user_id || '-' || (event_id // 500) AS client_order_id, user_id % 13 <> 0 AS known,
+    CASE WHEN event_id % 10 < 4 THEN 'D-' || (event_id // 2) ELSE 'E-' || event_id END AS event_id, user_id % 2 AS h,
+    CASE event_type WHEN 'signup' THEN 'accepted' WHEN 'click' THEN 'partial_fill' WHEN 'purchase' THEN 'full_fill'
+      WHEN 'view' THEN CASE event_id % 3 WHEN 0 THEN 'cancel' WHEN 1 THEN 'rejected' ELSE 'timeout' END
+      ELSE CASE WHEN event_id % 4 = 0 THEN 'error' ELSE 'backfill' END END AS event_type,
+    event_id % 41 = 0 AS bad_src, event_id % 43 = 0 AS bad_app, (event_id % 99 + 1) / 100.0 AS price, event_id % 10 + 1 AS qty
+  FROM events
+),
+fst AS (SELECT audit_id, event_id, min(ord) AS fo, arg_min(h, ord) AS fh FROM ev GROUP BY 1, 2),
+lnk AS (
+  SELECT ev.*, CASE WHEN event_type = 'backfill' THEN 'partial_fill' ELSE event_type END AS kind,
+    CASE WHEN ord <> fo AND h = fh THEN 'duplicate' WHEN ord <> fo THEN 'conflicting_duplicate_event'
+      WHEN bad_src THEN 'source_hash_mismatch' WHEN bad_app THEN 'approval_id_mismatch'
+      WHEN NOT known THEN 'unknown_client_order_id' END AS link
+  FROM ev JOIN fst USING (audit_id, event_id)
+),
+wk AS (
+  SELECT *, kind IN ('partial_fill', 'full_fill') AS fill,
+    sum(CASE WHEN kind IN ('partial_fill', 'full_fill') THEN qty ELSE 0 END) OVER (PARTITION BY client_order_id ORDER BY ord) AS filled
+  FROM lnk WHERE link IS NULL
+),
+wb AS (SELECT *, filled - CASE WHEN fill THEN qty ELSE 0 END AS fbef, kind IN ('rejected', 'cancel', 'error', 'timeout') AS term FROM wk),
+en AS (
+  SELECT client_order_id, min(ord) FILTER (term AND fbef <> 20) AS end_ord, arg_min(kind, ord) FILTER (term AND fbef <> 20) AS end_kind,
+    max(filled) AS total, sum(CASE WHEN fill THEN price * qty END) AS cost FROM wb GROUP BY 1
+),
+ac AS (
+  SELECT client_order_id, min(ord) AS acc_ord FROM wb JOIN en USING (client_order_id)
+  WHERE kind = 'accepted' AND (end_ord IS NULL OR ord < end_ord) GROUP BY 1
+),
+jd AS (SELECT *, coalesce(acc_ord < ord, false) AS acc, coalesce(ord > end_ord, false) AS aft FROM wb JOIN en USING (client_order_id) LEFT JOIN ac USING (client_order_id)),
+orders_ AS (SELECT DISTINCT audit_id, client_order_id, block FROM ev WHERE known),
+st AS (
+  SELECT o.*, acc_ord IS NOT NULL AS accepted, coalesce(end_kind = 'rejected', false) AS rejected, coalesce(end_kind = 'cancel', false) AS canceled,
+    coalesce(end_kind = 'error', false) AS errored, coalesce(end_kind = 'timeout', false) AS timed_out, coalesce(total, 0) AS total, cost
+  FROM orders_ o LEFT JOIN en USING (client_order_id) LEFT JOIN ac USING (client_order_id)
+),
+mm AS (
+  SELECT audit_id, client_order_id, event_id, ord, link AS reason FROM lnk WHERE link IS NOT NULL AND link <> 'duplicate'
+  UNION ALL SELECT audit_id, client_order_id, event_id, ord, unnest(list_filter([
+    CASE WHEN kind = 'accepted' AND aft THEN 'accepted_after_terminal_event' END,
+    CASE WHEN term AND fbef = 20 THEN 'terminal_event_after_full_fill' END,
+    CASE WHEN term AND fbef <> 20 AND aft THEN 'conflicting_terminal_event' END,
+    CASE WHEN kind = 'rejected' AND fbef <> 20 AND NOT aft AND (acc OR fbef > 0) THEN 'reject_after_accept_or_fill' END,
+    CASE WHEN kind = 'cancel' AND fbef <> 20 AND NOT aft AND NOT acc THEN 'missing_acceptance_before_cancel' END,
+    CASE WHEN fill AND NOT acc THEN 'missing_acceptance_before_fill' END,
+    CASE WHEN fill AND filled > 20 THEN 'fill_exceeds_submitted_quantity' END,
+    CASE WHEN kind = 'partial_fill' AND filled >= 20 THEN 'partial_fill_not_partial' END,
+    CASE WHEN kind = 'full_fill' AND filled <> 20 THEN 'full_fill_quantity_mismatch' END], lambda x: x IS NOT NULL)) FROM jd
+  UNION ALL SELECT audit_id, client_order_id, NULL, NULL, 'missing_demo_event' FROM st
+  WHERE block % 2 = 0 AND NOT (accepted OR rejected OR canceled OR errored OR timed_out) AND total = 0
+)"""
+
 
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
@@ -388,4 +490,41 @@ SELECT row_index, market_ticker, {d6("bb")} AS best_bid, {d6("bs")} AS best_bid_
   {d6("asz")} AS best_ask_size, bl AS bid_level_count, al AS ask_level_count,
   CASE WHEN bl = 0 AND al = 0 THEN 'EMPTY' WHEN al = 0 THEN 'YES_BIDS_ONLY' WHEN bl = 0 THEN 'YES_ASKS_ONLY'
     WHEN bb > 1 - nb THEN 'CROSSED' WHEN bb = 1 - nb THEN 'LOCKED' ELSE 'TWO_SIDED' END AS book_state FROM tob"""
+    out["fifo_attribution"] = f"""WITH {FIFO},
+g AS (SELECT user_id, sum(gain) AS gross FROM pieces GROUP BY 1),
+t AS (SELECT user_id, count(*) AS c, CAST(count(*) AS DECIMAL(18,2)) * 0.01 AS fees, sum(CASE WHEN buy THEN qty ELSE -qty END) AS inv FROM fl GROUP BY 1)
+SELECT CAST(t.user_id AS VARCHAR) AS instrument_id, c AS supplied_fills, {d6("fees")} AS total_fees,
+  {d6("coalesce(gross, 0)")} AS realized_gross_pnl, {d6("coalesce(gross, 0) - fees")} AS realized_net_pnl,
+  {d6("inv")} AS ending_inventory FROM t LEFT JOIN g USING (user_id)"""
+    out["paper_ledger"] = f"""WITH {LEDGER}
+SELECT proposal_id, side, st.q AS quantity, round(CASE WHEN st.q > 0 THEN st.c / st.q ELSE 0 END, 6) AS average_price,
+  {d6("fees")} AS fees_paid FROM folded WHERE st.x"""
+    out["paper_ledger_state"] = f"""WITH {LEDGER}
+SELECT (SELECT count(*) FROM prop) AS paper_order_count, (SELECT count(*) FROM rows WHERE fill) AS paper_fill_count,
+  (SELECT count(*) FROM rows WHERE NOT fill) AS settlement_count,
+  CAST((SELECT count(*) FROM linked WHERE mismatch IS NOT NULL) + (SELECT sum(len(st.bad)) FROM folded) AS BIGINT) AS reconciliation_mismatch_count,
+  round((SELECT sum(fees) FROM folded), 4) AS total_fees, round((SELECT sum(st.g) FROM folded), 4) AS realized_gross_pnl,
+  round((SELECT sum(st.g) - sum(fees) FROM folded), 4) AS realized_net_pnl"""
+    out["paper_ledger_mismatches"] = f"""WITH {LEDGER}
+SELECT event_key, proposal_id, mismatch AS reason FROM linked WHERE mismatch IS NOT NULL
+UNION ALL SELECT unnest(st.bad), proposal_id, 'settlement_exceeds_position' FROM folded"""
+    out["reconcile_orders"] = f"""WITH {DEMO}
+SELECT audit_id, client_order_id, accepted, rejected, canceled, errored, timed_out, {d6("total")} AS filled_quantity,
+  round(CASE WHEN total > 0 THEN CAST(cost AS DOUBLE) / total ELSE 0 END, 6) AS average_fill_price, total = 20 AS fully_filled FROM st"""
+    out["reconcile_mismatches"] = f"WITH {DEMO} SELECT audit_id, client_order_id, event_id, ord, reason FROM mm"
+    kinds = ("accepted", "rejected", "partial_fill", "full_fill", "cancel", "error", "timeout", "backfill")
+    counts = ", ".join(
+        f"count(*) FILTER (link IS NULL AND event_type = '{k}')"
+        + ("" if k == "backfill" else f" + count(*) FILTER (link IS NULL AND event_type = 'backfill' AND kind = '{k}')")
+        + f" AS {k}_count"
+        for k in kinds
+    )
+    out["reconcile_state"] = f"""WITH {DEMO},
+oc AS (SELECT audit_id, count(*) AS order_count FROM orders_ GROUP BY 1),
+mc AS (SELECT audit_id, count(*) AS mismatch_count FROM mm GROUP BY 1),
+cc AS (SELECT audit_id, {counts}, count(*) FILTER (link = 'duplicate') AS duplicate_event_count FROM lnk GROUP BY 1)
+SELECT oc.audit_id, order_count, {", ".join(f"coalesce({k}_count, 0) AS {k}_count" for k in kinds)},
+  coalesce(duplicate_event_count, 0) AS duplicate_event_count, coalesce(mismatch_count, 0) AS mismatch_count,
+  coalesce(mismatch_count, 0) = 0 AS submit_eligible
+FROM oc LEFT JOIN cc USING (audit_id) LEFT JOIN mc USING (audit_id)"""
     return out

@@ -8,7 +8,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritymill.functions.ordered import CHUNK_ROWS, chunk_of
-from paritymill.operators import books, controls, feed, parity, proposals, quotes, rebuild
+from paritymill.operators import (
+    books,
+    controls,
+    feed,
+    fifo,
+    ledger,
+    parity,
+    proposals,
+    quotes,
+    rebuild,
+    reconcile,
+)
 from paritymill.plans import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -323,3 +334,77 @@ def book_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 def book_ladder_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = rebuild.with_frame_hash(rebuild.book_frames(V.v_rebuilt(spark, sf_dir)))
     return frames.select("row_index", "market_ticker", "frame_hash")
+
+
+# --- ledger, fifo, reconciliation -------------------------------------------
+@register("fifo_attribution")
+def fifo_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fifo.fifo_attribution(
+        V.v_fills(spark, sf_dir), chunk_of(F.col("ord"), CHUNK_ROWS), quantity_chunk=100_000
+    )
+    return out.select(
+        "instrument_id", "supplied_fills",
+        *[
+            V.d6(F.col(c)).alias(c)
+            for c in ("total_fees", "realized_gross_pnl", "realized_net_pnl", "ending_inventory")
+        ],
+    )
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    # chunks of a year of days: a proposal has few rows, a hot one is still cut
+    return ledger.replay_ledger(V.v_ledger(spark, sf_dir), ["day", "event_key"], chunk_of(F.col("day"), 365))
+
+
+@register("paper_ledger")
+def paper_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    positions = _ledger(spark, sf_dir)["positions"]
+    return positions.select(
+        "proposal_id", "side",
+        V.d6(F.col("quantity")).alias("quantity"),
+        F.round(F.col("average_price").cast("double"), 6).alias("average_price"),
+        V.d6(F.col("fees_paid")).alias("fees_paid"),
+    )
+
+
+@register("paper_ledger_state")
+def paper_ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = _ledger(spark, sf_dir)["state"]
+    money = ("total_fees", "realized_gross_pnl", "realized_net_pnl")
+    return state.select(
+        "paper_order_count", "paper_fill_count", "settlement_count", "reconciliation_mismatch_count",
+        *[F.round(F.col(c).cast("double"), 4).alias(c) for c in money],
+    )
+
+
+@register("paper_ledger_mismatches")
+def paper_ledger_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ledger(spark, sf_dir)["mismatches"].select("event_key", "proposal_id", "reason")
+
+
+def _reconciled(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    audits, events = V.v_demo_orders(spark, sf_dir)
+    return reconcile.reconcile(audits, events, chunk_of(F.col("ord"), CHUNK_ROWS))
+
+
+@register("reconcile_orders")
+def reconcile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _reconciled(spark, sf_dir)["orders"]
+    return o.select(
+        "audit_id", "client_order_id", "accepted", "rejected", "canceled", "errored", "timed_out",
+        V.d6(F.col("filled_quantity")).alias("filled_quantity"),
+        F.round("average_fill_price", 6).alias("average_fill_price"),
+        "fully_filled",
+    )
+
+
+@register("reconcile_mismatches")
+def reconcile_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reconciled(spark, sf_dir)["mismatches"].select(
+        "audit_id", "client_order_id", "event_id", "ord", "reason"
+    )
+
+
+@register("reconcile_state")
+def reconcile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reconcile.reconciliation_state(_reconciled(spark, sf_dir))

@@ -282,3 +282,113 @@ def v_bid_offer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e % 11 == 0, F.lit('"bids":[],"offers":null')).otherwise(full), F.lit("}}"),
     )
     return v_events(spark, sf_dir).select("event_id", body.alias("payload"), state.alias("state"))
+
+
+def v_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V4: explicit fills, one instrument per user."""
+    return v_events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("instrument_id"),
+        F.when(F.col("event_type").isin("purchase", "click", "signup"), "buy").otherwise("sell").alias("side"),
+        (F.col("event_id") % 99 + 1).cast("decimal(10,2)").alias("_cents"),
+        qty2(F.floor(F.col("value") / 10) + 1).alias("quantity"),
+        F.col("event_id").alias("ord"),
+        "ts",
+    ).select(
+        "instrument_id", "side",
+        (F.col("_cents") * F.lit("0.01").cast("decimal(3,2)")).cast(PRICE).alias("price"),
+        "quantity", F.lit("0.01").cast(PRICE).alias("fee"), "ord", "ts",
+    )
+
+
+def v_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V5: proposals from orders, fills and settlements from lineitem."""
+    orders = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 97 != 0)
+    key = F.col("o_orderkey").cast("string")
+    empty = lambda kind: F.lit(None).cast(kind)
+    proposals = orders.select(
+        F.lit("paper_complement_order_proposal").alias("record_type"),
+        key.alias("proposal_id"),
+        F.sha2(key, 256).alias("candidate_hash"),
+        F.sha2(F.concat(F.lit("s"), key), 256).alias("simulation_hash"),
+        empty("string").alias("side"),
+        empty(PRICE).alias("price"),
+        empty(QTY).alias("quantity"),
+        empty(PRICE).alias("fee"),
+        empty(PRICE).alias("payout_per_contract"),
+        F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint").alias("day"),
+        F.concat(F.lit("!"), key).alias("event_key"),
+    )
+    li = table(spark, sf_dir, "lineitem")
+    proposal = F.col("l_orderkey").cast("string")
+    fill = F.col("l_returnflag") != "R"
+    bad_candidate = F.col("l_partkey") % 50 == 0
+    bad_simulation = F.col("l_suppkey") % 40 == 7
+    rows = li.select(
+        F.when(fill, "paper_fill").otherwise("paper_settlement").alias("record_type"),
+        proposal.alias("proposal_id"),
+        F.when(fill, F.sha2(F.concat(F.when(bad_candidate, "x").otherwise(""), proposal), 256)).alias(
+            "candidate_hash"
+        ),
+        F.when(
+            fill, F.sha2(F.concat(F.when(bad_simulation, "x").otherwise("s"), proposal), 256)
+        ).alias("simulation_hash"),
+        F.when(F.col("l_linestatus") == "O", "yes").otherwise("no").alias("side"),
+        F.when(fill, (F.lit("0.3").cast(PRICE) + price4(F.col("l_discount"))).cast(PRICE)).alias("price"),
+        qty2(F.when(fill, F.col("l_quantity")).otherwise(F.floor(F.col("l_quantity") / 4))).alias("quantity"),
+        F.when(fill, price4(F.col("l_tax"))).alias("fee"),
+        F.when(~fill, F.when(F.col("l_discount") > 0.05, 1).otherwise(0).cast(PRICE)).alias(
+            "payout_per_contract"
+        ),
+        F.unix_date(F.col("l_shipdate").cast("date")).cast("bigint").alias("day"),
+        line_key().alias("event_key"),
+    )
+    return proposals.unionByName(rows)
+
+
+def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V8: (audited orders, demo events) with repeated and conflicting event ids."""
+    e = F.col("event_id")
+    block = F.floor(e / 500)
+    ev = v_events(spark, sf_dir).withColumn("block", block)
+    order_id = F.concat_ws("-", F.lit("O"), F.col("user_id").cast("string"), F.col("block").cast("string"))
+    audit = F.concat(F.lit("A-"), F.col("block").cast("string"))
+    audits = ev.where(F.col("user_id") % 13 != 0).groupBy("user_id", "block").agg(F.lit(1).alias("_one")).select(
+        audit.alias("audit_id"),
+        F.concat(F.lit("P-"), F.col("block").cast("string")).alias("proposal_id"),
+        F.sha2(F.col("block").cast("string"), 256).alias("candidate_hash"),
+        F.concat(F.lit("APP-"), F.col("block").cast("string")).alias("approval_id"),
+        F.when(F.col("block") % 2 == 0, "submitted").otherwise("dry_run").alias("status"),
+        order_id.alias("client_order_id"),
+        F.when(F.col("user_id") % 2 == 0, "yes").otherwise("no").alias("side"),
+        F.lit("20").cast(QTY).alias("submitted_quantity"),
+    )
+    ident = F.when(e % 10 < 4, F.concat(F.lit("D-"), F.floor(e / 2).cast("string"))).otherwise(
+        F.concat(F.lit("E-"), e.cast("string"))
+    )
+    kind = (
+        F.when(F.col("event_type") == "signup", "accepted")
+        .when(F.col("event_type") == "click", "partial_fill")
+        .when(F.col("event_type") == "purchase", "full_fill")
+        .when(
+            F.col("event_type") == "view",
+            F.when(e % 3 == 0, "cancel").when(e % 3 == 1, "rejected").otherwise("timeout"),
+        )
+        .when(e % 4 == 0, "error")
+        .otherwise("backfill")
+    )
+    events = ev.select(
+        audit.alias("audit_id"),
+        e.alias("ord"),
+        ident.alias("event_id"),
+        F.sha2(F.concat(ident, (F.col("user_id") % 2).cast("string")), 256).alias("event_hash"),
+        kind.alias("event_type"),
+        F.when(kind == "backfill", "partial_fill").alias("resolved_event_type"),
+        F.concat(F.when(e % 41 == 0, "X-").otherwise("P-"), F.col("block").cast("string")).alias("proposal_id"),
+        F.sha2(F.col("block").cast("string"), 256).alias("candidate_hash"),
+        F.concat(F.when(e % 43 == 0, "NO-").otherwise("APP-"), F.col("block").cast("string")).alias("approval_id"),
+        order_id.alias("client_order_id"),
+        ((e % 99 + 1).cast("decimal(10,2)") * F.lit("0.01").cast("decimal(3,2)")).cast(PRICE).alias("price"),
+        (e % 10 + 1).cast(QTY).alias("quantity"),
+        "ts",
+    )
+    return audits, events
