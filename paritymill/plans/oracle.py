@@ -329,6 +329,56 @@ mm AS (
   WHERE block % 2 = 0 AND NOT (accepted OR rejected OR canceled OR errored OR timed_out) AND total = 0
 )"""
 
+REC = """
+rec AS (
+  SELECT o_orderkey AS k, o_orderkey % 8 AS t, CASE WHEN o_orderkey % 53 <> 0 THEN CAST(o_orderdate AS DATE) END AS d,
+    CASE o_orderstatus WHEN 'F' THEN 'paper_candidate' WHEN 'O' THEN 'audit_only' ELSE 'reject' END AS decision,
+    o_orderstatus, o_custkey, CAST((CAST(o_totalprice AS DECIMAL(14,2)) - 250000) * 0.001 AS DECIMAL(20,5)) AS pnl,
+    o_orderkey % 29 = 0 AS gapf
+  FROM orders
+),
+pnls AS (SELECT k, d, CASE t WHEN 2 THEN pnl WHEN 5 THEN CAST(-pnl * 0.5 AS DECIMAL(20,6)) ELSE 0 END AS p FROM rec)"""
+CONN = """
+ce AS (
+  SELECT 'R-' || user_id AS run_id, user_id, 'C-' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS connection_id,
+    'S-' || (event_id % 3) AS segment_id, ts, event_id AS ord, event_type AS s,
+    CASE event_type WHEN 'signup' THEN 'O' WHEN 'click' THEN 'O' WHEN 'purchase' THEN 'C' WHEN 'error' THEN 'E' ELSE 'A' END AS kind,
+    CASE event_type WHEN 'error' THEN 'keepalive' WHEN 'view' THEN 'lifecycle' ELSE 'orderbook' END AS obs
+  FROM events
+),
+runs AS (
+  SELECT 'R-' || user_id AS run_id, date_trunc('day', min(ts))::TIMESTAMP AS started_at,
+    date_trunc('day', max(ts))::TIMESTAMP + INTERVAL 1 DAY AS ended_at FROM events GROUP BY user_id
+),
+win AS (
+  SELECT ce.run_id, connection_id, arg_min(ts, ord) FILTER (kind = 'O') AS opened_at,
+    coalesce(arg_max(ts, ord) FILTER (kind = 'C'), any_value(ended_at)) AS clo,
+    CAST(count(*) FILTER (kind = 'E') AS BIGINT) AS error_count, count(*) AS event_count
+  FROM ce JOIN runs USING (run_id) GROUP BY ce.run_id, connection_id
+),
+segs AS (
+  SELECT connection_id, string_agg(segment_id, '|' ORDER BY f) AS segment_ids
+  FROM (SELECT connection_id, segment_id, min(ord) AS f FROM ce GROUP BY 1, 2) GROUP BY 1
+),
+windows AS (
+  SELECT run_id, connection_id, opened_at, CASE WHEN opened_at IS NOT NULL THEN clo END AS closed_at, error_count, event_count,
+    CASE WHEN clo >= opened_at THEN epoch_us(clo) - epoch_us(opened_at) ELSE 0 END AS us FROM win
+),
+seq AS (
+  SELECT run_id, opened_at, closed_at, lag(closed_at) OVER (PARTITION BY run_id ORDER BY opened_at, connection_id) AS pc FROM windows
+  WHERE opened_at IS NOT NULL
+),
+edge AS (
+  SELECT run_id, min(opened_at) AS f, arg_max(closed_at, (opened_at, connection_id)) AS l FROM windows WHERE opened_at IS NOT NULL GROUP BY 1
+),
+gaps AS (
+  SELECT run_id, 'between' AS gap_kind, pc AS a, opened_at AS b FROM seq WHERE pc IS NOT NULL AND opened_at >= pc
+  UNION ALL SELECT run_id, 'whole_run', started_at, ended_at FROM runs LEFT JOIN edge USING (run_id) WHERE f IS NULL
+  UNION ALL SELECT run_id, 'lead_in', started_at, f FROM runs JOIN edge USING (run_id) WHERE f > started_at
+  UNION ALL SELECT run_id, 'tail', l, ended_at FROM runs JOIN edge USING (run_id) WHERE ended_at > l
+)"""
+CEIL = "CAST(ceil((epoch_us({}) - epoch_us({})) / 1000000.0) AS BIGINT)"
+
 
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
@@ -527,4 +577,104 @@ SELECT oc.audit_id, order_count, {", ".join(f"coalesce({k}_count, 0) AS {k}_coun
   coalesce(duplicate_event_count, 0) AS duplicate_event_count, coalesce(mismatch_count, 0) AS mismatch_count,
   coalesce(mismatch_count, 0) = 0 AS submit_eligible
 FROM oc LEFT JOIN cc USING (audit_id) LEFT JOIN mc USING (audit_id)"""
+    out["daily_report"] = f"""WITH {REC}
+SELECT CAST(d AS VARCHAR) AS report_date, count(*) FILTER (t = 1 AND o_orderstatus <> 'P') AS recorder_uptime_count,
+  count(*) FILTER (t = 1 AND o_orderstatus = 'P') AS recorder_downtime_count,
+  {d6("coalesce(max(CASE WHEN t = 1 THEN o_custkey % 100 END), 0)")} AS max_data_lag_seconds,
+  CAST(count(*) FILTER (gapf) + coalesce(sum(CASE WHEN t = 1 THEN k % 3 END), 0) AS BIGINT) AS gap_count,
+  count(*) FILTER (t = 0) AS candidate_count, count(*) FILTER (t = 0 AND decision = 'paper_candidate') AS paper_candidate_count,
+  count(*) FILTER (t = 0 AND decision = 'audit_only') AS audit_only_count, count(*) FILTER (t = 0 AND decision = 'reject') AS reject_count,
+  count(*) FILTER (t = 4) AS paper_outcome_count, count(*) FILTER (t = 5) AS demo_outcome_count,
+  {d6("coalesce(sum(CASE WHEN t = 2 THEN k % 7 END), 0)")} AS total_fees,
+  count(*) FILTER (t = 3 AND NOT gapf AND k % 2 = 1) AS slippage_incident_count,
+  count(*) FILTER (t = 3 AND k % 4 > 0) AS failed_leg_incident_count,
+  count(*) FILTER (t = 2 AND k % 5 = 0) AS reconciliation_mismatch_count,
+  count(*) FILTER (t = 4 AND k % 11 = 0) AS kill_switch_event_count FROM rec GROUP BY d"""
+    out["daily_rejections"] = f"""WITH {REC}
+SELECT CAST(d AS VARCHAR) AS report_date, reason, count(*) AS reason_count FROM (
+  SELECT d, unnest(CASE WHEN k % 3 = 0 THEN ['no_complement_edge', 'not_paper_candidate'] ELSE ['not_paper_candidate'] END) AS reason
+  FROM rec WHERE t = 0 AND decision = 'reject') GROUP BY 1, 2"""
+    out["rolling_windows"] = f"""WITH {REC},
+w AS (SELECT * FROM rec CROSS JOIN (VALUES (7), (30), (90)) v(days)
+  WHERE d IS NULL OR (d <= DATE '2001-08-01' AND date_diff('day', d, DATE '2001-08-01') < days)),
+a AS (
+  SELECT days AS window_days, count(*) FILTER (t = 0) AS candidate_count,
+    count(*) FILTER (t = 0 AND decision = 'paper_candidate') AS paper_candidate_count,
+    CAST(coalesce(sum(CASE WHEN t = 6 AND o_custkey % 2 <> 0 THEN 2 END), 0) AS BIGINT) AS demo_order_count,
+    coalesce(sum(CASE WHEN t = 7 THEN k % 3 END), 0) AS rec_n, coalesce(sum(CASE WHEN t = 7 THEN k % 2 END), 0) AS full_n,
+    count(*) FILTER (t = 7 AND k % 3 = 1) AS part_n, count(*) FILTER (t = 3 AND k % 4 > 0) AS failed_leg_incident_count,
+    {d6("coalesce(sum(CASE WHEN t = 0 THEN 0.02 * (k % 50) END), 0)")} AS gross_edge,
+    {d6("coalesce(sum(CASE t WHEN 0 THEN 0.01 * (k % 50) WHEN 3 THEN 0.1 * (k % 9) END), 0)")} AS net_edge_after_cost,
+    {d6("coalesce(sum(CASE WHEN t = 2 THEN pnl END), 0)")} AS paper_pnl,
+    {d6("coalesce(sum(CASE WHEN t = 5 THEN CAST(-pnl * 0.5 AS DECIMAL(20,6)) END), 0)")} AS demo_pnl,
+    count(*) FILTER ((t = 2 AND k % 5 = 0) OR (t = 7 AND k % 10 = 7)) AS reconciliation_mismatch_count,
+    CAST(coalesce(sum(CASE WHEN t = 1 THEN k % 3 END), 0) + count(*) FILTER (gapf) AS BIGINT) AS data_gap_count,
+    count(*) FILTER (t = 4 AND k % 11 = 0) AS kill_switch_event_count, count(*) FILTER (k % 101 = 0) AS false_positive_style_rejection_count,
+    count(*) FILTER (d IS NULL) AS undated_record_count FROM w GROUP BY days
+)
+SELECT * EXCLUDE (rec_n, full_n, part_n), CAST(DATE '2001-08-01' - (window_days - 1) AS VARCHAR) AS start_date, '2001-08-01' AS end_date,
+  round(CASE WHEN demo_order_count <> 0 THEN full_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE full_n / rec_n END, 6) AS fill_success_rate,
+  round(CASE WHEN demo_order_count <> 0 THEN part_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE part_n / rec_n END, 6) AS partial_fill_rate
+FROM a"""
+    out["max_drawdown"] = f"""WITH {REC},
+w AS (SELECT days, k, p, coalesce(d, DATE '2001-08-01' - (days - 1)) AS day FROM pnls CROSS JOIN (VALUES (7), (30), (90), (2500)) v(days)
+  WHERE p <> 0 AND (d IS NULL OR (d <= DATE '2001-08-01' AND date_diff('day', d, DATE '2001-08-01') < days))),
+e AS (SELECT *, sum(p) OVER (PARTITION BY days ORDER BY day, k) AS eq FROM w),
+pk AS (SELECT *, greatest(0, max(eq) OVER (PARTITION BY days ORDER BY day, k)) AS peak FROM e)
+SELECT days AS window_days, {d6("max(peak - eq)")} AS max_drawdown FROM pk GROUP BY days"""
+    names = (
+        "offline_complement_research_candidate", "recorder_status", "paper_ledger_state",
+        "offline_taker_fill_simulation", "manual_approval_decision", "demo_outcome",
+        "kalshi_demo_submission_preview", "kalshi_demo_reconciliation_state",
+    )
+    listed = ", ".join(f"'{n}'" for n in names)
+    out["artifact_counts"] = f"SELECT [{listed}][o_orderkey % 8 + 1] AS record_type, count(*) AS artifact_count FROM orders GROUP BY 1"
+    out["unmet_prerequisites"] = f"""WITH {REC}
+SELECT concat_ws('|', 'missing real 30-90 day live-readonly data', CASE WHEN count(*) FILTER (
+    ((t = 2 AND k % 5 = 0) OR (t = 7 AND k % 10 = 7)) AND (d IS NULL OR (d <= DATE '2001-08-01' AND date_diff('day', d, DATE '2001-08-01') < 90))) > 0
+  THEN 'unresolved reconciliation mismatch status' END, 'unvalidated fee/slippage assumptions', 'missing legal/platform review') AS prerequisites_unmet FROM rec"""
+    out["log_counts"] = """WITH l AS (SELECT event_id, CASE event_type WHEN 'signup' THEN 'frame' WHEN 'click' THEN 'quote_candidate'
+  WHEN 'view' THEN 'risk_decision' WHEN 'error' THEN 'lifecycle_intent' ELSE 'adapter_submission' END AS record_type FROM events)
+SELECT record_type, count(*) AS record_count, count(*) FILTER (record_type = 'risk_decision' AND event_id % 3 = 0) AS risk_approval_count,
+  count(*) FILTER (record_type = 'risk_decision' AND event_id % 3 <> 0) AS risk_rejection_count,
+  count(*) FILTER (record_type = 'lifecycle_intent' AND event_id % 4 = 0) AS skipped_action_count FROM l GROUP BY 1"""
+    out["connection_windows"] = f"""WITH {CONN}
+SELECT run_id, connection_id, segment_ids, epoch_us(opened_at) AS opened_at, epoch_us(closed_at) AS closed_at, error_count, event_count,
+  {d6("us / 1000000.0")} AS duration_seconds FROM windows JOIN segs USING (connection_id)"""
+    out["disconnect_gaps"] = f"""WITH {CONN}
+SELECT run_id, gap_kind, epoch_us(a) AS gap_from, epoch_us(b) AS gap_to, {d6("(epoch_us(b) - epoch_us(a)) / 1000000.0")} AS gap_seconds FROM gaps"""
+    out["window_overlaps"] = f"""WITH {CONN},
+sh AS (SELECT 'R-' || (CAST(regexp_extract(run_id, '([0-9]+)', 1) AS BIGINT) % 5) AS run_id, connection_id, opened_at, closed_at FROM windows WHERE opened_at IS NOT NULL),
+lg AS (SELECT *, lag(closed_at) OVER (PARTITION BY run_id ORDER BY opened_at, connection_id) AS pc FROM sh)
+SELECT run_id, count(*) AS overlap_count FROM lg WHERE opened_at < pc GROUP BY 1"""
+    out["coverage"] = f"""WITH {CONN},
+o AS (SELECT run_id, sum(us) AS us FROM windows GROUP BY 1), m AS (SELECT run_id, max(epoch_us(b) - epoch_us(a)) AS g FROM gaps GROUP BY 1)
+SELECT run_id, {d6("(epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0")} AS actual_seconds, {d6("coalesce(us, 0) / 1000000.0")} AS connected_seconds,
+  round(coalesce(us, 0) / (epoch_us(ended_at) - epoch_us(started_at)), 6) AS coverage, {d6("coalesce(g, 0) / 1000000.0")} AS max_gap_seconds
+FROM runs LEFT JOIN o USING (run_id) LEFT JOIN m USING (run_id)"""
+    out["max_quiet_gap"] = f"""WITH {CONN},
+lg AS (SELECT run_id, obs, ts, lag(ts) OVER (PARTITION BY run_id, obs ORDER BY ts) AS p FROM ce),
+ag AS (SELECT run_id, obs, max({CEIL.format("ts", "p")}) AS g, min(ts) AS f, max(ts) AS l, count(*) AS n FROM lg GROUP BY 1, 2)
+SELECT run_id, obs AS kind, n AS observation_count, greatest(0, coalesce(g, 0), {CEIL.format("f", "started_at")}, {CEIL.format("ended_at", "l")}) AS max_gap_seconds,
+  greatest(0, {CEIL.format("ended_at", "l")}) AS last_age_seconds FROM ag JOIN runs USING (run_id)"""
+    late = lambda kind: CEIL.format("TIMESTAMP '2024-02-01'", f"max(CASE WHEN obs = '{kind}' THEN ts END)")
+    out["freshness"] = f"""WITH {CONN}
+SELECT run_id, CASE WHEN count(*) FILTER (obs = 'keepalive') > 0 THEN 'OBSERVED' ELSE 'UNKNOWN_NOT_OBSERVED' END AS transport_keepalive_status,
+  {late("keepalive")} AS transport_keepalive_age_seconds, {late("lifecycle")} AS lifecycle_observation_age_seconds,
+  {late("orderbook")} AS orderbook_event_quiet_interval_seconds, max(ts) > TIMESTAMP '2024-02-01' AS observed_in_future FROM ce GROUP BY run_id"""
+    out["lifecycle_observations"] = f"""WITH l AS (SELECT event_id, {K} * 60 AS age,
+  ['open', 'unopened', 'settled', 'paused', 'closed', 'mystery', 'open'][event_id % 7 + 1] AS normalized_status FROM events)
+SELECT event_id, normalized_status, CASE WHEN normalized_status = 'mystery' THEN 'UNKNOWN' ELSE upper(normalized_status) END AS lifecycle_status,
+  age AS observation_age_seconds, CASE WHEN event_id % 19 = 0 THEN 'MVE_UNSUPPORTED' WHEN age > 3000 THEN 'STALE'
+    WHEN normalized_status = 'mystery' THEN 'UNKNOWN_STATUS' ELSE 'VALID' END AS validity, event_id % 8 <> 0 AS identity_ok FROM l"""
+    out["run_order_violations"] = f"""WITH r AS (
+  SELECT 'R-' || (event_id // 100) AS run_id, event_id % 100 + CASE WHEN event_id % 23 = 0 THEN 2 ELSE 1 END AS idx,
+    CASE WHEN event_id % 31 = 0 THEN event_id % 100 ELSE event_id % 100 + 1000 END AS cmd, event_id % 2 AS ch,
+    (event_id % 100) // 2 + CASE WHEN event_id % 37 = 0 THEN 3 ELSE 1 END AS gen, ts - to_minutes({K} % 10) AS created_at, event_id AS ord FROM events
+),
+s AS (SELECT *, lag(idx) OVER (PARTITION BY run_id ORDER BY ord) AS pi, lag(created_at) OVER (PARTITION BY run_id ORDER BY ord) AS pt,
+  lag(gen) OVER (PARTITION BY run_id, ch ORDER BY ord) AS pg, min(ord) OVER (PARTITION BY run_id, cmd) AS fo FROM r)
+SELECT run_id, ord, unnest(list_filter([CASE WHEN idx <> coalesce(pi, 0) + 1 THEN 'request_index_not_contiguous' END,
+  CASE WHEN gen <> coalesce(pg, 0) + 1 THEN 'generation_not_contiguous' END, CASE WHEN ord <> fo THEN 'command_id_reused' END,
+  CASE WHEN created_at < pt THEN 'chronology_backwards' END], lambda x: x IS NOT NULL)) AS violation FROM s"""
     return out

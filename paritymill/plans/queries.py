@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from paritymill.functions.ordered import CHUNK_ROWS, chunk_of
 from paritymill.operators import (
     books,
+    connections,
     controls,
     feed,
     fifo,
@@ -19,6 +21,7 @@ from paritymill.operators import (
     quotes,
     rebuild,
     reconcile,
+    reports,
 )
 from paritymill.plans import views as V
 
@@ -408,3 +411,163 @@ def reconcile_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("reconcile_state")
 def reconcile_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile.reconciliation_state(_reconciled(spark, sf_dir))
+
+
+# --- reports ---------------------------------------------------------------
+AS_OF = date(2001, 8, 1)
+
+
+def _plain(df: DataFrame) -> DataFrame:
+    """Decimals as doubles and dates as text, the forms every engine hashes alike."""
+    out = []
+    for f in df.schema.fields:
+        kind = f.dataType.simpleString()
+        c = F.col(f.name)
+        if kind.startswith("decimal"):
+            c = V.d6(c)
+        elif kind == "date":
+            c = c.cast("string")
+        elif kind == "timestamp":
+            c = F.unix_micros(c)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+@register("daily_report")
+def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(reports.daily_report(V.v_records(spark, sf_dir)))
+
+
+@register("daily_rejections")
+def daily_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.daily_rejections(V.v_records(spark, sf_dir))
+
+
+@register("rolling_windows")
+def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _plain(reports.rolling_windows(V.v_records(spark, sf_dir), AS_OF))
+    return out.withColumns(
+        {c: F.round(c, 6) for c in ("fill_success_rate", "partial_fill_rate")}
+    )
+
+
+@register("max_drawdown")
+def max_drawdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    days = (7, 30, 90, 2500)
+    return _plain(reports.max_drawdown(V.v_records(spark, sf_dir), AS_OF, "ord", days))
+
+
+@register("artifact_counts")
+def artifact_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.artifact_counts(V.v_records(spark, sf_dir))
+
+
+@register("unmet_prerequisites")
+def unmet_prerequisites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    windows = reports.rolling_windows(V.v_records(spark, sf_dir), AS_OF)
+    return reports.unmet_prerequisites(windows, paper_history_days=45).select(
+        joined("prerequisites_unmet").alias("prerequisites_unmet")
+    )
+
+
+@register("log_counts")
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.v_events(spark, sf_dir)
+    kinds = {
+        "signup": "frame", "click": "quote_candidate", "view": "risk_decision",
+        "error": "lifecycle_intent", "purchase": "adapter_submission",
+    }
+    pairs = [F.lit(x) for item in kinds.items() for x in item]
+    logs = ev.select(
+        F.create_map(*pairs)[F.col("event_type")].alias("record_type"),
+        (F.col("event_id") % 3 == 0).alias("approved"),
+        F.when(F.col("event_id") % 4 == 0, "skipped").otherwise("accepted").alias("result_status"),
+    )
+    return reports.log_counts(logs)
+
+
+# --- connections -----------------------------------------------------------
+def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    runs = V.v_runs(spark, sf_dir)
+    return connections.connection_windows(V.v_connection_events(spark, sf_dir), runs), runs
+
+
+@register("connection_windows")
+def connection_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _windows(spark, sf_dir)
+    return _plain(w.withColumn("segment_ids", joined("segment_ids")))
+
+
+@register("disconnect_gaps")
+def disconnect_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(connections.disconnect_gaps(*_windows(spark, sf_dir)))
+
+
+@register("window_overlaps")
+def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, _ = _windows(spark, sf_dir)
+    # neighbouring users share a run here, so that windows do overlap
+    shared = w.withColumn(
+        "run_id", F.concat(F.lit("R-"), (F.substring_index("run_id", "-", -1).cast("bigint") % 5).cast("string"))
+    )
+    out = connections.window_overlaps(shared).groupBy("run_id").agg(F.count(F.lit(1)).alias("overlap_count"))
+    return out
+
+
+@register("coverage")
+def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, runs = _windows(spark, sf_dir)
+    out = connections.coverage(w, connections.disconnect_gaps(w, runs), runs)
+    return _plain(out).withColumn("coverage", F.round("coverage", 6))
+
+
+@register("max_quiet_gap")
+def max_quiet_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connections.max_quiet_gap(V.v_observations(spark, sf_dir), V.v_runs(spark, sf_dir), 86_400)
+
+
+@register("freshness")
+def freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return connections.freshness(
+        V.v_observations(spark, sf_dir), datetime(2024, 2, 1, tzinfo=timezone.utc)
+    )
+
+
+@register("lifecycle_observations")
+def lifecycle_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    words = ("active", "initialized", "finalized", "inactive", "closed", "mystery", "open")
+    status = F.element_at(F.array(*[F.lit(w) for w in words]), (e % 7 + 1).cast("int"))
+    ticker = F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string"))
+    df = V.v_events(spark, sf_dir).select(
+        e.alias("event_id"),
+        ticker.alias("ticker"),
+        F.when(e % 8 == 0, F.concat(ticker, F.lit(" "))).otherwise(ticker).alias("market_ticker"),
+        ticker.alias("selected_ticker"),
+        status.alias("status"),
+        F.lit(None).cast("string").alias("raw_status"),
+        F.when(e % 19 == 0, "MVE").otherwise("binary").alias("market_type"),
+        F.lit(False).alias("is_mve"),
+        F.lit(None).cast("string").alias("mve_collection_ticker"),
+        F.col("ts").alias("observed_at"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))).alias("evaluated_at"),
+    )
+    out = connections.lifecycle_observations(df, 3_000)
+    return out.select(
+        "event_id", "normalized_status", "lifecycle_status", "observation_age_seconds", "validity", "identity_ok"
+    )
+
+
+@register("run_order_violations")
+def run_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    requests = V.v_events(spark, sf_dir).select(
+        F.concat(F.lit("R-"), F.floor(e / 100).cast("string")).alias("run_id"),
+        (e % 100 + F.when(e % 23 == 0, 2).otherwise(1)).alias("run_request_index"),
+        F.when(e % 31 == 0, e % 100).otherwise(e % 100 + 1000).alias("native_command_id"),
+        F.when(e % 2 == 0, "trade").otherwise("orderbook_delta").alias("channel"),
+        (F.floor((e % 100) / 2) + F.when(e % 37 == 0, 3).otherwise(1)).alias("subscription_generation"),
+        (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), (F.col("k") % 10).cast("int"))).alias("created_at"),
+        e.alias("ord"),
+    )
+    return connections.run_order_violations(requests, chunk_of(F.col("ord"), CHUNK_ROWS))

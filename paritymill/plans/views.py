@@ -392,3 +392,97 @@ def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         "ts",
     )
     return audits, events
+
+
+def v_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V6: mixed report records, one per order."""
+    o = table(spark, sf_dir, "orders")
+    k, kind = F.col("o_orderkey"), F.col("o_orderkey") % 8
+    names = (
+        "offline_complement_research_candidate", "recorder_status", "paper_ledger_state",
+        "offline_taker_fill_simulation", "manual_approval_decision", "demo_outcome",
+        "kalshi_demo_submission_preview", "kalshi_demo_reconciliation_state",
+    )
+    record_type = F.element_at(F.array(*[F.lit(n) for n in names]), (kind + 1).cast("int"))
+    total = "decimal(38,18)"
+    money = F.col("o_totalprice").cast("decimal(14,2)")
+    pnl = ((money - 250_000) * F.lit("0.001").cast("decimal(4,3)")).cast(total)
+    on = lambda n, c: F.when(kind == n, c)
+    decision = (
+        F.when(F.col("o_orderstatus") == "F", "paper_candidate")
+        .when(F.col("o_orderstatus") == "O", "audit_only")
+        .otherwise("reject")
+    )
+    return o.select(
+        k.alias("ord"),
+        record_type.alias("record_type"),
+        F.when(k % 53 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("report_date"),
+        on(0, decision).alias("decision"),
+        on(0, F.lit("0.02").cast(PRICE)).alias("gross_edge_per_contract"),
+        on(0, (k % 50).cast(QTY)).alias("candidate_size"),
+        on(0, ((k % 50) * F.lit("0.01").cast("decimal(3,2)")).cast(total)).alias("total_estimated_net_edge"),
+        on(0, F.when(k % 3 == 0, F.array(F.lit("no_complement_edge"), F.lit("not_paper_candidate"))).otherwise(
+            F.array(F.lit("not_paper_candidate"))
+        )).alias("rejection_reasons"),
+        on(1, F.col("o_orderstatus") != "P").alias("up"),
+        on(1, (F.col("o_custkey") % 100).cast(total)).alias("data_lag_seconds"),
+        on(1, k % 3).alias("gap_count"),
+        F.when(k % 29 == 0, F.array(F.lit("data_gap")))
+        .when((kind == 3) & (k % 2 == 1), F.array(F.lit("slippage_applied")))
+        .otherwise(F.array().cast("array<string>"))
+        .alias("flags"),
+        on(2, (k % 7).cast(total)).alias("total_fees"),
+        on(2, (k % 5 == 0).cast("bigint")).alias("reconciliation_mismatch_count"),
+        on(2, pnl).alias("realized_net_pnl"),
+        on(3, (k % 4).cast(QTY)).alias("failed_leg_quantity"),
+        on(3, ((k % 9) * F.lit("0.1").cast("decimal(2,1)")).cast(total)).alias("simulated_total_net_edge"),
+        on(4, F.when(k % 11 == 0, F.array(F.lit("kill_switch_active"))).otherwise(
+            F.array(F.lit("manual_approval_verified"))
+        )).alias("reasons"),
+        on(5, (-pnl * F.lit("0.5").cast("decimal(2,1)")).cast(total)).alias("demo_pnl"),
+        on(6, F.col("o_custkey") % 2 == 0).alias("dry_run"),
+        on(6, F.lit(2).cast("bigint")).alias("request_preview_count"),
+        on(7, k % 3).alias("order_count"),
+        on(7, k % 2).alias("full_fill_count"),
+        on(7, (k % 3 == 1).cast("bigint")).alias("partial_fill_count"),
+        on(7, (k % 10 == 7).cast("bigint")).alias("mismatch_count"),
+        F.when(k % 101 == 0, True).alias("false_positive_style_rejection"),
+    )
+
+
+def v_connection_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V9: connection evidence; a run per user, a connection per user and day."""
+    user, day = F.col("user_id").cast("string"), F.date_format("ts", "yyyy-MM-dd")
+    kind = (
+        F.when(F.col("event_type") == "signup", "CONNECTION_OPEN")
+        .when(F.col("event_type") == "click", "RECONNECT")
+        .when(F.col("event_type") == "purchase", "CONNECTION_CLOSE")
+        .when(F.col("event_type") == "error", "CONNECTION_ERROR")
+        .otherwise("SUBSCRIPTION_ACKNOWLEDGED")
+    )
+    return v_events(spark, sf_dir).select(
+        F.concat(F.lit("R-"), user).alias("run_id"),
+        F.concat_ws("-", F.lit("C"), user, day).alias("connection_id"),
+        F.concat(F.lit("S-"), (F.col("event_id") % 3).cast("string")).alias("segment_id"),
+        kind.alias("event_type"),
+        F.col("ts").alias("observed_at"),
+        F.col("event_id").alias("ord"),
+        F.col("event_type").alias("source_type"),
+    )
+
+
+def v_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One run per user over the days the user was seen."""
+    return v_events(spark, sf_dir).groupBy("user_id").agg(
+        F.date_trunc("day", F.min("ts")).alias("started_at"),
+        (F.date_trunc("day", F.max("ts")) + F.expr("INTERVAL 1 DAY")).alias("ended_at"),
+    ).select(F.concat(F.lit("R-"), F.col("user_id").cast("string")).alias("run_id"), "started_at", "ended_at")
+
+
+def v_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = (
+        F.when(F.col("source_type") == "error", "keepalive")
+        .when(F.col("source_type") == "view", "lifecycle")
+        .otherwise("orderbook")
+    )
+    return v_connection_events(spark, sf_dir).select("run_id", kind.alias("kind"), "observed_at")
