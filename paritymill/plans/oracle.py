@@ -379,6 +379,77 @@ gaps AS (
 )"""
 CEIL = "CAST(ceil((epoch_us({}) - epoch_us({})) / 1000000.0) AS BIGINT)"
 
+T0 = "TIMESTAMP '2026-08-01 00:00:00'"
+MKT = f"""
+mk AS (
+  SELECT p_partkey AS k, p_partkey AS ord, CASE WHEN p_partkey % 41 = 0 THEN 'MKT ' ELSE 'MKT-' END || p_partkey AS ticker,
+    CASE WHEN p_partkey % 41 <> 0 AND p_partkey % 43 <> 0 THEN 'MKT-' || p_partkey END AS ident,
+    CASE WHEN p_partkey % 47 <> 0 THEN 'EV-' || regexp_extract(p_brand, '([0-9]+)', 1) END AS event_ticker,
+    ['active', 'open', 'open', 'trading', 'closed', 'inactive', '', 'odd', 'open'][p_partkey % 9 + 1] AS status,
+    p_name, CASE WHEN p_partkey % 23 <> 0 THEN {T0} + to_seconds(p_size * 600) END AS close_at,
+    CASE WHEN p_partkey % 13 <> 0 THEN {T0} + to_seconds(p_size * 600 + 7200) END AS exp_at,
+    CASE p_partkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false END AS ce,
+    CASE WHEN p_partkey % 8 = 0 THEN {T0} + to_seconds(14400) END AS early_at, p_partkey % 16 = 0 AS auth,
+    CASE WHEN p_partkey % 5 = 0 THEN {T0} + to_seconds(p_size * 600) WHEN p_partkey % 5 = 1 THEN {T0} - INTERVAL 1 HOUR END AS occ_at,
+    p_partkey % 5 >= 3 AS occ_missing,
+    CASE WHEN p_partkey % 7 = 0 OR p_partkey % 3 = 0 THEN NULL ELSE CAST(p_retailprice AS DECIMAL(14,2)) END AS activity,
+    p_partkey % 6 = 0 AS quoted, p_size % 5 AS lvl, p_partkey % 17 = 0 AS is_match
+  FROM part
+),
+evs AS (
+  SELECT s_suppkey AS ord, 'EV-' || n_nationkey AS event_ticker, CASE WHEN r_regionkey = 0 THEN 'Sports' ELSE 'Topic ' || r_name END AS category,
+    CASE WHEN s_suppkey % 9 <> 0 THEN n_name || ' outcome ' || s_suppkey END AS title, n_nationkey
+  FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+),
+lst AS (SELECT * FROM evs QUALIFY row_number() OVER (PARTITION BY event_ticker ORDER BY ord DESC) = 1),
+enr AS (
+  SELECT mk.*, CASE WHEN title IS NOT NULL THEN category END AS cat, title AS etitle,
+    CASE WHEN mk.event_ticker IS NULL THEN 'INVALID_EVENT_IDENTITY' WHEN lst.event_ticker IS NULL THEN 'EVENT_METADATA_FETCH_FAILED'
+      WHEN title IS NULL THEN 'EVENT_METADATA_INCOMPLETE' END AS event_reason
+  FROM mk LEFT JOIN lst ON mk.event_ticker = lst.event_ticker
+),
+prof(profile, need) AS (VALUES ('canary', 5400), ('smoke', 1800), ('seven_day', 691200)),
+occ AS (
+  SELECT *, {T0} + to_seconds(need) AS fin, profile <> 'smoke' AS strict,
+    CASE WHEN occ_missing THEN 'MISSING' WHEN occ_at IS NULL THEN 'INVALID' WHEN profile = 'smoke' THEN 'SMOKE_UNINTERPRETED_OCCURRENCE'
+      WHEN occ_at <= {T0} + INTERVAL 60 SECOND THEN 'HISTORICAL_OR_ALREADY_OCCURRED' ELSE 'AMBIGUOUS_FUTURE_OCCURRENCE' END AS oc
+  FROM enr CROSS JOIN prof
+),
+bnd AS (SELECT *, CASE WHEN oc IN ('SMOKE_UNINTERPRETED_OCCURRENCE', 'AMBIGUOUS_FUTURE_OCCURRENCE') THEN occ_at END AS ob FROM occ),
+ddl AS (SELECT *, least(close_at, exp_at, early_at, ob) AS dl, auth AND coalesce(early_at > fin, false) AS eok,
+  CASE profile WHEN 'canary' THEN 'CAN_CLOSE_EARLY_UNSAFE_FOR_CANARY' ELSE 'CAN_CLOSE_EARLY_UNSAFE_FOR_DURATION' END AS elabel FROM bnd),
+rej AS (
+  SELECT *, list_filter([
+    CASE WHEN ident IS NULL THEN 'INVALID_MARKET_IDENTITY' END,
+    CASE WHEN event_ticker IS NULL THEN 'INVALID_EVENT_IDENTITY' END,
+    CASE status WHEN '' THEN 'MARKET_STATUS_UNKNOWN' WHEN 'open' THEN NULL WHEN 'trading' THEN NULL WHEN 'closed' THEN 'MARKET_STATUS_CLOSED'
+      WHEN 'inactive' THEN 'MARKET_STATUS_PAUSED' ELSE 'MARKET_STATUS_UNKNOWN' END,
+    CASE WHEN strict AND cat IS NULL THEN 'EVENT_CATEGORY_MISSING' END,
+    CASE WHEN strict AND cat IS NULL THEN CASE profile WHEN 'canary' THEN 'EVENT_METADATA_INCOMPLETE' ELSE 'EVENT_METADATA_MISSING' END END,
+    CASE WHEN strict AND ce IS NULL THEN 'CAN_CLOSE_EARLY_STATUS_UNKNOWN' END,
+    CASE WHEN strict AND ce AND NOT eok THEN elabel END,
+    CASE WHEN strict AND close_at IS NULL THEN 'MISSING_CLOSE_TIME' WHEN strict AND close_at <= fin THEN 'TIME_TO_CLOSE_TOO_SHORT' END,
+    CASE WHEN strict AND exp_at IS NULL THEN 'MISSING_EXPECTED_EXPIRATION_TIME' WHEN strict AND exp_at <= fin THEN 'EXPECTED_EXPIRATION_TOO_SHORT' END,
+    CASE WHEN strict THEN CASE oc WHEN 'INVALID' THEN 'OCCURRENCE_DATETIME_INVALID' WHEN 'HISTORICAL_OR_ALREADY_OCCURRED' THEN 'OCCURRENCE_ALREADY_OCCURRED_UNSAFE'
+      WHEN 'AMBIGUOUS_FUTURE_OCCURRENCE' THEN CASE WHEN ob <= fin THEN 'OCCURRENCE_SAFETY_BOUND_TOO_SHORT' END END END,
+    CASE WHEN strict AND ce AND oc = 'MISSING' AND eok THEN elabel END,
+    CASE WHEN dl IS NULL THEN CASE WHEN NOT strict THEN 'MISSING_CLOSE_TIME' END
+      WHEN dl <= fin THEN CASE WHEN profile = 'canary' THEN 'CANARY_LIFECYCLE_DEADLINE_TOO_SHORT'
+        WHEN close_at = dl AND exp_at IS NULL AND early_at IS NULL THEN CASE WHEN strict AND close_at <= fin THEN NULL ELSE 'TIME_TO_CLOSE_TOO_SHORT' END
+        ELSE 'CONSERVATIVE_LIFECYCLE_DEADLINE_TOO_SHORT' END END,
+    CASE WHEN profile = 'canary' AND cat = 'Sports' THEN 'SPORTS_UNSUITABLE_FOR_CANARY' END,
+    CASE WHEN profile = 'canary' AND is_match THEN 'MATCH_EVENT_UNSUITABLE_FOR_CANARY' END,
+    CASE WHEN profile = 'seven_day' AND (coalesce(cat = 'Sports', false) OR is_match) THEN 'SPORTS_MATCH_UNSUITABLE_FOR_LONG_CAMPAIGN' END,
+    CASE WHEN lvl <= 0 THEN 'EMPTY_ORDERBOOK' END], lambda x: x IS NOT NULL) AS rs,
+    CASE WHEN strict THEN coalesce(close_at > fin, false) AND coalesce(exp_at > fin, false)
+      AND (oc = 'MISSING' OR (oc = 'AMBIGUOUS_FUTURE_OCCURRENCE' AND occ_at > fin))
+      AND (coalesce(NOT ce, false) OR (coalesce(ce, false) AND oc <> 'MISSING' AND eok)) END AS dual
+  FROM ddl
+)"""
+SECS = "CAST((epoch_us({}) - epoch_us({})) // 1000000 AS BIGINT)"
+RANKA = "coalesce(activity, 0) DESC, coalesce(ce, false), coalesce(epoch_us(dl), epoch_us(TIMESTAMP '2026-08-01 00:00:00')) DESC, NOT quoted, ticker"
+RANKD = RANKA.split(" DESC, ", 1)[1]
+
 
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
@@ -677,4 +748,54 @@ s AS (SELECT *, lag(idx) OVER (PARTITION BY run_id ORDER BY ord) AS pi, lag(crea
 SELECT run_id, ord, unnest(list_filter([CASE WHEN idx <> coalesce(pi, 0) + 1 THEN 'request_index_not_contiguous' END,
   CASE WHEN gen <> coalesce(pg, 0) + 1 THEN 'generation_not_contiguous' END, CASE WHEN ord <> fo THEN 'command_id_reused' END,
   CASE WHEN created_at < pt THEN 'chronology_backwards' END], lambda x: x IS NOT NULL)) AS violation FROM s"""
+    src = """CASE WHEN dl = close_at THEN 'close_time' WHEN dl = exp_at THEN 'expected_expiration_time'
+    WHEN dl = early_at THEN 'early_close_deadline' WHEN dl = ob THEN 'occurrence_safety_bound' END"""
+    out["market_selection"] = f"""WITH {MKT}
+SELECT ord, profile AS selection_profile, CASE WHEN len(rs) = 0 THEN 'pass' ELSE 'reject' END AS selection_gate_result,
+  rs[1] AS primary_rejection_reason, array_to_string(rs, '|') AS reasons, oc AS occurrence_class, dual AS dual_interpretation_pass,
+  {SECS.format("close_at", T0)} AS seconds_to_close, CAST(trunc((epoch_us(dl) - epoch_us({T0})) / 1000000.0) AS BIGINT) AS seconds_to_deadline,
+  {src} AS lifecycle_deadline_source, CASE WHEN status IN ('open', 'trading') THEN 'OPEN' WHEN status = 'closed' THEN 'CLOSED_OR_FINALIZED'
+    ELSE 'UNKNOWN' END AS market_lifecycle_status FROM rej"""
+    out["discovery_audit"] = f"""WITH {MKT},
+c AS (SELECT *, list_sort(rs) AS so FROM rej WHERE profile = 'canary'),
+lab AS (
+  SELECT 'primary' AS section, rs[1] AS label FROM c WHERE len(rs) > 0
+  UNION ALL SELECT 'multi_label', unnest(rs) FROM c
+  UNION ALL SELECT 'overlap', a.r || '|' || b.r FROM (SELECT k, unnest(rs) AS r FROM c) a JOIN (SELECT k, unnest(rs) AS r FROM c) b ON a.k = b.k AND a.r < b.r
+  UNION ALL SELECT 'occurrence', oc FROM c
+  UNION ALL SELECT 'occurrence_equals', 'equals_close_time' FROM c WHERE occ_at = close_at
+  UNION ALL SELECT 'occurrence_equals', 'equals_expected_expiration_time' FROM c WHERE occ_at = exp_at
+  UNION ALL SELECT 'dual_interpretation', 'pass' FROM c WHERE dual
+)
+SELECT section, label, count(*) AS row_count FROM lab GROUP BY 1, 2"""
+    out["near_miss_topk"] = f"""WITH {MKT}
+SELECT substr(sha256(ident), 1, 16) AS market_id_hash, substr(sha256(event_ticker), 1, 16) AS event_id_hash,
+  CAST((epoch_us(dl) - epoch_us(fin)) // 1000000 AS BIGINT) AS lifecycle_margin_seconds, {SECS.format("close_at", "fin")} AS close_margin_seconds,
+  {SECS.format("exp_at", "fin")} AS expiration_margin_seconds, {SECS.format("ob", "fin")} AS occurrence_margin_seconds,
+  CASE WHEN cat = 'Sports' THEN 'sports' ELSE 'non_sports' END AS event_category_class, is_match AS match_like, quoted AS current_quote, ce AS closes_early
+FROM rej WHERE profile = 'canary'
+ORDER BY abs(epoch_us(dl) - epoch_us(fin)) NULLS LAST, coalesce(substr(sha256(ident), 1, 16), ''), coalesce(substr(sha256(event_ticker), 1, 16), '') LIMIT 100"""
+    out["candidate_rank"] = f"""WITH {MKT}, c AS (SELECT * FROM rej WHERE profile = 'canary')
+SELECT 'activity' AS mode, ord, row_number() OVER (ORDER BY {RANKA}) AS candidate_rank FROM c
+UNION ALL SELECT 'deadline', ord, row_number() OVER (ORDER BY {RANKD}) FROM c"""
+    out["eligible_candidates"] = f"""WITH {MKT},
+r AS (SELECT ord, lvl > 2 AS eligible, row_number() OVER (ORDER BY {RANKA}) AS candidate_rank FROM rej WHERE profile = 'canary'),
+e AS (SELECT *, coalesce(sum(CASE WHEN eligible THEN 1 ELSE 0 END) OVER (ORDER BY candidate_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
+  FROM r WHERE candidate_rank <= 100)
+SELECT ord, candidate_rank, eligible FROM e WHERE n < 12"""
+    out["market_dedupe"] = """WITH d AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 41 = 0 THEN 'MKT ' ELSE 'MKT-' END || (p_partkey // 3) AS ticker,
+  p_partkey % 41 = 0 AS bad FROM part)
+SELECT ord, ticker, 0 AS duplicate_count FROM d WHERE bad
+UNION ALL SELECT min(ord), ticker, count(*) - 1 FROM d WHERE NOT bad GROUP BY ticker"""
+    out["market_event_enrich"] = f"""WITH {MKT}
+SELECT ord, event_ticker, cat AS event_category, etitle AS event_title, cat IS NOT NULL AS event_metadata_fetched, event_reason FROM enr"""
+    out["event_identity_check"] = f"""WITH {MKT} SELECT ord, event_ticker, ord % 10 <> 3 AS identity_ok FROM evs"""
+    out["missing_events"] = f"""WITH {MKT} SELECT DISTINCT event_ticker FROM mk WHERE event_ticker IS NOT NULL
+  AND event_ticker NOT IN (SELECT event_ticker FROM evs WHERE ord % 3 = 0)"""
+    out["market_status_normalize"] = f"""WITH {MKT}
+SELECT nullif(status, '') AS raw_status, CASE status WHEN 'active' THEN 'open' WHEN 'inactive' THEN 'paused' WHEN '' THEN NULL ELSE status END AS status,
+  count(*) AS market_count FROM mk GROUP BY 1, 2"""
+    out["market_identity_check"] = f"""WITH {MKT}
+SELECT ord, ident AS market_identity, CASE WHEN k % 41 = 0 THEN 'identity_not_exact' WHEN k % 43 = 0 THEN 'aliases_differ' END AS identity_error FROM mk"""
+    out["market_activity"] = f"""WITH {MKT} SELECT ord, {d6("activity")} AS activity, quoted AS current_quote, is_match AS match_like FROM mk"""
     return out

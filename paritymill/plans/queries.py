@@ -22,6 +22,7 @@ from paritymill.operators import (
     rebuild,
     reconcile,
     reports,
+    selection,
 )
 from paritymill.plans import views as V
 
@@ -571,3 +572,103 @@ def run_order_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
         e.alias("ord"),
     )
     return connections.run_order_violations(requests, chunk_of(F.col("ord"), CHUNK_ROWS))
+
+
+# --- market selection ------------------------------------------------------
+SELECTED_AT = datetime(2026, 8, 1, tzinfo=timezone.utc)
+
+
+def _selected(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    markets = selection.enrich_events(V.v_markets(spark, sf_dir), V.v_market_events(spark, sf_dir), "ord")
+    return selection.select_markets(markets, SELECTED_AT, options.pop("duration", 1800), **options)
+
+
+@register("market_selection")
+def market_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = None
+    for duration in (1800, 900, 604_800):
+        one = _selected(spark, sf_dir, duration=duration).select(
+            "ord", "selection_profile", "selection_gate_result", "primary_rejection_reason",
+            joined("rejection_reasons").alias("reasons"), "occurrence_class", "dual_interpretation_pass",
+            "seconds_to_close", "seconds_to_deadline", "lifecycle_deadline_source", "market_lifecycle_status",
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@register("discovery_audit")
+def discovery_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.discovery_audit(_selected(spark, sf_dir))
+
+
+@register("near_miss_topk")
+def near_miss_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.near_misses(_selected(spark, sf_dir)).select(
+        "market_id_hash", "event_id_hash", "lifecycle_margin_seconds", "close_margin_seconds",
+        "expiration_margin_seconds", "occurrence_margin_seconds", "event_category_class", "match_like",
+        "current_quote", "closes_early",
+    )
+
+
+@register("candidate_rank")
+def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sel = _selected(spark, sf_dir)
+    a = selection.candidate_rank(sel, True).select(F.lit("activity").alias("mode"), "ord", "candidate_rank")
+    b = selection.candidate_rank(sel, False).select(F.lit("deadline").alias("mode"), "ord", "candidate_rank")
+    return a.unionByName(b)
+
+
+@register("eligible_candidates")
+def eligible_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sel = _selected(spark, sf_dir)
+    out = selection.eligible_candidates(sel, F.col("orderbook_level_count") > 2, 100, 12)
+    return out.select("ord", "candidate_rank", "eligible")
+
+
+@register("market_dedupe")
+def market_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # three part keys share a ticker
+    m = V.v_markets(spark, sf_dir)
+    same = F.concat(F.when(F.col("ord") % 41 == 0, "MKT ").otherwise("MKT-"), F.floor(F.col("ord") / 3).cast("string"))
+    m = m.withColumns({"ticker": same, "market_ticker": F.lit(None).cast("string")})
+    return selection.dedupe_markets(m, "ord").select("ord", "ticker", "duplicate_count")
+
+
+@register("market_event_enrich")
+def market_event_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = selection.enrich_events(V.v_markets(spark, sf_dir), V.v_market_events(spark, sf_dir), "ord")
+    return out.select("ord", "event_ticker", "event_category", "event_title", "event_metadata_fetched", "event_reason")
+
+
+@register("event_identity_check")
+def event_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.v_market_events(spark, sf_dir)
+    return ev.select("ord", "event_ticker", selection.event_identity_ok().alias("identity_ok"))
+
+
+@register("missing_events")
+def missing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = V.v_market_events(spark, sf_dir).where(F.col("ord") % 3 == 0)
+    return selection.missing_events(V.v_markets(spark, sf_dir), events)
+
+
+@register("market_status_normalize")
+def market_status_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = selection.normalize_status(V.v_markets(spark, sf_dir))
+    return out.groupBy("raw_status", "status").agg(F.count(F.lit(1)).alias("market_count"))
+
+
+@register("market_identity_check")
+def market_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.check_identity(V.v_markets(spark, sf_dir)).select(
+        "ord", "market_identity", "identity_error"
+    )
+
+
+@register("market_activity")
+def market_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = selection.with_market_columns(V.v_markets(spark, sf_dir))
+    return m.select(
+        "ord", V.d6(selection.activity_score()).alias("activity"),
+        selection.quote_indicator().alias("current_quote"), selection.is_match().alias("match_like"),
+    )

@@ -14,6 +14,8 @@ from paritymill.functions.ordered import CHUNK_ROWS, chunk_of, scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table.  Clock times in it carry no zone; all views read them as UTC."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -486,3 +488,71 @@ def v_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("orderbook")
     )
     return v_connection_events(spark, sf_dir).select("run_id", kind.alias("kind"), "observed_at")
+
+
+def v_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """V7: market metadata from part, with every kind of defect."""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    base = F.lit("2026-08-01T00:00:00+00:00").cast("timestamp")
+
+    def at(seconds: Column) -> Column:
+        moment = base + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+        return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+    ident = F.concat(F.when(k % 41 == 0, "MKT ").otherwise("MKT-"), k.cast("string"))
+    words = ("active", "open", "open", "trading", "closed", "inactive", "", "odd", "open")
+    close = F.col("p_size") * 600
+    return p.select(
+        k.alias("ord"),
+        ident.alias("ticker"),
+        F.when(k % 43 == 0, F.lit("OTHER")).when(k % 2 == 0, ident).alias("market_ticker"),
+        F.when(k % 47 != 0, F.concat(F.lit("EV-"), F.regexp_extract("p_brand", "([0-9]+)", 1))).alias(
+            "event_ticker"
+        ),
+        F.element_at(F.array(*[F.lit(w) for w in words]), (k % 9 + 1).cast("int")).alias("status"),
+        F.concat(F.col("p_name"), F.when(k % 17 == 0, " Match!").otherwise("")).alias("title"),
+        F.lit("binary").alias("market_type"),
+        F.when(k % 23 == 0, F.lit("2026-08-01T05:00:00")).otherwise(at(close)).alias("close_time"),
+        F.when(k % 13 != 0, at(close + 7200)).alias("expected_expiration_time"),
+        F.element_at(F.array(F.lit("true"), F.lit("no"), F.lit(" FALSE "), F.lit("maybe")), (k % 4 + 1).cast("int")).alias(
+            "can_close_early"
+        ),
+        F.when(k % 8 == 0, at(F.lit(14_400))).alias("early_close_deadline"),
+        (k % 16 == 0).alias("early_close_deadline_authoritative"),
+        F.when(k % 5 == 0, at(close)).when(k % 5 == 1, at(F.lit(-3600))).when(k % 5 == 2, "soon").alias(
+            "occurrence_datetime"
+        ),
+        F.when(k % 7 == 0, "n/a").when(k % 3 == 0, "0").otherwise(
+            F.col("p_retailprice").cast("decimal(14,2)").cast("string")
+        ).alias("volume_24h_fp"),
+        F.when(k % 6 == 0, "12.5").otherwise("0").alias("yes_bid_size_fp"),
+        (F.col("p_size") % 5).cast("bigint").alias("orderbook_level_count"),
+    )
+
+
+def v_market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of V7: nations as events, regions as categories, later copies win."""
+    n = table(spark, sf_dir, "nation").join(
+        table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")
+    )
+    s = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
+    category = F.when(F.col("r_regionkey") == 0, "Sports").otherwise(F.concat(F.lit("Topic "), "r_name"))
+    return s.select(
+        F.col("s_suppkey").alias("ord"),
+        F.concat(F.lit("EV-"), F.col("n_nationkey").cast("string")).alias("event_ticker"),
+        category.alias("category"),
+        F.when(F.col("s_suppkey") % 9 != 0, F.concat(F.col("n_name"), F.lit(" outcome "), F.col("s_suppkey").cast("string"))).alias(
+            "title"
+        ),
+        F.lit("sub").alias("sub_title"),
+        F.array(
+            F.struct(
+                F.concat(F.lit("EV-"), F.when(F.col("s_suppkey") % 10 == 3, F.lit(99)).otherwise(F.col("n_nationkey")).cast("string")).alias(
+                    "event_ticker"
+                ),
+                F.concat(F.lit("MKT-"), F.col("s_suppkey").cast("string")).alias("ticker"),
+                F.lit(None).cast("string").alias("market_ticker"),
+            )
+        ).alias("markets"),
+    )
