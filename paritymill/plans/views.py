@@ -556,3 +556,77 @@ def v_market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
             )
         ).alias("markets"),
     )
+
+
+REQUESTED_MARKETS = ("M-0", "M-1")
+
+
+def v_transport(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(messages, requests, connections) of recorded campaigns with faults of every kind."""
+    e = F.col("event_id")
+    slot, block = e % 50, F.floor(e / 50) * 50
+    ev = v_events(spark, sf_dir).select(
+        "*",
+        F.concat(F.lit("camp-"), F.floor(e / 1000).cast("string")).alias("campaign_id"),
+        (F.floor((e % 1000) / 250) + 1).alias("connection_epoch"),
+    )
+    requests = ev.where(slot.isin(0, 1)).select(
+        "campaign_id", "connection_epoch", e.alias("ord"),
+        F.when(slot == 0, "orderbook_delta").otherwise("trade").alias("channel"),
+        (e + 1).alias("command_id"),
+    )
+    connections = ev.groupBy("campaign_id", "connection_epoch").agg(F.min(e).alias("_first")).drop("_first")
+    kind = (
+        F.when(slot.isin(3, 4, 23), "subscribed")
+        .when(slot == 33, "error")
+        .when(F.col("event_type") == "signup", "orderbook_snapshot")
+        .when(F.col("event_type") == "purchase", "trade")
+        .when(e % 67 == 0, "heartbeat")
+        .otherwise("orderbook_delta")
+    )
+    channel = F.when(slot.isin(3, 23), "orderbook_delta").when(slot == 4, "trade")
+    answered = F.when(slot == 4, block + 2).otherwise(block + 1)
+    request = F.when(slot.isin(3, 4, 23), answered).when(
+        slot == 33, F.when(block % 200 == 0, block + 1).otherwise(block + 40)
+    )
+    sid = F.when((slot == 23) & (block % 150 == 0), 9).when(e % 71 == 0, 8).when(e % 73 != 0, 7)
+    seq = e + F.when(e % 29 == 0, 1).when(e % 31 == 0, -1).otherwise(0)
+    number = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":'), c.cast("string"))).otherwise("")
+    text = lambda name, c: F.when(c.isNotNull(), F.concat(F.lit(f',"{name}":"'), c, F.lit('"'))).otherwise("")
+    market = F.when(e % 59 != 0, F.concat(F.lit("M-"), (F.col("user_id") % 3).cast("string")))
+    top = F.concat(
+        F.lit('{"type":"'), kind, F.lit('"'), text("channel", channel), number("id", request),
+        number("sid", sid), number("seq", F.when(e % 61 != 0, seq)),
+    )
+    inner = F.concat(F.lit(',"msg":{"k":1'), text("market_ticker", market), text("trade_id", F.when(e % 83 != 0, F.concat(F.lit("T"), e.cast("string")))), F.lit("}}"))
+    messages = ev.where(~slot.isin(0, 1)).select(
+        "campaign_id", "connection_epoch", e.alias("ord"), F.col("ts").alias("received_at"),
+        F.concat(top, inner).alias("payload"),
+    )
+    return messages, requests, connections
+
+
+def v_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of V_transport with envelope, market and sequence columns."""
+    from paritymill.operators.native import native_envelope, native_scalar
+
+    messages, _, _ = v_transport(spark, sf_dir)
+    p = F.col("payload")
+    return native_envelope(messages).withColumns(
+        {
+            "market_ticker": native_scalar(p, "market_ticker", kinds=("STRING",)),
+            "seq": native_scalar(p, "seq"),
+            "seq_is_int": native_scalar(p, "seq", kinds=("BIGINT",)).isNotNull(),
+            "trade_id": native_scalar(p, "trade_id"),
+        }
+    )
+
+
+def v_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritymill.operators.admission import admit_rows
+
+    _, requests, connections = v_transport(spark, sf_dir)
+    return admit_rows(
+        v_native(spark, sf_dir), requests, connections, REQUESTED_MARKETS,
+        chunk_of(F.col("ord"), CHUNK_ROWS), contiguous=True,
+    )
