@@ -154,28 +154,28 @@ def quote_hysteresis(
         | (F.abs(F.col("price") - F.col("_prev_price")) >= threshold * 2)
     )
     cut = scan(
-        seen.withColumn("_sure", sure), keys, ["ord"], chunk,
-        running={"_segment": ("sum", F.col("_sure").cast("bigint"))},
+        seen.withColumn("sure", sure), keys, ["ord"], chunk,
+        running={"segment": ("sum", F.col("sure").cast("bigint"))},
     ).drop("_prev_price", "_prev_quantity")
     # an open quote is never withdrawn here, so a side is capped out for good when
     # enough other sides of its instrument were placed before its first row
     if max_open < 2:
         first = quotes.groupBy(*keys).agg(F.min("ord").alias("_first"))
         rank = F.row_number().over(Window.partitionBy("instrument_id").orderBy("_first", "side"))
-        capped = first.withColumn("_capped", rank > max_open).select(*keys, "_capped")
+        capped = first.withColumn("capped", rank > max_open).select(*keys, "capped")
         cut = cut.join(capped, keys)
     else:
-        cut = cut.withColumn("_capped", F.lit(False))
+        cut = cut.withColumn("capped", F.lit(False))
     limit = Decimal(str(min_change))
 
     def start(_key):
         return {"price": None, "quantity": None}
 
     def step(state, row):
-        if row._capped:
+        if row.capped:
             action, status = "place", "skipped"
-        elif row._sure:
-            action, status = ("place" if row._segment == 1 else "replace"), "accepted"
+        elif row.sure:
+            action, status = ("place" if row.segment == 1 else "replace"), "accepted"
         elif row.quantity != state["quantity"] or abs(row.price - state["price"]) >= limit:
             action, status = "replace", "accepted"
         else:
@@ -187,7 +187,7 @@ def quote_hysteresis(
     kind = quotes.schema["instrument_id"].dataType.simpleString()
     return sorted_fold(
         cut,
-        [*keys, "_segment"],
+        [*keys, "segment"],
         ["ord"],
         start,
         step,

@@ -9,13 +9,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paritymill.functions.ordered import CHUNK_ROWS, chunk_of
+from paritymill.functions.columns import record_hash
+from paritymill.functions.safety import payload_safety, redact_payload
 from paritymill.operators import (
     books,
     connections,
     controls,
+    evidence,
     feed,
     fifo,
+    integrity,
     ledger,
+    monitor,
+    native,
     parity,
     proposals,
     quotes,
@@ -25,6 +31,8 @@ from paritymill.operators import (
     selection,
 )
 from paritymill.plans import views as V
+from paritymill.session import shared_folder
+from paritymill.sources import jsonl, records
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -672,3 +680,544 @@ def market_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "ord", V.d6(selection.activity_score()).alias("activity"),
         selection.quote_indicator().alias("current_quote"), selection.is_match().alias("match_like"),
     )
+
+
+# --- native rows, admission, evidence ----------------------------------------
+@register("native_envelope")
+def native_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_native(spark, sf_dir).select(
+        "ord", "native_type", "channel", "request_id", "sid", "envelope_rejection", "market_ticker", "seq",
+        F.col("provenance.channel").alias("channel_source"), F.col("provenance.sid").alias("sid_source"),
+    )
+
+
+@register("pricing_values")
+def pricing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    token = V.pick(e % 4, "true", "false", '"yes"', "1")
+    inner = F.concat(F.lit('"params":{"use_yes_price":'), token, F.lit("}"))
+    payload = F.concat(
+        F.lit('{"type":"x"'), F.when(e % 3 == 0, F.concat(F.lit(","), inner)).otherwise(""),
+        F.lit(',"msg":{"a":1'), F.when(e % 5 == 0, F.concat(F.lit(","), inner)).otherwise(""), F.lit("}}"),
+    )
+    df = V.v_events(spark, sf_dir).select("event_id", payload.alias("payload"))
+    return df.select("event_id", joined(native.pricing_values(F.col("payload"))).alias("pricing_values"))
+
+
+@register("sequence_state")
+def sequence_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.v_admitted(spark, sf_dir).select(
+        "campaign_id", "ord", "native_type", "sequence_state", "admission_status", "exclusion_reason",
+        "resync_state", "segment_number", "segment_boundary_reason",
+    )
+
+
+@register("binding_state")
+def binding_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritymill.operators.admission import bind_rows
+
+    _, requests, _ = V.v_transport(spark, sf_dir)
+    out = bind_rows(V.v_native(spark, sf_dir), requests, chunk_of(F.col("ord"), CHUNK_ROWS))
+    return out.select(
+        "campaign_id", "connection_epoch", "ord", "binding_channel", "generation", "command_id",
+        "run_request_index", "binding_state", "binding_observation",
+    )
+
+
+def _map_text(column: str) -> Column:
+    return F.array_join(
+        F.transform(F.array_sort(F.map_entries(column)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))),
+        "|",
+    )
+
+
+@register("sequence_summary")
+def sequence_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.sequence_summary(V.v_recorded(spark, sf_dir))
+    return out.withColumns(
+        {
+            "segment_boundary_reasons": joined("segment_boundary_reasons"),
+            "native_sid_values": joined("native_sid_values"),
+            "sequence_states": _map_text("sequence_states"),
+        }
+    )
+
+
+@register("sequence_evidence")
+def sequence_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = evidence.sequence_summary(V.v_recorded(spark, sf_dir))
+    return evidence.sequence_evidence(summary, ["connection_id"])
+
+
+@register("binding_summary")
+def binding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.binding_summary(V.v_recorded(spark, sf_dir))
+    sets = ("command_ids", "generations", "binding_ids", "native_sids", "states")
+    return out.select("connection_id", "segment_id", "channel", *[joined(c).alias(c) for c in sets])
+
+
+@register("rebuild_summary")
+def rebuild_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.rebuild_summary(V.v_rebuilt(spark, sf_dir), rebuild.BOOK)
+    return out.withColumn("invalidation_reasons", _map_text("invalidation_reasons"))
+
+
+@register("rebuild_evidence")
+def rebuild_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = evidence.rebuild_summary(V.v_rebuilt(spark, sf_dir), rebuild.BOOK)
+    return evidence.rebuild_evidence(summary, ["connection_id"])
+
+
+@register("segment_contradictions")
+def segment_contradictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("row_index")
+    rows = V.v_recorded(spark, sf_dir).withColumns(
+        {
+            "sid": F.when(e % 1600 == 799, "99").otherwise("7"),
+            "market_id": F.when(e % 2000 == 1555, "odd").otherwise(F.col("market_ticker")),
+            "requested_market_tickers": F.array(*[F.lit(f"M-{i}") for i in range(10)]),
+            "use_yes_price": F.when(e % 40 == 0, F.array(F.lit("false"))).when(
+                e % 2400 == 2250, F.array(F.lit("true"))
+            ),
+        }
+    )
+    out = rebuild.segment_contradictions(rows, ["sid"], explicit_unified=False)
+    return out.select("row_index", "segment_id", "segment_error")
+
+
+@register("public_trades")
+def public_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.classify_trades(V.v_recorded(spark, sf_dir), [f"M-{i}" for i in (0, 1, 2, 9)])
+    return evidence.trade_stream_summary(out, by=["connection_id"])
+
+
+@register("selected_market_semi_join")
+def selected_market_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chosen = V.table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("M-"), F.col("n_nationkey").cast("string")).alias("market_ticker")
+    ).where(F.col("n_nationkey") % 2 == 0)
+    out = evidence.classify_trades(V.v_recorded(spark, sf_dir), chosen)
+    return out.where(F.col("trade_class") == "trade").select("row_index", "market_ticker", "trade_id")
+
+
+@register("evidence_dimensions")
+def evidence_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.evidence_overall(evidence.evidence_dimensions(V.v_dimension_inputs(spark, sf_dir)))
+    return out.select("run_id", *evidence.EVIDENCE_DIMENSIONS, "overall_classification")
+
+
+@register("evidence_overall")
+def evidence_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    grades = V.table(spark, sf_dir, "orders").select(
+        k.alias("run"),
+        *[
+            F.when(k % (40 + i) == 0, "FAIL").when(k % (20 + i) == 1, "UNKNOWN").otherwise("PASS").alias(d)
+            for i, d in enumerate(evidence.EVIDENCE_DIMENSIONS)
+        ],
+    )
+    return evidence.evidence_overall(grades).select("run", "overall_classification")
+
+
+@register("campaign_classify")
+def campaign_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evidence.classify_campaigns(V.v_campaigns(spark, sf_dir)).select(
+        "campaign", joined("failures").alias("failures"), "evidence_classification", "campaign_evidence_valid",
+        "validation_status", "data_integrity_classification",
+    )
+
+
+@register("phase_assessment")
+def phase_assessment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = evidence.assess_phase(V.v_phase_runs(spark, sf_dir), 1800)
+    return out.select("run", *evidence.PHASE_GATES, "qualified", "fallback_allowed")
+
+
+@register("segment_chain_audit")
+def segment_chain_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return integrity.segment_chain_audit(V.v_segment_lines(spark, sf_dir), "v1")
+
+
+@register("frame_hash_chain")
+def frame_hash_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = rebuild.with_frame_hash(rebuild.book_frames(V.v_rebuilt(spark, sf_dir)))
+    return integrity.frame_hash_chain(frames, rebuild.BOOK, "row_index")
+
+
+@register("record_hash")
+def record_hash_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.v_events(spark, sf_dir)
+    fields = {c: F.col(c) for c in ("user_id", "event_id", "event_type", "props")}
+    return ev.select("event_id", record_hash(fields).alias("record_hash"))
+
+
+@register("quote_hysteresis")
+def quote_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quotes.quote_hysteresis(
+        V.v_quotes(spark, sf_dir), "0.02", chunk_of(F.col("ord"), CHUNK_ROWS), max_open=2
+    )
+    return out.select("instrument_id", "side", "ord", "action", "result_status", V.d6(F.col("accepted_price")).alias("accepted_price"))
+
+
+# --- approvals -------------------------------------------------------------
+def _approval_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    risk = controls.risk_decisions(V.v_risk_inputs(spark, sf_dir))
+    pending = controls.pending_approvals(
+        risk, datetime(2026, 1, 1, tzinfo=timezone.utc), datetime(2026, 1, 2, tzinfo=timezone.utc)
+    )
+    n = F.conv(F.substring("approval_id", 1, 4), 16, 10).cast("bigint")
+    approvals = pending.select(
+        F.when(n % 7 == 0, F.lit("other")).otherwise(F.col("approval_id")).alias("approval_id"),
+        "proposal_id",
+        F.when(n % 11 == 0, F.lit("bad")).otherwise(F.col("candidate_hash")).alias("candidate_hash"),
+        (n % 5 != 0).alias("approved"),
+        (n % 9 == 0).alias("used"),
+    )
+    return pending, approvals
+
+
+@register("approval_verify")
+def approval_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pending, approvals = _approval_sides(spark, sf_dir)
+    out = controls.verify_approvals(pending, approvals, datetime(2026, 1, 1, 12, tzinfo=timezone.utc))
+    return out.select("approval_id", "proposal_id", "status", "approved", joined("reasons").alias("reasons"))
+
+
+@register("preview_chain")
+def preview_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.table(spark, sf_dir, "orders")
+    k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    digest = lambda bad: F.sha2(F.concat(F.when(bad, "x").otherwise(""), key), 256)
+    base = o.select(key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"))
+    risk = o.where(k % 17 != 0).select(
+        key.alias("proposal_id"), digest(k % 19 == 0).alias("candidate_hash"),
+        F.when(k % 5 == 0, "reject").otherwise("manual_review_required").alias("decision"),
+        F.when(k % 23 == 0, F.array(F.lit("manual_approval_required"), F.lit("stale_data"))).otherwise(
+            F.array(F.lit("manual_approval_required"))
+        ).alias("reasons"),
+    )
+    approvals = o.where(k % 7 != 0).select(
+        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+        F.concat(F.lit("A"), key).alias("approval_id"),
+        F.when(k % 11 == 0, F.lit("2025-01-01T00:00:00Z")).otherwise("2027-01-01T00:00:00Z").cast("timestamp").alias("expires_at"),
+        (k % 13 == 0).alias("used"), (k % 4 != 0).alias("approved"),
+        F.when(k % 4 != 0, "approved_for_paper_once").otherwise("reject").alias("status"),
+    )
+    ledger_side = o.where(k % 29 != 0).select(
+        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+        (k % 31 == 0).cast("bigint").alias("reconciliation_mismatch_count"),
+    )
+    recon = o.where(k % 37 != 0).select(
+        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+        F.concat(F.when(k % 41 == 0, "B").otherwise("A"), key).alias("approval_id"),
+        (k % 43 == 0).cast("bigint").alias("mismatch_count"),
+    )
+    out = controls.preview_chain(
+        base, risk, approvals, ledger_side, recon, datetime(2026, 1, 1, tzinfo=timezone.utc)
+    )
+    return out.select("proposal_id", "first_failing_gate", "preview_allowed")
+
+
+# --- monitor ---------------------------------------------------------------
+MONITOR_NOW = datetime(2001, 8, 1, 0, 10, tzinfo=timezone.utc)
+
+
+@register("monitor_health")
+def monitor_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = monitor.run_rollup(V.v_monitor_records(spark, sf_dir))
+    return monitor.monitor_health(r, monitor.venue_status(V.v_venues(spark, sf_dir), MONITOR_NOW))
+
+
+@register("monitor_rollup")
+def monitor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitor.run_rollup(V.v_monitor_records(spark, sf_dir))
+    return _plain(out.withColumn("risk_reasons", joined("risk_reasons")))
+
+
+@register("monitor_venues")
+def monitor_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(monitor.venue_status(V.v_venues(spark, sf_dir), MONITOR_NOW))
+
+
+@register("monitor_orders")
+def monitor_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitor.monitor_orders(V.v_monitor_records(spark, sf_dir))
+    return _plain(out.select("run_id", "ord", "order_id", "venue", "market_ticker", "action", "price", "quantity", "notional", "status", "source"))
+
+
+@register("monitor_candidates")
+def monitor_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = monitor.monitor_candidates(V.v_monitor_records(spark, sf_dir))
+    return _plain(out.select("run_id", "ord", "market_ticker", "strategy", "edge_before_fees", "liquidity", "stale", "risk_decision"))
+
+
+@register("monitor_refresh")
+def monitor_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    campaigns = V.table(spark, sf_dir, "orders").select(
+        k.alias("campaign"), (k % 3 != 0).alias("running"),
+        (F.lit("2001-08-01T00:10:00Z").cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (k % 90).cast("decimal(18,6)"))).alias("evaluated_at"),
+        (k % 100).alias("keepalive_age"), (k % 110).alias("lifecycle_age"), F.when(k % 5 != 0, k % 300).alias("quiet_age"),
+        F.lit("PASS").alias("transport_keepalive"), F.lit("PASS").alias("market_lifecycle_validity"),
+        F.lit("UNKNOWN").alias("message_freshness"),
+    )
+    return monitor.refresh_running(campaigns, MONITOR_NOW).drop("evaluated_at")
+
+
+# --- sources and safety ------------------------------------------------------
+def _written(spark: SparkSession, lines: DataFrame, label: str) -> str:
+    """Write text lines below the shared folder, to be scanned back."""
+    folder = shared_folder(spark, label)
+    if folder is None:
+        raise ValueError("spark.checkpoint.dir must name a shared folder for this query")
+    lines.write.text(folder)
+    return folder
+
+
+def _event_lines(spark: SparkSession, sf_dir: str, broken: bool) -> DataFrame:
+    e = F.col("event_id")
+    good = F.to_json(F.struct("event_id", "event_type", "user_id"))
+    line = good
+    if broken:
+        line = F.when(e % 97 == 0, F.substring(good, 1, 12)).when(e % 89 == 0, "[1,2]").when(e % 83 == 0, "  ").otherwise(good)
+    return V.v_events(spark, sf_dir).select(line.alias("value"))
+
+
+@register("jsonl_strict_scan")
+def jsonl_strict_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, _event_lines(spark, sf_dir, False), "jsonl-strict")
+    good, _ = jsonl.read_jsonl(spark, folder, "event_id bigint, event_type string, user_id bigint")
+    return good.select("event_id", "event_type", "user_id")
+
+
+@register("jsonl_quarantine_scan")
+def jsonl_quarantine_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = _written(spark, _event_lines(spark, sf_dir, True), "jsonl-quarantine")
+    good, bad = jsonl.read_jsonl(spark, folder, "event_id bigint, event_type string", "quarantine")
+    return good.select("event_type").unionByName(bad.select(F.col("warning").alias("event_type"))).groupBy(
+        "event_type"
+    ).agg(F.count(F.lit(1)).alias("line_count"))
+
+
+@register("jsonl_canonical_write")
+def jsonl_canonical_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fills = V.v_fills(spark, sf_dir).select("ord", "side", "price", "instrument_id", "quantity")
+    folder = shared_folder(spark, "jsonl-canonical")
+    jsonl.write_jsonl(fills.where(F.col("ord") % 2 == 0), folder)
+    jsonl.write_jsonl(fills.where(F.col("ord") % 2 == 1), folder, "append")
+    return spark.read.text(folder).select(F.col("value").alias("line"))
+
+
+@register("mixed_artifact_union")
+def mixed_artifact_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.v_events(spark, sf_dir)
+    a = ev.where(F.col("event_id") % 2 == 0).select(F.to_json(F.struct(F.lit("frame").alias("record_type"), "event_id")).alias("value"))
+    b = ev.where(F.col("event_id") % 2 == 1).select(F.to_json(F.struct(F.lit("quote").alias("record_type"), "user_id")).alias("value"))
+    mixed = jsonl.read_mixed(
+        spark,
+        [
+            (_written(spark, a, "mixed-a"), "record_type string, event_id bigint"),
+            (_written(spark, b, "mixed-b"), "record_type string, user_id bigint"),
+        ],
+    )
+    return mixed.groupBy("record_type").agg(
+        F.count(F.lit(1)).alias("record_count"), F.count("event_id").alias("event_ids"), F.count("user_id").alias("user_ids")
+    )
+
+
+@register("live_event_validation")
+def live_event_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    df = V.v_events(spark, sf_dir).select(
+        "event_id", F.lit(1).alias("schema_version"), F.when(e % 11 != 0, "kalshi_demo").otherwise("").alias("venue"),
+        F.lit("book").alias("channel"), F.lit("M").alias("market_id"), F.lit("snapshot").alias("event_type"),
+        (e % 13).alias("sequence"), F.concat(iso, F.when(e % 7 == 0, "").otherwise("+00:00")).alias("observed_at"),
+        F.concat(iso, F.lit("Z")).alias("received_at"),
+        F.when(e % 17 == 0, "web").otherwise("mock_websocket").alias("source_type"),
+        F.when(e % 19 == 0, F.lit('{"a":{"Api_Key":1}}')).otherwise(F.col("props")).alias("payload"),
+        F.array().cast("array<string>").alias("tags"),
+    )
+    return records.validate_live_events(df).select("event_id", joined("errors").alias("errors"))
+
+
+@register("snapshot_round_trip")
+def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Books written as snapshot lines and read back typed."""
+    books_in = books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)).select(
+        F.lit("kalshi_demo").alias("exchange"), F.col("event_id").cast("string").alias("ticker"),
+        F.lit("2026-01-01T00:00:00Z").cast("timestamp").alias("observed_at"),
+        F.lit("2026-01-01T00:00:01Z").cast("timestamp").alias("recorded_at"),
+        F.lit("fixture").alias("source_type"), "instrument_id", "source", "bids", "asks",
+    )
+    folder = shared_folder(spark, "snapshots")
+    records.write_snapshots(books_in, folder)
+    out = books.book_metrics(records.read_snapshots(spark, folder))
+    return out.select(
+        F.col("ticker").cast("bigint").alias("event_id"), joined("errors").alias("errors"),
+        V.d6(F.col("best_bid")).alias("best_bid"), V.d6(F.col("best_ask")).alias("best_ask"),
+        V.d6(F.col("bid_depth")).alias("bid_depth"),
+    )
+
+
+def _book_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fixture document per order that has lines; top-level fields default the rows."""
+    li = V.table(spark, sf_dir, "lineitem")
+    text = lambda c: F.concat(F.lit('"'), c.cast("decimal(6,2)").cast("string"), F.lit('"'))
+    row = F.concat(
+        F.lit('{"venue":"v","market_id":"'), F.col("l_partkey").cast("string"), F.lit('","best_yes_bid":'),
+        text(F.col("l_discount") + 0.45), F.lit(',"best_no_bid":'), text(F.col("l_tax") + 0.46),
+        F.lit(',"yes_bid_size":'), text(F.col("l_quantity")), F.lit(',"no_bid_size":'), text(51 - F.col("l_quantity")),
+        F.when(F.col("l_returnflag") == "A", F.lit(',"fee_status":"unknown"')).otherwise(""), F.lit("}"),
+    )
+    docs = li.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(row)), ",").alias("rows"))
+    return docs.select(
+        "l_orderkey",
+        F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit("["), "rows", F.lit("]")))
+        .otherwise(
+            F.concat(
+                F.lit('{"source":"s","fee_status":"supplied","fee_per_contract":"0.01","minimum_net_edge_per_contract":"0.005","'),
+                F.when(F.col("l_orderkey") % 3 == 1, "markets").otherwise("books"), F.lit('":['), "rows", F.lit("]}"),
+            )
+        )
+        .alias("document"),
+    )
+
+
+@register("scan_fixture")
+def scan_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = records.books_from_documents(_book_documents(spark, sf_dir))
+    cand = parity.complement_candidates(rows)
+    return cand.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("row_count"), F.max("sequence").alias("max_sequence"),
+        F.count_if(F.col("decision") == "paper_candidate").alias("paper_candidate_count"),
+        F.count_if(F.col("fee_status") == "missing").alias("missing_fee_count"),
+        V.d6(F.sum("net_edge_per_contract")).alias("net_edge_sum"),
+    )
+
+
+@register("scenario_fixture")
+def scenario_fixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = V.table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    one = lambda p, t: F.concat(F.lit('{"policy":"' + p + '","target_size":"'), t.cast("string"), F.lit('"}'))
+    doc = F.when(
+        k % 2 == 0, F.concat(F.lit('{"scenarios":['), one("fok", k % 9), F.lit(","), one("ioc", k % 7), F.lit("]}"))
+    ).otherwise(one("ioc", k % 5))
+    out = records.scenarios_from_documents(o.select("o_orderkey", doc.alias("document")))
+    return out.select("o_orderkey", "sequence", "policy", V.d6(F.col("target_size")).alias("target_size"))
+
+
+@register("paged_list_union")
+def paged_list_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.table(spark, sf_dir, "part")
+    pages = p.groupBy(F.floor(F.col("p_partkey") / 50).alias("page")).agg(
+        F.concat(
+            F.lit('{"cursor":"","markets":['),
+            F.array_join(F.collect_list(F.to_json(F.struct(F.col("p_partkey").alias("ticker")))), ","), F.lit("]}"),
+        ).alias("document")
+    )
+    out = records.explode_pages(pages, "document", "markets")
+    return out.select("page", F.get_json_object("item", "$.ticker").cast("bigint").alias("ticker"))
+
+
+@register("facts_flatten")
+def facts_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A filing per supplier built from its nation, flattened to facts."""
+    s = V.table(spark, sf_dir, "supplier")
+    cents = lambda c: c.cast("decimal(14,2)").cast("string")
+    fact = lambda year, c: F.concat(
+        F.lit('{"val":'), cents(c), F.lit(f',"fy":{year},"fp":"FY","form":"10-K","filed":"{year + 1}-02-01","end":"{year}-12-31","accn":"a-'),
+        F.col("s_suppkey").cast("string"), F.lit(f'-{year}"}}'),
+    )
+    doc = F.concat(
+        F.lit('{"cik":'), F.col("s_suppkey").cast("string"), F.lit(',"entityName":"'), F.col("s_name"),
+        F.lit('","facts":{"odd":3,"us-gaap":{"Balance":{"label":"Account balance","units":{"USD":['),
+        fact(2022, F.col("s_acctbal")), F.lit(","), fact(2023, F.col("s_acctbal") * 2),
+        F.lit(']}},"Nation":{"units":{"count":['), fact(2023, F.col("s_nationkey")), F.lit("]}}}}}"),
+    )
+    return _plain(records.flatten_company_facts(s.select(doc.alias("document"))))
+
+
+@register("manifest_coverage")
+def manifest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paritymill.fixed import REPORT_INPUT_KINDS
+
+    p = V.table(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*[F.lit(x) for x in REPORT_INPUT_KINDS]), (F.col("p_partkey") % 22 + 1).cast("int"))
+    manifest = p.select(
+        F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("local_path"), kind.alias("input_kind"),
+        (F.col("p_size") % 4 == 0).alias("required"),
+    )
+    rows = V.table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < "1996-01-01").select(
+        F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("local_path")
+    )
+    return records.manifest_coverage(manifest, rows)
+
+
+@register("manifest_entries")
+def manifest_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = V.table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    entry = F.concat(
+        F.lit('{"local_path":"'), F.when(k % 9 == 0, "https://x/").otherwise("data/"), k.cast("string"),
+        F.lit('","input_kind":"'), F.when(k % 5 == 0, "strange").otherwise("local_risk_review"),
+        F.lit('","display_label":"d","rights_note":"r"'),
+        F.when(k % 7 != 0, F.lit(',"assumption_scope":"a"')).otherwise(""), F.lit(',"required":true}'),
+    )
+    docs = p.select(k.alias("manifest_id"), F.concat(F.lit('{"inputs":['), entry, F.lit("]}")).alias("document"))
+    return records.manifest_entries(docs).select("manifest_id", "local_path", joined("errors").alias("errors"))
+
+
+@register("descriptor_validation")
+def descriptor_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    row = F.concat(
+        F.lit('{"name":"n","status":"'), V.pick(e % 4, "pass", "fail", "skipped", "odd"), F.lit('"'),
+        F.when(e % 5 != 0, F.lit(',"note":"x"')).otherwise(""), F.when(e % 7 == 0, F.lit(',"Excerpt":"q"')).otherwise(""),
+        F.when(e % 11 == 0, F.lit(',"my_token":"q"')).otherwise(""), F.lit("}"),
+    )
+    df = V.v_events(spark, sf_dir).select("event_id", row.alias("row_json"))
+    return records.validate_descriptor_rows(df, ["name", "note"]).select("event_id", joined("errors").alias("errors"))
+
+
+@register("fixture_snapshots")
+def fixture_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    payloads = V.v_yes_no_payloads(spark, sf_dir).select(F.col("event_id").alias("fixture_id"), "payload")
+    markets = payloads.select("fixture_id", F.concat(F.lit("F-"), (F.col("fixture_id") % 100).cast("string")).alias("ticker"))
+    out = records.fixture_snapshots(markets, payloads, "2026-01-01T00:00:00Z", "2026-01-01T00:00:01Z")
+    return out.groupBy("ticker").agg(
+        F.count(F.lit(1)).alias("snapshot_count"), F.count_if(F.size("errors") > 0).alias("error_count"),
+        F.sum(F.size("bids").cast("bigint")).alias("bid_levels"),
+    )
+
+
+def _text_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole document texts inside JSON payloads with safe, secret and private keys."""
+    d = F.col("doc_id")
+    body = F.to_json(F.struct(F.col("text").alias("text"), F.col("lang").alias("lang")))
+    extra = F.when(d % 5 == 0, F.lit('"Auth_Token":"abc"')).when(d % 5 == 1, F.lit('"order_id":7')).when(
+        d % 5 == 2, F.lit('"cfg":{"my_secret":{"a":[1,2]}}')
+    ).otherwise(F.lit('"n":1'))
+    return V.table(spark, sf_dir, "documents").select(
+        "doc_id", F.concat(F.lit("{"), extra, F.lit(',"body":'), body, F.lit("}")).alias("payload")
+    )
+
+
+@register("payload_safety")
+def payload_safety_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = payload_safety(_text_payloads(spark, sf_dir), "payload")
+    return out.select(
+        "doc_id", joined("secret_keys").alias("secret_keys"), joined("private_keys").alias("private_keys"), "payload_safe"
+    )
+
+
+@register("payload_redact")
+def payload_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = redact_payload(_text_payloads(spark, sf_dir), "payload")
+    return out.select(
+        "doc_id",
+        F.get_json_object("payload", "$.Auth_Token").alias("auth_token"),
+        F.get_json_object("payload", "$.cfg.my_secret").alias("nested_secret"),
+        F.length(F.get_json_object("payload", "$.body.text")).cast("bigint").alias("text_length"),
+    )

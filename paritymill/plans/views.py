@@ -630,3 +630,228 @@ def v_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
         v_native(spark, sf_dir), requests, connections, REQUESTED_MARKETS,
         chunk_of(F.col("ord"), CHUNK_ROWS), contiguous=True,
     )
+
+
+def pick(index: Column, *words: str | None) -> Column:
+    """Word number ``index`` of a fixed list."""
+    return F.element_at(F.array(*[F.lit(w).cast("string") for w in words]), (index + 1).cast("int"))
+
+
+RECORDED_STATES = (
+    "SEQUENCE_CONTIGUITY_VERIFIED", "SEQUENCE_OBSERVED_MONOTONIC", "SEQUENCE_NOT_OBSERVED",
+    "SEQUENCE_PRESENT_SEMANTICS_UNKNOWN",
+)
+
+
+def v_recorded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recorded native rows with states already assigned."""
+    e = F.col("event_id")
+    kind = (
+        F.when(F.col("event_type") == "signup", "orderbook_snapshot")
+        .when(F.col("event_type") == "purchase", "trade")
+        .when(F.col("event_type") == "error", pick(e % 3, "subscribed", "error", "heartbeat"))
+        .otherwise("orderbook_delta")
+    )
+    segment = F.floor(e / 40)
+    state = F.when(
+        (segment % 5 == 0) & (e % 11 == 0), pick(e % 2, "SEQUENCE_GAP_DETECTED", "SEQUENCE_DUPLICATE")
+    ).when(segment % 5 == 1, pick(e % 2 + 2, *RECORDED_STATES)).otherwise(pick(e % 4, *RECORDED_STATES))
+    return v_events(spark, sf_dir).select(
+        e.alias("row_index"),
+        F.concat(F.lit("conn-"), (segment % 7).cast("string")).alias("connection_id"),
+        F.concat(F.lit("seg-"), segment.cast("string")).alias("segment_id"),
+        pick(segment % 3, "INITIAL_CONNECTION", "RESUBSCRIPTION", "INTEGRITY_FAILURE").alias(
+            "segment_boundary_reason"
+        ),
+        kind.alias("native_type"),
+        F.when(kind == "trade", "trade").when(kind.isin("subscribed", "error", "heartbeat"), kind).otherwise(
+            "orderbook_delta"
+        ).alias("channel"),
+        F.when(e % 13 != 0, (e % 3 + 7).cast("string")).alias("sid"),
+        F.when(e % 17 != 0, e.cast("string")).alias("seq"),
+        state.alias("sequence_state"),
+        pick(e % 5, "ADMITTED", "EXCLUDED", "ADMITTED", "NOT_APPLICABLE", "ADMITTED").alias("admission_status"),
+        F.when(e % 5 == 1, "SEQUENCE_GAP").alias("exclusion_reason"),
+        F.when(e % 19 != 0, F.floor(e / 400) + 1).alias("generation"),
+        F.when(e % 19 != 0, F.floor(e / 200) + 1).alias("command_id"),
+        F.when(e % 19 != 0, F.concat(F.lit("b-"), F.floor(e / 400).cast("string"))).alias("binding_id"),
+        pick(e % 3, "ACKNOWLEDGED", "REQUESTED", "CONFLICTED").alias("binding_state"),
+        F.when(e % 23 != 0, F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string"))).alias("market_ticker"),
+        (F.col("user_id") % 10 != 9).alias("requested_market"),
+        F.when(e % 29 != 0, F.concat(F.lit("T"), e.cast("string"))).alias("trade_id"),
+        (e % 31 == 0).alias("private_payload"),
+        (e % 37 == 0).alias("parse_failed"),
+    )
+
+
+def v_campaigns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Campaign summaries, one per order, over every class of outcome."""
+    k = F.col("o_orderkey")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("campaign"),
+        pick(k % 5, "REST", "WEBSOCKET_DELTA", "WEBSOCKET_SNAPSHOT", "SYNTHETIC", "OTHER").alias("source_type"),
+        pick(k % 6, "recorder_smoke_complete", "websocket_campaign_complete", "websocket_smoke_complete",
+             "websocket_blocked", "smoke_complete", "websocket_auth_blocked").alias("status"),
+        pick(k % 3, "read_only_websocket_campaign", "read_only_websocket_campaign", "smoke").alias("mode"),
+        F.when(k % 31 == 0, "enabled").otherwise("disabled").alias("live_gate_status"),
+        (k % 37 == 0).alias("production_endpoint_used"),
+        (k % 41 == 0).cast("bigint").alias("submit_attempt_count"),
+        pick(k % 4, "600", "1200", "604800", "1800").cast("bigint").alias("duration_seconds"),
+        F.when(k % 7 != 0, k % 4).alias("heartbeat_count"),
+        (k % 43 == 0).cast("bigint").alias("bad_heartbeat_count"),
+        (k % 5).alias("recorder_event_count"),
+        (k % 4).alias("rebuild_frame_count"),
+        (k % 3).alias("daily_validation_count"),
+        (k % 47 == 0).alias("secret_like"),
+        F.when(k % 2 == 0, k % 6).alias("event_count"),
+        (k % 3).alias("delta_count"),
+        (k % 4).alias("snapshot_count"),
+        (k % 8 != 0).alias("subscription_acknowledged"),
+        F.when(k % 53 == 0, "NO_WS_CREDENTIALS").when(k % 59 == 0, "AUTH_SIGNATURE_FAILED").when(
+            k % 9 == 0, "DEMO_NO_ELIGIBLE_MARKET"
+        ).alias("blocker_code"),
+        pick(k % 11, "open", "open", "closed", "open", "paused", "open", "settled", "open", "open", "open", None).alias(
+            "market_status"
+        ),
+        F.when(k % 13 != 0, "pass").otherwise("reject").alias("selection_gate_result"),
+    )
+
+
+def v_phase_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed runs with their evidence, one per order; most gates hold for most runs."""
+    k = F.col("o_orderkey")
+    grade = lambda n: F.when(k % n == 0, "FAIL").when(k % (n + 4) == 0, "UNKNOWN").otherwise("PASS")
+    return table(spark, sf_dir, "orders").select(
+        k.alias("run"),
+        F.when(k % 17 != 0, "bounded_duration_complete").otherwise("error").alias("terminal_reason"),
+        (k % 19 == 0).alias("stop_requested"),
+        F.lit(1800).cast("bigint").alias("configured_seconds"),
+        F.when(k % 13 == 0, 1799).otherwise(1801).cast("bigint").alias("actual_seconds"),
+        (k % 23 != 0).alias("connection_established"),
+        (k % 29 != 0).alias("subscription_acknowledged"),
+        (k % 3).alias("admitted_snapshot_count"),
+        (k % 4).alias("admitted_delta_count"),
+        (k % 7).alias("segment_count"),
+        (k % 31 == 0).cast("bigint").alias("open_segment_count"),
+        (k % 5).alias("sequence_segment_count"),
+        (k % 11 == 0).cast("bigint").alias("failed_sequence_count"),
+        (k % 6).alias("framed_book_count"),
+        (k % 10 == 0).cast("bigint").alias("unsound_book_count"),
+        grade(21).alias("duration_evidence"), grade(22).alias("transport_connectivity"),
+        grade(26).alias("subscription_status"), grade(27).alias("market_lifecycle_validity"),
+        grade(8).alias("sequence_integrity"), grade(9).alias("rebuild_integrity"),
+        grade(33).alias("artifact_integrity"),
+        F.when(k % 25 == 0, "fail").otherwise("pass").alias("validation_status"),
+        F.lit("disabled").alias("live_gate_status"),
+        F.lit(False).alias("production_trading_enabled"),
+        F.lit(False).alias("executable_order_intent"),
+        (k % 71 == 0).alias("production_endpoint_used"),
+        F.lit(0).cast("bigint").alias("submit_attempts"),
+    )
+
+
+def v_dimension_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run aggregates of V9: windows, gaps and waits of every user's run."""
+    from paritymill.operators import connections as C
+
+    events, runs = v_connection_events(spark, sf_dir), v_runs(spark, sf_dir)
+    windows = C.connection_windows(events, runs)
+    cover = C.coverage(windows, C.disconnect_gaps(windows, runs), runs)
+    waits = C.max_quiet_gap(v_observations(spark, sf_dir), runs, 86_400)
+    of = lambda kind, c: F.max(F.when(F.col("kind") == kind, F.col(c)))
+    per = waits.groupBy("run_id").agg(
+        of("keepalive", "max_gap_seconds").alias("max_keepalive_seconds"),
+        of("lifecycle", "max_gap_seconds").alias("max_lifecycle_seconds"),
+        F.coalesce(of("lifecycle", "observation_count"), F.lit(0)).alias("lifecycle_count"),
+    )
+    opened = windows.groupBy("run_id").agg(F.count("opened_at").alias("opened_count"))
+    number = F.regexp_extract("run_id", "([0-9]+)", 1).cast("bigint")
+    return cover.join(per, "run_id").join(opened, "run_id").select(
+        "run_id", "opened_count", "coverage", "max_gap_seconds", "max_keepalive_seconds",
+        "lifecycle_count", (number % 9 == 0).alias("lifecycle_invalid"),
+        "max_lifecycle_seconds", (number % 4 != 0).alias("all_acknowledged"),
+        (number % 10 == 1).alias("any_rejected"), (number % 6 == 5).cast("bigint").alias("binding_failure_count"),
+        pick(number % 3, "PASS", "UNKNOWN", "FAIL").alias("sequence_integrity"),
+        pick(number % 2, "PASS", "UNKNOWN").alias("rebuild_integrity"),
+        "actual_seconds", F.lit(20 * 86_400).cast("bigint").alias("configured_seconds"),
+        (number % 5 != 0).alias("ended"), (number % 7 != 0).alias("completed"),
+    )
+
+
+def v_monitor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mixed monitor records, one per order, twenty-five runs."""
+    k = F.col("o_orderkey")
+    kind = pick(
+        k % 7, "offline_complement_research_candidate", "complement_risk_decision_v2", "paper_ledger_state",
+        "open_order", "paper_complement_order_proposal", "live_market_data_event", "offline_taker_fill_simulation",
+    )
+    on = lambda n, c: F.when(k % 7 == n, c)
+    total = "decimal(38,18)"
+    return table(spark, sf_dir, "orders").select(
+        k.alias("ord"),
+        F.concat(F.lit("run-"), (F.col("o_custkey") % 25).cast("string")).alias("run_id"),
+        kind.alias("record_type"),
+        F.lit("kalshi_demo").alias("venue"),
+        F.concat(F.lit("M-"), (k % 40).cast("string")).alias("market_id"),
+        F.col("o_orderdate").cast("timestamp").alias("observed_at"),
+        F.when(k % 7 == 5, "book").alias("event_type"),
+        F.when(k % 30 == 0, F.array(F.lit("stale_book"))).when(k % 21 == 5, F.array(F.lit("sequence_gap"))).alias(
+            "data_quality_flags"
+        ),
+        on(0, F.when(k % 2 == 0, F.lit("0.02")).otherwise("0").cast(total)).alias("gross_edge_per_contract"),
+        on(0, F.lit("0.03").cast(total)).alias("gross_edge"),
+        on(0, (k % 9).cast(total)).alias("candidate_size"),
+        F.when(k % 7 == 1, F.when(F.col("o_orderstatus") == "F", "reject").otherwise("manual_review_required")).when(
+            k % 7 == 0, "audit_only"
+        ).alias("decision"),
+        on(1, F.when(k % 4 == 0, F.array(F.lit("manual_approval_required"), F.lit("stale_data"))).otherwise(
+            F.array(F.lit("manual_approval_required"))
+        )).alias("reasons"),
+        on(2, (k % 50 == 2).cast("bigint")).alias("reconciliation_mismatch_count"),
+        F.when((k % 7 == 3) & (k % 5 != 0), F.concat(F.lit("O-"), F.floor(k / 70).cast("string"))).alias("order_id"),
+        on(4, F.concat(F.lit("P-"), F.floor(k / 35).cast("string"))).alias("proposal_id"),
+        F.when((k % 7).isin(3, 4), ((k % 99 + 1) * F.lit("0.01").cast("decimal(3,2)")).cast(total)).alias("price"),
+        F.when((k % 7).isin(3, 4), (k % 8).cast(total)).alias("quantity"),
+    )
+
+
+def v_venues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last order of every run as its venue row."""
+    return table(spark, sf_dir, "orders").groupBy((F.col("o_custkey") % 25).alias("r")).agg(
+        F.max("o_orderdate").cast("timestamp").alias("last_event_ts"), F.count(F.lit(1)).alias("gap_count")
+    ).select(
+        F.concat(F.lit("run-"), F.col("r").cast("string")).alias("run_id"),
+        F.lit("kalshi_demo").alias("venue"),
+        F.lit("").alias("mode"), F.lit(None).cast("string").alias("connectivity"), "last_event_ts",
+        F.when(F.col("r") % 3 == 0, F.lit(30)).cast("bigint").alias("data_staleness_seconds"),
+        "gap_count", F.lit(None).cast("bigint").alias("warning_count"),
+    )
+
+
+def v_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotes per user and side; sizes change now and then."""
+    e = F.col("event_id")
+    return v_events(spark, sf_dir).select(
+        F.col("user_id").cast("string").alias("instrument_id"),
+        F.when(e % 2 == 0, "buy").otherwise("sell").alias("side"),
+        e.alias("ord"),
+        (F.lit("0.40").cast("decimal(4,2)") + (F.floor("value") % 8).cast("decimal(4,0)") * F.lit("0.01").cast("decimal(3,2)"))
+        .cast(PRICE)
+        .alias("price"),
+        F.when(e % 50 < 5, 2).otherwise(1).cast(QTY).alias("quantity"),
+    )
+
+
+def v_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Canonical evidence lines, a thousand per segment, with a few flaws."""
+    e = F.col("event_id")
+    index = e % 1000 + F.when(e % 2501 == 2500, 2).otherwise(1)
+    gap = F.when(e % 3407 == 3406, " ").otherwise("")
+    line = F.concat(
+        F.lit('{"event_id":'), gap, e.cast("string"), F.lit(',"kind":"'), F.col("event_type"),
+        F.lit('","local_row_index":'), index.cast("string"), F.lit("}"),
+    )
+    return v_events(spark, sf_dir).select(
+        F.concat(F.lit("segment-"), F.floor(e / 1000).cast("string")).alias("segment_id"), e.alias("ord"),
+        line.alias("record"),
+    )
