@@ -450,6 +450,73 @@ SECS = "CAST((epoch_us({}) - epoch_us({})) // 1000000 AS BIGINT)"
 RANKA = "coalesce(activity, 0) DESC, coalesce(ce, false), coalesce(epoch_us(dl), epoch_us(TIMESTAMP '2026-08-01 00:00:00')) DESC, NOT quoted, ticker"
 RANKD = RANKA.split(" DESC, ", 1)[1]
 
+NATIVE = """
+nat AS (
+  SELECT event_id AS ord, event_id AS e, event_id % 50 AS slot, event_id // 50 * 50 AS block, user_id, event_type,
+    CASE WHEN event_id % 50 IN (3, 4, 23) THEN 'subscribed' WHEN event_id % 50 = 33 THEN 'error' WHEN event_type = 'signup' THEN 'orderbook_snapshot'
+      WHEN event_type = 'purchase' THEN 'trade' WHEN event_id % 67 = 0 THEN 'heartbeat' ELSE 'orderbook_delta' END AS kind
+  FROM events WHERE event_id % 50 NOT IN (0, 1)
+),
+natd AS (
+  SELECT *, CASE WHEN slot IN (3, 23) THEN 'orderbook_delta' WHEN slot = 4 THEN 'trade' END AS ch,
+    CASE WHEN slot = 4 THEN block + 2 WHEN slot IN (3, 23) THEN block + 1 WHEN slot = 33 THEN CASE WHEN block % 200 = 0 THEN block + 1 ELSE block + 40 END END AS rid,
+    CASE WHEN slot = 23 AND block % 150 = 0 THEN 9 WHEN e % 71 = 0 THEN 8 WHEN e % 73 <> 0 THEN 7 END AS sid_,
+    e + CASE WHEN e % 29 = 0 THEN 1 WHEN e % 31 = 0 THEN -1 ELSE 0 END AS sq FROM nat
+)"""
+RECD = """
+recd AS (
+  SELECT event_id AS e, event_id AS row_index, user_id, event_id // 40 AS sg, 'conn-' || ((event_id // 40) % 7) AS connection_id, 'seg-' || (event_id // 40) AS segment_id,
+    ['INITIAL_CONNECTION', 'RESUBSCRIPTION', 'INTEGRITY_FAILURE'][(event_id // 40) % 3 + 1] AS boundary,
+    CASE event_type WHEN 'signup' THEN 'orderbook_snapshot' WHEN 'purchase' THEN 'trade' WHEN 'error' THEN ['subscribed', 'error', 'heartbeat'][event_id % 3 + 1]
+      ELSE 'orderbook_delta' END AS kind,
+    CASE WHEN event_id % 13 <> 0 THEN CAST(event_id % 3 + 7 AS VARCHAR) END AS sid,
+    CASE WHEN (event_id // 40) % 5 = 0 AND event_id % 11 = 0 THEN ['SEQUENCE_GAP_DETECTED', 'SEQUENCE_DUPLICATE'][event_id % 2 + 1]
+      WHEN (event_id // 40) % 5 = 1 THEN ['SEQUENCE_NOT_OBSERVED', 'SEQUENCE_PRESENT_SEMANTICS_UNKNOWN'][event_id % 2 + 1]
+      ELSE ['SEQUENCE_CONTIGUITY_VERIFIED', 'SEQUENCE_OBSERVED_MONOTONIC', 'SEQUENCE_NOT_OBSERVED', 'SEQUENCE_PRESENT_SEMANTICS_UNKNOWN'][event_id % 4 + 1] END AS st,
+    ['ADMITTED', 'EXCLUDED', 'ADMITTED', 'NOT_APPLICABLE', 'ADMITTED'][event_id % 5 + 1] AS adm,
+    ['ACKNOWLEDGED', 'REQUESTED', 'CONFLICTED'][event_id % 3 + 1] AS bst,
+    CASE WHEN event_id % 23 <> 0 THEN 'M-' || (user_id % 10) END AS market_ticker
+  FROM events
+),
+rch AS (SELECT *, CASE WHEN kind = 'trade' THEN 'trade' WHEN kind IN ('subscribed', 'error', 'heartbeat') THEN kind ELSE 'orderbook_delta' END AS channel FROM recd)"""
+
+
+def trade_class(selected: str) -> str:
+    return f"""CASE WHEN e % 37 = 0 THEN 'quarantined' WHEN kind <> 'trade' THEN 'ignored' WHEN e % 5 = 1 THEN 'quarantined'
+  WHEN market_ticker IS NULL THEN 'quarantined' WHEN NOT ({selected}) THEN 'filtered' WHEN e % 31 = 0 THEN 'quarantined'
+  WHEN user_id % 10 = 9 OR e % 29 = 0 THEN 'quarantined' ELSE 'trade' END"""
+
+
+CAMP = """
+camp AS (
+  SELECT o_orderkey AS k, ['REST', 'WEBSOCKET_DELTA', 'WEBSOCKET_SNAPSHOT', 'SYNTHETIC', 'OTHER'][o_orderkey % 5 + 1] AS src,
+    ['recorder_smoke_complete', 'websocket_campaign_complete', 'websocket_smoke_complete', 'websocket_blocked', 'smoke_complete', 'websocket_auth_blocked'][o_orderkey % 6 + 1] AS status,
+    o_orderkey % 3 <> 2 AS ro, [600, 1200, 604800, 1800][o_orderkey % 4 + 1] AS dur,
+    CASE WHEN o_orderkey % 53 = 0 THEN 'NO_WS_CREDENTIALS' WHEN o_orderkey % 59 = 0 THEN 'AUTH_SIGNATURE_FAILED' WHEN o_orderkey % 9 = 0 THEN 'DEMO_NO_ELIGIBLE_MARKET' END AS code,
+    o_orderkey % 11 IN (2, 6) AS closed, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 6 ELSE o_orderkey % 5 END AS events_
+  FROM orders
+),
+cf AS (
+  SELECT *, concat_ws('|', CASE WHEN k % 31 = 0 THEN 'live_gate_not_disabled' END, CASE WHEN k % 37 = 0 THEN 'production_endpoint_used' END,
+    CASE WHEN k % 41 = 0 THEN 'submit_attempts' END, CASE WHEN dur > 1800 AND NOT ro THEN 'duration_exceeds_smoke_maximum' END,
+    CASE WHEN src = 'OTHER' THEN 'source_type_unsupported' END, CASE WHEN k % 7 = 0 OR k % 4 = 0 THEN 'no_heartbeat' END,
+    CASE WHEN k % 43 = 0 THEN 'unsafe_heartbeat' END, CASE WHEN k % 6 = 0 AND k % 5 = 0 THEN 'recorder_events_missing' END,
+    CASE WHEN k % 6 = 0 AND k % 4 = 0 THEN 'rebuild_frames_missing' END, CASE WHEN k % 6 = 0 AND k % 3 = 0 THEN 'daily_validation_missing' END,
+    CASE WHEN k % 47 = 0 THEN 'secret_like_field' END) AS failures FROM camp
+)"""
+MON = """
+mon AS (
+  SELECT o_orderkey AS k, 'run-' || (o_custkey % 25) AS run_id, o_orderkey % 7 AS t, o_orderstatus, o_orderdate FROM orders
+),
+fr AS (
+  SELECT run_id, arg_min(k, k) FILTER (t = 1) AS rk, arg_min(o_orderstatus, k) FILTER (t = 1) AS rs, arg_min(k, k) FILTER (t = 2) AS lk,
+    count(*) AS n, count(*) FILTER (t = 5) AS ev, count(DISTINCT CASE WHEN t = 5 THEN k % 40 END) AS mk,
+    arg_max(o_orderdate, k) FILTER (t = 5) AS last_event, count(*) FILTER (k % 30 <> 0 AND k % 21 = 5) AS gaps,
+    bool_or(k % 30 = 0) AS stale, bool_or(t = 6) AS sim, bool_or(t = 2) AS led, bool_or(t = 1) AS rsk, bool_or(t = 5) AS evs FROM mon GROUP BY run_id
+),
+ven AS (SELECT 'run-' || (o_custkey % 25) AS run_id, o_custkey % 25 AS r, max(o_orderdate) AS last_ts, count(*) AS n FROM orders GROUP BY 1, 2),
+vst AS (SELECT *, CASE WHEN r % 3 = 0 THEN 30 ELSE greatest(0, CAST(ceil((epoch_us(TIMESTAMP '2001-08-01 00:10:00') - epoch_us(last_ts)) / 1000000.0) AS BIGINT)) END AS stale_s FROM ven)"""
+
 
 def sql() -> dict[str, str]:
     out: dict[str, str] = {}
@@ -798,4 +865,207 @@ SELECT nullif(status, '') AS raw_status, CASE status WHEN 'active' THEN 'open' W
     out["market_identity_check"] = f"""WITH {MKT}
 SELECT ord, ident AS market_identity, CASE WHEN k % 41 = 0 THEN 'identity_not_exact' WHEN k % 43 = 0 THEN 'aliases_differ' END AS identity_error FROM mk"""
     out["market_activity"] = f"""WITH {MKT} SELECT ord, {d6("activity")} AS activity, quoted AS current_quote, is_match AS match_like FROM mk"""
+    out["native_envelope"] = f"""WITH {NATIVE}
+SELECT ord, kind AS native_type, coalesce(ch, CASE WHEN kind IN ('orderbook_snapshot', 'orderbook_delta') THEN 'orderbook_delta' ELSE kind END) AS channel,
+  CAST(rid AS VARCHAR) AS request_id, CAST(sid_ AS VARCHAR) AS sid,
+  CASE WHEN sid_ IS NULL AND kind = 'subscribed' THEN 'MISSING_ACK_SID' WHEN sid_ IS NULL AND kind IN ('orderbook_snapshot', 'orderbook_delta', 'trade')
+    THEN 'MISSING_DATA_SID' END AS envelope_rejection, CASE WHEN e % 59 <> 0 THEN 'M-' || (user_id % 3) END AS market_ticker,
+  CASE WHEN e % 61 <> 0 THEN CAST(sq AS VARCHAR) END AS seq, CASE WHEN ch IS NULL THEN 'derived_from_type' ELSE 'top_level' END AS channel_source,
+  CASE WHEN sid_ IS NULL THEN 'missing' ELSE 'top_level' END AS sid_source FROM natd"""
+    tok = """['true', 'false', '"yes"', '1'][event_id % 4 + 1]"""
+    out["pricing_values"] = f"""SELECT event_id, concat_ws('|', CASE WHEN event_id % 5 = 0 THEN NULL END,
+  CASE WHEN event_id % 3 = 0 THEN {tok} END, CASE WHEN event_id % 5 = 0 THEN {tok} END) AS pricing_values FROM events"""
+    out["sequence_summary"] = f"""WITH {RECD}
+SELECT connection_id, segment_id, any_value(boundary) AS segment_boundary_reasons, array_to_string(list_sort(list_distinct(list(sid) FILTER (sid IS NOT NULL))), '|') AS native_sid_values,
+  count(*) FILTER (e % 17 <> 0) AS native_seq_present_count,
+  (SELECT string_agg(st || '=' || n, '|' ORDER BY st) FROM (SELECT st, count(*) AS n FROM recd x WHERE x.segment_id = recd.segment_id GROUP BY st)) AS sequence_states,
+  count(*) FILTER (adm = 'ADMITTED') AS admitted_rows, count(*) FILTER (adm = 'EXCLUDED') AS excluded_rows,
+  count(*) FILTER (kind = 'subscribed') AS acknowledgement_count, count(*) FILTER (kind = 'error') AS rejection_count,
+  bool_or(st = 'SEQUENCE_CONTIGUITY_VERIFIED') AS continuity_semantics_supported,
+  CASE WHEN bool_or(st IN ('SEQUENCE_GAP_DETECTED', 'SEQUENCE_DUPLICATE')) THEN 'SEQUENCE_INTEGRITY_FAIL'
+    WHEN bool_or(st = 'SEQUENCE_CONTIGUITY_VERIFIED') THEN 'SEQUENCE_CONTIGUITY_VERIFIED' ELSE 'SEQUENCE_INTEGRITY_UNKNOWN' END AS aggregate_result
+FROM recd GROUP BY connection_id, segment_id"""
+    out["sequence_evidence"] = f"""WITH {RECD},
+g AS (SELECT connection_id, segment_id, bool_or(st IN ('SEQUENCE_GAP_DETECTED', 'SEQUENCE_DUPLICATE')) AS b, bool_or(st = 'SEQUENCE_CONTIGUITY_VERIFIED') AS c FROM recd GROUP BY 1, 2)
+SELECT connection_id, CASE WHEN bool_or(b) THEN 'FAIL' WHEN bool_and(c) THEN 'PASS' ELSE 'UNKNOWN' END AS sequence_integrity FROM g GROUP BY 1"""
+    st_ = lambda c: f"coalesce(array_to_string(list_sort(list_distinct(list({c}) FILTER ({c} IS NOT NULL))), '|'), '')"
+    out["binding_summary"] = f"""WITH {RECD},
+b AS (SELECT *, CAST(e // 200 + 1 AS VARCHAR) AS cmd, CAST(e // 400 + 1 AS VARCHAR) AS gen, 'b-' || (e // 400) AS bid FROM rch WHERE e % 19 <> 0)
+SELECT connection_id, segment_id, channel, {st_("cmd")} AS command_ids, {st_("gen")} AS generations, {st_("bid")} AS binding_ids,
+  {st_("sid")} AS native_sids, {st_("bst")} AS states FROM b GROUP BY 1, 2, 3"""
+    out["rebuild_summary"] = f"""WITH {MSG},
+r AS (SELECT *, disposition = 'FRAME_EMITTED' AS fr, CASE WHEN snap AND perr IS NOT NULL THEN perr WHEN row_index = bad_from THEN bad_reason
+    WHEN disposition = 'EXCLUDED' THEN 'SEGMENT_INVALID' END AS reason FROM disp),
+h AS (SELECT market_ticker, connection_id, string_agg(reason || '=' || n, '|' ORDER BY reason) AS inv FROM
+  (SELECT market_ticker, connection_id, reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT market_ticker, connection_id, 'seg-1' AS segment_id, count(*) FILTER (fr) AS frame_count, count(*) AS orderbook_row_count,
+  count(*) FILTER (NOT fr) AS excluded_row_count, coalesce(any_value(inv), '') AS invalidation_reasons, arg_max(fr, row_index) AS native_state_valid,
+  bool_or(fr AND snap) AS snapshot_first_admitted FROM r LEFT JOIN h USING (market_ticker, connection_id) GROUP BY market_ticker, connection_id"""
+    out["rebuild_evidence"] = f"""WITH {MSG},
+g AS (SELECT market_ticker, connection_id, bool_or(disposition <> 'FRAME_EMITTED') AS bad, bool_or(disposition = 'FRAME_EMITTED') AS fr FROM disp GROUP BY 1, 2)
+SELECT connection_id, CASE WHEN bool_or(bad) THEN 'FAIL' WHEN bool_or(NOT fr) THEN 'UNKNOWN' ELSE 'PASS' END AS rebuild_integrity FROM g GROUP BY 1"""
+    out["segment_contradictions"] = f"""WITH {RECD},
+x AS (SELECT connection_id, segment_id, row_index, channel, CASE WHEN e % 1600 = 799 THEN '99' ELSE '7' END AS s,
+    CASE WHEN e % 2000 = 1555 THEN 'odd' ELSE market_ticker END AS mid, market_ticker, e % 2400 = 2250 AND e % 40 <> 0 AS flip FROM rch),
+f AS (SELECT *, first_value(s) OVER (PARTITION BY connection_id, segment_id, channel ORDER BY row_index) AS fs FROM x),
+m AS (SELECT connection_id, segment_id, market_ticker, arg_min(mid, row_index) FILTER (mid IS NOT NULL) AS fm FROM x WHERE market_ticker IS NOT NULL GROUP BY ALL),
+j AS (SELECT f.*, CASE WHEN s <> fs OR coalesce(mid <> fm, false) THEN 'IDENTITY_MISMATCH' WHEN flip THEN 'CONTRADICTORY_PRICING_MODE' END AS why
+  FROM f LEFT JOIN m USING (connection_id, segment_id, market_ticker)),
+b AS (SELECT segment_id, min(row_index) AS bf, arg_min(why, row_index) AS bw FROM j WHERE why IS NOT NULL GROUP BY 1)
+SELECT row_index, segment_id, CASE WHEN row_index >= bf THEN bw END AS segment_error FROM j LEFT JOIN b USING (segment_id)"""
+    out["public_trades"] = f"""WITH {RECD}, c AS (SELECT connection_id, {trade_class("market_ticker IN ('M-0', 'M-1', 'M-2', 'M-9')")} AS tc FROM rch)
+SELECT connection_id, count(*) FILTER (tc = 'trade') AS trade_count, count(*) FILTER (tc = 'filtered') AS filtered_nonselected_count,
+  count(*) FILTER (tc = 'ignored') AS ignored_nontrade_count, count(*) FILTER (tc = 'quarantined') AS quarantined_count,
+  CASE WHEN count(*) FILTER (tc = 'quarantined') > 0 THEN 'QUARANTINED_INPUT' WHEN count(*) FILTER (tc = 'trade') > 0 THEN 'OBSERVED' ELSE 'QUIET_NO_PUBLIC_TRADES' END AS status
+FROM c GROUP BY 1"""
+    out["selected_market_semi_join"] = f"""WITH {RECD}
+SELECT row_index, market_ticker, 'T' || e AS trade_id FROM rch
+WHERE {trade_class("market_ticker IN (SELECT 'M-' || n_nationkey FROM nation WHERE n_nationkey % 2 = 0)")} = 'trade'"""
+    wait = lambda kind: f"(SELECT g FROM q WHERE q.run_id = runs.run_id AND q.obs = '{kind}')"
+    out["evidence_dimensions"] = f"""WITH {CONN},
+lg AS (SELECT run_id, obs, ts, lag(ts) OVER (PARTITION BY run_id, obs ORDER BY ts) AS p FROM ce),
+ag AS (SELECT run_id, obs, max({CEIL.format("ts", "p")}) AS g, min(ts) AS f, max(ts) AS l FROM lg GROUP BY 1, 2),
+q AS (SELECT run_id, obs, greatest(0, coalesce(g, 0), {CEIL.format("f", "started_at")}, {CEIL.format("ended_at", "l")}) AS g FROM ag JOIN runs USING (run_id)),
+o AS (SELECT run_id, sum(us) AS us, count(opened_at) AS oc FROM windows GROUP BY 1), mg AS (SELECT run_id, max(epoch_us(b) - epoch_us(a)) AS g FROM gaps GROUP BY 1),
+v AS (SELECT runs.run_id, CAST(regexp_extract(runs.run_id, '([0-9]+)', 1) AS BIGINT) AS n, oc, us / (epoch_us(ended_at) - epoch_us(started_at)) AS cov, coalesce(mg.g, 0) / 1000000.0 AS gap,
+  {wait("keepalive")} AS kg, {wait("lifecycle")} AS lg_, (epoch_us(ended_at) - epoch_us(started_at)) / 1000000 AS act FROM runs JOIN o USING (run_id) LEFT JOIN mg USING (run_id)),
+d AS (SELECT run_id, 'UNKNOWN' AS artifact_integrity, CASE WHEN oc > 0 AND cov >= 0.95 AND gap <= 15 THEN 'PASS' ELSE 'FAIL' END AS transport_connectivity,
+  CASE WHEN kg IS NULL THEN 'UNKNOWN' WHEN kg <= 120 THEN 'PASS' ELSE 'FAIL' END AS transport_keepalive,
+  CASE WHEN oc > 0 AND n % 4 <> 0 AND n % 10 <> 1 AND n % 6 <> 5 THEN 'PASS' ELSE 'FAIL' END AS subscription_status,
+  ['PASS', 'UNKNOWN', 'FAIL'][n % 3 + 1] AS sequence_integrity, ['PASS', 'UNKNOWN'][n % 2 + 1] AS rebuild_integrity,
+  CASE WHEN lg_ IS NULL THEN 'UNKNOWN' WHEN n % 9 = 0 THEN 'FAIL' WHEN lg_ <= 120 THEN 'PASS' ELSE 'FAIL' END AS market_lifecycle_validity,
+  CASE WHEN act >= 1728000 THEN 'PASS' WHEN n % 5 <> 0 THEN 'FAIL' ELSE 'UNKNOWN' END AS duration_evidence,
+  CASE WHEN n % 7 <> 0 THEN 'PASS' ELSE 'FAIL' END AS process_liveness, 'UNKNOWN' AS supervisor_liveness, 'UNKNOWN' AS backup_integrity, 'UNKNOWN' AS replay_qualification FROM v)
+SELECT *, CASE WHEN 'FAIL' IN (transport_connectivity, transport_keepalive, subscription_status, sequence_integrity, rebuild_integrity, market_lifecycle_validity, duration_evidence, process_liveness)
+  THEN 'FAIL' ELSE 'INCOMPLETE' END AS overall_classification FROM d"""
+    fails = " OR ".join(f"o_orderkey % {40 + i} = 0" for i in range(12))
+    opens = " OR ".join(f"o_orderkey % {20 + i} = 1" for i in range(12))
+    out["evidence_overall"] = (
+        f"SELECT o_orderkey AS run, CASE WHEN {fails} THEN 'FAIL' WHEN {opens} THEN 'INCOMPLETE' ELSE 'PASS' END AS overall_classification FROM orders"
+    )
+    out["campaign_classify"] = f"""WITH {CAMP}
+SELECT k AS campaign, failures, CASE WHEN code = 'NO_WS_CREDENTIALS' THEN code WHEN code = 'AUTH_SIGNATURE_FAILED' THEN 'WS_AUTH_FAILED'
+    WHEN closed THEN 'MARKET_CLOSED_OR_FINALIZED_ENDS_CAMPAIGN_EVIDENCE' WHEN failures <> '' OR status = 'websocket_blocked' THEN 'LAYER1_WS_CAMPAIGN_INCOMPLETE'
+    WHEN src = 'REST' THEN 'LAYER1_REST_SMOKE_PASS' WHEN src NOT IN ('WEBSOCKET_DELTA', 'WEBSOCKET_SNAPSHOT') OR events_ <= 0 THEN 'LAYER1_WS_CAMPAIGN_INCOMPLETE'
+    WHEN dur >= 604800 AND status = 'websocket_campaign_complete' THEN 'LAYER1_WS_CAMPAIGN_PASS_7D' WHEN k % 3 > 0 THEN 'LAYER1_WS_DELTA_SMOKE_PASS'
+    WHEN dur >= 604800 THEN 'LAYER1_WS_CAMPAIGN_INCOMPLETE' WHEN k % 4 > 0 AND k % 8 <> 0 THEN CASE WHEN dur >= 900 THEN 'LAYER1_WS_SNAPSHOT_ONLY_EXTENDED'
+    ELSE 'LAYER1_WS_SNAPSHOT_SMOKE_PASS' END ELSE 'LAYER1_WS_CAMPAIGN_INCOMPLETE' END AS evidence_classification,
+  NOT closed AND NOT (ro AND k % 13 = 0) AS campaign_evidence_valid,
+  CASE WHEN failures <> '' THEN 'fail' WHEN (status LIKE 'websocket_%' AND code IS NOT NULL) OR status = 'websocket_auth_blocked' THEN 'blocked' ELSE 'pass' END AS validation_status,
+  CASE WHEN failures <> '' THEN 'DATA_INTEGRITY_FAIL' ELSE 'DATA_INTEGRITY_PASS' END AS data_integrity_classification FROM cf"""
+    g_ = lambda n: f"(k % {n} <> 0 AND k % {n + 4} <> 0)"
+    out["phase_assessment"] = f"""WITH p AS (
+  SELECT o_orderkey AS k, o_orderkey AS run, o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AS controlled_exit FROM orders),
+g AS (SELECT *, k % 13 <> 0 AND {g_(21)} AS duration_gate, k % 23 <> 0 AND {g_(22)} AS transport_gate, k % 29 <> 0 AND {g_(26)} AS subscription_gate,
+  k % 3 > 0 AS snapshot_admitted, k % 4 > 0 AS delta_admitted, {g_(27)} AS lifecycle_valid, k % 8 <> 0 AND k % 5 > 0 AND k % 11 <> 0 AS sequence_safe,
+  k % 9 <> 0 AND k % 6 > 0 AND k % 10 <> 0 AS rebuild_noninvalid, k % 25 <> 0 AND {g_(33)} AS artifact_integrity_gate,
+  k % 7 > 0 AND k % 31 <> 0 AS source_closed, k % 71 <> 0 AS safety_gate FROM p)
+SELECT * EXCLUDE (k), controlled_exit AND duration_gate AND transport_gate AND subscription_gate AND snapshot_admitted AND delta_admitted AND lifecycle_valid
+    AND sequence_safe AND rebuild_noninvalid AND artifact_integrity_gate AND source_closed AND safety_gate AS qualified,
+  controlled_exit AND duration_gate AND transport_gate AND subscription_gate AND lifecycle_valid AND artifact_integrity_gate AND source_closed AND safety_gate
+    AND NOT delta_admitted AND k % 8 <> 0 AND k % 9 <> 0 AND NOT (snapshot_admitted AND NOT {g_(9)}) AS fallback_allowed FROM g"""
+    out["record_hash"] = """SELECT event_id, sha256('{"event_id":' || event_id || ',"event_type":"' || event_type || '","props":"' || replace(props, '"', '\\"')
+  || '","user_id":' || user_id || '}') AS record_hash FROM events"""
+    appr = """'{"candidate_hash": "' || sha256(proposal_id) || '", "expires_at": "2026-01-02T00:00:00+00:00", "proposal_id": "' || proposal_id
+      || '", "requested_at": "2026-01-01T00:00:00+00:00"}'"""
+    out["approval_verify"] = f"""WITH {RISK},
+p AS (SELECT proposal_id, sha256({appr}) AS approval_id FROM decided WHERE decision = 'manual_review_required'),
+n AS (SELECT *, CAST('0x' || substr(approval_id, 1, 4) AS BIGINT) AS n FROM p),
+r AS (SELECT *, concat_ws('|', CASE WHEN n % 7 = 0 THEN 'approval_id_mismatch' END, CASE WHEN n % 11 = 0 THEN 'candidate_hash_mismatch' END,
+  CASE WHEN n % 5 = 0 THEN 'approval_not_granted' END, CASE WHEN n % 9 = 0 THEN 'approval_already_used' END) AS bad FROM n)
+SELECT approval_id, proposal_id, CASE WHEN bad = '' THEN 'approved_for_paper_once' ELSE 'reject' END AS status, bad = '' AS approved,
+  CASE WHEN bad = '' THEN 'manual_approval_verified|single_use_only' ELSE bad END AS reasons FROM r"""
+    out["preview_chain"] = """WITH g AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 17 = 0 OR o_orderkey % 19 = 0 THEN 'risk_missing_or_mismatched'
+    WHEN o_orderkey % 5 = 0 THEN 'risk_not_passing' WHEN o_orderkey % 23 = 0 THEN 'risk_blocked' WHEN o_orderkey % 7 = 0 THEN 'approval_missing_or_mismatched'
+    WHEN o_orderkey % 11 = 0 THEN 'approval_expired' WHEN o_orderkey % 13 = 0 THEN 'approval_already_used' WHEN o_orderkey % 4 = 0 THEN 'approval_not_granted'
+    WHEN o_orderkey % 29 = 0 THEN 'ledger_without_proposal' WHEN o_orderkey % 31 = 0 THEN 'ledger_mismatch' WHEN o_orderkey % 37 = 0 THEN 'reconciliation_missing_or_mismatched'
+    WHEN o_orderkey % 41 = 0 THEN 'reconciliation_approval_mismatch' WHEN o_orderkey % 43 = 0 THEN 'reconciliation_mismatch' END AS gate FROM orders)
+SELECT CAST(k AS VARCHAR) AS proposal_id, gate AS first_failing_gate, gate IS NULL AS preview_allowed FROM g"""
+    out["monitor_rollup"] = f"""WITH {MON}
+SELECT run_id, n AS record_count, ev AS event_count, mk AS market_count, epoch_us(last_event) AS last_event_time, gaps AS gap_count,
+  CASE WHEN stale THEN 'WARN' ELSE 'OK' END AS stale_flag_status,
+  CASE WHEN rk % 4 = 0 THEN 'manual_approval_required|stale_data' WHEN rk IS NOT NULL THEN 'manual_approval_required' END AS risk_reasons,
+  CASE WHEN rs = 'F' THEN 'reject' WHEN rs IS NOT NULL THEN 'manual_review_required' END AS risk_decision, CASE WHEN lk % 50 = 2 THEN 1 ELSE 0 END AS mismatch_count,
+  'pass' AS layer_0_schema, CASE WHEN evs THEN 'pass' ELSE 'missing' END AS layer_1_recorder, CASE WHEN sim THEN 'pass' ELSE 'missing' END AS layer_2_simulation,
+  CASE WHEN led THEN 'pass' ELSE 'missing' END AS layer_3_ledger, CASE WHEN rsk THEN 'pass' ELSE 'missing' END AS layer_4_risk, false AS kill_switch,
+  coalesce(rk % 4 = 0, false) AS stale_data, false AS data_gap, false AS fee_missing, false AS edge_insufficient, false AS exposure_limit, false AS daily_loss_limit,
+  false AS reconciliation_mismatch, CASE WHEN lk % 50 = 2 THEN 'mismatch' ELSE 'clean' END AS reconciliation_status FROM fr"""
+    out["monitor_venues"] = f"""WITH {MON}
+SELECT run_id, 'kalshi_demo' AS venue, 'read_only' AS mode, 'unknown' AS connectivity, epoch_us(last_ts) AS last_event_ts, stale_s AS data_staleness_seconds,
+  n AS gap_count, 0 AS warning_count, stale_s > 900 AS is_stale FROM vst"""
+    out["monitor_health"] = f"""WITH {MON}
+SELECT fr.run_id, fr.n AS record_count, stale_s > 900 AS venue_stale, CASE WHEN rs = 'F' OR lk % 50 = 2 THEN 'BLOCKED' WHEN stale_s > 900 THEN 'WARNING' ELSE 'OK_PAPER' END AS health
+FROM fr JOIN vst ON fr.run_id = vst.run_id"""
+    out["monitor_orders"] = f"""WITH {MON},
+o AS (SELECT *, CASE WHEN t = 3 AND k % 5 <> 0 THEN 'O-' || (k // 70) WHEN t = 4 THEN 'P-' || (k // 35) END AS order_id,
+    CAST((k % 99 + 1) / 100.0 AS DECIMAL(10,2)) AS price, k % 8 AS qty FROM mon WHERE t IN (3, 4)),
+f AS (SELECT *, row_number() OVER (PARTITION BY run_id, coalesce(order_id, CAST(k AS VARCHAR)) ORDER BY k) AS rn FROM o)
+SELECT run_id, k AS ord, order_id, 'kalshi_demo' AS venue, 'M-' || (k % 40) AS market_ticker, 'paper_propose' AS action, {d6("price")} AS price,
+  {d6("nullif(qty, 0)")} AS quantity, {d6("price * nullif(qty, 0)")} AS notional, 'paper' AS status,
+  CASE WHEN t = 3 THEN 'open_order' ELSE 'paper_complement_order_proposal' END AS source FROM f WHERE rn = 1"""
+    out["monitor_candidates"] = f"""WITH {MON}
+SELECT run_id, k AS ord, 'M-' || (k % 40) AS market_ticker, 'same_market_complement' AS strategy, CASE WHEN k % 2 = 0 THEN 0.02 ELSE 0.03 END::DOUBLE AS edge_before_fees,
+  CAST(k % 9 AS DOUBLE) AS liquidity, k % 30 = 0 AS stale, 'audit_only' AS risk_decision FROM mon WHERE t = 0"""
+    aged = lambda c: f"CASE WHEN k % 3 <> 0 THEN {c} + k % 90 ELSE {c} END"
+    out["monitor_refresh"] = f"""WITH c AS (SELECT o_orderkey AS k FROM orders),
+a AS (SELECT k, k % 3 <> 0 AS running, {aged("k % 100")} AS keepalive_age, {aged("k % 110")} AS lifecycle_age, CASE WHEN k % 5 <> 0 THEN {aged("k % 300")} END AS quiet_age FROM c)
+SELECT k AS campaign, running, keepalive_age, lifecycle_age, quiet_age, CASE WHEN running AND keepalive_age > 120 THEN 'FAIL' ELSE 'PASS' END AS transport_keepalive,
+  CASE WHEN running AND lifecycle_age > 120 THEN 'FAIL' ELSE 'PASS' END AS market_lifecycle_validity,
+  CASE WHEN running AND quiet_age IS NOT NULL THEN CASE WHEN quiet_age > 300 THEN 'QUIET_WARNING' ELSE 'FRESH' END ELSE 'UNKNOWN' END AS message_freshness FROM a"""
+    out["jsonl_strict_scan"] = "SELECT event_id, event_type, user_id FROM events"
+    out["jsonl_quarantine_scan"] = """SELECT CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN 'CORRUPT_JSONL' ELSE event_type END AS event_type, count(*) AS line_count
+FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 <> 0 GROUP BY 1"""
+    cents = "(event_id % 99 + 1)"
+    ptxt = f"rtrim(CAST(CAST({cents} / 100.0 AS DECIMAL(10,2)) AS VARCHAR), '0')"
+    out["jsonl_canonical_write"] = f"""SELECT '{{"instrument_id":"' || user_id || '","ord":' || event_id || ',"price":"' || {ptxt} || '","quantity":"' || CAST(floor(value / 10) + 1 AS BIGINT)
+  || '","side":"' || CASE WHEN event_type IN ('purchase', 'click', 'signup') THEN 'buy' ELSE 'sell' END || '"}}' AS line FROM events"""
+    out["mixed_artifact_union"] = """SELECT CASE WHEN event_id % 2 = 0 THEN 'frame' ELSE 'quote' END AS record_type, count(*) AS record_count,
+  count(*) FILTER (event_id % 2 = 0) AS event_ids, count(*) FILTER (event_id % 2 = 1) AS user_ids FROM events GROUP BY 1"""
+    out["live_event_validation"] = """SELECT event_id, concat_ws('|', CASE WHEN event_id % 11 = 0 THEN 'venue_required' END, CASE WHEN event_id % 13 = 0 THEN 'sequence_not_positive' END,
+  CASE WHEN event_id % 7 = 0 THEN 'observed_at_not_aware' END, CASE WHEN event_id % 17 = 0 THEN 'source_type_unsupported' END,
+  CASE WHEN event_id % 19 = 0 THEN 'secret_like_payload' END) AS errors FROM events"""
+    out["snapshot_round_trip"] = f"""WITH {YN}
+SELECT event_id, CASE WHEN bb >= ba THEN 'locked_or_crossed' ELSE '' END AS errors, {d6("bb")} AS best_bid, {d6("ba")} AS best_ask,
+  CASE WHEN bb IS NULL THEN 0.0 ELSE 12.0 END::DOUBLE AS bid_depth FROM yn"""
+    out["scan_fixture"] = f"""WITH r AS (
+  SELECT l_orderkey, l_orderkey % 3 = 0 AS bare, l_returnflag = 'A' AS unk, CAST(0.45 + l_discount AS DECIMAL(6,2)) + CAST(0.46 + l_tax AS DECIMAL(6,2)) - 1 AS gross,
+    least(l_quantity, 51 - l_quantity) AS size FROM lineitem),
+n AS (SELECT *, CASE WHEN unk THEN 'unknown' WHEN bare THEN 'missing' ELSE 'supplied' END AS fs FROM r),
+c AS (SELECT *, gross - CASE WHEN fs = 'supplied' THEN 0.01 ELSE 0 END AS net FROM n)
+SELECT l_orderkey, count(*) AS row_count, count(*) AS max_sequence,
+  count(*) FILTER (gross > 0 AND size > 0 AND fs = 'supplied' AND net > 0.005) AS paper_candidate_count, count(*) FILTER (fs = 'missing') AS missing_fee_count,
+  {d6("sum(net)")} AS net_edge_sum FROM c GROUP BY 1"""
+    out["scenario_fixture"] = """SELECT o_orderkey, 1 AS sequence, CASE WHEN o_orderkey % 2 = 0 THEN 'fok' ELSE 'ioc' END AS policy,
+  CAST(CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 9 ELSE o_orderkey % 5 END AS DOUBLE) AS target_size FROM orders
+UNION ALL SELECT o_orderkey, 2, 'ioc', CAST(o_orderkey % 7 AS DOUBLE) FROM orders WHERE o_orderkey % 2 = 0"""
+    out["paged_list_union"] = "SELECT p_partkey // 50 AS page, p_partkey AS ticker FROM part"
+    fact = """SELECT lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS cik, s_name AS entity_name, 'us-gaap' AS taxonomy, '{c}' AS concept, '{l}' AS label, '{u}' AS unit,
+  {v} AS value, {y} AS fiscal_year, 'FY' AS fiscal_period, '10-K' AS form, '{f}-02-01' AS filed, '{y}-12-31' AS end_date, 'a-' || s_suppkey || '-{y}' AS accession_number FROM supplier"""
+    out["facts_flatten"] = " UNION ALL ".join(
+        (
+            fact.format(c="Balance", l="Account balance", u="USD", v=d6("CAST(s_acctbal AS DECIMAL(14,2))"), y=2022, f=2023),
+            fact.format(c="Balance", l="Account balance", u="USD", v=d6("CAST(s_acctbal * 2 AS DECIMAL(14,2))"), y=2023, f=2024),
+            fact.format(c="Nation", l="Nation", u="count", v=d6("s_nationkey"), y=2023, f=2024),
+        )
+    )
+    from paritymill.fixed import REPORT_INPUT_KINDS
+
+    kinds_sql = ", ".join(f"'{x}'" for x in REPORT_INPUT_KINDS)
+    out["manifest_coverage"] = f"""WITH m AS (SELECT p_partkey, [{kinds_sql}][p_partkey % 22 + 1] AS input_kind, p_size % 4 = 0 AS required FROM part),
+d AS (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01' GROUP BY 1)
+SELECT input_kind, count(*) AS entry_count, count(n) AS found_count, CAST(coalesce(sum(n), 0) AS BIGINT) AS descriptor_row_count,
+  count(*) FILTER (n IS NULL AND NOT required) AS missing_optional_count, count(*) FILTER (n IS NULL AND required) AS missing_required_count
+FROM m LEFT JOIN d ON p_partkey = l_partkey GROUP BY 1"""
+    out["manifest_entries"] = """SELECT p_partkey AS manifest_id, CASE WHEN p_partkey % 9 = 0 THEN 'https://x/' ELSE 'data/' END || p_partkey AS local_path,
+  concat_ws('|', CASE WHEN p_partkey % 7 = 0 THEN 'assumption_scope_missing' END, CASE WHEN p_partkey % 9 = 0 THEN 'remote_url' END,
+  CASE WHEN p_partkey % 5 = 0 THEN 'unknown_input_kind' END) AS errors FROM part"""
+    out["descriptor_validation"] = """SELECT event_id, concat_ws('|', CASE WHEN event_id % 5 = 0 THEN 'note_missing' END, CASE WHEN event_id % 4 = 3 THEN 'status_unsupported' END,
+  CASE WHEN event_id % 7 = 0 THEN 'source_content_field' END, CASE WHEN event_id % 11 = 0 THEN 'secret_like_field' END) AS errors FROM events"""
+    out["fixture_snapshots"] = f"""WITH {YN}
+SELECT 'F-' || (event_id % 100) AS ticker, count(*) AS snapshot_count, count(*) FILTER (bb >= ba) AS error_count,
+  CAST(sum(CASE WHEN bb IS NULL THEN 0 ELSE 2 END) AS BIGINT) AS bid_levels FROM yn GROUP BY 1"""
+    out["payload_safety"] = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'auth_token' WHEN 2 THEN 'my_secret' ELSE '' END AS secret_keys,
+  CASE WHEN doc_id % 5 = 1 THEN 'order_id' ELSE '' END AS private_keys, doc_id % 5 >= 3 AS payload_safe FROM documents"""
+    out["payload_redact"] = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[REDACTED]' END AS auth_token, CASE WHEN doc_id % 5 = 2 THEN '[REDACTED]' END AS nested_secret,
+  length(text) AS text_length FROM documents"""
     return out
