@@ -17,15 +17,17 @@ from paritymill.fixed import (
     REDACTED,
 )
 
-# every JSON string token with the colon that makes it a key; values are consumed whole
-_TOKEN = r'("(?:[^"\\]|\\.)*"\s*:?)'
+# every JSON string token with the colon that makes it a key; values are consumed whole.
+# possessive loops neither backtrack nor recurse, so a text of any length is fine
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf"({_STRING}\s*+:?)"
 
 
 def json_keys(payload: Column) -> Column:
     """Lower-cased keys of a JSON text at any depth."""
     tokens = F.regexp_extract_all(payload, F.lit(_TOKEN), F.lit(1))
     named = F.filter(tokens, lambda t: t.endswith(":"))
-    return F.transform(named, lambda t: F.lower(F.regexp_extract(t, r'^"(.*)"\s*:$', 1)))
+    return F.transform(named, lambda t: F.lower(F.regexp_extract(t, r'(?s)^"(.*)"\s*:$', 1)))
 
 
 def secret_keys(payload: Column, parts: Sequence[str] = FORBIDDEN_KEY_PARTS) -> Column:
@@ -67,7 +69,7 @@ def redact_payload(df: DataFrame, payload: str, parts: Sequence[str] = MONITOR_S
     """
     words = "|".join(p.replace("-", r"\-") for p in parts)
     key = rf'"([^"\\]*(?:{words})[^"\\]*)"\s*:\s*'
-    scalar = r'(?:"(?:[^"\\]|\\.)*"|-?\d[0-9.eE+\-]*|true|false|null)'
+    scalar = rf"(?:{_STRING}|-?\d[0-9.eE+\-]*|true|false|null)"
 
     @F.pandas_udf("string")
     def nested(texts: pd.Series) -> pd.Series:

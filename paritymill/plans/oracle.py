@@ -685,7 +685,7 @@ SELECT CAST(t.user_id AS VARCHAR) AS instrument_id, c AS supplied_fills, {d6("fe
   {d6("coalesce(gross, 0)")} AS realized_gross_pnl, {d6("coalesce(gross, 0) - fees")} AS realized_net_pnl,
   {d6("inv")} AS ending_inventory FROM t LEFT JOIN g USING (user_id)"""
     out["paper_ledger"] = f"""WITH {LEDGER}
-SELECT proposal_id, side, st.q AS quantity, round(CASE WHEN st.q > 0 THEN st.c / st.q ELSE 0 END, 6) AS average_price,
+SELECT proposal_id, side, st.q AS quantity, round(CASE WHEN st.q > 0 THEN st.c / st.q ELSE 0 END, 10) AS average_price,
   {d6("fees")} AS fees_paid FROM folded WHERE st.x"""
     out["paper_ledger_state"] = f"""WITH {LEDGER}
 SELECT (SELECT count(*) FROM prop) AS paper_order_count, (SELECT count(*) FROM rows WHERE fill) AS paper_fill_count,
@@ -698,7 +698,7 @@ SELECT event_key, proposal_id, mismatch AS reason FROM linked WHERE mismatch IS
 UNION ALL SELECT unnest(st.bad), proposal_id, 'settlement_exceeds_position' FROM folded"""
     out["reconcile_orders"] = f"""WITH {DEMO}
 SELECT audit_id, client_order_id, accepted, rejected, canceled, errored, timed_out, {d6("total")} AS filled_quantity,
-  round(CASE WHEN total > 0 THEN CAST(cost AS DOUBLE) / total ELSE 0 END, 6) AS average_fill_price, total = 20 AS fully_filled FROM st"""
+  round(CASE WHEN total > 0 THEN CAST(cost AS DOUBLE) / total ELSE 0 END, 10) AS average_fill_price, total = 20 AS fully_filled FROM st"""
     out["reconcile_mismatches"] = f"WITH {DEMO} SELECT audit_id, client_order_id, event_id, ord, reason FROM mm"
     kinds = ("accepted", "rejected", "partial_fill", "full_fill", "cancel", "error", "timeout", "backfill")
     counts = ", ".join(
@@ -751,8 +751,8 @@ a AS (
     count(*) FILTER (d IS NULL) AS undated_record_count FROM w GROUP BY days
 )
 SELECT * EXCLUDE (rec_n, full_n, part_n), CAST(DATE '2001-08-01' - (window_days - 1) AS VARCHAR) AS start_date, '2001-08-01' AS end_date,
-  round(CASE WHEN demo_order_count <> 0 THEN full_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE full_n / rec_n END, 6) AS fill_success_rate,
-  round(CASE WHEN demo_order_count <> 0 THEN part_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE part_n / rec_n END, 6) AS partial_fill_rate
+  round(CASE WHEN demo_order_count <> 0 THEN full_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE full_n / rec_n END, 10) AS fill_success_rate,
+  round(CASE WHEN demo_order_count <> 0 THEN part_n / demo_order_count WHEN rec_n = 0 THEN 0 ELSE part_n / rec_n END, 10) AS partial_fill_rate
 FROM a"""
     out["max_drawdown"] = f"""WITH {REC},
 w AS (SELECT days, k, p, coalesce(d, DATE '2001-08-01' - (days - 1)) AS day FROM pnls CROSS JOIN (VALUES (7), (30), (90), (2500)) v(days)
@@ -788,7 +788,7 @@ SELECT run_id, count(*) AS overlap_count FROM lg WHERE opened_at < pc GROUP BY 1
     out["coverage"] = f"""WITH {CONN},
 o AS (SELECT run_id, sum(us) AS us FROM windows GROUP BY 1), m AS (SELECT run_id, max(epoch_us(b) - epoch_us(a)) AS g FROM gaps GROUP BY 1)
 SELECT run_id, {d6("(epoch_us(ended_at) - epoch_us(started_at)) / 1000000.0")} AS actual_seconds, {d6("coalesce(us, 0) / 1000000.0")} AS connected_seconds,
-  round(coalesce(us, 0) / (epoch_us(ended_at) - epoch_us(started_at)), 6) AS coverage, {d6("coalesce(g, 0) / 1000000.0")} AS max_gap_seconds
+  round(coalesce(us, 0) / (epoch_us(ended_at) - epoch_us(started_at)), 10) AS coverage, {d6("coalesce(g, 0) / 1000000.0")} AS max_gap_seconds
 FROM runs LEFT JOIN o USING (run_id) LEFT JOIN m USING (run_id)"""
     out["max_quiet_gap"] = f"""WITH {CONN},
 lg AS (SELECT run_id, obs, ts, lag(ts) OVER (PARTITION BY run_id, obs ORDER BY ts) AS p FROM ce),
@@ -1068,4 +1068,27 @@ SELECT 'F-' || (event_id % 100) AS ticker, count(*) AS snapshot_count, count(*)
   CASE WHEN doc_id % 5 = 1 THEN 'order_id' ELSE '' END AS private_keys, doc_id % 5 >= 3 AS payload_safe FROM documents"""
     out["payload_redact"] = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[REDACTED]' END AS auth_token, CASE WHEN doc_id % 5 = 2 THEN '[REDACTED]' END AS nested_secret,
   length(text) AS text_length FROM documents"""
+    out["feed_consistency_stream"] = f"""WITH s AS (SELECT event_id AS arrival, 'v' || (user_id % 2) AS venue, 'M-' || (user_id % 10) AS market_id,
+  event_id + event_id // 17 AS sequence, ts AS received_at, ts - to_minutes({K}) AS observed_at FROM events),
+flagged AS (SELECT *, lag(sequence) OVER w AS pseq, lag(observed_at) OVER w AS pobs FROM s WINDOW w AS (PARTITION BY venue, market_id ORDER BY arrival))
+SELECT market_id, arrival, sequence, concat_ws('|', CASE WHEN {GAP} THEN 'sequence_gap' END, CASE WHEN {OOO} THEN 'out_of_order' END,
+  CASE WHEN {STALE} THEN 'stale_event' END) AS flags FROM flagged"""
+    out["rebuild_stream"] = f"""WITH {TOB}
+SELECT d.row_index, d.market_ticker, disposition, CASE WHEN snap AND perr IS NOT NULL THEN perr WHEN d.row_index = bad_from THEN bad_reason
+    WHEN disposition = 'EXCLUDED' THEN 'SEGMENT_INVALID' END AS reason,
+  CAST(sum(CASE WHEN disposition = 'FRAME_EMITTED' THEN 1 ELSE 0 END) OVER (PARTITION BY d.market_ticker, connection_id ORDER BY d.row_index) AS BIGINT) AS frame_count,
+  {d6("bb")} AS best_bid, {d6("1 - nb")} AS best_ask FROM disp d LEFT JOIN tob ON tob.row_index = d.row_index"""
+    out["distinct_events_stream"] = "SELECT DISTINCT event_id % 500 AS event_id FROM events"
+    closed = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+    out["daily_counters_stream"] = f"""SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day, 'M-' || (user_id % 10) AS market_id, count(*) AS row_count,
+  CAST(sum(floor(value / 10) + 1) AS BIGINT) AS quantity FROM events WHERE date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= {closed} GROUP BY 1, 2"""
+    out["sliding_counters_stream"] = f"""WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(n AS INTEGER)) AS st, value, ts FROM events, range(7) r(n))
+SELECT epoch_us(st) AS start, epoch_us(st + INTERVAL 7 DAY) AS "end", count(*) AS row_count, CAST(sum(floor(value / 10) + 1) AS BIGINT) AS quantity
+FROM d WHERE st + INTERVAL 7 DAY <= {closed} GROUP BY st"""
+    out["quiet_sessions_stream"] = f"""WITH m AS (SELECT 'M-' || (user_id % 10) AS market_id, ts FROM events),
+g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY market_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS n FROM m),
+s AS (SELECT *, sum(n) OVER (PARTITION BY market_id ORDER BY ts) AS sid FROM g)
+SELECT market_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 300000000 AS "end", count(*) AS row_count FROM s GROUP BY market_id, sid
+HAVING max(ts) + INTERVAL 5 MINUTE <= {closed}"""
+    out["stale_split_stream"] = f"SELECT event_id, CASE WHEN {K} > 30 THEN 'stale' ELSE 'fresh' END AS sink FROM events"
     return out

@@ -33,6 +33,7 @@ from paritymill.operators import (
 from paritymill.plans import views as V
 from paritymill.session import shared_folder
 from paritymill.sources import jsonl, records
+from paritymill.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -374,7 +375,7 @@ def paper_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positions.select(
         "proposal_id", "side",
         V.d6(F.col("quantity")).alias("quantity"),
-        F.round(F.col("average_price").cast("double"), 6).alias("average_price"),
+        F.round(F.col("average_price").cast("double"), 10).alias("average_price"),
         V.d6(F.col("fees_paid")).alias("fees_paid"),
     )
 
@@ -405,7 +406,7 @@ def reconcile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         "audit_id", "client_order_id", "accepted", "rejected", "canceled", "errored", "timed_out",
         V.d6(F.col("filled_quantity")).alias("filled_quantity"),
-        F.round("average_fill_price", 6).alias("average_fill_price"),
+        F.round("average_fill_price", 10).alias("average_fill_price"),
         "fully_filled",
     )
 
@@ -456,7 +457,7 @@ def daily_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rolling_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = _plain(reports.rolling_windows(V.v_records(spark, sf_dir), AS_OF))
     return out.withColumns(
-        {c: F.round(c, 6) for c in ("fill_success_rate", "partial_fill_rate")}
+        {c: F.round(c, 10) for c in ("fill_success_rate", "partial_fill_rate")}
     )
 
 
@@ -527,7 +528,7 @@ def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     w, runs = _windows(spark, sf_dir)
     out = connections.coverage(w, connections.disconnect_gaps(w, runs), runs)
-    return _plain(out).withColumn("coverage", F.round("coverage", 6))
+    return _plain(out).withColumn("coverage", F.round("coverage", 10))
 
 
 @register("max_quiet_gap")
@@ -1221,3 +1222,77 @@ def payload_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get_json_object("payload", "$.cfg.my_secret").alias("nested_secret"),
         F.length(F.get_json_object("payload", "$.body.text")).cast("bigint").alias("text_length"),
     )
+
+
+# --- streams ---------------------------------------------------------------
+@register("feed_consistency_stream")
+def feed_consistency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    feed_rows = V.stream_events(spark, sf_dir).select(
+        F.concat(F.lit("v"), (F.col("user_id") % 2).cast("string")).alias("venue"),
+        F.lit("orderbook").alias("channel"),
+        F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string")).alias("market_id"),
+        e.alias("event_id"),
+        (e + F.floor(e / 17)).alias("sequence"),
+        F.col("ts").alias("received_at"),
+        (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))).alias("observed_at"),
+    )
+    out = streams.run_available(
+        streams.feed_consistency_stream(feed_rows, "event_id", 30 * 60), "feed-stream"
+    )
+    return out.select("market_id", "arrival", "sequence", "flags")
+
+
+@register("rebuild_stream")
+def rebuild_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    msgs = V.messages_of(V.stream_events(spark, sf_dir)).where(F.col("native_type") != "heartbeat")
+    out = streams.run_available(
+        streams.rebuild_stream(rebuild.parse_book_messages(msgs)), "rebuild-stream"
+    )
+    return out.select(
+        "row_index", "market_ticker", "disposition", "reason", "frame_count",
+        V.d6(F.col("best_bid")).alias("best_bid"), V.d6(F.col("best_ask")).alias("best_ask"),
+    )
+
+
+@register("distinct_events_stream")
+def distinct_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.stream_events(spark, sf_dir).select((F.col("event_id") % 500).alias("event_id"), "ts")
+    return streams.run_available(streams.distinct_events_stream(ev, "ts", "60 days"), "distinct-stream").select("event_id")
+
+
+def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return V.stream_events(spark, sf_dir).select(
+        "ts", F.concat(F.lit("M-"), (F.col("user_id") % 10).cast("string")).alias("market_id"),
+        (F.floor(F.col("value") / 10) + 1).alias("quantity"),
+    )
+
+
+@register("daily_counters_stream")
+def daily_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.daily_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour", ["market_id"])
+    return _plain(streams.run_available(out, "daily-stream"))
+
+
+@register("sliding_counters_stream")
+def sliding_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.sliding_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour", 7)
+    return _plain(streams.run_available(out, "sliding-stream"))
+
+
+@register("quiet_sessions_stream")
+def quiet_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = streams.quiet_sessions_stream(_clocked(spark, sf_dir), "ts", "1 hour", ["market_id"])
+    return _plain(streams.run_available(out, "session-stream"))
+
+
+@register("stale_split_stream")
+def stale_split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ev = V.stream_events(spark, sf_dir).select(
+        "event_id", F.col("ts").alias("received_at"),
+        (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))).alias("observed_at"),
+    )
+    fresh, stale = streams.split_stale(ev, 30 * 60)
+    a = streams.run_available(fresh.select("event_id"), "fresh-stream").select("event_id", F.lit("fresh").alias("sink"))
+    b = streams.run_available(stale.select("event_id"), "stale-stream").select("event_id", F.lit("stale").alias("sink"))
+    return a.unionByName(b)

@@ -194,6 +194,10 @@ def _pairs(*levels: tuple[Column, int]) -> Column:
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: native snapshot, delta and heartbeat messages as JSON payloads."""
+    return messages_of(v_events(spark, sf_dir))
+
+
+def messages_of(events: DataFrame) -> DataFrame:
     e = F.col("event_id")
     tenth = lambda c: c / F.lit(10)
     yes = _pairs((tenth(e % 3 + 1), 5), (tenth(e % 3 + 2), 7))
@@ -229,7 +233,7 @@ def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         .otherwise(F.lit(""))
     )
-    return v_events(spark, sf_dir).select(
+    return events.select(
         e.cast("bigint").alias("row_index"),
         market.alias("market_ticker"),
         F.concat(F.lit("conn-"), F.floor((F.dayofmonth("ts") - 1) / 10).cast("string")).alias("connection_id"),
@@ -855,3 +859,12 @@ def v_segment_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("segment-"), F.floor(e / 1000).cast("string")).alias("segment_id"), e.alias("ord"),
         line.alias("record"),
     )
+
+
+def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a file stream."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]").withColumns(
+        {"ts": F.col("ts").cast("timestamp"), "k": F.regexp_extract("props", "([0-9]+)", 1).cast("bigint")}
+    )
