@@ -78,8 +78,8 @@ def _pair(x: Column, complement: bool) -> Column:
 
 def normalize_yes_no(df: DataFrame, payload: str = "payload") -> DataFrame:
     """YES bids pass through; a NO bid at ``p`` is a YES ask at ``1 - p`` of the same size."""
-    p = F.from_json(F.col(payload), _YES_NO)
-    book = p["orderbook_fp"]
+    parsed = df.withColumn("_p", F.from_json(payload, _YES_NO))
+    p, book = F.col("_p"), F.col("_p.orderbook_fp")
     bids = F.transform(F.coalesce(book["yes_dollars"], _no_pairs()), lambda x: _pair(x, False))
     asks = F.transform(F.coalesce(book["no_dollars"], _no_pairs()), lambda x: _pair(x, True))
     names = ("instrument_id", "market_ticker", "ticker")
@@ -87,7 +87,7 @@ def normalize_yes_no(df: DataFrame, payload: str = "payload") -> DataFrame:
         first_filled(*[p[n] for n in names], *[book[n] for n in names]), F.lit("UNKNOWN")
     )
     return _finish(
-        df, bids, asks, ident, "kalshi_orderbook_fp",
+        parsed, bids, asks, ident, "kalshi_orderbook_fp",
         [
             (book.isNull(), "orderbook_fp_missing"),
             (_not_list(F.col(payload), "$.orderbook_fp.yes_dollars"), "yes_dollars_not_list"),
@@ -107,7 +107,8 @@ def _amount(text: Column) -> Column:
 
 def normalize_bid_offer(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Bids and offers as given; a book with neither is an error."""
-    p = F.from_json(F.col(payload), _BID_OFFER)["marketData"]
+    parsed = df.withColumn("_p", F.from_json(payload, _BID_OFFER)["marketData"])
+    p = F.col("_p")
     empty = F.array().cast("array<struct<px: string, qty: string>>")
 
     def side(c: Column) -> Column:
@@ -121,12 +122,12 @@ def normalize_bid_offer(df: DataFrame, payload: str = "payload") -> DataFrame:
     bids, asks = side(p["bids"]), side(p["offers"])
     ident = F.coalesce(first_filled(p["marketSlug"], p["slug"], p["id"]), F.lit("UNKNOWN"))
     return _finish(
-        df, bids, asks, ident, "polymarket_us_market_book",
+        parsed, bids, asks, ident, "polymarket_us_market_book",
         [
             (p.isNull(), "market_data_missing"),
             (_not_list(F.col(payload), "$.marketData.bids"), "bids_not_list"),
             (_not_list(F.col(payload), "$.marketData.offers"), "offers_not_list"),
-            ((F.size(bids) == 0) & (F.size(asks) == 0), "empty_orderbook"),
+            ((F.size("_bids") == 0) & (F.size("_asks") == 0), "empty_orderbook"),
         ],
     )
 
@@ -140,7 +141,7 @@ def _finish(df: DataFrame, bids: Column, asks: Column, ident: Column, source: st
             "source": F.lit(source),
             "errors": F.concat(flags(*extra), book_errors(F.col("_bids"), F.col("_asks"))),
         }
-    ).drop("_bids", "_asks")
+    ).drop("_p", "_bids", "_asks")
 
 
 def validate_books(df: DataFrame) -> tuple[DataFrame, DataFrame]:

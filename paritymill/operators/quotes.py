@@ -13,7 +13,7 @@ from paritymill.functions.columns import clamp, dec
 from paritymill.functions.folds import sorted_fold
 from paritymill.functions.ordered import scan
 
-_WIDE = "decimal(30,18)"
+PRICE_WIDE = "decimal(30,18)"
 
 
 def midpoint(offset: str = "0.01") -> Callable[[Column, Column], Column]:
@@ -21,10 +21,10 @@ def midpoint(offset: str = "0.01") -> Callable[[Column, Column], Column]:
 
     def estimate(bid: Column, ask: Column) -> Column:
         step = dec(offset)
-        return F.coalesce(
-            ((bid + ask) * dec("0.5", "decimal(2,1)")).cast(PRICE),
-            clamp((bid + step).cast(PRICE), dec("0"), dec("1")),
-            clamp((ask - step).cast(PRICE), dec("0"), dec("1")),
+        return (
+            F.when(bid.isNotNull() & ask.isNotNull(), ((bid + ask) * dec("0.5", "decimal(2,1)")).cast(PRICE))
+            .when(bid.isNotNull(), F.least((bid + step).cast(PRICE), dec("1")))
+            .when(ask.isNotNull(), F.greatest((ask - step).cast(PRICE), dec("0")))
         )
 
     return estimate
@@ -67,35 +67,48 @@ def quote_bands(
     inv = F.col(inventory) if isinstance(inventory, str) else inventory
     low, high = c["min_price"], c["max_price"]
 
-    def inside(x: Column) -> Column:
-        return clamp(x.cast(_WIDE), low.cast(_WIDE), high.cast(_WIDE)).cast(PRICE)
-
-    def on_tick(x: Column, up: bool) -> Column:
-        """Exact grid point at or below (above) ``x``: a remainder, never a rounded quotient."""
-        x = inside(x)
-        rest = x % c["tick_size"]
-        down = (x - rest).cast(_WIDE)
-        return inside(F.when(rest > 0, down + c["tick_size"]).otherwise(down) if up else down)
+    def inside(name: str) -> Column:
+        """A named column kept within the price bounds; null stays null."""
+        return clamp(F.col(name), low, high)
 
     base = fair_value(df, model)
-    skew = clamp(
-        (inv.cast(QTY) * c["inventory_skew_per_unit"]).cast(_WIDE),
-        (-c["max_inventory_skew"]).cast(_WIDE),
-        c["max_inventory_skew"].cast(_WIDE),
-    ).cast(PRICE)
-    observed = F.coalesce((F.col("best_ask") - F.col("best_bid")).cast(PRICE), c["default_spread"])
-    half = (
-        F.greatest(observed, c["default_spread"], c["min_spread"]) * dec("0.5", "decimal(2,1)")
-    ).cast(PRICE)
-    q = base.withColumn("inventory_skew", skew)
-    q = q.withColumn("adjusted_fair_value", inside(F.col("fair_value") - F.col("inventory_skew")))
+    cap = c["max_inventory_skew"]
+    raw_skew = (inv.cast(QTY) * c["inventory_skew_per_unit"].cast("decimal(10,8)")).cast(PRICE_WIDE)
+    # every step is a named column, so that nothing is evaluated twice
+    q = base.withColumn("_skew", raw_skew)
+    q = q.withColumn("inventory_skew", clamp(F.col("_skew"), -cap, cap).cast(PRICE))
+    q = q.withColumns(
+        {
+            "_fair": (F.col("fair_value") - F.col("inventory_skew")).cast(PRICE),
+            "_observed": F.coalesce((F.col("best_ask") - F.col("best_bid")).cast(PRICE), c["default_spread"]),
+        }
+    )
     q = q.withColumns(
         {
-            "_bid": on_tick(F.col("adjusted_fair_value") - half, up=False),
-            "_ask": on_tick(F.col("adjusted_fair_value") + half, up=True),
+            "adjusted_fair_value": inside("_fair"),
+            "_half": (
+                F.greatest("_observed", c["default_spread"], c["min_spread"]) * dec("0.5", "decimal(2,1)")
+            ).cast(PRICE),
         }
     )
-    bid, ask, tick = F.col("_bid"), F.col("_ask"), c["tick_size"]
+    q = q.withColumns(
+        {
+            "_low": (F.col("adjusted_fair_value") - F.col("_half")).cast(PRICE),
+            "_high": (F.col("adjusted_fair_value") + F.col("_half")).cast(PRICE),
+        }
+    ).withColumns({"_low": inside("_low"), "_high": inside("_high")})
+    # exact grid points: remainders of the tick, never a rounded quotient
+    tick = c["tick_size"]
+    q = q.withColumns({"_low_rest": F.col("_low") % tick, "_high_rest": F.col("_high") % tick})
+    q = q.withColumns(
+        {
+            "_bid": (F.col("_low") - F.col("_low_rest")).cast(PRICE),
+            "_ask": (
+                F.col("_high") - F.col("_high_rest") + F.when(F.col("_high_rest") > 0, tick).otherwise(dec("0"))
+            ).cast(PRICE),
+        }
+    ).withColumns({"_bid": inside("_bid"), "_ask": inside("_ask")})
+    bid, ask = F.col("_bid"), F.col("_ask")
     apart = bid < ask
     up = (ask + tick) <= high
     down = (bid - tick) >= low
@@ -106,7 +119,9 @@ def quote_bands(
             "quantity": dec(settings["order_quantity"], QTY),
             "execution_policy": F.lit("dry_run_only"),
         }
-    ).withColumn("target_spread", (F.col("ask_price") - F.col("bid_price")).cast(PRICE)).drop("_bid", "_ask")
+    ).withColumn("target_spread", (F.col("ask_price") - F.col("bid_price")).cast(PRICE)).drop(
+        "_skew", "_fair", "_observed", "_half", "_low", "_high", "_low_rest", "_high_rest", "_bid", "_ask"
+    )
 
 
 def _check_config(settings: dict) -> None:

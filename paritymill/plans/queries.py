@@ -31,7 +31,7 @@ from paritymill.operators import (
     selection,
 )
 from paritymill.plans import views as V
-from paritymill.session import shared_folder
+from paritymill.session import shared_folder, spread
 from paritymill.sources import jsonl, records
 from paritymill.streaming import streams
 
@@ -215,7 +215,7 @@ def order_preview_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("limit_screen")
 def limit_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = V.table(spark, sf_dir, "lineitem")
+    li = spread(V.table(spark, sf_dir, "lineitem"))
     requests = li.select(
         V.line_key().alias("request_id"),
         F.when(F.col("l_linenumber") == 7, "paper").otherwise("demo").alias("execution_mode"),
@@ -1063,7 +1063,7 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _book_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fixture document per order that has lines; top-level fields default the rows."""
-    li = V.table(spark, sf_dir, "lineitem")
+    li = spread(V.table(spark, sf_dir, "lineitem"))
     text = lambda c: F.concat(F.lit('"'), c.cast("decimal(6,2)").cast("string"), F.lit('"'))
     row = F.concat(
         F.lit('{"venue":"v","market_id":"'), F.col("l_partkey").cast("string"), F.lit('","best_yes_bid":'),
@@ -1200,7 +1200,7 @@ def _text_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.when(d % 5 == 0, F.lit('"Auth_Token":"abc"')).when(d % 5 == 1, F.lit('"order_id":7')).when(
         d % 5 == 2, F.lit('"cfg":{"my_secret":{"a":[1,2]}}')
     ).otherwise(F.lit('"n":1'))
-    return V.table(spark, sf_dir, "documents").select(
+    return spread(V.table(spark, sf_dir, "documents")).select(
         "doc_id", F.concat(F.lit("{"), extra, F.lit(',"body":'), body, F.lit("}")).alias("payload")
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from paritymill.fixed import PRICE, QTY
 from paritymill.functions.ordered import CHUNK_ROWS, chunk_of, scan
+from paritymill.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +36,7 @@ def d6(c: Column) -> Column:
 
 def v_top_of_book(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V3: one top-of-book row per lineitem."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     status = (
         F.when(F.col("l_returnflag") == "A", "supplied")
         .when(F.col("l_returnflag") == "N", "missing")
@@ -194,7 +195,7 @@ def _pairs(*levels: tuple[Column, int]) -> Column:
 
 def v_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """V2: native snapshot, delta and heartbeat messages as JSON payloads."""
-    return messages_of(v_events(spark, sf_dir))
+    return messages_of(spread(v_events(spark, sf_dir)))
 
 
 def messages_of(events: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def v_yes_no_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","orderbook_fp":{"yes_dollars":'), F.when(e % 5 == 0, F.lit("null")).otherwise(yes),
         F.lit(',"no_dollars":'), no, F.lit("}}"),
     )
-    return v_events(spark, sf_dir).select("event_id", body.alias("payload"))
+    return spread(v_events(spark, sf_dir)).select("event_id", body.alias("payload"))
 
 
 def v_bid_offer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -287,7 +288,7 @@ def v_bid_offer_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('","state":"'), state, F.lit('",'),
         F.when(e % 11 == 0, F.lit('"bids":[],"offers":null')).otherwise(full), F.lit("}}"),
     )
-    return v_events(spark, sf_dir).select("event_id", body.alias("payload"), state.alias("state"))
+    return spread(v_events(spark, sf_dir)).select("event_id", body.alias("payload"), state.alias("state"))
 
 
 def v_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -324,7 +325,7 @@ def v_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.unix_date(F.col("o_orderdate").cast("date")).cast("bigint").alias("day"),
         F.concat(F.lit("!"), key).alias("event_key"),
     )
-    li = table(spark, sf_dir, "lineitem")
+    li = spread(table(spark, sf_dir, "lineitem"))
     proposal = F.col("l_orderkey").cast("string")
     fill = F.col("l_returnflag") != "R"
     bad_candidate = F.col("l_partkey") % 50 == 0
@@ -569,7 +570,7 @@ def v_transport(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """(messages, requests, connections) of recorded campaigns with faults of every kind."""
     e = F.col("event_id")
     slot, block = e % 50, F.floor(e / 50) * 50
-    ev = v_events(spark, sf_dir).select(
+    ev = spread(v_events(spark, sf_dir)).select(
         "*",
         F.concat(F.lit("camp-"), F.floor(e / 1000).cast("string")).alias("campaign_id"),
         (F.floor((e % 1000) / 250) + 1).alias("connection_epoch"),

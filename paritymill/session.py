@@ -56,3 +56,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
         return df
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores when the input has fewer splits than the session has cores.
+
+    Only a table of a few small files is affected: a costly projection over it would
+    otherwise run in one task.  A table of many files is returned as it is, unshuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
