@@ -144,9 +144,14 @@ def _finish(df: DataFrame, bids: Column, asks: Column, ident: Column, source: st
     ).drop("_p", "_bids", "_asks")
 
 
+def mark_books(df: DataFrame) -> DataFrame:
+    """Books with the ``errors`` that make them invalid, in one pass."""
+    return df.withColumn("errors", book_errors(F.col("bids"), F.col("asks")))
+
+
 def validate_books(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected) canonical books."""
-    checked = df.withColumn("errors", book_errors(F.col("bids"), F.col("asks")))
+    checked = mark_books(df)
     return checked.where(F.size("errors") == 0), checked.where(F.size("errors") > 0)
 
 

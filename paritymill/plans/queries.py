@@ -262,10 +262,9 @@ def book_normalize_bid_offer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("book_validity")
 def book_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good, bad = books.validate_books(books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)))
-    return good.select("instrument_id", F.lit("valid").alias("state")).unionByName(
-        bad.select("instrument_id", joined("errors").alias("state"))
-    ).groupBy("instrument_id", "state").agg(F.count(F.lit(1)).alias("book_count"))
+    marked = books.mark_books(books.normalize_yes_no(V.v_yes_no_payloads(spark, sf_dir)))
+    state = F.when(F.size("errors") == 0, "valid").otherwise(joined("errors"))
+    return marked.groupBy("instrument_id", state.alias("state")).agg(F.count(F.lit(1)).alias("book_count"))
 
 
 @register("book_metrics")
