@@ -221,13 +221,11 @@ def flatten_company_facts(df: DataFrame, document: str = "document") -> DataFram
         F.explode(F.from_json("_concepts", "map<string, string>")).alias("concept", "_body"),
     ).where(F.col("_body").startswith("{"))
     bodies = concepts.withColumn("_c", F.from_json("_body", CONCEPT))
-    strict = F.when(
-        F.col("_c.units").isNull(),
-        F.raise_error(F.concat(F.lit("concept without units: "), F.col("concept"))).cast("string"),
-    ).otherwise(F.coalesce("_c.label", "concept"))
+    kind = bodies.schema["_c"].dataType["units"].dataType.simpleString()
+    refused = F.raise_error(F.concat(F.lit("concept without units: "), F.col("concept"))).cast(kind)
     units = bodies.select(
-        "cik", "entity_name", "taxonomy", "concept", strict.alias("label"),
-        F.explode("_c.units").alias("unit", "_facts"),
+        "cik", "entity_name", "taxonomy", "concept", F.coalesce("_c.label", "concept").alias("label"),
+        F.explode(F.coalesce(F.col("_c.units"), refused)).alias("unit", "_facts"),
     )
     return units.select("*", F.explode("_facts").alias("_f")).select(
         "cik", "entity_name", "taxonomy", "concept", "label", "unit",
