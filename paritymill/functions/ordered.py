@@ -28,6 +28,15 @@ def time_chunk(ts: Column, seconds: int = 3_600) -> Column:
     return F.floor(F.unix_seconds(ts) / F.lit(seconds)).cast("bigint")
 
 
+def _position(order: Sequence[str]) -> Column:
+    return F.col(order[0]) if len(order) == 1 else F.struct(*order)
+
+
+def _same(columns: Sequence[str]) -> Column:
+    """Equality with the renamed key columns of a carry table."""
+    return reduce(lambda a, b: a & b, [F.col(c) == F.col(f"_k{i}") for i, c in enumerate(columns)])
+
+
 _COMBINE = {
     "sum": lambda a, b: F.coalesce(a + b, a, b),
     "max": lambda a, b: F.greatest(a, b),
@@ -53,7 +62,8 @@ def scan(
     ``running``    name -> (sum|max|min|last, expression), up to and with the row
     ``exclusive``  the same, up to but without the row
     ``chunk`` must not decrease along ``order`` and must bound the rows of a key in it.
-    ``last`` is the latest non-null value.
+    ``last`` is the latest non-null value.  Key, chunk and order columns hold no nulls, so
+    the carry joins on plain equality and finds the rows partitioned and sorted for it.
     """
     prior, running, exclusive = dict(prior or {}), dict(running or {}), dict(exclusive or {})
     keys, order = list(keys), list(order)
@@ -76,12 +86,9 @@ def scan(
         adds[name] = windowed(kind, expr, before)
     rows = src.withColumns(adds)
 
-    position = F.struct(*order)
-    totals = []
-    if prior:
-        totals.append(
-            F.max_by(F.struct(*[e.alias(n) for n, e in prior.items()]), position).alias("_prior")
-        )
+    position = _position(order)
+    # one max_by per column keeps primitive values in a hash aggregate
+    totals = [F.max_by(e, position).alias(f"_p_{n}") for n, e in prior.items()]
     for name, (kind, expr) in {**running, **exclusive}.items():
         if kind == "last":
             agg = F.max_by(expr, F.when(expr.isNotNull(), position))
@@ -92,22 +99,17 @@ def scan(
     chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     carried = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, _CHUNK])]
-    if prior:
-        carried.append(F.lag("_prior").over(chunks).alias("_c_prior"))
+    carried += [F.lag(f"_p_{n}").over(chunks).alias(f"_c_{n}") for n in prior]
     for name, (kind, _) in {**running, **exclusive}.items():
         carried.append(windowed(kind, F.col(name), earlier).alias(f"_c_{name}"))
     carry = summary.select(*carried)
 
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, _CHUNK])],
-    )
-    joined = rows.join(carry, match, "left")
+    joined = rows.join(carry, _same([*keys, _CHUNK]), "left")
     out = [F.col(c) for c in df.columns]
     for name in prior:
         out.append(
             F.when(F.col("_prior").isNotNull(), F.col(f"_prior.{name}"))
-            .otherwise(F.col(f"_c_prior.{name}"))
+            .otherwise(F.col(f"_c_{name}"))
             .alias(name)
         )
     for name, (kind, _) in {**running, **exclusive}.items():
@@ -161,9 +163,10 @@ def scan_net(
         .withColumn("_ext", agg("_in").over(inside.rowsBetween(Window.unboundedPreceding, -1)))
     )
     summary = rows.groupBy(*keys, _CHUNK).agg(
-        F.max_by(F.struct("_in", *sums), F.struct(*order)).alias("_at"), agg("_in").alias("_prefix")
+        F.max_by("_in", _position(order)).alias("_total"),
+        agg("_in").alias("_prefix"),
+        *[F.max_by(n, _position(order)).alias(f"_s_{n}") for n in sums],
     )
-    summary = summary.withColumn("_total", F.col("_at._in"))
     chunks = Window.partitionBy(*keys).orderBy(_CHUNK)
     earlier = chunks.rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.withColumn("_base", F.sum("_total").over(earlier)).withColumn(
@@ -172,12 +175,9 @@ def scan_net(
     named = [F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, _CHUNK])]
     carry = carried.select(
         *named, "_base", agg("_reach").over(earlier).alias("_ext_base"),
-        *[F.sum(F.col(f"_at.{n}")).over(earlier).alias(f"_c_{n}") for n in sums],
-    )
-    match = reduce(
-        lambda a, b: a & b,
-        [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, _CHUNK])],
+        *[F.sum(f"_s_{n}").over(earlier).alias(f"_c_{n}") for n in sums],
     )
+    match = _same([*keys, _CHUNK])
     zero = F.col("_in") * 0
     base = F.coalesce("_base", zero)
     return rows.join(carry, match, "left").select(

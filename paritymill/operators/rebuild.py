@@ -447,9 +447,10 @@ def with_frame_hash(frames: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
 
 
 def native_book_rows(df: DataFrame) -> DataFrame:
-    """Admitted order-book rows only: excluded rows never touch a book."""
+    """Admitted order-book rows of a named market: other rows never touch a book."""
     return df.where(
         F.col("native_type").isin(*ORDERBOOK_TYPES)
+        & F.col("market_ticker").isNotNull()
         & (F.col("admission_status") == "ADMITTED")
         & F.col("exclusion_reason").isNull()
     )
