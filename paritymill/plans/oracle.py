@@ -1091,4 +1091,76 @@ s AS (SELECT *, sum(n) OVER (PARTITION BY market_id ORDER BY ts) AS sid FROM g)
 SELECT market_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 300000000 AS "end", count(*) AS row_count FROM s GROUP BY market_id, sid
 HAVING max(ts) + INTERVAL 5 MINUTE <= {closed}"""
     out["stale_split_stream"] = f"SELECT event_id, CASE WHEN {K} > 30 THEN 'stale' ELSE 'fresh' END AS sink FROM events"
+    out["quote_hysteresis"] = f"""WITH q AS (
+  SELECT CAST(user_id AS VARCHAR) AS instrument_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id AS ord,
+    40 + CAST(floor(value) AS BIGINT) % 8 AS cents, CASE WHEN event_id % 50 < 5 THEN 2 ELSE 1 END AS qty FROM events
+),
+f AS (
+  SELECT instrument_id, side, list_reduce(
+    list_prepend({{'o': -1::BIGINT, 'c': NULL::BIGINT, 'z': NULL::BIGINT, 'log': []::STRUCT(ord BIGINT, action VARCHAR, held BIGINT)[]}},
+      list({{'o': ord, 'c': CAST(cents AS BIGINT), 'z': CAST(qty AS BIGINT), 'log': []::STRUCT(ord BIGINT, action VARCHAR, held BIGINT)[]}} ORDER BY ord)),
+    lambda a, r: CASE WHEN a.c IS NOT NULL AND a.z = r.z AND abs(a.c - r.c) < 2
+      THEN {{'o': r.o, 'c': a.c, 'z': a.z, 'log': list_append(a.log, {{'ord': r.o, 'action': 'hold', 'held': a.c}})}}
+      ELSE {{'o': r.o, 'c': r.c, 'z': r.z, 'log': list_append(a.log, {{'ord': r.o, 'action': CASE WHEN a.c IS NULL THEN 'place' ELSE 'replace' END, 'held': r.c}})}} END) AS st
+  FROM q GROUP BY 1, 2
+),
+u AS (SELECT instrument_id, side, unnest(st.log) AS x FROM f)
+SELECT instrument_id, side, x.ord AS ord, x.action AS action, CASE WHEN x.action = 'hold' THEN 'skipped' ELSE 'accepted' END AS result_status,
+  {d6("CAST(x.held AS DECIMAL(10,2)) * 0.01")} AS accepted_price FROM u"""
+    gap = "CASE WHEN event_id % 3407 = 3406 THEN ' ' ELSE '' END"
+    out["segment_chain_audit"] = f"""WITH l AS (
+  SELECT 'segment-' || (event_id // 1000) AS segment_id, event_id AS ord, event_id % 3407 = 3406 AS spaced, event_id % 2501 = 2500 AS skipped,
+    '{{"event_id":' || {gap} || event_id || ',"kind":"' || event_type || '","local_row_index":' || (event_id % 1000 + CASE WHEN event_id % 2501 = 2500 THEN 2 ELSE 1 END)
+      || '}}' || chr(10) AS line FROM events
+),
+n AS (SELECT *, row_number() OVER (PARTITION BY segment_id ORDER BY ord) AS i FROM l)
+SELECT segment_id, count(*) AS record_count, CAST(sum(length(line)) AS BIGINT) AS byte_count,
+  list_reduce(list_prepend(sha256('v1:' || segment_id), list(lpad(lower(to_hex(length(line))), 16, '0') || hex(line) ORDER BY ord)),
+    lambda a, x: sha256(unhex(a || x))) AS chain_hash,
+  coalesce(CAST(min(i) FILTER (spaced OR skipped) AS VARCHAR), '') AS first_flaw_index,
+  arg_min(CASE WHEN skipped THEN 'row_index_not_contiguous' ELSE 'not_canonical' END, i) FILTER (spaced OR skipped) AS first_flaw FROM n GROUP BY segment_id"""
+    level = lambda price: f"""'{{"price":"' || CASE WHEN {price} = 0 THEN '0' ELSE rtrim(rtrim(CAST({price} AS VARCHAR), '0'), '.') END || '","quantity":"' || s.qty || '"}}'"""
+    state = """CASE WHEN bl = 0 AND al = 0 THEN 'EMPTY' WHEN al = 0 THEN 'YES_BIDS_ONLY' WHEN bl = 0 THEN 'YES_ASKS_ONLY'
+    WHEN bb > 1 - nb THEN 'CROSSED' WHEN bb = 1 - nb THEN 'LOCKED' ELSE 'TWO_SIDED' END"""
+    ladders = f"""{TOB},
+lad AS (
+  SELECT f.row_index, coalesce(string_agg({level("s.price")}, ',' ORDER BY s.price DESC) FILTER (s.side = 'yes'), '') AS bids,
+    coalesce(string_agg({level("CAST(1 - s.price AS DECIMAL(6,2))")}, ',' ORDER BY s.price DESC) FILTER (s.side = 'no'), '') AS asks
+  FROM disp f LEFT JOIN seg s ON s.market_ticker = f.market_ticker AND s.connection_id = f.connection_id
+    AND s.epoch = f.epoch AND s.row_index <= f.row_index AND (s.nxt IS NULL OR f.row_index < s.nxt) AND s.qty > 0
+  WHERE f.disposition = 'FRAME_EMITTED' GROUP BY f.row_index
+),
+hsh AS (
+  SELECT t.row_index, t.market_ticker, d.connection_id, sha256('{{"book_state":"' || {state} || '","canonical_yes_asks":[' || asks || '],"canonical_yes_bids":[' || bids
+    || '],"connection_id":"' || d.connection_id || '","market_ticker":"' || t.market_ticker || '","row_index":' || t.row_index || ',"segment_id":"seg-1"}}') AS frame_hash
+  FROM tob t JOIN lad ON lad.row_index = t.row_index JOIN disp d ON d.row_index = t.row_index
+)"""
+    out["book_ladder_hash"] = f"WITH {ladders} SELECT row_index, market_ticker, frame_hash FROM hsh"
+    out["frame_hash_chain"] = f"""WITH {ladders}
+SELECT market_ticker, connection_id, 'seg-1' AS segment_id, count(*) AS frame_count,
+  list_reduce(list_prepend('', list(frame_hash ORDER BY row_index)), lambda a, x: sha256(unhex(a || x))) AS frame_hash_chain,
+  arg_max(frame_hash, row_index) AS latest_frame_hash FROM hsh GROUP BY 1, 2"""
+    out["binding_state"] = f"""WITH {NATIVE},
+rq AS (SELECT event_id AS bo, event_id // 1000 AS camp, event_id // 250 AS cn, CASE WHEN event_id % 50 = 0 THEN 'orderbook_delta' ELSE 'trade' END AS bch, event_id + 1 AS cmd
+  FROM events WHERE event_id % 50 IN (0, 1)),
+bd AS (SELECT *, row_number() OVER (PARTITION BY camp, bch ORDER BY bo) AS gen, row_number() OVER (PARTITION BY camp ORDER BY bo) AS rix,
+  lead(bo) OVER (PARTITION BY cn, bch ORDER BY bo) AS eo FROM rq),
+nr AS (SELECT *, ord // 1000 AS camp, ord // 250 AS cn,
+  coalesce(ch, CASE WHEN kind IN ('orderbook_snapshot', 'orderbook_delta') THEN 'orderbook_delta' ELSE kind END) AS chan,
+  CASE WHEN sid_ IS NULL AND kind IN ('subscribed', 'orderbook_snapshot', 'orderbook_delta', 'trade') THEN 1 END AS rejected FROM natd),
+lk AS (SELECT nr.*, coalesce(o.bch, c.bch) AS bch, coalesce(o.gen, c.gen) AS gen, coalesce(o.cmd, c.cmd) AS cmd, coalesce(o.rix, c.rix) AS rix FROM nr
+  LEFT JOIN bd o ON o.cn = nr.cn AND o.bch = nr.chan AND o.bo < nr.ord AND (o.eo IS NULL OR o.eo > nr.ord)
+  LEFT JOIN bd c ON o.bo IS NULL AND nr.kind = 'error' AND c.cn = nr.cn AND c.cmd = nr.rid AND c.bo < nr.ord AND (c.eo IS NULL OR c.eo > nr.ord)),
+an AS (SELECT camp, bch, gen, ord, CASE WHEN kind = 'subscribed' THEN 'A' ELSE 'R' END AS a, sid_ FROM lk
+  WHERE rejected IS NULL AND gen IS NOT NULL AND kind IN ('subscribed', 'error') AND rid = cmd),
+fs AS (SELECT camp, bch, gen, min(ord) AS fo, arg_min(a, ord) AS fa, arg_min(coalesce(sid_, -1), ord) AS fsid FROM an GROUP BY 1, 2, 3),
+cf AS (SELECT camp, bch, gen, min(ord) AS co FROM an JOIN fs USING (camp, bch, gen) WHERE a <> fa OR (a = 'A' AND coalesce(sid_, -1) <> fsid) GROUP BY 1, 2, 3),
+j AS (SELECT lk.*, fo, fa, co, rejected IS NULL AND gen IS NOT NULL AND kind = 'subscribed' AS ack, rejected IS NULL AND gen IS NOT NULL AND kind = 'error' AS rej,
+  coalesce(rid = cmd, false) AS hit FROM lk LEFT JOIN fs USING (camp, bch, gen) LEFT JOIN cf USING (camp, bch, gen))
+SELECT 'camp-' || camp AS campaign_id, cn % 4 + 1 AS connection_epoch, ord, bch AS binding_channel, gen AS generation, cmd AS command_id, rix AS run_request_index,
+  CASE WHEN (ack OR rej) AND NOT hit THEN 'REQUEST_MISMATCH' WHEN gen IS NULL THEN 'UNKNOWN' WHEN co <= ord THEN 'CONFLICTED'
+    WHEN fo <= ord THEN CASE fa WHEN 'A' THEN 'ACKNOWLEDGED' ELSE 'REJECTED' END ELSE 'REQUESTED' END AS binding_state,
+  CASE WHEN ack AND NOT hit THEN 'STALE_ACK' WHEN ack AND ord = fo THEN 'ACKNOWLEDGED' WHEN ack AND co <= ord THEN 'CONFLICTING_ACK' WHEN ack THEN 'DUPLICATE_ACK'
+    WHEN rej AND NOT hit THEN 'REJECTED' WHEN rej AND ord = fo THEN 'REJECTED' WHEN rej AND co <= ord THEN 'CONFLICTING_REJECTION' WHEN rej THEN 'DUPLICATE_REJECTION' END AS binding_observation
+FROM j"""
     return out
