@@ -20,7 +20,7 @@ from paritymill.fixed import (
     STALE_VENUE_SECONDS,
     TOTAL,
 )
-from paritymill.functions.columns import age_seconds, first_filled, first_nonzero, has, is_true
+from paritymill.functions.columns import age_seconds, first_filled, has, is_true
 
 _KINDS = {
     "record_type": "string", "venue": "string", "market_id": "string", "market_ticker": "string",
@@ -274,8 +274,3 @@ def monitor_tables(records: DataFrame, venues: DataFrame, now: datetime | Column
         "health": monitor_health(rollup, status),
     }
 
-
-__all__ = [
-    "first_nonzero", "monitor_candidates", "monitor_health", "monitor_orders", "monitor_positions",
-    "monitor_tables", "refresh_running", "run_rollup", "venue_status", "with_monitor_columns",
-]

@@ -224,8 +224,3 @@ def run_available(stream: DataFrame, label: str, output_mode: str = "append") ->
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
-
-__all__ = [
-    "daily_counters_stream", "distinct_events_stream", "feed_consistency_stream", "quiet_sessions_stream",
-    "rebuild_stream", "run_available", "sequence_stream", "sliding_counters_stream", "split_stale",
-]
