@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritymill.llm import pii, sharding
+from paritymill.llm import neardup, pii, sharding
 from paritymill.llm.shared import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,11 @@ def _crc(text) -> F.Column:
     return F.crc32(text.cast("binary"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of near-duplicate documents over all whole texts."""
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 of all documents, law ``key``: document id and shard count decide."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -50,6 +55,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op4_near_duplicates": op4_near_duplicates,
         "op6_jump_sharding": op6_jump_sharding,
         "op9_personal_data": op9_personal_data,
     }
