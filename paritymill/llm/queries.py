@@ -7,11 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paritymill.llm import neardup, pii, sharding
-from paritymill.llm.shared import stage
+import public_tokenizers
+
+from paritymill.llm import neardup, packing, pii, sharding, tokenfile
+from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
+END = 2
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +30,16 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in windows of 4096 tokens, sources in their corpus proportions."""
+    pieces = packing.pack(
+        _table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep_space=False, end=END
+    )
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source"
+    )
+
+
 def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shards 0 to 39 of all documents, law ``key``: document id and shard count decide."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -42,6 +55,17 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as token-id files and read back from them."""
+    folder = scratch_folder(spark, "token-files")
+    tokenfile.write_token_files(
+        _table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), keep_space=True, end=END
+    )
+    return tokenfile.read_token_files(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
+
+
 def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal-data spans of every whole document text."""
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -56,6 +80,8 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op4_near_duplicates": op4_near_duplicates,
+        "op5_mixture_packing": op5_mixture_packing,
         "op6_jump_sharding": op6_jump_sharding,
+        "op8_token_files": op8_token_files,
         "op9_personal_data": op9_personal_data,
     }

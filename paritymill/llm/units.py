@@ -104,6 +104,11 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix(raw + (ends - starts).astype(np.uint64))
 
 
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """Random value of each byte, as ``span_hashes`` takes them."""
+    return _VALUES[data]
+
+
 @dataclass
 class Words:
     """Words of a slice, in order."""
@@ -122,7 +127,7 @@ def words(part: Slice, lower: bool = True) -> Words:
         zeros = np.zeros(part.rows, dtype=np.int64)
         return Words(np.zeros(0, np.uint64), empty, empty, zeros, np.zeros(part.rows + 1, np.int64))
     starts, ends = _edges(~IS_SPACE[part.data], part.bounds)
-    values = _VALUES[LOWER[part.data] if lower else part.data]
+    values = byte_values(LOWER[part.data] if lower else part.data)
     bounds = np.searchsorted(starts, part.bounds)
     return Words(span_hashes(values, starts, ends), starts, ends, np.diff(bounds), bounds)
 
