@@ -2,6 +2,48 @@
 
 from __future__ import annotations
 
+from paritymill.llm import quality, sharding
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _host_quality() -> str:
+    q = quality
+    return rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS body,
+             regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    win AS (
+      SELECT doc_id, i, list_slice(w, i, i + {q.WINDOW - 1}) AS g
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - {q.WINDOW - 2})) AS i FROM d WHERE len(w) >= {q.WINDOW})),
+    twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+    rep AS (
+      SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {q.WINDOW})) AS p FROM twice) GROUP BY 1),
+    ln AS (
+      SELECT doc_id, list_filter(string_split(body, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+    f AS (
+      SELECT d.doc_id, host, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             length(regexp_replace(body, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
+             length(regexp_replace(body, '[^!]', '', 'g')) AS n_exclaims, len(l) AS n_lines
+      FROM d JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
+    b AS (
+      SELECT *, n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM f),
+    j AS (
+      SELECT *, base_failed OR 100 * n_symbols > {q.SYMBOL_PERCENT} * word_chars
+             OR 100 * n_exclaims > {q.EXCLAIM_PERCENT} * word_chars
+             OR 100 * n_dup_lines > {q.DUP_LINE_PERCENT} * n_lines AS failed FROM b),
+    h AS (SELECT host, count(*)::DOUBLE AS n, sum(failed::INT)::DOUBLE AS f FROM j GROUP BY 1),
+    m AS (SELECT sum(f) / sum(n) AS mean, sum(f * f / n) / sum(n) AS second FROM h),
+    p AS (
+      SELECT mean, least(greatest(mean * (1 - mean) / greatest(second - mean * mean, 1e-12) - 1, 1.0), 1e6) AS weight FROM m),
+    v AS (
+      SELECT host, CASE WHEN r < {q.TRUSTED_RATE} THEN 'trusted' WHEN r > {q.BLOCKED_RATE} THEN 'blocked' ELSE 'mixed' END
+             AS host_verdict FROM (SELECT host, (f + mean * weight) / (n + weight) AS r FROM h, p))
+    SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+           NOT base_failed AND host_verdict <> 'blocked' AND (NOT failed OR host_verdict = 'trusted') AS kept, host_verdict
+    FROM j JOIN v USING (host)"""
+
 
 def sql() -> dict[str, str]:
-    return {}
+    return {"op2_host_quality": _host_quality()}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import neardup, packing, pii, sharding, tokenfile
+from paritymill.llm import neardup, packing, pii, quality, sharding, tokenfile
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,14 @@ def _crc(text) -> F.Column:
     return F.crc32(text.cast("binary"))
 
 
+def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base facts, base failures and host-level verdicts of all documents."""
+    judged = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select(
+        "row.doc_id", *[f"facts.{f}" for f in quality.FACTS], "base_failed", "kept", "host_verdict"
+    )
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents over all whole texts."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -79,6 +87,7 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_host_quality": op2_host_quality,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_mixture_packing": op5_mixture_packing,
         "op6_jump_sharding": op6_jump_sharding,
