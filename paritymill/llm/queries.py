@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import neardup, packing, pii, quality, sharding, tokenfile
+from paritymill.llm import linededup, neardup, packing, pii, quality, sharding, tokenfile
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -85,6 +85,19 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that repeat, nearly or exactly, an earlier line of the corpus."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    gone = linededup.dropped_by_document(docs).toDF("gone_id", "dropped")
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
+    sized = docs.select("doc_id", lines.alias("n_lines"))
+    joined = sized.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    dropped = F.coalesce("dropped", F.array().cast("array<int>"))
+    return joined.select(
+        "doc_id", "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), F.array_join(dropped, ",").alias("dropped")
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op2_host_quality": op2_host_quality,
@@ -93,4 +106,5 @@ def queries() -> dict[str, Query]:
         "op6_jump_sharding": op6_jump_sharding,
         "op8_token_files": op8_token_files,
         "op9_personal_data": op9_personal_data,
+        "op10_fuzzy_lines": op10_fuzzy_lines,
     }
