@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import linededup, neardup, packing, pii, quality, sharding, tokenfile
+from paritymill.llm import decontam, linededup, neardup, packing, pii, quality, sharding, tokenfile
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,12 @@ def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items that documents hold as copies, edited or paraphrased; all documents, all items."""
+    leaks = decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return leaks.withColumn("score", F.round("score", 6))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of near-duplicate documents over all whole texts."""
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
@@ -101,6 +107,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op2_host_quality": op2_host_quality,
+        "op3_benchmark_leaks": op3_benchmark_leaks,
         "op4_near_duplicates": op4_near_duplicates,
         "op5_mixture_packing": op5_mixture_packing,
         "op6_jump_sharding": op6_jump_sharding,
