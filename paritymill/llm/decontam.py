@@ -12,7 +12,7 @@
    paraphrased ones alike.  An item under eight words cannot be told from ordinary text and never leaks.
 
 The document scan knows items only through a bitmap of fixed size; what passes it is joined exactly.
-Words are compared as 64-bit hashes, A-Z in lower case.
+Words are compared in lower case, as 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -229,8 +229,8 @@ def find_leaks(
     one result.  Equal items are all reported.  An empty table on either side gives an empty result.
     """
     spark = docs.sparkSession
-    source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    texts = benchmark.select(F.col(item_id).cast("bigint").alias("item"), F.col(item_text).alias("text"))
+    source = docs.select(F.col(doc_id).cast("bigint").alias("doc"), F.lower(text).alias("text"))
+    texts = benchmark.select(F.col(item_id).cast("bigint").alias("item"), F.lower(item_text).alias("text"))
     items = stage(texts.mapInArrow(_read_items, _ITEM).where(F.col("n_words") >= MIN_MATCHED), "items")
     grams = stage(items.mapInArrow(_item_grams, _GRAM_ROWS), "item-grams")
     every = spark.sparkContext.broadcast(_bitmap(grams))
