@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import decontam, linededup, neardup, packing, pii, quality, sharding, tokenfile
+from paritymill.llm import decontam, linededup, neardup, packing, pii, quality, sharding, tokenfile, toxicity
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +69,18 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of documents with crc32(id) mod 5 = 0 are never read."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
+    labelled = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
+    scored = toxicity.score(docs, toxicity.fit(labelled))
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans"
+    )
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents written as token-id files and read back from them."""
     folder = scratch_folder(spark, "token-files")
@@ -111,6 +123,7 @@ def queries() -> dict[str, Query]:
         "op4_near_duplicates": op4_near_duplicates,
         "op5_mixture_packing": op5_mixture_packing,
         "op6_jump_sharding": op6_jump_sharding,
+        "op7_toxic_spans": op7_toxic_spans,
         "op8_token_files": op8_token_files,
         "op9_personal_data": op9_personal_data,
         "op10_fuzzy_lines": op10_fuzzy_lines,

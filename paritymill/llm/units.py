@@ -78,7 +78,7 @@ def slices(column: pa.Array | pa.ChunkedArray, size: int = SLICE_BYTES) -> Itera
         row = end
 
 
-def _edges(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def edges(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of runs of ``inside`` that never cross a text border."""
     n = len(inside)
     before = np.empty(n, dtype=bool)
@@ -126,7 +126,7 @@ def words(part: Slice, lower: bool = True) -> Words:
         empty = np.zeros(0, dtype=np.int64)
         zeros = np.zeros(part.rows, dtype=np.int64)
         return Words(np.zeros(0, np.uint64), empty, empty, zeros, np.zeros(part.rows + 1, np.int64))
-    starts, ends = _edges(~IS_SPACE[part.data], part.bounds)
+    starts, ends = edges(~IS_SPACE[part.data], part.bounds)
     values = byte_values(LOWER[part.data] if lower else part.data)
     bounds = np.searchsorted(starts, part.bounds)
     return Words(span_hashes(values, starts, ends), starts, ends, np.diff(bounds), bounds)
