@@ -12,10 +12,7 @@ or more, and each link is confirmed on the full sets.
 2. Equal sets become one class before anything else, however many copies there are.
 3. Banding.  20 bands of 3 slots: a pair at similarity 0.75 shares a band with a chance of
    0.99998.
-4. Verification.  In each bucket every class is compared with two leaders first and links
-   are grouped; two such rounds leave few buckets with classes of different groups.  Only
-   pairs of classes that no links join yet are then compared, all of them, so the groups are
-   those of all pairs in all buckets, without making the pairs.
+4. Verification on full sets, leaders first (``buckets``), and union-find (``components``).
 """
 
 from __future__ import annotations
@@ -28,13 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritymill.llm import units
+from paritymill.llm.buckets import bucket_links, live_members
 from paritymill.llm.components import components
 from paritymill.llm.shared import discard, stage
 
 SHINGLE = 5
 BANDS, ROWS = 20, 3
 PERCENT = 75
-STAR_ROUNDS = 2
 
 
 def shingle_sets(part: units.Slice, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -150,62 +147,68 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links among distinct pairs (a, b).  Each member's set moves twice, a leader's not at all."""
-    with_b = pairs.join(sets.toDF("b", "set_b"), "b")
-    full = with_b.join(sets.toDF("a", "set_a"), "a").select("a", "b", "set_a", "set_b")
-    return full.mapInArrow(_confirm, "a bigint, b bigint")
-
-
-def _pairs(df: DataFrame) -> DataFrame:
-    """Distinct pairs of near enough size: a smaller set below 75% of a larger one cannot reach it."""
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * PERCENT
-    return df.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def _overlaps(row: np.ndarray, value: np.ndarray, rows: int, width: int = 4096) -> np.ndarray:
+    """Sizes of all intersections, by products of 0/1 matrices over the shared shingles."""
+    known, column, count = np.unique(value, return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    number = np.cumsum(count > 1) - 1
+    row, column = row[shared], number[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((rows, rows), dtype=np.float32)
+    for low in range(0, int(number[-1]) + 1 if len(number) else 0, width):
+        a, b = np.searchsorted(column, [low, low + width])
+        part = np.zeros((rows, width), dtype=np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    return both
+
+
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    """Links that join the groups of two chunks of a bucket: at most one for each member."""
+    rep, label, chunk = (table.column(n).to_numpy() for n in ("rep", "label", "chunk"))
+    sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("shingles")]
+    size = np.array([len(s) for s in sets])
+    both = _overlaps(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
+    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    linked &= label[:, None] != label[None, :]
+    if key[1].as_py() != key[2].as_py():
+        linked &= chunk[:, None] != chunk[None, :]
+    parent = {x: x for x in label.tolist()}
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out: list[tuple[int, int]] = []
+    for i, j in zip(*np.nonzero(np.triu(linked)), strict=True):
+        x, y = find(int(label[i])), find(int(label[j]))
+        if x != y:
+            parent[x] = y
+            out.append((int(rep[i]), int(rep[j])))
+    return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
 def _links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
     """Links between class representatives; their transitive closure is that of all links."""
-    exploded = stage(classes.select(F.explode("bands").alias("bucket"), "rep", "n_shingles"), "buckets")
-    live = exploded.groupBy("bucket").agg(F.min("rep").alias("low"), F.max("rep").alias("high"))
-    members = stage(exploded.join(live.where("low < high").select("bucket"), "bucket"), "members")
+    exploded = stage(classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size")), "buckets")
+    members = stage(live_members(exploded, "bucket", "rep"), "members")
     discard(exploded)
     wanted = members.select(F.col("rep").alias("id")).distinct()
     sets = stage(docs.join(wanted, "id", "left_semi").mapInArrow(_sets, _SET).dropDuplicates(["id"]), "sets")
 
-    links = None
-    tested = None
-    for turn in range(STAR_ROUNDS + 1):
-        if links is None:
-            labelled = members.withColumn("label", F.col("rep"))
-        else:
-            groups = components(links, "a", "b").toDF("rep", "component")
-            labelled = members.join(groups, "rep", "left").select(
-                "bucket", "rep", "n_shingles", F.coalesce("component", "rep").alias("label")
-            )
-        labelled = stage(labelled, "labelled")
-        mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-        mixed = mixed.where("low < high").select("bucket")
-        rest = labelled.join(mixed, "bucket", "left_semi")
-        if turn < STAR_ROUNDS:
-            entry = F.struct("rep", "label", "n_shingles")
-            leaders = rest.groupBy("bucket").agg(
-                F.min(F.struct(F.xxhash64(F.lit(2 * turn), "rep").alias("h"), entry.alias("e"))).alias("one"),
-                F.min(F.struct(F.xxhash64(F.lit(2 * turn + 1), "rep").alias("h"), entry.alias("e"))).alias("two"),
-            ).select("bucket", F.explode(F.array_distinct(F.array("one.e", "two.e"))).alias("lead"))
-            met = rest.join(leaders, "bucket").where(F.col("label") != F.col("lead.label"))
-            pairs = _pairs(met.select("rep", "lead.rep", "n_shingles", "lead.n_shingles").toDF("x", "y", "na", "nb"))
-        else:
-            names = ["bucket", "y", "nb", "label_y"]
-            met = rest.toDF("bucket", "x", "na", "label_x").join(rest.toDF(*names), "bucket")
-            pairs = _pairs(met.where((F.col("label_x") < F.col("label_y"))))
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(_verified(pairs, sets), "confirmed")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        discard(labelled)
-    return links
+    def confirm(pairs: DataFrame) -> DataFrame:
+        # a member's set moves twice, a leader's not at all
+        full = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        return full.select("a", "b", "set_a", "set_b").mapInArrow(_confirm, "a bigint, b bigint")
+
+    def compare_blocks(blocks: DataFrame) -> DataFrame:
+        full = blocks.join(sets.toDF("rep", "shingles"), "rep")
+        return full.groupBy("bucket", "low", "high").applyInArrow(_compare, "a bigint, b bigint")
+
+    return bucket_links(members, PERCENT, confirm, rounds=1, compare_blocks=compare_blocks)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
