@@ -277,7 +277,7 @@ def _score(model) -> Callable:
                     [
                         batch.column("id").slice(part.first, part.rows),
                         pa.array(-np.expm1(none)),
-                        pa.array(np.bincount(row, p, part.rows)),
+                        pa.array(np.bincount(row, p, part.rows).astype(float)),
                         pa.array(spans),
                     ],
                     names=["id", "any_toxic", "mass", "spans"],
