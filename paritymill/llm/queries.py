@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import decontam, linededup, neardup, packing, pii, quality, sharding, tokenfile, toxicity
+from paritymill.llm import decontam, linededup, lm, neardup, packing, pii, quality, sharding, tokenfile, toxicity
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +25,15 @@ def _crc(text) -> F.Column:
     return F.crc32(text.cast("binary"))
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learned from those whose crc32(id) mod 10 is not 0."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 10 == 0, F.lit(False))
+    scored = lm.score_documents(_table(spark, sf_dir, "documents"), ~held_out)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base facts, base failures and host-level verdicts of all documents."""
     judged = quality.judge(_table(spark, sf_dir, "documents"), ["doc_id"])
@@ -118,6 +127,7 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_bloom_lm": op1_bloom_lm,
         "op2_host_quality": op2_host_quality,
         "op3_benchmark_leaks": op3_benchmark_leaks,
         "op4_near_duplicates": op4_near_duplicates,
