@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paritymill.llm.components import components
-from paritymill.llm.shared import discard, stage
+from paritymill.llm.shared import Scratch
 
 CHUNK = 256
 
@@ -51,6 +51,7 @@ def bucket_links(
     members: DataFrame,
     percent: int,
     confirm: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
     rounds: int = 2,
     compare_blocks: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
@@ -59,6 +60,7 @@ def bucket_links(
     ``members`` is a stage table (bucket, rep, size).  ``confirm`` keeps the linked pairs of a
     table (a, b); pairs whose sizes differ too much to link are not put to it.  ``compare_blocks``
     takes the rest as ``blocks`` instead of pairs and returns links that join the same groups.
+    The links read tables of ``scratch``.
     """
     links = tested = None
     for turn in range(rounds + 1):
@@ -69,13 +71,11 @@ def bucket_links(
             labelled = members.join(groups, "rep", "left").select(
                 "bucket", "rep", "size", F.coalesce("component", "rep").alias("label")
             )
-            labelled = stage(labelled, "labelled")
+            labelled = scratch.stage(labelled, "labelled")
             mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
             rest = labelled.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi")
         if turn == rounds and compare_blocks is not None:
-            found = stage(compare_blocks(blocks(rest)), "confirmed")
-            discard(labelled)
-            return links.union(found)
+            return links.union(scratch.stage(compare_blocks(blocks(rest)), "confirmed"))
         if turn < rounds:
             entry = F.struct("rep", "label", "size")
             ranked = [F.struct(F.xxhash64(F.lit(2 * turn + k), "rep").alias("h"), entry.alias("e")) for k in (0, 1)]
@@ -89,10 +89,8 @@ def bucket_links(
         pairs = _pairs(met, percent)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = stage(pairs, "pairs")
-        found = stage(confirm(pairs), "confirmed")
-        if links is not None:
-            discard(labelled)
+        pairs = scratch.stage(pairs, "pairs")
+        found = scratch.stage(confirm(pairs), "confirmed")
         links = found if links is None else links.union(found)
         tested = pairs if tested is None else tested.union(pairs)
     return links

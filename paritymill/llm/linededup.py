@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from paritymill.llm.buckets import bucket_links, live_members
 from paritymill.llm.components import components
 from paritymill.llm.pii import let
-from paritymill.llm.shared import stage
+from paritymill.llm.shared import Scratch, stage
 
 MIN_CHARS = 20
 PERCENT = 75
@@ -93,17 +93,19 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     minima = [f"m{i}" for i in range(MINIMA)]
     # equal lines have equal signatures, so any row's will do; primitive columns combine in a hash map
     classes = signed.groupBy("key").agg(F.max("size").alias("size"), *[F.max(m).alias(m) for m in minima])
-    members = stage(live_members(_buckets(classes), "bucket", "rep"), "line-members")
+    scratch = Scratch()
+    members = scratch.stage(live_members(_buckets(classes), "bucket", "rep"), "line-members")
     wanted = members.select(F.col("rep").alias("key")).distinct()
     bodies = _lines(source).select(F.xxhash64("body").alias("key"), "body").join(wanted, "key", "left_semi")
-    bodies = stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
+    bodies = scratch.stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
         return full.where(similar(F.col("body_a"), F.col("body_b"))).select("a", "b")
 
-    links = bucket_links(members, PERCENT, confirm)
+    links = bucket_links(members, PERCENT, confirm, scratch)
     groups = components(links, "a", "b").toDF("key", "component")
+    scratch.clear()
     # least place of each class, in two primitive steps: document, then line of that document
     first = signed.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("rows"))
     grouped = first.join(groups, "key", "left").where("rows > 1 OR component IS NOT NULL")
@@ -137,13 +139,17 @@ def without_lines(text: Column, dropped: Column) -> Column:
     )
 
 
-def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the duplicate lines taken out of ``text``; all columns and rows stay.
+def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
+    """``docs`` with the duplicate lines taken out of ``text``; all columns stay.
 
-    A document all of whose lines go keeps its row with an empty text.
+    A document that is left without a word keeps its row, or goes with ``drop_emptied``;
+    documents that lose no line always stay.
     """
     gone = dropped_by_document(docs, doc_id, text).withColumnRenamed("doc", "_gone_doc").withColumnRenamed("dropped", "_gone_lines")
     joined = docs.join(gone, F.col(doc_id) == F.col("_gone_doc"), "left")
+    if drop_emptied:
+        left = without_lines(F.col(text), F.col("_gone_lines"))
+        joined = joined.where(F.col("_gone_lines").isNull() | left.rlike(f"[^{_SPACE}]"))
     return joined.select(
         *[without_lines(F.col(c), F.col("_gone_lines")).alias(c) if c == text else F.col(c) for c in docs.columns]
     )

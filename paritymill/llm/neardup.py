@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from paritymill.llm import units
 from paritymill.llm.buckets import bucket_links, live_members
 from paritymill.llm.components import components
-from paritymill.llm.shared import discard, stage
+from paritymill.llm.shared import Scratch, stage
 
 SHINGLE = 5
 BANDS, ROWS = 20, 3
@@ -191,13 +191,12 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
-def _links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links_of(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between class representatives; their transitive closure is that of all links."""
-    exploded = stage(classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size")), "buckets")
-    members = stage(live_members(exploded, "bucket", "rep"), "members")
-    discard(exploded)
+    exploded = scratch.stage(classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size")), "buckets")
+    members = scratch.stage(live_members(exploded, "bucket", "rep"), "members")
     wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = stage(docs.join(wanted, "id", "left_semi").mapInArrow(_sets, _SET).dropDuplicates(["id"]), "sets")
+    sets = scratch.stage(docs.join(wanted, "id", "left_semi").mapInArrow(_sets, _SET).dropDuplicates(["id"]), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         # a member's set moves twice, a leader's not at all
@@ -208,7 +207,7 @@ def _links_of(classes: DataFrame, docs: DataFrame) -> DataFrame:
         full = blocks.join(sets.toDF("rep", "shingles"), "rep")
         return full.groupBy("bucket", "low", "high").applyInArrow(_compare, "a bigint, b bigint")
 
-    return bucket_links(members, PERCENT, confirm, rounds=1, compare_blocks=compare_blocks)
+    return bucket_links(members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks)
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,12 +222,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     signed = stage(source.mapInArrow(_signatures, _SIGNATURE), "signatures")
     real = signed.where("n_shingles > 0 AND id IS NOT NULL")
     key = ["key1", "key2", "n_shingles"]
-    classes = stage(real.groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    near = _links_of(classes.select("rep", "n_shingles", "bands"), source.where("id IS NOT NULL"))
+    scratch = Scratch()
+    classes = scratch.stage(real.groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
+    near = _links_of(classes.select("rep", "n_shingles", "bands"), source.where("id IS NOT NULL"), scratch)
     copies = (
         real.select("id", *key).join(classes.select(*key, "rep"), key).where("id <> rep").select("rep", "id")
     )
     groups = components(near.union(copies), "a", "b").toDF("id", "component")
+    scratch.clear()
     return signed.select("id", "n_shingles").join(groups, "id", "left").select(
         F.col("id").alias(doc_id),
         "n_shingles",

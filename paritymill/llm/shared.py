@@ -48,3 +48,18 @@ def discard(*tables: DataFrame) -> None:
         spark, folder = table.sparkSession, table._stage_folder
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Stage tables of one computation, deleted together once its result no longer reads them."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def stage(self, df: DataFrame, label: str) -> DataFrame:
+        self.tables.append(stage(df, label))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables.clear()
