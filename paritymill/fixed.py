@@ -71,7 +71,6 @@ OCCURRENCE_TOLERANCE_SECONDS = 60
 MATCH_WORDS = ("game", "match", "race", "bout", "set", "tournamentmatch")
 ACTIVITY_PATTERN = r"^[0-9]+(\.[0-9]+)?$"
 NEAR_MISS_LIMIT = 100
-MAX_PROBES = 100
 
 # --- evidence thresholds ---------------------------------------------------
 MIN_COVERAGE = "0.95"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 
 import pandas as pd
@@ -23,11 +24,17 @@ _STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
 _TOKEN = rf"({_STRING}\s*+:?)"
 
 
+def _decoded(key: Column) -> Column:
+    """Text of a quoted key; a key with escapes is decoded as JSON."""
+    plain = F.regexp_extract(key, r'(?s)^"(.*)"$', 1)
+    return F.when(key.contains("\\"), F.coalesce(F.from_json(F.concat(F.lit("["), key, F.lit("]")), "array<string>")[0], plain)).otherwise(plain)
+
+
 def json_keys(payload: Column) -> Column:
-    """Lower-cased keys of a JSON text at any depth."""
+    """Lower-cased keys of a JSON text at any depth, escapes decoded."""
     tokens = F.regexp_extract_all(payload, F.lit(_TOKEN), F.lit(1))
     named = F.filter(tokens, lambda t: t.endswith(":"))
-    return F.transform(named, lambda t: F.lower(F.regexp_extract(t, r'(?s)^"(.*)"\s*:$', 1)))
+    return F.transform(named, lambda t: F.lower(_decoded(F.regexp_replace(t, r"\s*:$", ""))))
 
 
 def secret_keys(payload: Column, parts: Sequence[str] = FORBIDDEN_KEY_PARTS) -> Column:
@@ -53,33 +60,44 @@ def payload_safety(df: DataFrame, payload: str) -> DataFrame:
     return out.withColumn("payload_safe", safe)
 
 
-def _hide(value, parts: Sequence[str]):
-    if isinstance(value, dict):
-        return {
-            k: REDACTED if any(p in k.lower() for p in parts) else _hide(v, parts) for k, v in value.items()
-        }
-    return [_hide(v, parts) for v in value] if isinstance(value, list) else value
+_TOKENS = re.compile(r'"(?:[^"\\]|\\.)*"|[{}\[\],:]|[^\s{}\[\],:"]+', re.S)
+
+
+def _mask(text: str, parts: Sequence[str]) -> str:
+    """``text``, valid JSON, with the value of every secret key replaced; all other bytes stay."""
+    out, kept, hide_from, depth, key = [], 0, None, 0, None
+    for m in _TOKENS.finditer(text):
+        token = m.group()
+        if hide_from is not None:  # inside a secret value: a scalar ends at once, a nested one at its closing bracket
+            depth += (token in "{[") - (token in "}]")
+            if depth == 0:
+                out += [text[kept:hide_from], f'"{REDACTED}"']
+                kept, hide_from = m.end(), None
+        elif token == ":" and key is not None and any(p in json.loads(key).lower() for p in parts):
+            value = _TOKENS.search(text, m.end())
+            hide_from, depth = value.start(), 0
+        key = token if token[0] == '"' else None
+    return "".join([*out, text[kept:]])
 
 
 def redact_payload(df: DataFrame, payload: str, parts: Sequence[str] = MONITOR_SECRET_PARTS) -> DataFrame:
-    """Replace the value of every key that contains a secret part.
+    """Replace the value of every key that contains a secret part, nested values included.
 
-    Scalars are replaced in place by one regular expression.  Only rows where such a key
-    holds an object or a list go through an Arrow batch function.
+    ``payload`` holds valid JSON or null.  Only the values' own spans change: numbers, spacing and
+    escapes elsewhere keep their bytes.  Rows without a secret key, or with scalar values only, stay
+    in the JVM; the others go through an Arrow batch function.
     """
     words = "|".join(p.replace("-", r"\-") for p in parts)
-    key = rf'"([^"\\]*(?:{words})[^"\\]*)"\s*:\s*'
-    scalar = rf"(?:{_STRING}|-?\d[0-9.eE+\-]*|true|false|null)"
+    key = rf'"([^"\\]*(?:{words})[^"\\]*)"(\s*+:\s*+)'
+    scalar = rf"(?:{_STRING}|-?\d[0-9.eE+\-]*+|true|false|null)"
 
     @F.pandas_udf("string")
     def nested(texts: pd.Series) -> pd.Series:
-        return texts.map(
-            lambda t: None if t is None else json.dumps(_hide(json.loads(t), parts), separators=(",", ":"))
-        )
+        return texts.map(lambda t: None if t is None else _mask(t, parts))
 
     text = F.col(payload)
-    deep = text.rlike(f"(?i){key}[\\[{{]")
-    flat = F.regexp_replace(text, f"(?i){key}{scalar}", f'"$1":"{REDACTED}"')
-    needs = df.where(F.coalesce(deep, F.lit(False))).withColumn(payload, nested(payload))
-    rest = df.where(~F.coalesce(deep, F.lit(False))).withColumn(payload, flat)
-    return rest.unionByName(needs)
+    # an escaped key, or one whose value is an object or a list
+    deep = text.rlike(rf'(?i){key}[\[{{]') | text.rlike(rf'"[^"\\]*+\\(?:[^"\\]|\\.)*+"\s*+:')
+    flat = F.regexp_replace(text, f"(?i){key}{scalar}", f'"$1"$2"{REDACTED}"')
+    hidden = F.when(F.coalesce(deep, F.lit(False)), nested(F.when(deep, text))).otherwise(flat)
+    return df.withColumn(payload, hidden)

@@ -174,13 +174,9 @@ def quote_hysteresis(
     ).drop("_prev_price", "_prev_quantity")
     # an open quote is never withdrawn here, so a side is capped out for good when
     # enough other sides of its instrument were placed before its first row
-    if max_open < 2:
-        first = quotes.groupBy(*keys).agg(F.min("ord").alias("_first"))
-        rank = F.row_number().over(Window.partitionBy("instrument_id").orderBy("_first", "side"))
-        capped = first.withColumn("capped", rank > max_open).select(*keys, "capped")
-        cut = cut.join(capped, keys)
-    else:
-        cut = cut.withColumn("capped", F.lit(False))
+    first = quotes.groupBy(*keys).agg(F.min("ord").alias("_first"))
+    rank = F.row_number().over(Window.partitionBy("instrument_id").orderBy("_first", "side"))
+    cut = cut.join(first.withColumn("capped", rank > max_open).select(*keys, "capped"), keys)
     limit = Decimal(str(min_change))
 
     def start(_key):

@@ -69,14 +69,20 @@ def parse_book_messages(df: DataFrame, payload: str = "payload") -> DataFrame:
     raw = F.col(payload)
     snapshot = F.col("native_type") == "orderbook_snapshot"
     names = ("side", "price_dollars", "delta_fp", "yes_dollars_fp", "no_dollars_fp")
-    parsed = df.withColumn("_m", F.from_json(raw, _MESSAGE))
+    parsed = df.withColumn("_m", F.from_json(raw, _MESSAGE)).withColumn("_v", F.try_parse_json(raw))
+
+    def given(name: str) -> Column:
+        """The value at the top or in ``msg``; nowhere else does a key count."""
+        return F.coalesce(*[F.try_variant_get("_v", f"$.{p}{name}", "variant") for p in ("", "msg.")])
+
     # a bare JSON float or boolean is refused where exact decimal text is due
-    inexact = raw.rlike(r'"(price_dollars|delta_fp)"\s*:\s*(-?\d+[.eE]|true|false)')
+    loose = [F.schema_of_variant(given(n)).rlike("^(DECIMAL|DOUBLE|FLOAT|BOOLEAN)") for n in ("price_dollars", "delta_fp")]
+    inexact = F.coalesce(loose[0], F.lit(False)) | F.coalesce(loose[1], F.lit(False))
     flat = parsed.select(
         *df.columns,
         *[F.coalesce(F.col(f"_m.{n}"), F.col(f"_m.msg.{n}")).alias(f"_{n}") for n in names],
-        (snapshot & raw.rlike(r'"yes_dollars_fp"\s*:')).alias("_has_yes"),
-        (snapshot & raw.rlike(r'"no_dollars_fp"\s*:')).alias("_has_no"),
+        (snapshot & given("yes_dollars_fp").isNotNull()).alias("_has_yes"),
+        (snapshot & given("no_dollars_fp").isNotNull()).alias("_has_no"),
         (~snapshot & inexact).alias("_inexact"),
     )
     typed = flat.withColumns(
@@ -326,27 +332,27 @@ def _entering_ladders(frames: DataFrame, chunk_rows: int) -> DataFrame:
     """Ladder each (book, epoch, chunk) starts from, one row of changes per chunk.
 
     Changes are summed per level and chunk first, so only chunk totals are ordered; a
-    level is repeated once per later chunk, never per row.
+    level is repeated once per later chunk of its book that has rows, never per row.
     """
     changes = _level_changes(frames)
     per_chunk = changes.groupBy(
         *BOOK, "epoch", "side", "price", chunk_of(F.col("row_index"), chunk_rows).alias("chunk")
     ).agg(F.sum("change").cast("decimal(28,8)").alias("change"))
+    # the book's own chunks, numbered without gaps: quiet stretches of the index cost nothing
+    own = frames.select(*BOOK, "epoch", chunk_of(F.col("row_index"), chunk_rows).alias("chunk")).distinct()
+    book = Window.partitionBy(*BOOK, "epoch")
+    own = own.withColumns({"step": F.row_number().over(book.orderBy("chunk")), "steps": F.count(F.lit(1)).over(book)})
     # rows of this window are the chunks of one level: at most rows / chunk_rows of them
-    w = Window.partitionBy(*BOOK, "epoch", "side", "price").orderBy("chunk")
-    last = frames.groupBy(*BOOK, "epoch").agg(
-        F.max(chunk_of(F.col("row_index"), chunk_rows)).alias("last_chunk")
-    )
-    held = per_chunk.select(
-        *BOOK, "epoch", "side", "price", "chunk",
+    w = Window.partitionBy(*BOOK, "epoch", "side", "price").orderBy("step")
+    held = per_chunk.join(own, [*BOOK, "epoch", "chunk"]).select(
+        *BOOK, "epoch", "side", "price", "step", "steps",
         F.sum("change").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast(QTY).alias("change"),
-        F.lead("chunk").over(w).alias("next_chunk"),
-    ).join(last, [*BOOK, "epoch"])
-    upto = F.coalesce("next_chunk", "last_chunk")
-    spread = held.where((F.col("change") > 0) & (upto > F.col("chunk"))).select(
-        *BOOK, "epoch", F.explode(F.sequence(F.col("chunk") + 1, upto)).alias("chunk"),
-        "side", "price", "change",
+        F.lead("step").over(w).alias("next_step"),
     )
+    upto = F.coalesce("next_step", "steps")
+    spread = held.where((F.col("change") > 0) & (upto > F.col("step"))).select(
+        *BOOK, "epoch", F.explode(F.sequence(F.col("step") + 1, upto)).alias("step"), "side", "price", "change",
+    ).join(own.select(*BOOK, "epoch", "step", "chunk"), [*BOOK, "epoch", "step"])
     return spread.groupBy(*BOOK, "epoch", "chunk").agg(
         F.collect_list(F.struct("side", "price", "change")).alias("changes")
     )

@@ -15,7 +15,6 @@ from paritymill.fixed import (
     CANARY_SECONDS,
     CLOSED_OR_FINAL_STATUSES,
     MATCH_WORDS,
-    MAX_PROBES,
     NEAR_MISS_LIMIT,
     OCCURRENCE_TOLERANCE_SECONDS,
     OPEN_STATUSES,
@@ -35,6 +34,7 @@ from paritymill.functions.columns import (
     whole_seconds,
 )
 from paritymill.functions.ordered import scan
+from paritymill.session import stage
 
 _TEXT = (
     "ticker", "market_ticker", "event_ticker", "title", "name", "status", "raw_status", "category",
@@ -394,30 +394,33 @@ _RANK = ("_o1", "_o2", "_o3", "_o4", "_o5")
 
 
 def candidate_rank(selected: DataFrame, by_activity: bool = True) -> DataFrame:
-    """Rank of every candidate, counted in parallel along coarse steps of the leading key."""
-    r = _rank_columns(selected, by_activity)
-    if by_activity:
-        chunk = F.floor(-F.log2(F.lit(1.0) - F.col("_o1").cast("double")) * 64).cast("bigint")
-    else:
-        chunk = F.struct(F.col("_o2"), F.floor(F.col("_o3") / 600).alias("deadline_step"))
+    """Rank of every candidate, counted in parallel along ranges of all rank columns.
+
+    The ranges are Spark's own, drawn from a sample of the ranks, so they stay even whatever
+    values are common; the ranged rows are written once, which fixes the ranges.
+    """
+    ranged = _rank_columns(selected, by_activity).repartitionByRange(*_RANK)
+    r = stage(ranged.withColumn("_range", F.spark_partition_id()), "candidate-ranges")
     return scan(
-        r, [], list(_RANK), chunk, running={"candidate_rank": ("sum", F.lit(1).cast("bigint"))}
-    ).drop(*_RANK)
+        r, [], list(_RANK), F.col("_range"), running={"candidate_rank": ("sum", F.lit(1).cast("bigint"))}
+    ).drop("_range", *_RANK)
 
 
 def eligible_candidates(
     selected: DataFrame,
     eligible: Column,
-    max_probes: int = MAX_PROBES,
+    max_probes: int | None = None,
     eligible_limit: int | None = None,
     by_activity: bool = True,
 ) -> DataFrame:
-    """Probe at most ``max_probes`` candidates in rank order, stop after enough are eligible.
+    """Probe candidates in rank order, stop after enough are eligible.
 
-    The probe bound is the feature.  It is applied by a distributed top-k first; the
-    running count then sees that many rows at most.
+    With ``max_probes`` only so many candidates are probed at all: a distributed top-k comes
+    first and the running count sees that many rows at most.
     """
-    top = _rank_columns(selected, by_activity).orderBy(*_RANK).limit(max_probes)
+    top = _rank_columns(selected, by_activity)
+    if max_probes is not None:
+        top = top.orderBy(*_RANK).limit(max_probes)
     w = Window.orderBy(*_RANK)
     probed = top.withColumns(
         {

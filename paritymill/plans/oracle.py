@@ -1067,7 +1067,7 @@ SELECT 'F-' || (event_id % 100) AS ticker, count(*) AS snapshot_count, count(*)
     out["payload_safety"] = """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'auth_token' WHEN 2 THEN 'my_secret' ELSE '' END AS secret_keys,
   CASE WHEN doc_id % 5 = 1 THEN 'order_id' ELSE '' END AS private_keys, doc_id % 5 >= 3 AS payload_safe FROM documents"""
     out["payload_redact"] = """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '[REDACTED]' END AS auth_token, CASE WHEN doc_id % 5 = 2 THEN '[REDACTED]' END AS nested_secret,
-  length(text) AS text_length FROM documents"""
+  sha256(text) AS text_hash FROM documents"""
     out["feed_consistency_stream"] = f"""WITH s AS (SELECT event_id AS arrival, 'v' || (user_id % 2) AS venue, 'M-' || (user_id % 10) AS market_id,
   event_id + event_id // 17 AS sequence, ts AS received_at, ts - to_minutes({K}) AS observed_at FROM events),
 flagged AS (SELECT *, lag(sequence) OVER w AS pseq, lag(observed_at) OVER w AS pobs FROM s WINDOW w AS (PARTITION BY venue, market_id ORDER BY arrival))
@@ -1079,17 +1079,15 @@ SELECT d.row_index, d.market_ticker, disposition, CASE WHEN snap AND perr IS NOT
   CAST(sum(CASE WHEN disposition = 'FRAME_EMITTED' THEN 1 ELSE 0 END) OVER (PARTITION BY d.market_ticker, connection_id ORDER BY d.row_index) AS BIGINT) AS frame_count,
   {d6("bb")} AS best_bid, {d6("1 - nb")} AS best_ask FROM disp d LEFT JOIN tob ON tob.row_index = d.row_index"""
     out["distinct_events_stream"] = "SELECT DISTINCT event_id % 500 AS event_id FROM events"
-    closed = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
     out["daily_counters_stream"] = f"""SELECT epoch_us(date_trunc('day', ts)::TIMESTAMP) AS day, 'M-' || (user_id % 10) AS market_id, count(*) AS row_count,
-  CAST(sum(floor(value / 10) + 1) AS BIGINT) AS quantity FROM events WHERE date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= {closed} GROUP BY 1, 2"""
+  CAST(sum(floor(value / 10) + 1) AS BIGINT) AS quantity FROM events GROUP BY 1, 2"""
     out["sliding_counters_stream"] = f"""WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP - to_days(CAST(n AS INTEGER)) AS st, value, ts FROM events, range(7) r(n))
 SELECT epoch_us(st) AS start, epoch_us(st + INTERVAL 7 DAY) AS "end", count(*) AS row_count, CAST(sum(floor(value / 10) + 1) AS BIGINT) AS quantity
-FROM d WHERE st + INTERVAL 7 DAY <= {closed} GROUP BY st"""
+FROM d GROUP BY st"""
     out["quiet_sessions_stream"] = f"""WITH m AS (SELECT 'M-' || (user_id % 10) AS market_id, ts FROM events),
 g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY market_id ORDER BY ts) < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS n FROM m),
 s AS (SELECT *, sum(n) OVER (PARTITION BY market_id ORDER BY ts) AS sid FROM g)
-SELECT market_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 300000000 AS "end", count(*) AS row_count FROM s GROUP BY market_id, sid
-HAVING max(ts) + INTERVAL 5 MINUTE <= {closed}"""
+SELECT market_id, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 300000000 AS "end", count(*) AS row_count FROM s GROUP BY market_id, sid"""
     out["stale_split_stream"] = f"SELECT event_id, CASE WHEN {K} > 30 THEN 'stale' ELSE 'fresh' END AS sink FROM events"
     out["quote_hysteresis"] = f"""WITH q AS (
   SELECT CAST(user_id AS VARCHAR) AS instrument_id, CASE WHEN event_id % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, event_id AS ord,

@@ -31,7 +31,7 @@ from paritymill.operators import (
     selection,
 )
 from paritymill.plans import views as V
-from paritymill.session import shared_folder, spread
+from paritymill.session import shared_folder
 from paritymill.sources import jsonl, records
 from paritymill.streaming import streams
 
@@ -215,7 +215,7 @@ def order_preview_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("limit_screen")
 def limit_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spread(V.table(spark, sf_dir, "lineitem"))
+    li = V.table(spark, sf_dir, "lineitem")
     requests = li.select(
         V.line_key().alias("request_id"),
         F.when(F.col("l_linenumber") == 7, "paper").otherwise("demo").alias("execution_mode"),
@@ -968,8 +968,6 @@ def monitor_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _written(spark: SparkSession, lines: DataFrame, label: str) -> str:
     """Write text lines below the shared folder, to be scanned back."""
     folder = shared_folder(spark, label)
-    if folder is None:
-        raise ValueError("spark.checkpoint.dir must name a shared folder for this query")
     lines.write.text(folder)
     return folder
 
@@ -1062,7 +1060,7 @@ def snapshot_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _book_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One fixture document per order that has lines; top-level fields default the rows."""
-    li = spread(V.table(spark, sf_dir, "lineitem"))
+    li = V.table(spark, sf_dir, "lineitem")
     text = lambda c: F.concat(F.lit('"'), c.cast("decimal(6,2)").cast("string"), F.lit('"'))
     row = F.concat(
         F.lit('{"venue":"v","market_id":"'), F.col("l_partkey").cast("string"), F.lit('","best_yes_bid":'),
@@ -1199,7 +1197,7 @@ def _text_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = F.when(d % 5 == 0, F.lit('"Auth_Token":"abc"')).when(d % 5 == 1, F.lit('"order_id":7')).when(
         d % 5 == 2, F.lit('"cfg":{"my_secret":{"a":[1,2]}}')
     ).otherwise(F.lit('"n":1'))
-    return spread(V.table(spark, sf_dir, "documents")).select(
+    return V.table(spark, sf_dir, "documents").select(
         "doc_id", F.concat(F.lit("{"), extra, F.lit(',"body":'), body, F.lit("}")).alias("payload")
     )
 
@@ -1219,7 +1217,7 @@ def payload_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         F.get_json_object("payload", "$.Auth_Token").alias("auth_token"),
         F.get_json_object("payload", "$.cfg.my_secret").alias("nested_secret"),
-        F.length(F.get_json_object("payload", "$.body.text")).cast("bigint").alias("text_length"),
+        F.sha2(F.get_json_object("payload", "$.body.text"), 256).alias("text_hash"),
     )
 
 
@@ -1270,19 +1268,19 @@ def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("daily_counters_stream")
 def daily_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.daily_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour", ["market_id"])
-    return _plain(streams.run_available(out, "daily-stream"))
+    return _plain(streams.run_available(out, "daily-stream", "complete"))
 
 
 @register("sliding_counters_stream")
 def sliding_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = streams.sliding_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour", 7)
-    return _plain(streams.run_available(out, "sliding-stream"))
+    daily = streams.daily_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour")
+    return _plain(streams.sliding_windows(streams.run_available(daily, "sliding-stream", "complete"), 7))
 
 
 @register("quiet_sessions_stream")
 def quiet_sessions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.quiet_sessions_stream(_clocked(spark, sf_dir), "ts", "1 hour", ["market_id"])
-    return _plain(streams.run_available(out, "session-stream"))
+    return _plain(streams.run_available(out, "session-stream", "complete"))
 
 
 @register("stale_split_stream")

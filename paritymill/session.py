@@ -26,21 +26,21 @@ def build_session(app_name: str = "paritymill", **overrides: str) -> SparkSessio
 
 
 @functools.cache
-def _local_root() -> str:
+def _test_root() -> str:
     return tempfile.mkdtemp(prefix="paritymill-")
 
 
-def shared_folder(spark: SparkSession, label: str) -> str | None:
-    """A fresh folder below ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder below ``spark.checkpoint.dir``, which all machines of a cluster share.
 
-    Where that is unset, a local-mode session gets a temporary folder and a cluster gets
-    None: a folder only one machine can see would lose the table with the executor.
+    The setting is required.  Only a local-mode session (tests, bench) may leave it out and then
+    gets a temporary folder of its one machine; a cluster raises.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            return None
-        root = _local_root()
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = _test_root()
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -49,20 +49,7 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
     Used where several branches need the same expensive rows: the lineage is cut, the
     branches read only the columns they need, and a lost executor costs one re-read.
-    Without a shared folder the plan simply stays whole.
     """
     folder = shared_folder(df.sparkSession, label)
-    if folder is None:
-        return df
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores when the input has fewer splits than the session has cores.
-
-    Only a table of a few small files is affected: a costly projection over it would
-    otherwise run in one task.  A table of many files is returned as it is, unshuffled.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

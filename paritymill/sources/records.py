@@ -137,6 +137,7 @@ _AMOUNTS = {
 def books_from_documents(df: DataFrame, document: str = "document") -> DataFrame:
     """Top-of-book rows of fixture documents: an object with markets or books, or a bare list.
 
+    Any other document fails the read.
     Top-level fee and edge fields are defaults for each row.  ``sequence`` counts from one.
     """
     text = F.col(document)
@@ -147,9 +148,11 @@ def books_from_documents(df: DataFrame, document: str = "document") -> DataFrame
             "_l": F.when(bare, F.from_json(text, f"array<struct<{BOOK_FIELDS}>>")),
         }
     )
+    kind = parsed.schema["_l"].dataType.simpleString()
+    refused = F.raise_error(F.concat(F.lit("document without markets or books: "), F.substring(text, 1, 80))).cast(kind)
     rows = parsed.select(
         *[c for c in df.columns if c != document], "_d",
-        F.posexplode(F.coalesce("_d.markets", "_d.books", "_l")).alias("_i", "_b"),
+        F.posexplode(F.coalesce("_d.markets", "_d.books", "_l", refused)).alias("_i", "_b"),
     )
     given = [f.split(":")[0].strip() for f in BOOK_FIELDS.replace("array<string>", "array").split(", ")]
     filled = {
@@ -198,11 +201,25 @@ def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_pages(pages: DataFrame, document: str, item: str) -> DataFrame:
-    """Items of paged list documents; a page whose list is not a list is refused."""
+    """Items of paged list documents; a page whose list is not a list fails the read."""
     text = F.get_json_object(document, f"$.{item}")
     kept = [c for c in pages.columns if c != document]
-    rows = pages.select(*kept, F.explode(F.from_json(text, "array<string>")).alias("item"))
-    return rows
+    listed = F.when(F.trim(text).startswith("["), F.from_json(text, "array<string>"))
+    refused = F.raise_error(F.concat(F.lit(f"page without a list of {item}: "), F.substring(document, 1, 80)))
+    return pages.select(*kept, F.explode(F.coalesce(listed, refused.cast("array<string>"))).alias("item"))
+
+
+_FACT_VALUE = "decimal(38,12)"
+
+
+def _exact(value: Column, kind: str) -> Column:
+    """Value of a JSON number's text; null stays null, anything that would be rounded or lost raises."""
+    text = value.cast("string")
+    number = text.try_cast(kind)
+    places = int(kind.rstrip(")").split(",")[1]) if "," in kind else 0
+    lossless = number.isNotNull() & ~text.rlike(rf"\.\d{{{places}}}\d*[1-9]")
+    refused = F.raise_error(F.concat(F.lit("fact value out of range: "), text)).cast(kind)
+    return F.when(text.isNotNull(), F.when(lossless, number).otherwise(refused))
 
 
 def flatten_company_facts(df: DataFrame, document: str = "document") -> DataFrame:
@@ -211,7 +228,9 @@ def flatten_company_facts(df: DataFrame, document: str = "document") -> DataFram
     Parsed level by level, so a taxonomy or concept of the wrong shape is skipped without
     losing the document.  cik is padded to ten digits; a concept without label names itself.
     """
-    top = df.select(F.from_json(document, COMPANY_FACTS).alias("_d")).where(F.col("_d.facts").isNotNull())
+    parsed = df.select(F.from_json(document, COMPANY_FACTS).alias("_d"), F.col(document).alias("_t"))
+    malformed = F.raise_error(F.concat(F.lit("document without facts: "), F.substring("_t", 1, 80))).cast("boolean")
+    top = parsed.where(F.when(F.col("_d.facts").isNotNull(), F.lit(True)).otherwise(malformed))
     taxonomies = top.select(
         F.lpad("_d.cik", 10, "0").alias("cik"), F.col("_d.entityName").alias("entity_name"),
         F.explode("_d.facts").alias("taxonomy", "_concepts"),
@@ -229,8 +248,8 @@ def flatten_company_facts(df: DataFrame, document: str = "document") -> DataFram
     )
     return units.select("*", F.explode("_facts").alias("_f")).select(
         "cik", "entity_name", "taxonomy", "concept", "label", "unit",
-        F.col("_f.val").try_cast("decimal(38,6)").alias("value"),
-        F.col("_f.fy").try_cast("int").alias("fiscal_year"),
+        _exact(F.col("_f.val"), _FACT_VALUE).alias("value"),
+        _exact(F.col("_f.fy"), "int").alias("fiscal_year"),
         F.col("_f.fp").alias("fiscal_period"), F.col("_f.form").alias("form"), F.col("_f.filed").alias("filed"),
         F.col("_f.end").alias("end_date"), F.col("_f.accn").alias("accession_number"),
     )

@@ -166,7 +166,7 @@ def distinct_events_stream(df: DataFrame, clock: str, delay: str, keys: Sequence
 
 
 def daily_counters_stream(df: DataFrame, clock: str, delay: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Closed days with counts and quantity sums."""
+    """Days with counts and quantity sums: closed ones in append mode, all so far in complete mode."""
     return (
         df.withWatermark(clock, delay)
         .groupBy(F.window(clock, "1 day").alias("day"), *keys)
@@ -175,20 +175,22 @@ def daily_counters_stream(df: DataFrame, clock: str, delay: str, keys: Sequence[
     )
 
 
-def sliding_counters_stream(df: DataFrame, clock: str, delay: str, days: int) -> DataFrame:
-    """Sliding windows of ``days`` days that advance by one day, over daily sums."""
+def sliding_windows(daily: DataFrame, days: int) -> DataFrame:
+    """Windows of ``days`` days that advance by one day, from daily counters: one copy of a day per window."""
+    starts = F.sequence(F.lit(0), F.lit(days - 1))
+    rows = daily.select("day", "row_count", "quantity", F.explode(starts).alias("_back"))
+    start = F.col("day") - F.make_dt_interval(F.col("_back"))
     return (
-        df.withWatermark(clock, delay)
-        .groupBy(F.window(clock, f"{days} days", "1 day").alias("w"))
-        .agg(F.count(F.lit(1)).alias("row_count"), F.sum("quantity").alias("quantity"))
-        .select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "row_count", "quantity")
+        rows.groupBy(start.alias("start"))
+        .agg(F.sum("row_count").alias("row_count"), F.sum("quantity").alias("quantity"))
+        .select("start", (F.col("start") + F.make_dt_interval(F.lit(days))).alias("end"), "row_count", "quantity")
     )
 
 
 def quiet_sessions_stream(
     df: DataFrame, clock: str, delay: str, keys: Sequence[str], gap_seconds: int = QUIET_WARNING_SECONDS
 ) -> DataFrame:
-    """Activity sessions of each key, ended by a quiet stretch."""
+    """Activity sessions of each key, ended by a quiet stretch; open ones too in complete mode."""
     return (
         df.withWatermark(clock, delay)
         .groupBy(F.session_window(clock, f"{gap_seconds} seconds").alias("s"), *keys)
@@ -207,20 +209,17 @@ def split_stale(df: DataFrame, max_staleness_seconds: int = DEFAULT_MAX_STALENES
 def run_available(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
     """Run a stream over everything there is into Parquet, and read the result.
 
-    Checkpoint and output live in the cluster's shared folder.
+    Checkpoint and output live in the cluster's shared folder.  ``complete`` writes the whole
+    result of each batch over the last, so windows that are still open are in it.
     """
     spark: SparkSession = stream.sparkSession
     root = shared_folder(spark, label)
-    if root is None:
-        raise ValueError("spark.checkpoint.dir must name a shared folder for streams")
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode(output_mode)
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .option("path", f"{root}/rows")
-        .trigger(availableNow=True)
-        .start()
-    )
+    rows = f"{root}/rows"
+    writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{root}/checkpoint")
+    if output_mode == "complete":
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    else:
+        writer = writer.format("parquet").option("path", rows)
+    query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
-
+    return spark.read.schema(stream.schema).parquet(rows)

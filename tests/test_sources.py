@@ -47,8 +47,59 @@ def test_strict_and_quarantine_reads(spark, tmp_path):
     path.write_text('{"a":1}\n\n{"a":2}\n{"a":\n[1]\n')
     with pytest.raises(Exception, match="malformed JSON line"):
         jsonl.read_jsonl(spark, str(path), "a int")[0].collect()
+    with pytest.raises(Exception, match="malformed JSON line"):
+        jsonl.read_jsonl(spark, str(path), "a int")[0].select("source_path").count()
     good, bad = jsonl.read_jsonl(spark, str(path), "a int", "quarantine")
-    assert sorted(r.a for r in good.collect()) == [1, 2] and bad.count() == 2
+    assert sorted(r.a for r in good.collect()) == [1, 2]
+    assert sorted((r.source_path.rsplit("/")[-1], r.line_number) for r in bad.collect()) == [("in.jsonl", 4), ("in.jsonl", 5)]
+
+
+def test_line_numbers_across_blocks(spark, tmp_path):
+    path = tmp_path / "long.jsonl"
+    lines = ['{"a":1}'] * 3_000
+    for n in (1, 777, 2_999, 3_000):
+        lines[n - 1] = "{"
+    path.write_text("\n".join(lines) + "\n")
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        bad = jsonl.read_jsonl(spark, str(path), "a int", "quarantine")[1]
+        assert sorted(r.line_number for r in bad.collect()) == [1, 777, 2_999, 3_000]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+
+
+def test_redaction_of_broken_lines_leaks_nothing(spark, tmp_path):
+    path = tmp_path / "in.jsonl"
+    path.write_text('{"token":"abcSECRET\n{"api_key":{"a":\n{"api_key":{"a":"SECRET"},"n":1}\n')
+    good, bad = jsonl.read_jsonl(spark, str(path), "n int, api_key string", "quarantine", redact=True)
+    assert [(r.n, r.api_key) for r in good.collect()] == [(1, "[REDACTED]")]
+    assert bad.count() == 2 and "SECRET" not in str(bad.collect())
+
+
+def test_redaction_keeps_all_other_bytes(spark):
+    big = '{"a" : 12345678901234567890.123456789, "b":1.10,"é":"\\u00e9","api_key": {"x":[1,{"y":"}"}]} , "c":[ ]}'
+    escaped = '{"\\u0061pi_key":"x","n": 1.0}'
+    got = [r.t for r in redact_payload(texts(spark, big, escaped, '{"n":1.50}', None), "t").orderBy("i").collect()]
+    assert got == [
+        '{"a" : 12345678901234567890.123456789, "b":1.10,"é":"\\u00e9","api_key": "[REDACTED]" , "c":[ ]}',
+        '{"\\u0061pi_key":"[REDACTED]","n": 1.0}', '{"n":1.50}', None,
+    ]
+    assert [r.payload_safe for r in payload_safety(texts(spark, escaped, '{"n":1}'), "t").orderBy("i").collect()] == [False, True]
+
+
+@pytest.mark.parametrize("document", ['{"markets":3}', '{"cursor":""}', "[1]", "{"])
+def test_pages_without_a_list_fail(spark, document):
+    good = '{"markets":[{"t":1}]}'
+    pages = spark.createDataFrame([(good,), (document,)], "document string")
+    with pytest.raises(Exception, match="page without a list"):
+        records.explode_pages(pages, "document", "markets").collect()
+
+
+@pytest.mark.parametrize("document", ['{"source":"s"}', "{", "3"])
+def test_book_documents_without_books_fail(spark, document):
+    with pytest.raises(Exception, match="without markets or books"):
+        records.books_from_documents(spark.createDataFrame([(document,)], "document string")).count()
 
 
 def test_canonical_write_appends(spark, tmp_path):
@@ -82,6 +133,20 @@ def test_company_facts(spark):
         records.flatten_company_facts(spark.createDataFrame([(json.dumps(bad),)], "document string")).collect()
 
 
+def test_company_facts_lose_nothing(spark):
+    def flat(body):
+        fact = f'{{"val":{body},"fy":2022}}'
+        doc = f'{{"cik":1,"entityName":"E","facts":{{"t":{{"C":{{"units":{{"u":[{fact}]}}}}}}}}}}'
+        return records.flatten_company_facts(spark.createDataFrame([(doc,)], "document string")).collect()
+
+    assert flat("0.12345678")[0].value == D("0.12345678")
+    for bad in ("0.1234567890123", "1e99", '"x"'):
+        with pytest.raises(Exception, match="out of range"):
+            flat(bad)
+    with pytest.raises(Exception, match="without facts"):
+        records.flatten_company_facts(spark.createDataFrame([("{",)], "document string")).collect()
+
+
 def test_safety_of_long_texts_and_nested_secrets(spark):
     long = 'say "password": 1 \\ ' * 20_000
     payloads = [
