@@ -1,8 +1,8 @@
 """Fuzzy line deduplication: one line of each group of near-equal lines stays.
 
-Lines are compared in lower case without outer white space; lines under 20 characters are left
-alone.  Two lines are linked when their lengths lie within 75% and their sets of
-five-character shingles have a Jaccard similarity of 0.75 or more.
+Lines are compared as they are but for outer white space; lines under 20 characters are left alone.
+Two lines are linked when their lengths lie within 75% and their sets of five-character shingles
+have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
 2. Signature: the four least hashes among a line's eight-character shingles that start at a word.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from paritymill.llm.buckets import bucket_links, live_members
 from paritymill.llm.components import components
 from paritymill.llm.pii import let
-from paritymill.llm.shared import Scratch, stage
+from paritymill.llm.shared import Scratch, maybe_in, stage
 
 MIN_CHARS = 20
 PERCENT = 75
@@ -31,12 +31,15 @@ SHINGLE = 5
 MINIMA = 4
 _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
-# eight characters (or what is left of the line) from each start of a word
-_STARTS = rf"(?s)(?<![^{_SPACE}])(?=([^{_SPACE}].{{0,7}}))"
+# eight characters (or what is left of the line) from each start of a word; the word is then passed over
+_STARTS = rf"(?s)(?=([^{_SPACE}].{{0,7}}))[^{_SPACE}]++"
+# lines of longer words are put to the full test at once: few edits can touch most of their words
+_LONG_WORD = 10
+_COMMON_WORDS = 40
 
 
 def _plain(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(_SPACE_CHARS)))
+    return F.btrim(line, F.lit(_SPACE_CHARS))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -49,6 +52,27 @@ def _shingles(body: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
 
 
+def _may_link(a: Column, b: Column) -> Column:
+    """False only for lines that cannot be similar: far too few words in common.
+
+    An edit that leaves a word out of the common ones takes at least two shingles with it, five when it
+    stands alone, and a link may lose a seventh of a line's shingles: with words of ten characters on average
+    that is less than a third of the words.
+    """
+
+    def enough(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["x"], s["y"]))
+        return 100 * both >= _COMMON_WORDS * F.greatest(F.size(F.array_distinct(s["x"])), F.size(F.array_distinct(s["y"])))
+
+    def words(c: Column) -> Column:
+        return F.split(c, f"[{_SPACE}]+")
+
+    return let(
+        F.struct(words(a).alias("x"), words(b).alias("y")),
+        lambda s: F.when(F.length(a) + F.length(b) > _LONG_WORD * (F.size(s["x"]) + F.size(s["y"])), F.lit(True)).otherwise(enough(s)),
+    )
+
+
 def similar(a: Column, b: Column) -> Column:
     """Jaccard similarity of the shingle sets of two lines of at least ``SHINGLE`` characters."""
 
@@ -96,12 +120,14 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     scratch = Scratch()
     members = scratch.stage(live_members(_buckets(classes), "bucket", "rep"), "line-members")
     wanted = members.select(F.col("rep").alias("key")).distinct()
-    bodies = _lines(source).select(F.xxhash64("body").alias("key"), "body").join(wanted, "key", "left_semi")
+    wanted = scratch.stage(wanted, "line-wanted")
+    bodies = maybe_in(_lines(source).select(F.xxhash64("body").alias("key"), "body"), "key", wanted)
+    bodies = bodies.join(wanted, "key", "left_semi")
     bodies = scratch.stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
-        return full.where(similar(F.col("body_a"), F.col("body_b"))).select("a", "b")
+        return full.where(F.when(_may_link(F.col("body_a"), F.col("body_b")), similar(F.col("body_a"), F.col("body_b"))).otherwise(False)).select("a", "b")
 
     links = bucket_links(members, PERCENT, confirm, scratch)
     groups = components(links, "a", "b").toDF("key", "component")

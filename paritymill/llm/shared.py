@@ -10,7 +10,8 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.cache
@@ -50,6 +51,26 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_BITMAP_BITS = 23
+
+
+def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose BIGINT ``key`` may be in ``wanted``, by a bitmap; a semi-join follows.
+
+    The bitmap has at most 2^17 rows of 64 bits (2 MB), whatever the size of ``wanted``, so it is
+    broadcast.  A small ``wanted`` saves the shuffle of nearly all other rows; a huge one lets all through.
+    """
+
+    def place(c: str) -> tuple[Column, Column]:
+        at = F.pmod(F.col(c), F.lit(1 << _BITMAP_BITS))
+        return F.shiftright(at, 6), F.expr(f"shiftleft(1L, CAST(pmod({c}, 64) AS INT))")
+
+    word, bit = place(key)
+    table = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word")
+    return held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
+
+
 class Scratch:
     """Stage tables of one computation, deleted together once its result no longer reads them."""
 
