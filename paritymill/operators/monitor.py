@@ -263,14 +263,17 @@ def monitor_positions(positions: DataFrame) -> DataFrame:
     )
 
 
-def monitor_tables(records: DataFrame, venues: DataFrame, now: datetime | Column) -> dict[str, DataFrame]:
-    """All monitor tables over one record set."""
+def monitor_tables(
+    records: DataFrame, venues: DataFrame, now: datetime | Column, positions: DataFrame
+) -> dict[str, DataFrame]:
+    """All monitor tables over one record set and its positions."""
     rollup, status = run_rollup(records), venue_status(venues, now)
     return {
         "venues": status,
         "runs": rollup,
         "candidates": monitor_candidates(records),
         "orders": monitor_orders(records),
+        "positions": monitor_positions(positions),
         "health": monitor_health(rollup, status),
     }
 

@@ -12,6 +12,7 @@ from paritymill.session import stage
 
 _ORDER = ["audit_id", "client_order_id"]
 _QTY = "decimal(28,8)"
+_AVERAGE = "decimal(38,12)"
 EVENT_TYPES = ("accepted", "rejected", "partial_fill", "full_fill", "cancel", "error", "timeout", "backfill")
 TERMINAL_TYPES = ("rejected", "cancel", "error", "timeout")
 
@@ -121,8 +122,8 @@ def reconcile(audits: DataFrame, events: DataFrame, chunk: Column) -> dict[str,
             F.coalesce("filled_quantity", F.lit(0).cast(_QTY)).alias("filled_quantity"),
             F.when(
                 F.col("filled_quantity") > 0,
-                F.col("fill_cost").cast("double") / F.col("filled_quantity").cast("double"),
-            ).otherwise(F.lit(0.0)).alias("average_fill_price"),
+                (F.col("fill_cost") / F.col("filled_quantity")).cast(_AVERAGE),
+            ).otherwise(F.lit(0).cast(_AVERAGE)).alias("average_fill_price"),
         )
         .withColumn("fully_filled", F.col("filled_quantity") == F.col("submitted_quantity"))
     )

@@ -499,10 +499,12 @@ def near_misses(selected: DataFrame, limit: int = NEAR_MISS_LIMIT) -> DataFrame:
 
 
 def required_channels_acknowledged(acks: DataFrame, required: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Whether every required channel is among the acknowledged ones of a key."""
-    got = acks.where(F.col("channel").isin(*required)).groupBy(*keys).agg(
-        F.collect_set("channel").alias("acknowledged_channels")
-    )
+    """Acknowledged channels of every key and whether all required ones are among them.
+
+    A key whose acknowledgements are all of other channels, or null, has none of them.
+    """
+    wanted = F.when(F.col("channel").isin(*required), F.col("channel"))
+    got = acks.groupBy(*keys).agg(F.sort_array(F.collect_set(wanted)).alias("acknowledged_channels"))
     need = F.array(*[F.lit(c) for c in required])
     return got.withColumn(
         "all_acknowledged", F.size(F.array_except(need, F.col("acknowledged_channels"))) == 0

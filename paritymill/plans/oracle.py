@@ -1012,6 +1012,27 @@ a AS (SELECT k, k % 3 <> 0 AS running, {aged("k % 100")} AS keepalive_age, {aged
 SELECT k AS campaign, running, keepalive_age, lifecycle_age, quiet_age, CASE WHEN running AND keepalive_age > 120 THEN 'FAIL' ELSE 'PASS' END AS transport_keepalive,
   CASE WHEN running AND lifecycle_age > 120 THEN 'FAIL' ELSE 'PASS' END AS market_lifecycle_validity,
   CASE WHEN running AND quiet_age IS NOT NULL THEN CASE WHEN quiet_age > 300 THEN 'QUIET_WARNING' ELSE 'FRESH' END ELSE 'UNKNOWN' END AS message_freshness FROM a"""
+    text = lambda n, c: f"CASE WHEN l_orderkey % {n} NOT IN (0, 1) THEN {c} END"
+    market = f"coalesce({text(3, "'M-' || l_partkey")}, 'P-' || l_orderkey)"
+    out["monitor_positions"] = f"""SELECT coalesce({text(5, "'v'")}, 'paper') AS venue, {market} AS market_id,
+  'P-' || l_orderkey AS market_ticker, 'USD' AS currency, l_returnflag AS side, CAST(l_quantity AS DOUBLE) AS quantity,
+  CAST(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE l_suppkey END AS DOUBLE) AS exposure,
+  CAST(nullif(l_linenumber % 3, 0) AS DOUBLE) AS fees, 'paper_ledger' AS source FROM lineitem"""
+    out["run_record_counts"] = """WITH r AS (SELECT 'R-' || (event_id // 7) AS run_id, CASE WHEN event_id % 91 = 0 THEN 'runtime_terminal'
+    WHEN event_id % 7 = 0 THEN 'runtime_launch' WHEN event_id % 7 = 3 THEN 'runtime_terminal' ELSE 'frame' END AS k FROM events)
+SELECT run_id, count(*) FILTER (k = 'runtime_launch') AS launch_count, count(*) FILTER (k = 'runtime_terminal') AS terminal_count,
+  count(*) FILTER (k = 'runtime_launch') = 1 AND count(*) FILTER (k = 'runtime_terminal') = 1 AS run_ok FROM r GROUP BY 1"""
+    out["required_channels"] = """WITH a AS (SELECT 'C-' || (event_id // 4) AS connection_id,
+    ['orderbook_delta', 'trade', 'ticker', 'trade'][event_id // 3 % 4 + 1] AS channel FROM events),
+g AS (SELECT connection_id, bool_or(channel = 'orderbook_delta') AS d, bool_or(channel = 'trade') AS t FROM a GROUP BY 1)
+SELECT connection_id, concat_ws('|', CASE WHEN d THEN 'orderbook_delta' END, CASE WHEN t THEN 'trade' END) AS acknowledged_channels,
+  d AND t AS all_acknowledged FROM g"""
+    out["native_source_class"] = """WITH s AS (SELECT user_id, count(*) FILTER (event_id % 5 = 0 AND user_id % 3 = 0) AS d,
+  count(*) FILTER (event_id % 5 = 1 AND user_id % 2 = 0) AS n, count(*) FILTER (event_id % 5 = 2) AS t,
+  max(CASE WHEN user_id % 4 <> 0 THEN event_id % 600 END) AS age FROM events GROUP BY 1)
+SELECT user_id, CASE WHEN d > 0 THEN 'WEBSOCKET_DELTA' WHEN n > 0 THEN 'WEBSOCKET_SNAPSHOT' WHEN t > 0 THEN 'WEBSOCKET_PUBLIC_TRADE'
+  ELSE 'WEBSOCKET_NO_ORDERBOOK' END AS source_type,
+  CASE WHEN age IS NULL THEN 'UNKNOWN_NOT_OBSERVED' WHEN age > 300 THEN 'QUIET_WARNING' ELSE 'FRESH' END AS freshness FROM s"""
     out["jsonl_strict_scan"] = "SELECT event_id, event_type, user_id FROM events"
     out["jsonl_quarantine_scan"] = """SELECT CASE WHEN event_id % 97 = 0 OR event_id % 89 = 0 THEN 'CORRUPT_JSONL' ELSE event_type END AS event_type, count(*) AS line_count
 FROM events WHERE event_id % 97 = 0 OR event_id % 89 = 0 OR event_id % 83 <> 0 GROUP BY 1"""

@@ -8,6 +8,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paritymill.fixed import TOTAL
 from paritymill.functions.ordered import CHUNK_ROWS, chunk_of
 from paritymill.functions.columns import record_hash
 from paritymill.functions.safety import payload_safety, redact_payload
@@ -405,7 +406,7 @@ def reconcile_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(
         "audit_id", "client_order_id", "accepted", "rejected", "canceled", "errored", "timed_out",
         V.d6(F.col("filled_quantity")).alias("filled_quantity"),
-        F.round("average_fill_price", 10).alias("average_fill_price"),
+        F.round(F.col("average_fill_price").cast("double"), 10).alias("average_fill_price"),
         "fully_filled",
     )
 
@@ -964,6 +965,58 @@ def monitor_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
     return monitor.refresh_running(campaigns, MONITOR_NOW).drop("evaluated_at")
 
 
+@register("monitor_positions")
+def monitor_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with missing names, clocks and amounts, filled by the monitor's defaults."""
+    k = F.col("l_orderkey")
+    text = lambda every, c: F.when(k % every == 0, F.lit("")).when(k % every != 1, c)
+    positions = V.table(spark, sf_dir, "lineitem").select(
+        text(5, F.lit("v")).alias("venue"), text(3, F.concat(F.lit("M-"), F.col("l_partkey").cast("string"))).alias("market_id"),
+        F.concat(F.lit("P-"), k.cast("string")).alias("proposal_id"), F.col("l_returnflag").alias("side"),
+        F.col("l_quantity").cast("decimal(28,8)").alias("quantity"), (F.col("l_linenumber") % 2).cast(TOTAL).alias("exposure"),
+        F.col("l_suppkey").cast(TOTAL).alias("notional"), (F.col("l_linenumber") % 3).cast(TOTAL).alias("fees_paid"),
+    )
+    out = monitor.monitor_positions(positions)
+    return _plain(out.select("venue", "market_id", "market_ticker", "currency", "side", "quantity", "exposure", "fees", "source"))
+
+
+@register("run_record_counts")
+def run_record_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.when(e % 7 == 0, "runtime_launch").when(e % 7 == 3, "runtime_terminal").otherwise("frame")
+    rows = V.v_events(spark, sf_dir).select(
+        F.concat(F.lit("R-"), F.floor(e / 7).cast("string")).alias("run_id"),
+        F.when(e % 91 != 0, kind).otherwise("runtime_terminal").alias("record_type"),
+    )
+    return connections.run_record_counts(rows)
+
+
+@register("required_channels")
+def required_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    acks = V.v_events(spark, sf_dir).select(
+        F.concat(F.lit("C-"), F.floor(e / 4).cast("string")).alias("connection_id"),
+        V.pick(F.floor(e / 3) % 4, "orderbook_delta", "trade", "ticker", "trade").alias("channel"),
+    )
+    out = selection.required_channels_acknowledged(acks, ["orderbook_delta", "trade"], ["connection_id"])
+    return out.withColumn("acknowledged_channels", joined("acknowledged_channels"))
+
+
+@register("native_source_class")
+def native_source_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source class and order-book freshness of every user's events."""
+    kind = F.col("event_id") % 5
+    seen = V.v_events(spark, sf_dir).groupBy("user_id").agg(
+        F.count_if((kind == 0) & (F.col("user_id") % 3 == 0)).alias("delta_count"),
+        F.count_if((kind == 1) & (F.col("user_id") % 2 == 0)).alias("snapshot_count"),
+        F.count_if(kind == 2).alias("trade_count"),
+        F.max(F.when(F.col("user_id") % 4 != 0, F.col("event_id") % 600)).alias("age"),
+    )
+    return seen.select(
+        "user_id", evidence.source_type_class().alias("source_type"), evidence.orderbook_freshness(F.col("age")).alias("freshness")
+    )
+
+
 # --- sources and safety ------------------------------------------------------
 def _written(spark: SparkSession, lines: DataFrame, label: str) -> str:
     """Write text lines below the shared folder, to be scanned back."""
