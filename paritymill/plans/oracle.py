@@ -1016,7 +1016,7 @@ SELECT k AS campaign, running, keepalive_age, lifecycle_age, quiet_age, CASE WHE
     market = f"coalesce({text(3, "'M-' || l_partkey")}, 'P-' || l_orderkey)"
     out["monitor_positions"] = f"""SELECT coalesce({text(5, "'v'")}, 'paper') AS venue, {market} AS market_id,
   'P-' || l_orderkey AS market_ticker, 'USD' AS currency, l_returnflag AS side, CAST(l_quantity AS DOUBLE) AS quantity,
-  CAST(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE l_suppkey END AS DOUBLE) AS exposure,
+  CAST(CASE WHEN l_linenumber % 2 = 1 THEN 1 ELSE nullif(l_suppkey, 0) END AS DOUBLE) AS exposure,
   CAST(nullif(l_linenumber % 3, 0) AS DOUBLE) AS fees, 'paper_ledger' AS source FROM lineitem"""
     out["run_record_counts"] = """WITH r AS (SELECT 'R-' || (event_id // 7) AS run_id, CASE WHEN event_id % 91 = 0 THEN 'runtime_terminal'
     WHEN event_id % 7 = 0 THEN 'runtime_launch' WHEN event_id % 7 = 3 THEN 'runtime_terminal' ELSE 'frame' END AS k FROM events)
