@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from paritymill.llm import units
 
 FIT_DOCUMENTS = 16_000
-FIT_LINES = 12_000
+FIT_LINES = 8_000
+FIT_LINE_TOKENS = 500
 MAX_FEATURES = 1 << 16
 MARK_RATIO, KNOWN_RATIO = 15.0, 8.0
 MARK_ODDS = 8.0
@@ -152,6 +153,17 @@ def forward_backward(unary: np.ndarray, mask: np.ndarray, trans: np.ndarray) ->
     return toxic, pairs, total
 
 
+def _groups(order: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
+    """Chains in ascending order of size, in groups of at most about 100,000 padded places."""
+    at = 0
+    while at < len(order):
+        group = order[at : at + 2000]
+        padded = np.arange(1, len(group) + 1) * size[group]
+        group = group[: max(1, int(np.searchsorted(padded, 100_000, side="right")))]
+        yield group
+        at += len(group)
+
+
 @dataclass
 class Model:
     """``known`` ascending feature hashes with their weights, bias and transitions; ``curve`` of the document score."""
@@ -189,17 +201,12 @@ class Model:
         for n in np.unique(size[~known]).tolist():
             at = cuts[~known & (size == n)]
             out[at[:, None] + np.arange(n)] = self.plain(n)
-        order = np.flatnonzero(known)[np.argsort(size[known], kind="stable")]
-        at = 0
-        while at < len(order):  # chains of like length together, about 200,000 cells a group
-            group = order[at : at + 2000]
-            group = group[: max(1, 200_000 // int(size[group[-1]]))]
+        for group in _groups(np.flatnonzero(known)[np.argsort(size[known], kind="stable")], size):
             place = np.arange(int(size[group].max()))
             mask = place[None, :] < size[group][:, None]
             cell = np.where(mask, cuts[group][:, None] + place, 0)
             found = forward_backward(np.where(mask, unary[cell], 0.0), mask, self.trans)[0]
             out[cell[mask]] = found[mask]
-            at += len(group)
         return out
 
 
@@ -214,44 +221,44 @@ def _ratio(counts: DataFrame, toxic: int, clean: int) -> DataFrame:
     return counts.select("feature", "toxic", "clean", llr.alias("ratio"), odds.alias("odds")).where("odds > 1 AND toxic > 1")
 
 
-def _fit_chain(lines, known: np.ndarray, marks: np.ndarray) -> Model:
-    """Gradient ascent on the labelled lines; ``lines`` is the bounded sample as pandas rows."""
+def _fit_chain(lines: pa.Table, known: np.ndarray, marks: np.ndarray) -> Model:
+    """Gradient ascent on the labelled lines, the bounded sample; only known features are kept of it."""
     wide = 1 + len(PREFIXES)
-    size = np.array([t[0] for t in lines["tokens"]], dtype=np.int64)
-    order = np.argsort(size, kind="stable")
+    size = pa.concat_arrays([c.flatten() for c in lines.column("tokens").chunks]).to_numpy().astype(np.int64)
+    flat = pa.concat_arrays([c.flatten() for c in lines.column("features").chunks]).to_numpy().view(np.uint64).reshape(-1, wide)
+    toxic, first = lines.column("toxic").to_numpy() == 1, np.cumsum(size) - size
     batches = []
-    for a in range(0, len(order), 1000):
-        part = order[a : a + 1000]
-        longest = int(size[part].max())
-        mask = np.arange(longest)[None, :] < size[part][:, None]
-        features = np.zeros((len(part), longest, wide), dtype=np.uint64)
-        flat = np.concatenate([np.asarray(lines["features"].iloc[i], dtype=np.int64) for i in part]).view(np.uint64)
-        features[mask] = flat.reshape(-1, wide)
-        label = np.isin(features, marks).any(axis=2) & mask & (lines["toxic"].to_numpy()[part] == 1)[:, None]
+    for part in _groups(np.argsort(size, kind="stable"), size):
+        place = np.arange(int(size[part].max()))
+        mask = place[None, :] < size[part][:, None]
+        features = flat[(first[part][:, None] + place)[mask]]
+        marked = np.isin(features, marks).any(axis=1) & np.repeat(toxic[part], size[part])
+        label = np.zeros(mask.shape, dtype=bool)
+        label[mask] = marked
         at = np.minimum(np.searchsorted(known, features), len(known) - 1)
-        index = np.where(known[at] == features, at, len(known))  # the last weight stays 0
-        batches.append((mask, label, index))
-    weights, bias, trans = np.append(np.where(np.isin(known, marks), START_MARK, 0.0), 0.0), START_BIAS, np.zeros((2, 2))
+        token, column = np.nonzero(known[at] == features)
+        batches.append((mask, label, np.flatnonzero(mask.reshape(-1))[token], at[token, column]))
+    del flat
+    weights, bias, trans = np.where(np.isin(known, marks), START_MARK, 0.0), START_BIAS, np.zeros((2, 2))
     total = max(1, int(size.sum()))
     squares = [np.full_like(weights, 1e-8), 1e-8, np.full_like(trans, 1e-8)]
     for _ in range(STEPS):
         gw, gb, gt = np.zeros_like(weights), 0.0, np.zeros((2, 2))
-        for mask, label, index in batches:
-            marginal, pairs, _ = forward_backward(bias + weights[index].sum(axis=2) * mask, mask, trans)
+        for mask, label, cell, index in batches:
+            unary = np.bincount(cell, weights[index], mask.size).reshape(mask.shape) + bias * mask
+            marginal, pairs, _ = forward_backward(unary, mask, trans)
             rest = (label - marginal) * mask
             gb += rest.sum()
-            gw += np.bincount(index.reshape(-1), np.repeat(rest.reshape(-1), wide), len(weights))
+            gw += np.bincount(index, rest.reshape(-1)[cell], len(weights))
             state = label.astype(np.int64)
             seen = np.bincount((2 * state[:, :-1] + state[:, 1:])[mask[:, 1:]], minlength=4).reshape(2, 2)
             gt += seen - pairs
-        gw = gw / total - RIDGE * weights / max(1, len(known))
-        gw[-1] = 0.0
-        steps = [gw, gb / total, gt / total]
+        steps = [gw / total - RIDGE * weights / max(1, len(known)), gb / total, gt / total]
         squares = [s + g * g for s, g in zip(squares, steps, strict=True)]
         weights, bias, trans = (
             x + RATE * g / np.sqrt(s) for x, g, s in zip((weights, bias, trans), steps, squares, strict=True)
         )
-    return Model(known, weights[:-1], float(bias), trans)
+    return Model(known, weights, float(bias), trans)
 
 
 def _score(model) -> Callable:
@@ -304,7 +311,8 @@ def _logit(p: np.ndarray) -> np.ndarray:
 
 
 def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, lines: int = FIT_LINES) -> Model:
-    """Model of labelled rows (id, text, toxic); at most ``documents`` rows and ``lines`` lines are used.
+    """Model of labelled rows (id, text, toxic); at most ``documents`` rows are used, and for the chain
+    at most ``lines`` of their lines, of at most ``FIT_LINE_TOKENS`` tokens.
 
     The sample is the rows of least hashed id, the same in every run.  Rows without a label, text
     or id are left out.  No rows, or rows of one label, give a model that scores all texts alike.
@@ -323,10 +331,10 @@ def fit(labelled: DataFrame, documents: int = FIT_DOCUMENTS, lines: int = FIT_LI
     if not len(marks):
         rate = (sizes.get(1, 0) + 1) / (sum(sizes.values()) + 2)
         return Model(known[:0], np.zeros(0), -30.0, np.zeros((2, 2)), (float(_logit(np.array(rate))), 0.0, 0.0))
-    held = sample.mapInArrow(_split_lines, _LINES)
+    held = sample.mapInArrow(_split_lines, _LINES).where(F.size("features").between(1, FIT_LINE_TOKENS * (1 + len(PREFIXES))))
     marked = F.arrays_overlap("features", F.array(*[F.lit(int(m)) for m in marks[:2000]]))
-    half = [held.where(c & (F.size("features") > 0)).orderBy("rank", "features").limit(lines // 2) for c in ((F.col("toxic") == 1) & marked, ~((F.col("toxic") == 1) & marked))]
-    model = _fit_chain(half[0].union(half[1]).toPandas(), known, marks.view(np.uint64))
+    half = [held.where(c).orderBy("rank", "features").limit(lines // 2) for c in ((F.col("toxic") == 1) & marked, ~((F.col("toxic") == 1) & marked))]
+    model = _fit_chain(half[0].union(half[1]).toArrow(), known, marks.view(np.uint64))
     scored = sample.select("id", "text").mapInArrow(_score(spark.sparkContext.broadcast(model)), _SCORES)
     pairs = scored.join(sample.select("id", "toxic"), "id").select("any_toxic", "mass", "toxic").toPandas()
     model.lengths.clear()
