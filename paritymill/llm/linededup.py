@@ -1,15 +1,15 @@
 """Fuzzy line deduplication: one line of each group of near-equal lines stays.
 
 Lines are compared as they are but for outer white space; lines under 20 characters are left alone.
-Two lines are linked when their lengths lie within 75% and their sets of five-character shingles
-have a Jaccard similarity of 0.75 or more.
+A line's set is its twenty-character shingles that start at a word, or all of them where words
+average over ten characters (scripts without spaces, long tokens).  Two lines are linked when their
+lengths lie within 75% and their sets have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
-2. Signature: the four least hashes among a line's eight-character shingles that start at a word.
-3. Banding: every two of the four minima are a bucket.  On edited lines of the test data
-   a linked pair shares one with a chance of 0.995.
-4. Candidates are confirmed on their full sets of five-character shingles, leaders first
-   (``buckets``), and links grouped by union-find (``components``).
+2. Signature: the five least hashes of the line's set, the MinHash bottom sketch.
+3. Banding: every two of the five minima that stand next to each other, or next but one, are a bucket.
+4. Candidates are confirmed on their full sets, leaders first (``buckets``), and links grouped by
+   union-find (``components``).
 5. The first line of a group, by document and place, stays; the others go.
 
 DataFrame expressions only.  Texts are shuffled once, for the candidates; all else is narrow rows.
@@ -27,80 +27,62 @@ from paritymill.llm.shared import Scratch, maybe_in, stage
 
 MIN_CHARS = 20
 PERCENT = 75
-SHINGLE = 5
-MINIMA = 4
+SHINGLE = 20
+MINIMA = 5
+_LONG_WORD = 10
 _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
-# eight characters (or what is left of the line) from each start of a word; the word is then passed over
-_STARTS = rf"(?s)(?=([^{_SPACE}].{{0,7}}))[^{_SPACE}]++"
-# lines of longer words are put to the full test at once: few edits can touch most of their words
-_LONG_WORD = 10
-_COMMON_WORDS = 40
-
-
-def _plain(line: Column) -> Column:
-    return F.btrim(line, F.lit(_SPACE_CHARS))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, line, body) of the lines that take part, from (doc, text)."""
     placed = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    return placed.select("doc", "line", _plain(F.col("raw")).alias("body")).where(F.length("body") >= MIN_CHARS)
+    bare = F.btrim("raw", F.lit(_SPACE_CHARS))
+    return placed.where(F.length("raw") >= MIN_CHARS).select("doc", "line", bare.alias("body")).where(F.length("body") >= MIN_CHARS)
 
 
 def _shingles(body: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(body, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1)))
-
-
-def _may_link(a: Column, b: Column) -> Column:
-    """False only for lines that cannot be similar: far too few words in common.
+    """Distinct hashes of the shingles of a line; at its end they are shorter.
 
-    An edit that leaves a word out of the common ones takes at least two shingles with it, five when it
-    stands alone, and a link may lose a seventh of a line's shingles: with words of ten characters on average
-    that is less than a third of the words.
+    The first pattern looks ahead from each start of a word and passes over the word.
     """
-
-    def enough(s: Column) -> Column:
-        both = F.size(F.array_intersect(s["x"], s["y"]))
-        return 100 * both >= _COMMON_WORDS * F.greatest(F.size(F.array_distinct(s["x"])), F.size(F.array_distinct(s["y"])))
-
-    def words(c: Column) -> Column:
-        return F.split(c, f"[{_SPACE}]+")
-
-    return let(
-        F.struct(words(a).alias("x"), words(b).alias("y")),
-        lambda s: F.when(F.length(a) + F.length(b) > _LONG_WORD * (F.size(s["x"]) + F.size(s["y"])), F.lit(True)).otherwise(enough(s)),
+    starts = rf"(?s)(?=([^{_SPACE}].{{0,{SHINGLE - 1}}}))[^{_SPACE}]++"
+    every = rf"(?s)(?=(.{{{SHINGLE}}}))"
+    at_words = F.regexp_extract_all(body, F.lit(starts), F.lit(1))
+    cut = let(
+        at_words,
+        lambda found: F.when(
+            F.length(body) > (_LONG_WORD + 1) * F.size(found), F.regexp_extract_all(body, F.lit(every), F.lit(1))
+        ).otherwise(found),
     )
+    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the shingle sets of two lines of at least ``SHINGLE`` characters."""
-
-    def enough(s: Column) -> Column:
-        both = F.size(F.array_intersect(s["x"], s["y"]))
-        return 100 * both >= PERCENT * (F.size(s["x"]) + F.size(s["y"]) - both)
-
-    return let(F.struct(_shingles(a).alias("x"), _shingles(b).alias("y")), enough)
+    """Whether two shingle sets reach the Jaccard similarity."""
+    both = F.size(F.array_intersect(a, b))
+    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
-    """(doc, line, key, size, m0 to m3): minima missing in short lines are null."""
-    hashes = F.transform(F.regexp_extract_all("body", F.lit(_STARTS), F.lit(1)), lambda s: F.xxhash64(s))
+    """(doc, line, key, size, m0 to m4): minima missing in short lines are null."""
     least = lines.select(
         "doc",
         "line",
         F.xxhash64("body").alias("key"),
         F.length("body").alias("size"),
-        F.slice(F.sort_array(F.array_distinct(hashes)), 1, MINIMA).alias("minima"),
+        F.slice(F.sort_array(_shingles(F.col("body"))), 1, MINIMA).alias("minima"),
     )
     return least.select("doc", "line", "key", "size", *[F.get("minima", F.lit(i)).alias(f"m{i}") for i in range(MINIMA)])
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
-    """A bucket for every two minima; a line with one word start has one bucket of its own kind."""
-    twos = [F.xxhash64(f"m{i}", f"m{j}") for i in range(MINIMA) for j in range(i + 1, MINIMA)]
-    seconds = [F.col(f"m{j}") for i in range(MINIMA) for j in range(i + 1, MINIMA)]
-    keys = F.array(F.when(F.col("m1").isNull(), F.xxhash64("m0")), *[F.when(s.isNotNull(), t) for s, t in zip(seconds, twos, strict=True)])
+    """A bucket for every two minima at most two places apart; a line with one shingle has a bucket of its own kind."""
+    near = [(i, j) for i in range(MINIMA) for j in (i + 1, i + 2) if j < MINIMA]
+    keys = F.array(
+        F.when(F.col("m1").isNull(), F.xxhash64("m0")),
+        *[F.when(F.col(f"m{j}").isNotNull(), F.xxhash64(f"m{i}", f"m{j}")) for i, j in near],
+    )
     return classes.select(F.explode(F.array_compact(keys)).alias("bucket"), F.col("key").alias("rep"), "size")
 
 
@@ -122,12 +104,12 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = members.select(F.col("rep").alias("key")).distinct()
     wanted = scratch.stage(wanted, "line-wanted")
     bodies = maybe_in(_lines(source).select(F.xxhash64("body").alias("key"), "body"), "key", wanted)
-    bodies = bodies.join(wanted, "key", "left_semi")
-    bodies = scratch.stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
+    bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
+    sets = scratch.stage(bodies.select("key", _shingles(F.col("body")).alias("shingles")), "line-sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
-        return full.where(F.when(_may_link(F.col("body_a"), F.col("body_b")), similar(F.col("body_a"), F.col("body_b"))).otherwise(False)).select("a", "b")
+        full = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
+        return full.where(similar(F.col("set_a"), F.col("set_b"))).select("a", "b")
 
     links = bucket_links(members, PERCENT, confirm, scratch)
     groups = components(links, "a", "b").toDF("key", "component")
