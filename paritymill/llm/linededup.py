@@ -1,15 +1,15 @@
 """Fuzzy line deduplication: one line of each group of near-equal lines stays.
 
-Lines are compared as they are but for outer white space; lines under 20 characters are left alone.
-A line's set is its twenty-character shingles that start at a word, or all of them where words
-average over ten characters (scripts without spaces, long tokens).  Two lines are linked when their
-lengths lie within 75% and their sets have a Jaccard similarity of 0.75 or more.
+Lines are compared in lower case without outer white space; lines under 20 characters are left
+alone.  Two lines are linked when their lengths lie within 75% and their sets of
+five-character shingles have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
-2. Signature: the five least hashes of the line's set, the MinHash bottom sketch.
+2. Signature: the five least hashes among a line's twenty-character shingles that start at a word, or
+   all of them where words average over ten characters.
 3. Banding: every two of the five minima that stand next to each other, or next but one, are a bucket.
-4. Candidates are confirmed on their full sets, leaders first (``buckets``), and links grouped by
-   union-find (``components``).
+4. Candidates are confirmed on their full sets of five-character shingles, leaders first
+   (``buckets``), and links grouped by union-find (``components``).
 5. The first line of a group, by document and place, stays; the others go.
 
 DataFrame expressions only.  Texts are shuffled once, for the candidates; all else is narrow rows.
@@ -27,7 +27,8 @@ from paritymill.llm.shared import Scratch, maybe_in, stage
 
 MIN_CHARS = 20
 PERCENT = 75
-SHINGLE = 20
+SHINGLE = 5
+_START = 20
 MINIMA = 5
 _LONG_WORD = 10
 _SPACE = r"\x20\x09-\x0D"
@@ -37,17 +38,23 @@ _SPACE_CHARS = " \t\n\x0b\f\r"
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc, line, body) of the lines that take part, from (doc, text)."""
     placed = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    bare = F.btrim("raw", F.lit(_SPACE_CHARS))
-    return placed.where(F.length("raw") >= MIN_CHARS).select("doc", "line", bare.alias("body")).where(F.length("body") >= MIN_CHARS)
+    bare = F.lower(F.btrim("raw", F.lit(_SPACE_CHARS)))
+    return placed.select("doc", "line", bare.alias("body")).where(F.length("body") >= MIN_CHARS)
 
 
 def _shingles(body: Column) -> Column:
-    """Distinct hashes of the shingles of a line; at its end they are shorter.
+    """Distinct hashes of all shingles of a line of at least ``SHINGLE`` characters."""
+    every = F.regexp_extract_all(body, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
+
+
+def _starts(body: Column) -> Column:
+    """Distinct hashes of the shingles at word starts; at the end of the line they are shorter.
 
     The first pattern looks ahead from each start of a word and passes over the word.
     """
-    starts = rf"(?s)(?=([^{_SPACE}].{{0,{SHINGLE - 1}}}))[^{_SPACE}]++"
-    every = rf"(?s)(?=(.{{{SHINGLE}}}))"
+    starts = rf"(?s)(?=([^{_SPACE}].{{0,{_START - 1}}}))[^{_SPACE}]++"
+    every = rf"(?s)(?=(.{{{_START}}}))"
     at_words = F.regexp_extract_all(body, F.lit(starts), F.lit(1))
     cut = let(
         at_words,
@@ -59,9 +66,13 @@ def _shingles(body: Column) -> Column:
 
 
 def similar(a: Column, b: Column) -> Column:
-    """Whether two shingle sets reach the Jaccard similarity."""
-    both = F.size(F.array_intersect(a, b))
-    return 100 * both >= PERCENT * (F.size(a) + F.size(b) - both)
+    """Whether the shingle sets of two lines reach the Jaccard similarity."""
+
+    def enough(s: Column) -> Column:
+        both = F.size(F.array_intersect(s["x"], s["y"]))
+        return 100 * both >= PERCENT * (F.size(s["x"]) + F.size(s["y"]) - both)
+
+    return let(F.struct(_shingles(a).alias("x"), _shingles(b).alias("y")), enough)
 
 
 def _signatures(lines: DataFrame) -> DataFrame:
@@ -71,7 +82,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
         "line",
         F.xxhash64("body").alias("key"),
         F.length("body").alias("size"),
-        F.slice(F.sort_array(_shingles(F.col("body"))), 1, MINIMA).alias("minima"),
+        F.slice(F.sort_array(_starts(F.col("body"))), 1, MINIMA).alias("minima"),
     )
     return least.select("doc", "line", "key", "size", *[F.get("minima", F.lit(i)).alias(f"m{i}") for i in range(MINIMA)])
 
@@ -105,11 +116,11 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     wanted = scratch.stage(wanted, "line-wanted")
     bodies = maybe_in(_lines(source).select(F.xxhash64("body").alias("key"), "body"), "key", wanted)
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
-    sets = scratch.stage(bodies.select("key", _shingles(F.col("body")).alias("shingles")), "line-sets")
+    bodies = scratch.stage(bodies, "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        full = pairs.join(sets.toDF("b", "set_b"), "b").join(sets.toDF("a", "set_a"), "a")
-        return full.where(similar(F.col("set_a"), F.col("set_b"))).select("a", "b")
+        full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
+        return full.where(similar(F.col("body_a"), F.col("body_b"))).select("a", "b")
 
     links = bucket_links(members, PERCENT, confirm, scratch)
     groups = components(links, "a", "b").toDF("key", "component")

@@ -1,5 +1,4 @@
 import random
-import re
 
 from pyspark.sql import functions as F
 
@@ -8,14 +7,12 @@ from paritymill.llm.queries import op10_fuzzy_lines
 
 
 def plain(line):
-    return line.strip(" \t\n\x0b\f\r")
+    out = line.strip(" \t\n\x0b\f\r")
+    return out.lower()
 
 
 def shingles(s):
-    at = [m.start() for m in re.finditer(r"[^\x20\x09-\x0D]+", s)]
-    if len(s) > 11 * len(at):
-        return {s[i : i + 20] for i in range(len(s) - 19)}
-    return {s[i : i + 20] for i in at}
+    return {s[i : i + 5] for i in range(len(s) - 4)}
 
 
 def brute(rows):
@@ -60,13 +57,13 @@ def test_edited_lines_equal_all_pairs(spark):
             w = rng.choice(base).split()
             for _ in range(rng.choice([0, 0, 1, 1, 2])):
                 w[rng.randrange(len(w))] = rng.choice(words)
-            lines.append(rng.choice(["", " "]) + " ".join(w))
+            lines.append(rng.choice(["", " "]) + " ".join(w).capitalize())
         rows.append((doc, "\n".join([*lines, "short", "", " \t"])))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = {(r.doc_id, r.line): (r.first_doc, r.first_line) for r in linededup.duplicate_lines(df).collect()}
     want = brute(rows)
     lost = {k for k in want.keys() | got.keys() if want.get(k) != got.get(k)}
-    assert len(lost) <= 0.02 * len(want)
+    assert len(lost) <= 0.01 * len(want)
 
 
 def test_documents_nearly_equal_all_pairs(spark, tiny):
@@ -80,13 +77,20 @@ def test_documents_nearly_equal_all_pairs(spark, tiny):
 
 def test_rest_of_the_text_stays(spark):
     line = "the quick brown fox jumps over the lazy dog"
-    rows = [(3, f"{line}\nx\n{line} \nown text of this document here", 1), (4, f" {line}", 2), (5, None, 3), (6, "", 4), (None, line, 5)]
+    rows = [(3, f"{line}\nx\n{line.upper()} \nown text of this document here", 1), (4, f" {line}", 2), (5, None, 3), (6, "", 4), (None, line, 5)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, dropped int")
     out = {r.doc_id: (r.text, r.dropped) for r in linededup.dedup_lines(df).collect()}
     assert out == {3: (f"{line}\nx\nown text of this document here", 1), 4: ("", 2), 5: (None, 3), 6: ("", 4), None: (line, 5)}
     assert linededup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_similarity_and_long_lines(spark):
+    df = spark.createDataFrame([("abcdefghij" * 3_000, "abcdefghij" * 3_000), ("a" * 30, "b" * 30)], "a string, b string")
+    assert [r.s for r in df.select(linededup.similar(F.col("a"), F.col("b")).alias("s")).collect()] == [True, False]
+    long = spark.createDataFrame([(1, "word " * 40_000), (2, "word " * 40_000)], "doc_id bigint, text string")
+    assert [r.doc_id for r in linededup.duplicate_lines(long).collect()] == [2]
+
+
 def test_shingles_and_long_lines(spark):
     lines = ["a b c d e f g h i j k l", "abcdefghijklm" * 3, "a  b c d e f g h i j k l m n", "word here and there, more"]
     df = spark.createDataFrame([(x,) for x in lines], "body string")
@@ -97,6 +101,18 @@ def test_shingles_and_long_lines(spark):
     assert linededup.duplicate_lines(long).count() == 2
 
 
+def test_lines_that_differ_in_case_or_one_word_are_linked(spark):
+    rng = random.Random(4)
+    line = " ".join("".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(15))
+    edited = line.split()
+    edited[7] = "zzzzzzz"
+    rows = [(1, line), (2, line.upper()), (3, " ".join(edited))]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near = df.select(linededup.similar(F.lit(line), F.lower("text")).alias("s"))
+    assert [r.s for r in near.collect()] == [True, True, True]
+    assert {(r.doc_id, r.first_doc) for r in linededup.duplicate_lines(df).collect()} >= {(2, 1)}
+
+
 def test_query_covers_all_documents(spark, tiny):
     out = op10_fuzzy_lines(spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
