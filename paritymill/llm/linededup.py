@@ -5,8 +5,7 @@ alone.  Two lines are linked when their lengths lie within 75% and their sets of
 five-character shingles have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
-2. Signature: the five least hashes among a line's twenty-character shingles that start at a word, or
-   all of them where words average over ten characters.
+2. Signature: the five least hashes of the same set, the MinHash bottom sketch.
 3. Banding: every two of the five minima that stand next to each other, or next but one, are a bucket.
 4. Candidates are confirmed on their full sets of five-character shingles, leaders first
    (``buckets``), and links grouped by union-find (``components``).
@@ -28,9 +27,7 @@ from paritymill.llm.shared import Scratch, maybe_in, stage
 MIN_CHARS = 20
 PERCENT = 75
 SHINGLE = 5
-_START = 20
 MINIMA = 5
-_LONG_WORD = 10
 _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
@@ -48,23 +45,6 @@ def _shingles(body: Column) -> Column:
     return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
 
-def _starts(body: Column) -> Column:
-    """Distinct hashes of the shingles at word starts; at the end of the line they are shorter.
-
-    The first pattern looks ahead from each start of a word and passes over the word.
-    """
-    starts = rf"(?s)(?=([^{_SPACE}].{{0,{_START - 1}}}))[^{_SPACE}]++"
-    every = rf"(?s)(?=(.{{{_START}}}))"
-    at_words = F.regexp_extract_all(body, F.lit(starts), F.lit(1))
-    cut = let(
-        at_words,
-        lambda found: F.when(
-            F.length(body) > (_LONG_WORD + 1) * F.size(found), F.regexp_extract_all(body, F.lit(every), F.lit(1))
-        ).otherwise(found),
-    )
-    return F.array_distinct(F.transform(cut, lambda x: F.xxhash64(x)))
-
-
 def similar(a: Column, b: Column) -> Column:
     """Whether the shingle sets of two lines reach the Jaccard similarity."""
 
@@ -82,7 +62,7 @@ def _signatures(lines: DataFrame) -> DataFrame:
         "line",
         F.xxhash64("body").alias("key"),
         F.length("body").alias("size"),
-        F.slice(F.sort_array(_starts(F.col("body"))), 1, MINIMA).alias("minima"),
+        F.slice(F.sort_array(_shingles(F.col("body"))), 1, MINIMA).alias("minima"),
     )
     return least.select("doc", "line", "key", "size", *[F.get("minima", F.lit(i)).alias(f"m{i}") for i in range(MINIMA)])
 

@@ -113,6 +113,13 @@ def test_lines_that_differ_in_case_or_one_word_are_linked(spark):
     assert {(r.doc_id, r.first_doc) for r in linededup.duplicate_lines(df).collect()} >= {(2, 1)}
 
 
+def test_long_words_keep_their_kind_of_set(spark):
+    rng = random.Random(5)
+    line = " ".join("".join(rng.choice("abcdefghijkl") for _ in range(10)) for _ in range(40))
+    df = spark.createDataFrame([(1, line), (2, line + "mn")], "doc_id bigint, text string")
+    assert [(r.doc_id, r.first_doc) for r in linededup.duplicate_lines(df).collect()] == [(2, 1)]
+
+
 def test_query_covers_all_documents(spark, tiny):
     out = op10_fuzzy_lines(spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
