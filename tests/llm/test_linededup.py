@@ -120,6 +120,22 @@ def test_long_words_keep_their_kind_of_set(spark):
     assert [(r.doc_id, r.first_doc) for r in linededup.duplicate_lines(df).collect()] == [(2, 1)]
 
 
+def test_pairs_at_the_threshold_share_a_bucket(spark):
+    rng, pairs, union = random.Random(6), 20_000, 100
+    rows = []
+    for pair in range(pairs):
+        ranked = [rng.getrandbits(62) for _ in range(union)]
+        rng.shuffle(ranked)
+        shared = ranked[: union * 3 // 4]
+        for side in (0, 1):
+            own = sorted(shared + ranked[len(shared) + side :: 2])
+            rows.append((2 * pair + side, union, *own[: linededup.MINIMA]))
+    minima = ", ".join(f"m{i} bigint" for i in range(linededup.MINIMA))
+    buckets = linededup._buckets(spark.createDataFrame(rows, f"key bigint, size int, {minima}"))
+    met = buckets.withColumn("pair", F.shiftright("rep", 1)).groupBy("pair", "bucket").agg(F.count_distinct("rep").alias("n"))
+    assert pairs - met.where("n = 2").select("pair").distinct().count() < 0.001 * pairs
+
+
 def test_query_covers_all_documents(spark, tiny):
     out = op10_fuzzy_lines(spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
