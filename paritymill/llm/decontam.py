@@ -1,15 +1,18 @@
-"""Benchmark decontamination: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
-
-1. Every three-word gram of the test items is counted in all documents.
-2. An item's seeds are the rarest half of its grams that occur at all, of those not far more
-   frequent than its other grams: a gram is an ordinary phrase when its count is above 64 times one
-   plus the item's lower quartile.
-   The rule is relative, so an item copied into very many documents keeps its seeds.
-3. Documents with two different seeds are joined to the items by equality of seeds; hits of one item on
-   nearby diagonals (place in the document less place in the item) make a candidate passage.
+"""Benchmark decontamination: three-word seeds find candidates, Smith-Waterman alignment scores them.
+
+1. Every three-word gram of the test items that occurs in the documents is a seed, however frequent: a
+   copy held by very many documents makes its own grams frequent, and an edited or partial one
+   leaves only some of them.
+2. Documents with two different seeds near each other are joined to the items by equality of seeds.
+3. Hits of one item on nearby diagonals (place in the document less place in the item), of two different
+   seeds or more, make a candidate passage.
 4. The passage and the item are aligned locally word by word (match 2, mismatch and gap -1).  A score
    of half the item's own or more, over eight matched words or more, is a leak: copies, edited and
-   paraphrased ones alike.  An item under eight words cannot be told from ordinary text and never leaks.
+   paraphrased ones alike.  Edits that leave fewer than two runs of three words hide a leak (every third
+   word changed scores one half).  An item under eight words cannot be told from ordinary text and never leaks.
+5. A leak must rest on more than ordinary phrases.  It holds two grams of the rarest half of its item's, or two
+   of the rarest half of an eight-word stretch, counts being compared with the item's own only; or it holds
+   a gram that stands mostly in leaks of that item, as those of a copy do however often it is repeated.
 
 The document scan knows items only through a bitmap of fixed size; what passes it is joined exactly.
 Words are compared in lower case, as 64-bit hashes.
@@ -29,8 +32,8 @@ from paritymill.llm import units
 from paritymill.llm.shared import stage
 
 GRAM = 3
-COMMON_FACTOR = 64
 BITMAP_BITS = 26
+STRETCH = 8
 DIAGONAL = 64
 SLACK = 16
 MIN_MATCHED = 8
@@ -41,7 +44,7 @@ _ITEM = "item bigint, words binary, n_words int"
 _GRAM_ROWS = "item bigint, n_words int, at int, gram bigint"
 _COUNT_ROWS = "gram bigint, found bigint"
 _HIT_ROWS = "row bigint, doc bigint, words binary, grams array<bigint>, places array<int>"
-LEAKS = "row bigint, doc bigint, item bigint, score double, start_word int, end_word int"
+LEAKS = "row bigint, doc bigint, item bigint, rare boolean, score double, start_word int, end_word int"
 
 
 def _grams(w: units.Words, n: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -110,8 +113,8 @@ def _count(bitmap) -> Callable:
     return run
 
 
-def _hits(bitmap) -> Callable:
-    """Documents with two different seeds: all their word hashes, and grams and places of the seeds."""
+def _hits(bitmap, reach: int) -> Callable:
+    """Documents with two different seeds at most ``reach`` words apart: all their word hashes, and grams and places of the seeds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 33
@@ -125,7 +128,7 @@ def _hits(bitmap) -> Callable:
                 out: list[tuple] = []
                 cuts = np.flatnonzero(np.diff(row, prepend=-1, append=-1)) if len(row) else []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if len(np.unique(gram[a:b])) > 1:
+                    if ((np.diff(at[a:b]) <= reach) & (gram[a + 1 : b] != gram[a : b - 1])).any():
                         r = row[a]
                         words = w.hashes[w.bounds[r] : w.bounds[r + 1]].tobytes()
                         out.append((number, docs[part.first + r], words, gram[a:b].view(np.int64), at[a:b].astype(np.int32)))
@@ -173,7 +176,7 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaks among candidates (row, doc, item, low, high, item_words, words)."""
+    """Leaks among candidates (row, doc, item, rare, low, high, item_words, words)."""
     for batch in batches:
         low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("item_words")]
@@ -191,27 +194,40 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         leak = (score >= MIN_SHARE * MATCH * size) & (score >= MATCH * MIN_MATCHED)
         yield pa.RecordBatch.from_arrays(
             [
-                *[batch.column(c) for c in ("row", "doc", "item")],
+                *[batch.column(c) for c in ("row", "doc", "item", "rare")],
                 pa.array(score / np.maximum(1, MATCH * size)),
                 pa.array((begin + start).astype(np.int32)),
                 pa.array((end + start).astype(np.int32)),
             ],
-            names=["row", "doc", "item", "score", "start_word", "end_word"],
+            names=["row", "doc", "item", "rare", "score", "start_word", "end_word"],
         ).filter(pa.array(leak))
 
 
 def _seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, n_words, at, gram) of the rare grams of each item."""
-    counted = grams.join(counts, "gram", "left").withColumn("found", F.coalesce("found", F.lit(0).cast("bigint")))
-    item = Window.partitionBy("item")
-    ranked = counted.withColumns(
+    """(item, at, gram, found, rare, rare_here) of the grams that occur: rare in its item, rare in its stretch of it."""
+    counted = grams.join(counts, "gram", "left")
+    item, stretch = Window.partitionBy("item"), Window.partitionBy("item", F.floor(F.col("at") / STRETCH))
+    placed = counted.withColumn("n", F.count(F.lit(1)).over(item)).where("found > 0").withColumns(
         {
-            "n": F.count(F.lit(1)).over(item),
-            "quartile": F.percentile("found", F.lit(0.25)).over(item),
+            "rank": F.rank().over(item.orderBy("found")),
+            "n_here": F.count(F.lit(1)).over(stretch),
+            "rank_here": F.rank().over(stretch.orderBy("found")),
         }
-    ).where((F.col("found") > 0) & (F.col("found") <= COMMON_FACTOR * (1 + F.col("quartile"))))
-    placed = ranked.withColumn("rank", F.rank().over(item.orderBy("found")))
-    return placed.where(2 * F.col("rank") <= F.col("n") + 1).select("item", "n_words", "at", "gram")
+    )
+    rare, rare_here = F.expr("2 * rank <= n + 1"), F.expr("2 * rank_here <= n_here + 1")
+    return placed.select("item", "at", "gram", "found", rare.alias("rare"), rare_here.alias("rare_here"))
+
+
+def _grounded(leaks: DataFrame, met: DataFrame) -> DataFrame:
+    """Leaks that rest on more than ordinary phrases; ``met`` are the hits of seeds."""
+    key = ["row", "item", "start_word", "end_word"]
+    inside = met.join(leaks.select(*key).distinct(), ["row", "item"]).where((F.col("place") >= F.col("start_word")) & (F.col("place") + GRAM <= F.col("end_word")))
+    shared = inside.groupBy(*key, "gram", "place").agg(F.max("found").alias("found"), F.max("rare_here").alias("rare_here"))
+    held = shared.groupBy("item", "gram").agg(F.count_distinct("row", "place").alias("held"))
+    rests = shared.join(held, ["item", "gram"]).groupBy(*key).agg(
+        F.count_distinct(F.when(F.col("rare_here"), F.col("gram"))).alias("n_here"), F.max(F.expr("2 * held >= found")).alias("own")
+    )
+    return leaks.join(rests, key, "left").where("rare OR n_here > 1 OR own")
 
 
 def find_leaks(
@@ -236,8 +252,9 @@ def find_leaks(
     every = spark.sparkContext.broadcast(_bitmap(grams))
     counts = source.select("text").mapInArrow(_count(every), _COUNT_ROWS).groupBy("gram").agg(F.sum("found").alias("found"))
     seeds = stage(_seeds(grams, counts), "seeds")
-    rare = spark.sparkContext.broadcast(_bitmap(seeds))
-    hits = stage(source.mapInArrow(_hits(rare), _HIT_ROWS), "hits")
+    # seeds in one band of diagonals are no further apart than this
+    reach = items.agg(F.coalesce(F.max("n_words"), F.lit(0)).alias("n")).head().n + DIAGONAL
+    hits = stage(source.mapInArrow(_hits(every, reach), _HIT_ROWS), "hits")
 
     places = hits.select("row", F.explode(F.arrays_zip("grams", "places")).alias("p")).select(
         "row", F.col("p.grams").alias("gram"), F.col("p.places").alias("place")
@@ -246,21 +263,24 @@ def find_leaks(
     # two ways to cut the diagonals, so that neighbours share one of them
     bands = F.array(F.floor(F.col("diagonal") / DIAGONAL) * 2, F.floor((F.col("diagonal") + DIAGONAL // 2) / DIAGONAL) * 2 + 1)
     found = (
-        met.select("row", "item", "gram", "diagonal", F.explode(bands).alias("band"))
+        met.select("row", "item", "gram", "rare", "diagonal", F.explode(bands).alias("band"))
         .groupBy("row", "item", "band")
         .agg(
             F.min("diagonal").alias("low"),
             F.max("diagonal").alias("high"),
             F.min("gram").alias("g0"),
             F.max("gram").alias("g1"),
+            F.min(F.when(F.col("rare"), F.col("gram"))).alias("r0"),
+            F.max(F.when(F.col("rare"), F.col("gram"))).alias("r1"),
         )
         .where("g0 < g1")
-        .select("row", "item", "low", "high")
-        .distinct()
+        .groupBy("row", "item", "low", "high")
+        .agg(F.max(F.coalesce(F.expr("r0 < r1"), F.lit(False))).alias("rare"))
     )
-    known = items.select("item", F.col("words").alias("item_words")).distinct()
-    candidates = found.join(known, "item").join(hits.select("row", "doc", "words"), "row")
-    leaks = candidates.select("row", "doc", "item", "low", "high", "item_words", "words").mapInArrow(_align, LEAKS)
+    texts = items.select("item", F.col("words").alias("item_words")).distinct()
+    candidates = found.join(texts, "item").join(hits.select("row", "doc", "words"), "row")
+    aligned = candidates.select("row", "doc", "item", "rare", "low", "high", "item_words", "words").mapInArrow(_align, LEAKS)
+    leaks = _grounded(stage(aligned, "aligned"), met.select("row", "item", "gram", "place", "found", "rare_here"))
     best = leaks.groupBy("doc", "item").agg(
         F.max(F.struct("score", (-F.col("start_word")).alias("back"), "end_word")).alias("best")
     )

@@ -83,3 +83,26 @@ def test_an_item_in_most_documents_keeps_its_seeds(spark, copies):
     d = spark.createDataFrame(rows, "doc_id bigint, text string")
     b = spark.createDataFrame([(0, item)], "item_id bigint, text string")
     assert decontam.find_leaks(d, b).count() == copies
+
+
+def test_repeated_edited_copies_and_excerpts_are_found(spark):
+    item = {name: [f"{name}{k}" for k in range(40)] for name in "abcd"}
+    rows = []
+
+    def hold(times, words):
+        for _ in range(times):
+            rows.append((len(rows), f"start s{len(rows)} {' '.join(words)} end e{len(rows)}"))
+
+    edited = [w if k not in (6, 14, 22, 30) else "changed" for k, w in enumerate(item["a"])]
+    hold(100, edited)
+    hold(100, item["b"][:24])  # an excerpt of 60%
+    hold(3, item["c"])
+    hold(1, item["c"][:20])  # its first half, and the whole in few documents
+    hold(1, item["d"])
+    hold(100, [w if k not in (6, 14, 22, 30) else "changed" for k, w in enumerate(item["d"])])
+    d = spark.createDataFrame(rows, "doc_id bigint, text string")
+    b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(item.values())], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontam.find_leaks(d, b).collect()}
+    holders = [100, 100, 4, 101]
+    assert [sum(i == n for _, i in got) for n in range(4)] == holders
+    assert got[0, 0] == 0.85 and got[100, 1] == 0.6 and got[203, 2] == 0.5
