@@ -6,10 +6,11 @@
    each group sends the corpus counts back to the chunks that asked, so no table of all words is
    ever in one place.
 3. The filter.  Training bigrams are counted in groups in the same way.  A bigram of count c is quantised
-   to level 1 + floor(log_B(c / t)) and entered once for each level up to its own, K bits each;
-   a look-up probes level after level until one is missing.  The filter has a fixed size and is
-   broadcast; t is the least count for which its entries fit at half filling.  What the groups gather grows with
-   the corpus, what the workers hold does not.
+   to level 1 + floor(log_B c) and entered once for each level up to its own, K bits each;
+   a look-up probes level after level until one is missing.  The filter has as many blocks of fixed
+   size as hold all entries at half filling, so no bigram is dropped at any corpus size.  Up to 2^28 bits it is
+   broadcast; a larger one is never in one place: chunks send their bigrams to the blocks and get
+   counts back, as for the words.
 4. Scores.  With c(v) exact, C(v, w) from the filter and P(w) the smoothed word probability,
    P(w | v) = L(v) C(v, w) / c(v) + (1 - L(v)) P(w),  L(v) = L c(v) / (c(v) + M).
    A text starts after, and closes with, the end token.
@@ -33,6 +34,7 @@ from paritymill.llm.shared import stage
 CHUNK_TOKENS = 1 << 21
 GROUP_TOKENS = 1 << 17
 FILTER_BITS, BLOCK_BITS, PROBES = 28, 22, 8
+BROADCAST_BITS = 28
 BASE = 1.5
 SHARE, STRENGTH = 0.5, 20.0
 ALPHA = 0.1
@@ -46,7 +48,9 @@ _CHUNKS = (
 _WORDS = "grp int, chunk bigint, words binary, uses binary"
 _WORD_COUNTS = "chunk bigint, grp int, counts binary, known bigint"
 _PAIRS = "grp int, keys binary, counts binary"
-_ENTRIES = "grp int, block int, least double, keys binary, counts binary"
+_ENTRIES = "grp int, entries bigint, keys binary, counts binary"
+_ASKED = "block int, chunk bigint, hashes binary"
+_FOUND = "chunk bigint, block int, levels binary"
 _BITS = "block int, bits binary"
 SCORES = "doc bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
@@ -207,36 +211,26 @@ def level_count(level: np.ndarray, least: float) -> np.ndarray:
     return np.where(level > 0, (low + high) / 2, 0.0)
 
 
-def _sum_pairs(bits: int, capacity: int) -> Callable:
-    """Counts of one group's bigrams, from the least count on for which the group's share of the filter holds them."""
-    share = max(1, capacity >> bits)
-
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys = np.concatenate([_unpack(x.as_buffer()) for x in table.column("keys")])
-        distinct, place = np.unique(keys, return_inverse=True)
-        counts = np.bincount(place, np.concatenate(_blobs(table.column("counts"), "<u4")), len(distinct))
-        least = 1.0
-        while levels(counts, least).sum() > share:
-            least += 1.0
-        keep = counts >= least
-        group = key[0].as_py()
-        head = distinct[keep].astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
-        return pa.table(
-            {
-                "grp": pa.array([group], pa.int32()),
-                "block": pa.array([_block(bits, group)], pa.int32()),
-                "least": pa.array([least]),
-                "keys": pa.array([head.tobytes()], pa.binary()),
-                "counts": pa.array([counts[keep].astype("<f8").tobytes()], pa.binary()),
-            }
-        )
-
-    return run
+def _sum_pairs(key: tuple, table: pa.Table) -> pa.Table:
+    """Counts of one group's bigrams, and the number of entries they make."""
+    keys = np.concatenate([_unpack(x.as_buffer()) for x in table.column("keys")])
+    distinct, place = np.unique(keys, return_inverse=True)
+    counts = np.bincount(place, np.concatenate(_blobs(table.column("counts"), "<u4")), len(distinct))
+    head = distinct.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:]
+    return pa.table(
+        {
+            "grp": pa.array([key[0].as_py()], pa.int32()),
+            "entries": pa.array([int(levels(counts, 1.0).sum())], pa.int64()),
+            "keys": pa.array([head.tobytes()], pa.binary()),
+            "counts": pa.array([counts.astype("<f8").tobytes()], pa.binary()),
+        }
+    )
 
 
-def _block(bits: int, group: int) -> int:
-    """Filter block of a group: blocks are unions of groups, so there are at least as many groups."""
-    return group >> (bits - (FILTER_BITS - BLOCK_BITS))
+def _block_bits(entries: int) -> int:
+    """Leading hash bits that number the filter's blocks: the fewest that hold the entries at half filling."""
+    capacity = int((1 << BLOCK_BITS) * np.log(2) / PROBES)
+    return max(FILTER_BITS - BLOCK_BITS, (max(0, entries - 1) // capacity).bit_length())
 
 
 def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -268,6 +262,19 @@ def _fill(bits: int, least: float) -> Callable:
     return run
 
 
+def _probe(data: np.ndarray, start: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Levels of bigrams in the bits ``data``, each in the block that begins at bit ``start``."""
+    level = np.zeros(len(known), dtype=np.int64)
+    left, step = np.arange(len(known)), 1
+    while len(left):
+        for probe in range(PROBES):
+            at = start[left] + _places(known[left], step, probe)
+            left = left[(data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+        level[left] = step
+        step += 1
+    return level
+
+
 class LogFrequencyFilter:
     """Broadcast side: probes for the count of bigram hashes."""
 
@@ -280,34 +287,80 @@ class LogFrequencyFilter:
 
     def counts(self, hashes: np.ndarray) -> np.ndarray:
         block = (hashes >> np.uint64(64 - (FILTER_BITS - BLOCK_BITS))).astype(np.int64)
-        known = _short(hashes, self.bits)
-        level = np.zeros(len(hashes), dtype=np.int64)
-        left, step = np.arange(len(hashes)), 1
-        while len(left):
-            for probe in range(PROBES):
-                at = (block[left] << BLOCK_BITS) + _places(known[left], step, probe)
-                left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
-            level[left] = step
-            step += 1
-        return level_count(level, self.least)
+        return level_count(_probe(self.data, block << BLOCK_BITS, _short(hashes, self.bits)), self.least)
+
+
+def _chunk_pairs(t: pa.Scalar, w: pa.Scalar, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, place of each token's pair in them, their hashes, ascending order of the hashes) of one chunk."""
+    place, words = np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(w.as_buffer(), np.uint64)
+    pairs, which, _ = _distinct_pairs(_before(place, sizes, int(np.searchsorted(words, _END))), place)
+    hashes = pair_hash(words[(pairs >> np.uint64(32)).astype(np.int64)], words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
+    return pairs, which, hashes, np.argsort(hashes, kind="stable")
+
+
+def _ask(over: int) -> Callable:
+    """Bigram hashes of each chunk, ascending, by the filter block that knows them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, t, w, n in zip(*[batch.column(c) for c in ("chunk", "tokens", "words", "sizes")], strict=True):
+                _, _, hashes, order = _chunk_pairs(t, w, np.array(n.as_py()))
+                hashes = hashes[order]
+                at = _cuts(hashes, over)
+                full = np.flatnonzero(np.diff(at)).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(full, pa.int32()),
+                        pa.array([number.as_py()] * len(full), pa.int64()),
+                        pa.array([hashes[at[g] : at[g + 1]].tobytes() for g in full], pa.binary()),
+                    ],
+                    names=["block", "chunk", "hashes"],
+                )
+
+    return run
+
+
+def _answer(bits: int) -> Callable:
+    """Levels of the bigrams that chunks ask of one block, in the order asked."""
+    fill = _fill(bits, 1.0)
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        data = np.frombuffer(fill(key, right).column("bits")[0].as_buffer(), np.uint8)
+        out = []
+        for asked in _blobs(left.column("hashes"), "<u8"):
+            known = _short(asked, bits)
+            out.append(_probe(data, np.zeros(len(known), dtype=np.int64), known).astype(np.uint8).tobytes())
+        return pa.table(
+            {
+                "chunk": left.column("chunk"),
+                "block": pa.array([key[0].as_py()] * len(out), pa.int32()),
+                "levels": pa.array(out, pa.binary()),
+            }
+        )
+
+    return run
 
 
 def _score(model, total: int, known: int) -> Callable:
     norm = total + ALPHA * (known + 1)
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        bloom = model.value
         out = []
-        order = np.argsort(right.column("grp").to_numpy(), kind="stable")
-        counts = np.concatenate([np.zeros(0), *(np.frombuffer(right.column("counts")[int(i)].as_buffer(), "<u8") for i in order)])
+        right = right.sort_by("grp")
+        level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in right.column("levels") if x.is_valid)])
+        counts = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_buffer(), "<u8") for x in right.column("counts") if x.is_valid)])
         for t, w, n in zip(*[left.column(c) for c in ("tokens", "words", "sizes")], strict=True):
-            place, words = np.frombuffer(t.as_buffer(), "<u4").astype(np.int64), np.frombuffer(w.as_buffer(), np.uint64)
-            sizes = np.array(n.as_py())
+            place, sizes = np.frombuffer(t.as_buffer(), "<u4").astype(np.int64), np.array(n.as_py())
             plain = (counts + ALPHA) / norm
-            pairs, which, _ = _distinct_pairs(_before(place, sizes, int(np.searchsorted(words, _END))), place)
+            pairs, which, hashes, order = _chunk_pairs(t, w, sizes)
             first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
             seen = counts[first]
-            found = np.minimum(bloom.counts(pair_hash(words[first], words[second])), seen)
+            if model is None:
+                found = np.zeros(len(pairs))
+                found[order] = level_count(level.astype(np.int64), 1.0)
+            else:
+                found = model.value.counts(hashes)
+            found = np.minimum(found, seen)
             share = SHARE * seen / (seen + STRENGTH)
             chance = share * found / np.maximum(seen, 1) + (1 - share) * plain[second]
             at = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
@@ -349,17 +402,23 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
     counted = stage(sent.groupBy("grp").applyInArrow(_sum_words, _WORD_COUNTS), "lm-words")
     known = counted.where("chunk = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n")).head().n
 
-    capacity = int((1 << FILTER_BITS) * np.log(2) / PROBES)
     pairs = chunks.select("tokens", "words", "sizes", "train").mapInArrow(_send_pairs(bits), _PAIRS)
-    entries = stage(pairs.groupBy("grp").applyInArrow(_sum_pairs(bits, capacity), _ENTRIES), "lm-pairs")
-    least = entries.agg(F.coalesce(F.max("least"), F.lit(1.0)).alias("t")).head().t
-    # a table of fixed size: at most 2^(FILTER_BITS - BLOCK_BITS) rows of 2^BLOCK_BITS bits
-    blocks = entries.groupBy("block").applyInArrow(_fill(bits, least), _BITS).toPandas()
-    bloom = LogFrequencyFilter(dict(zip(blocks["block"], map(bytes, blocks["bits"]), strict=True)), bits, least)
-
-    run = _score(spark.sparkContext.broadcast(bloom), total, known)
+    entries = stage(pairs.groupBy("grp").applyInArrow(_sum_pairs, _ENTRIES), "lm-pairs")
+    over = _block_bits(entries.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("n")).head().n)
+    # a count makes no more entries than it has tokens, so a group never spans two blocks
+    blocks = entries.select(F.shiftright("grp", bits - over).alias("block"), "grp", "keys", "counts").groupBy("block")
     left = chunks.select("chunk", "docs", "sizes", "tokens", "words").groupBy("chunk")
-    right = counted.where("chunk >= 0").select("chunk", "grp", "counts").groupBy("chunk")
+    right = counted.where("chunk >= 0").select("chunk", "grp", "counts", F.lit(None).cast("binary").alias("levels"))
+    if over + BLOCK_BITS <= BROADCAST_BITS:
+        held = blocks.applyInArrow(_fill(bits, 1.0), _BITS).toPandas()
+        bloom = LogFrequencyFilter(dict(zip(held["block"], map(bytes, held["bits"]), strict=True)), bits, 1.0)
+        model = spark.sparkContext.broadcast(bloom)
+    else:
+        asked = chunks.select("chunk", "tokens", "words", "sizes").mapInArrow(_ask(over), _ASKED).groupBy("block")
+        answers = asked.cogroup(blocks).applyInArrow(_answer(bits), _FOUND)
+        right = right.union(answers.select("chunk", "block", F.lit(None).cast("binary"), "levels"))
+        model = None
+    right, run = right.groupBy("chunk"), _score(model, total, known)
     scored = left.cogroup(right).applyInArrow(run, SCORES)
     return scored.select(
         F.col("doc").alias(doc_id), "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score"

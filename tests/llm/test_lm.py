@@ -84,3 +84,21 @@ def test_filter_holds_its_entries_and_few_others():
     bloom = lm.LogFrequencyFilter(blocks, bits, 1.0)
     assert (bloom.counts(hashes) >= lm.level_count(lm.levels(counts, 1.0), 1.0)).all()
     assert (bloom.counts(rng.integers(0, 2**63, 40_000, dtype=np.uint64)) > 0).mean() < 0.002
+
+
+def test_a_filter_in_more_blocks_keeps_every_bigram(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [(d, " ".join(f"w{k}" for k in rng.integers(0, 300, 400))) for d in range(30)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {r.doc_id: r.score for r in lm.score_documents(df, F.lit(True)).collect()}
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    got = {r.doc_id: r.score for r in lm.score_documents(df, F.lit(True)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[d] - want[d]) < 1e-9 * abs(want[d]) for d in want)
+    for entries in (0, 11_000_000, 50_000_000, 3_000_000_000):
+        assert entries * lm.PROBES / np.log(2) <= 1.001 * 2.0 ** (lm._block_bits(entries) + lm.BLOCK_BITS)
+    import pyarrow as pa
+
+    hashes = np.sort(rng.integers(0, 2**40, 400_000, dtype=np.uint64))
+    keys = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
+    table = pa.table({"keys": pa.array([keys], pa.binary()), "counts": pa.array([np.ones(400_000, "<u4").tobytes()], pa.binary())})
+    assert lm._sum_pairs((pa.scalar(0),), table).column("entries")[0].as_py() == len(np.unique(hashes))
