@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import decontam, linededup, lm, neardup, packing, pii, quality, sharding, tokenfile, toxicity
+from paritymill.llm import decontam, linededup, lm, neardup, packing, pii, quality, repair, sharding, tokenfile, toxicity
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,36 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations with the faults that crc32(conv_id:turn) mod 20 deals; nulls are one space."""
+    part = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    dealt = F.crc32(F.concat(part[0], F.lit(":"), part[1]).cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    once, twice = F.array(F.lit(1)), F.array(F.lit(1), F.lit(2))
+    return conversations.where(dealt != 0).select(
+        "conv_id",
+        "turn",
+        F.when(dealt == 4, "user").otherwise(role).alias("role"),
+        F.when(dealt == 1, "").when(dealt == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.when(dealt == 3, twice).otherwise(once)).alias("copy"),
+    )
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired text of every conversation after dealt damage."""
+    original = _table(spark, sf_dir, "conversations")
+    rows = damaged(original)
+    found = repair.conversation_digests(repair.repaired_blocks(rows, repair.plan_repairs(rows)))
+    every = original.select(F.struct(F.col("conv_id").alias("id")).alias("conv")).distinct()
+    zero = [F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, "conv", "left").select(
+        F.col("conv.id").alias("conv_id"),
+        *zero,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bloom_lm": op1_bloom_lm,
@@ -137,4 +167,5 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_personal_data": op9_personal_data,
         "op10_fuzzy_lines": op10_fuzzy_lines,
+        "op13_conversation_repair": op13_conversation_repair,
     }
