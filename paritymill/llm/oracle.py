@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paritymill.llm import quality, sharding
+from paritymill.llm import interactions, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -45,5 +45,50 @@ def _host_quality() -> str:
     FROM j JOIN v USING (host)"""
 
 
+def _filter_interactions() -> str:
+    i = interactions
+    return rf"""
+    WITH d AS (
+      SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    least AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+    l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+    m AS (
+      SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+             CASE WHEN len(w) < {i.MIN_WORDS} THEN 'A' ELSE '' END
+             || CASE WHEN 100 * len(list_distinct(w)) < {i.DISTINCT_PERCENT} * len(w) THEN 'B' ELSE '' END
+             || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > {i.UPPER_PERCENT} * length(t)
+                     THEN 'C' ELSE '' END
+             || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+             || CASE WHEN doc_id > first_id THEN 'E' ELSE '' END AS fails
+      FROM d JOIN least USING (t) LEFT JOIN l USING (doc_id)),
+    g AS (
+      SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic
+      FROM m GROUP BY 1, 2),
+    f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+    o AS (
+      SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+    s AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM o),
+    k AS (
+      SELECT g.*, filter_order, step, substr(filter_order, step, 1) AS letter,
+             CASE WHEN fails = '' THEN 9
+                  ELSE list_min(list_transform(string_split(fails, ''), lambda x: instr(filter_order, x))) END AS gone
+      FROM g, s),
+    c AS (
+      SELECT part, filter_order, step, letter,
+             sum(n) FILTER (gone > step) AS kept, sum(n) FILTER (gone = step) AS removed,
+             sum(n) FILTER (gone < step AND contains(fails, letter)) AS redundant,
+             sum(n) FILTER (fails = letter) AS unique_fails,
+             sum(n_good) FILTER (gone = step) AS good_lost, sum(n_toxic) FILTER (gone = step) AS toxic_lost
+      FROM k GROUP BY ALL),
+    z AS (SELECT part, letter, sum(removed) AS shapley FROM c GROUP BY 1, 2)
+    SELECT part, filter_order, step::INT AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+           coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           coalesce(shapley, 0)::BIGINT AS shapley
+    FROM c JOIN z USING (part, letter)"""
+
+
 def sql() -> dict[str, str]:
-    return {"op2_host_quality": _host_quality()}
+    return {"op2_host_quality": _host_quality(), "op12_filter_interactions": _filter_interactions()}

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from paritymill.llm import decontam, linededup, lm, neardup, packing, pii, quality, repair, sharding, tokenfile, toxicity
+from paritymill.llm import (
+    decontam, interactions, linededup, lm, neardup, packing, pieces, pii, quality, repair, sharding, tokenfile, toxicity
+)
 from paritymill.llm.shared import scratch_folder, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +127,23 @@ def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_piece_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document by the 32k piece model, and the text that they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pieces.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"])
+    return found.select(
+        "row.doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes in all 120 orders, per source, over all documents."""
+    return interactions.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def damaged(conversations: DataFrame) -> DataFrame:
     """Conversations with the faults that crc32(conv_id:turn) mod 20 deals; nulls are one space."""
     part = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
@@ -167,5 +186,7 @@ def queries() -> dict[str, Query]:
         "op8_token_files": op8_token_files,
         "op9_personal_data": op9_personal_data,
         "op10_fuzzy_lines": op10_fuzzy_lines,
+        "op11_piece_ids": op11_piece_ids,
+        "op12_filter_interactions": op12_filter_interactions,
         "op13_conversation_repair": op13_conversation_repair,
     }

@@ -33,11 +33,11 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` once and read it back with the same schema."""
     spark = df.sparkSession
     folder = scratch_folder(spark, label)
-    df.write.option("compression", "zstd").parquet(folder)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(folder)
     staged = spark.read.schema(df.schema).parquet(folder)
     staged._stage_folder = folder
     return staged
@@ -77,8 +77,8 @@ class Scratch:
     def __init__(self) -> None:
         self.tables: list[DataFrame] = []
 
-    def stage(self, df: DataFrame, label: str) -> DataFrame:
-        self.tables.append(stage(df, label))
+    def stage(self, df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+        self.tables.append(stage(df, label, options))
         return self.tables[-1]
 
     def clear(self) -> None:
