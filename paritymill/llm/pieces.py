@@ -1,13 +1,15 @@
 """SentencePiece ids of whole texts, and texts of ids, through a table of distinct chunks.
 
-A chunk is a run of white-space markers and what follows up to the next run; the marker
-before a text counts.  Where no piece of a model holds a marker behind another character,
-no merge crosses a chunk's start, so the ids of a text are the ids of its chunks in order.
+White space is a marker before a word, and a marker stands before every text.  Two
+characters that stand side by side in no piece of a BPE model are never merged, so texts
+are cut there: before a marker behind anything else, and mostly between a marked word and
+its punctuation.  The ids of a text are the ids of its chunks in order.
 
 Texts are cut in blocks: a block keeps its distinct chunks and the chunk number at each
-position.  The distinct chunks of all blocks make one table, in which the library encodes
-and decodes each chunk once.  Its ids join back to the blocks that hold the chunk, one row
-per block and chunk, and a block puts them in order by position.
+position.  The distinct chunks of all blocks, brought together by chunk, make one table, in
+which the library encodes each chunk once.  Its ids go back to the blocks that hold the
+chunk, one row per block and chunk, and a block puts them in order by position.  The
+library decodes the ids of a block's distinct chunks, and texts come from those likewise.
 
 A null or empty text has no chunk: its ids are the end id alone, its decoded text is empty.
 Repeated rows each keep their own result.  A text longer than a block is a block of its
@@ -23,6 +25,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,19 +34,18 @@ from pyspark.sql import types as T
 from paritymill.llm import units
 from paritymill.llm.shared import Scratch
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 16 << 20
 MARKER = "▁"
-_MARKER_BYTES = MARKER.encode()
 _ROW_GROUP = 16 << 20
+_CODEC = "zstd"
 
 
 # -- model -------------------------------------------------------------------------------------
 
 
 @functools.cache
-def processor(path: str):
-    """The library's processor; raises for a model whose pieces may cross a chunk's start."""
-    import sentencepiece
+def _spec(path: str):
+    """The model file; raises for a model that does more to a text than mark its white space."""
     from sentencepiece import sentencepiece_model_pb2 as proto
 
     with open(path, "rb") as file:
@@ -52,52 +54,51 @@ def processor(path: str):
     plain = normal.name == "identity" and not normal.precompiled_charsmap
     if not plain or not normal.add_dummy_prefix or normal.remove_extra_whitespaces or not normal.escape_whitespaces:
         raise ValueError("the model must leave texts as they are but for a leading marker")
-    if trainer.model_type != proto.TrainerSpec.BPE or trainer.treat_whitespace_as_suffix:
-        raise ValueError("the model must be a BPE model with markers before words")
     own = proto.ModelProto.SentencePiece.USER_DEFINED
-    if any(p.type == own or MARKER in p.piece.lstrip(MARKER) for p in spec.pieces):
-        raise ValueError("a piece holds a marker behind another character")
-    found = sentencepiece.SentencePieceProcessor(model_file=path)
-    if found.id_to_piece(found.piece_to_id(MARKER)) != MARKER:
-        raise ValueError("the model has no piece for a single marker")
-    return found
+    if trainer.model_type != proto.TrainerSpec.BPE or any(p.type == own for p in spec.pieces):
+        raise ValueError("the model must be a BPE model without pieces of the user's own")
+    return spec
+
+
+@functools.cache
+def processor(path: str, marked: bool = True):
+    """The library's processor; ``marked`` false leaves out the marker before the text."""
+    import sentencepiece
 
+    spec = type(_spec(path))()
+    spec.CopyFrom(_spec(path))
+    spec.normalizer_spec.add_dummy_prefix = marked
+    return sentencepiece.SentencePieceProcessor(model_proto=spec.SerializeToString())
 
-def encode_chunks(path: str, chunks: list[str]) -> tuple[list[list[int]], list[str]]:
-    """Ids and decoded text of chunks, each given without its first marker, which the library adds."""
-    model = processor(path)
-    ids = model.encode(chunks, num_threads=1)
-    alone = [model.piece_to_id(MARKER)]
-    ids = [found if chunk else alone for found, chunk in zip(ids, chunks, strict=True)]
-    return ids, model.decode(ids, num_threads=1)
+
+@functools.cache
+def joints(path: str) -> np.ndarray:
+    """Which ASCII characters may be merged with which next one; 128 is any other character."""
+    may = np.zeros((129, 129), dtype=bool)
+    may[128, 128] = True
+    for piece in _spec(path).pieces:
+        places = [min(ord(c), 128) for c in piece.piece.replace(MARKER, " ")]
+        may[places[:-1], places[1:]] = True
+    return may
 
 
 # -- blocks --------------------------------------------------------------------------------------
 
 
-def chunk_spans(part: units.Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, chunks per text) of the chunks of a slice, first markers left out."""
-    data, bounds = part.data, part.bounds
-    size = np.zeros(len(data), dtype=np.int64)  # bytes of the marker that starts here
-    size[data == 0x20] = 1
-    if len(data) > 2:
-        wide = np.ones(len(data) - 2, dtype=bool)
-        for k, byte in enumerate(_MARKER_BYTES):
-            wide &= data[k : len(data) - 2 + k] == byte
-        size[:-2][wide] = len(_MARKER_BYTES)
-    ends_marker = np.zeros(len(data) + 1, dtype=bool)
-    leads = np.flatnonzero(size)
-    ends_marker[leads + size[leads]] = True
-    filled = bounds[:-1][bounds[:-1] < bounds[1:]]
-    opening = ends_marker[leads]  # a marker right behind one belongs to its run
-    opening[np.searchsorted(leads, filled[np.isin(filled, leads)])] = True  # and the text's own marker opens it
-    later = leads[~opening]
-    places = np.concatenate([filled, later])
-    order = np.argsort(places, kind="stable")
-    places = places[order]
-    starts = places + np.concatenate([np.zeros(len(filled), np.int64), size[later]])[order]
-    ends = np.append(places[1:], len(data))
-    return starts, ends, np.diff(np.searchsorted(places, bounds))
+def marked_texts(column: pa.Array) -> pa.Array:
+    """Texts with the marker before each that is not empty; markers are spaces."""
+    plain = pc.replace_substring(column.cast(pa.large_string()).fill_null(""), MARKER, " ")
+    space, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    return pc.if_else(pc.equal(plain, none), plain, pc.binary_join_element_wise(space, plain, none))
+
+
+def chunk_starts(part: units.Slice, may: np.ndarray) -> np.ndarray:
+    """Byte positions at which the chunks of a slice of marked texts start."""
+    kind = np.minimum(part.data, 128)
+    cut = np.zeros(len(kind), dtype=bool)
+    cut[1:] = ~may[kind[:-1], kind[1:]]
+    cut[part.bounds[:-1][part.bounds[:-1] < part.bounds[1:]]] = True
+    return np.flatnonzero(cut)
 
 
 class _Block:
@@ -111,9 +112,10 @@ class _Block:
         self.rows: list[pa.Array] = []
         self.size = 0
 
-    def add(self, part: units.Slice, rows: pa.Array) -> None:
-        starts, ends, counts = chunk_spans(part)
+    def add(self, part: units.Slice, rows: pa.Array, may: np.ndarray) -> None:
+        starts = chunk_starts(part, may)
         if len(starts):
+            ends = np.append(starts[1:], len(part.data))
             hashes = units.span_hashes(units.byte_values(part.data), starts, ends)
             distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
             blob, here = part.data.tobytes(), []
@@ -123,88 +125,106 @@ class _Block:
                     self.chunks.append(blob[starts[at] : ends[at]])
                 here.append(number)
             self.codes.append(np.array(here, dtype=np.uint32)[which])
-        self.counts.append(counts)
+        self.counts.append(np.diff(np.searchsorted(starts, part.bounds)))
         self.rows.append(rows)
         self.size += len(part.data) + 64 * part.rows
 
     def batch(self, block: int) -> pa.RecordBatch:
         codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
-        if len(self.chunks) <= 1 << 16:
-            codes = codes.astype(np.uint16)
-        rows = pa.concat_arrays(self.rows)
-        chunks = pa.array(self.chunks, pa.binary()).cast(pa.string())
+        rows, chunks = pa.concat_arrays(self.rows), pa.array(self.chunks, pa.binary()).cast(pa.string())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block]),
                 pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
                 pa.array([np.concatenate(self.counts).astype(np.uint32).tobytes()], pa.binary()),
-                pa.array([codes.tobytes()], pa.binary()),
+                pa.array([pa.compress(codes.tobytes(), _CODEC, asbytes=True)], pa.binary()),
                 pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks),
             ],
             ["block", "rows", "counts", "codes", "chunks"],
         )
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of a task, numbered so that no two tasks share a number."""
-    number, block = TaskContext.get().partitionId() << 32, _Block()
-    for batch in batches:
-        rows = batch.column("row")
-        for part in units.slices(batch.column("text")):
-            if block.size and block.size + len(part.data) > BLOCK_BYTES:
-                yield block.batch(number)
-                number, block = number + 1, _Block()
-            block.add(part, rows.slice(part.first, part.rows))
-    if block.rows:
-        yield block.batch(number)
+def _cut(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of a task, numbered so that no two tasks share a number."""
+        number, block, may = TaskContext.get().partitionId() << 32, _Block(), joints(path)
+        for batch in batches:
+            rows = batch.column("row")
+            for part in units.slices(marked_texts(batch.column("text"))):
+                if block.size and block.size + len(part.data) > BLOCK_BYTES:
+                    yield block.batch(number)
+                    number, block = number + 1, _Block()
+                block.add(part, rows.slice(part.first, part.rows), may)
+        if block.rows:
+            yield block.batch(number)
+
+    return run
 
 
 # -- table and join back ---------------------------------------------------------------------------
 
 
-def chunk_table(chunks: DataFrame, path: str) -> DataFrame:
-    """(chunk, ids, decoded) of each distinct value of the column ``chunk``, encoded once."""
+def _packed(path: str) -> type:
+    """Width of ids on their way back to the blocks."""
+    return np.uint16 if processor(path).get_piece_size() <= 1 << 16 else np.uint32
+
+
+def chunk_ids(asked: DataFrame, path: str) -> DataFrame:
+    """``asked`` (of_block, number, chunk) with the packed ids of its chunk in place of the chunk.
+
+    Rows of one chunk come together, and the first of them has it encoded for all.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, width = processor(path, marked=False), _packed(path)
+        last, known = None, b""
         for batch in batches:
-            ids, decoded = encode_chunks(path, batch.column("chunk").to_pylist())
+            chunks = batch.column("chunk").to_pylist()
+            new = [c for c, before in zip(chunks, [last, *chunks], strict=False) if c != before]
+            made = iter([np.array(ids, dtype=width).tobytes() for ids in model.encode(new, num_threads=1)])
+            ids = []
+            for chunk in chunks:
+                if chunk != last:
+                    last, known = chunk, next(made)
+                ids.append(known)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("chunk"), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())],
-                ["chunk", "ids", "decoded"],
+                [batch.column("of_block"), batch.column("number"), pa.array(ids, pa.binary())], ["of_block", "number", "ids"]
             )
 
-    return chunks.select("chunk").distinct().mapInArrow(run, "chunk string, ids array<int>, decoded string")
+    together = asked.repartition("chunk").sortWithinPartitions("chunk")
+    return together.mapInArrow(run, "of_block bigint, number int, ids binary")
 
 
-def _assemble(end: int | None):
+def _assemble(path: str, end: int | None):
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         """Ids and decoded texts of one block's rows, chunk by chunk in order."""
-        answers = answers.sort_by("number").combine_chunks()
-        lists = answers.column("ids").combine_chunks() if len(answers) else pa.array([], pa.list_(pa.int32()))
-        pieces = answers.column("decoded").to_pylist()
-        edges = lists.offsets.to_numpy() if len(lists) else np.zeros(1, np.int32)
-        flat = lists.values.to_numpy() if len(lists) else np.zeros(0, np.int32)
+        packed = answers.sort_by("number").column("ids").to_pylist()
+        width = np.dtype(_packed(path))
+        size = np.fromiter((len(p) // width.itemsize for p in packed), np.int64, len(packed))
+        flat = np.frombuffer(b"".join(packed), width).astype(np.int32)
+        first = np.cumsum(size) - size
+        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat))
+        pieces = processor(path, marked=False).decode(lists.to_pylist(), num_threads=1) if packed else []
         counts = np.frombuffer(block.column("counts")[0].as_py(), np.uint32).astype(np.int64)
-        raw = block.column("codes")[0].as_py()
-        codes = np.frombuffer(raw, np.uint16 if len(pieces) <= 1 << 16 else np.uint32).astype(np.int64)
-        length = np.diff(edges).astype(np.int64)[codes]
-        done = np.cumsum(length)
-        total = int(done[-1]) if len(done) else 0
-        ids = flat[np.repeat(edges[:-1][codes] - (done - length), length) + np.arange(total)]
         stops = np.cumsum(counts)
+        total = int(stops[-1]) if len(stops) else 0
+        raw = pa.decompress(block.column("codes")[0].as_py(), 4 * total, _CODEC, asbytes=True)
+        codes = np.frombuffer(raw, np.uint32).astype(np.int64)
+        length = size[codes]
+        done = np.cumsum(length)
         bounds = np.concatenate([[0], done])[np.concatenate([[0], stops])]
+        ids = flat[np.repeat(first[codes] - (done - length), length) + np.arange(bounds[-1])]
         if end is not None:
             each = np.arange(len(counts) + 1)
             closed = np.full(len(ids) + len(counts), end, dtype=np.int32)
             closed[np.arange(len(ids)) + np.repeat(each[:-1], np.diff(bounds))] = ids
             ids, bounds = closed, bounds + each
         words = list(map(pieces.__getitem__, codes.tolist()))
-        # the first marker of a text is the library's own, every later chunk opens with a space
-        texts = [" ".join(words[b - n : b]) for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
-        rows = block.column("rows").combine_chunks().flatten()
+        # the marker before a text is the library's own
+        texts = ["".join(words[b - n : b])[1:] for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
         return pa.table(
             {
-                "row": rows,
+                "row": block.column("rows").combine_chunks().flatten(),
                 "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
                 "decoded": pa.array(texts, pa.string()),
             }
@@ -232,7 +252,7 @@ def encode(
     row = given.schema["row"].dataType
     blocks = scratch.stage(
         given.mapInArrow(
-            _cut,
+            _cut(path),
             T.StructType(
                 [
                     T.StructField("block", T.LongType()),
@@ -246,16 +266,13 @@ def encode(
         "pieces-blocks",
         {"parquet.block.size": str(_ROW_GROUP)},
     )
-    asked = blocks.select("block", F.posexplode("chunks").alias("number", "chunk"))
-    answers = asked.join(chunk_table(asked, path), "chunk").select(
-        F.col("block").alias("of_block"), "number", "ids", "decoded"
-    )
+    asked = blocks.select(F.col("block").alias("of_block"), F.posexplode("chunks").alias("number", "chunk"))
     return (
         blocks.drop("chunks")
         .groupBy("block")
-        .cogroup(answers.groupBy("of_block"))
+        .cogroup(chunk_ids(asked, path).groupBy("of_block"))
         .applyInArrow(
-            _assemble(last),
+            _assemble(path, last),
             T.StructType(
                 [
                     T.StructField("row", row),

@@ -40,21 +40,24 @@ def test_odd_texts_equal_the_library(spark, library):
     check(spark, library, odd_texts()[:60], end=False)
 
 
-def test_many_small_blocks(spark, library, monkeypatch):
-    cut = []
+def test_chunks_encode_as_their_text_does(library):
+    may, alone = pieces.joints(PATH), pieces.processor(PATH, marked=False)
     for text in odd_texts():
         column = pa.array([text, text, "x"])
-        for part in units.slices(column, 8):
-            starts, ends, counts = pieces.chunk_spans(part)
-            blob = part.data.tobytes()
+        for part in units.slices(pieces.marked_texts(column), 8):
+            starts = pieces.chunk_starts(part, may)
+            blob, ends = part.data.tobytes(), [*starts[1:], len(part.data)]
             chunks = [blob[a:b].decode() for a, b in zip(starts, ends, strict=True)]
-            cut.append((counts.sum(), len(chunks)))
-            at = 0
-            for row, n in zip(column.to_pylist()[part.first :], counts, strict=False):
-                ids = [i for c in pieces.encode_chunks(PATH, chunks[at : at + n])[0] for i in c] if n else []
-                assert ids == library.encode(row or "")
-                at += n
-    assert all(a == b for a, b in cut)
+            for row, low, high in zip(column.to_pylist()[part.first :], part.bounds, part.bounds[1:], strict=False):
+                mine = [c for c, at in zip(chunks, starts, strict=True) if low <= at < high]
+                ids = alone.encode(mine)
+                assert [i for c in ids for i in c] == library.encode(row or "")
+                assert "".join(alone.decode(ids))[1:] == library.decode(library.encode(row or "")) if mine else not row
+
+
+def test_many_small_blocks(spark, library, monkeypatch):
+    monkeypatch.setattr(pieces, "BLOCK_BYTES", 300)
+    check(spark, library, odd_texts())
 
 
 def test_whole_table_equals_the_library(spark, library, tiny):
@@ -90,11 +93,26 @@ def test_decoding_any_ids(spark, library):
         assert r.decoded == library.decode(lists[r.k] or [])
 
 
+def test_words_are_cut_at_their_markers_and_punctuation():
+    part = next(units.slices(pieces.marked_texts(pa.array(["Some words.\nAnd  more, here"]))))
+    starts = pieces.chunk_starts(part, pieces.joints(PATH))
+    text = part.data.tobytes().decode()
+    assert [text[a:b] for a, b in zip(starts, [*starts[1:], None], strict=True)] == [
+        " Some", " words", ".", "\n", "And", "  more", ",", " here"
+    ]
+
+
 def test_a_model_of_another_kind_is_refused(tmp_path):
     from sentencepiece import sentencepiece_model_pb2 as proto
 
-    spec = proto.ModelProto.FromString(open(PATH, "rb").read())
-    spec.pieces[400].piece = "a" + pieces.MARKER + "b"
-    (tmp_path / "m.model").write_bytes(spec.SerializeToString())
-    with pytest.raises(ValueError, match="marker behind"):
-        pieces.processor(str(tmp_path / "m.model"))
+    for change in ("normalizer", "type", "own"):
+        spec = proto.ModelProto.FromString(open(PATH, "rb").read())
+        if change == "normalizer":
+            spec.normalizer_spec.remove_extra_whitespaces = True
+        elif change == "type":
+            spec.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+        else:
+            spec.pieces[400].type = proto.ModelProto.SentencePiece.USER_DEFINED
+        (tmp_path / f"{change}.model").write_bytes(spec.SerializeToString())
+        with pytest.raises(ValueError, match="the model must"):
+            pieces.processor(str(tmp_path / f"{change}.model"))
