@@ -5,15 +5,14 @@ characters that stand side by side in no piece of a BPE model are never merged,
 are cut there: before a marker behind anything else, and mostly between a marked word and
 its punctuation.  The ids of a text are the ids of its chunks in order.
 
-Texts are cut in blocks: a block keeps its distinct chunks and the chunk number at each
-position.  The distinct chunks of all blocks, brought together by chunk, make one table, in
-which the library encodes each chunk once.  Its ids go back to the blocks that hold the
-chunk, one row per block and chunk, and a block puts them in order by position.  The
-library decodes the ids of a block's distinct chunks, and texts come from those likewise.
+Each worker keeps a table of the distinct chunks it has met, filled by the library once per
+chunk, with the ids and the text that they decode to.  A slice of texts becomes the table's
+row number at each position, and ids and decoded texts join back by position, as array
+operations.  Nothing is shuffled.  The table is emptied when it reaches its bound, which
+costs time and changes no result.
 
 A null or empty text has no chunk: its ids are the end id alone, its decoded text is empty.
-Repeated rows each keep their own result.  A text longer than a block is a block of its
-own.  An empty table gives no rows.  Columns that are carried along come back inside the
+Repeated rows each keep their own result.  An empty table gives no rows.  Columns that are carried along come back inside the
 struct ``row``, so no name can clash.  Tests hold ids and texts against the library's own
 encoding and decoding of whole texts.
 """
@@ -26,18 +25,15 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paritymill.llm import units
-from paritymill.llm.shared import Scratch
 
-BLOCK_BYTES = 16 << 20
 MARKER = "▁"
-_ROW_GROUP = 16 << 20
-_CODEC = "zstd"
+TABLE_CHUNKS = 1 << 20
+_LONGEST_KEPT = 64
 
 
 # -- model -------------------------------------------------------------------------------------
@@ -82,7 +78,7 @@ def joints(path: str) -> np.ndarray:
     return may
 
 
-# -- blocks --------------------------------------------------------------------------------------
+# -- chunks --------------------------------------------------------------------------------------
 
 
 def marked_texts(column: pa.Array) -> pa.Array:
@@ -101,187 +97,104 @@ def chunk_starts(part: units.Slice, may: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class _Block:
-    """Texts cut so far: distinct chunks, and the chunk number at each position."""
-
-    def __init__(self) -> None:
-        self.numbers: dict[int, int] = {}
-        self.chunks: list[bytes] = []
-        self.codes: list[np.ndarray] = []
-        self.counts: list[np.ndarray] = []
-        self.rows: list[pa.Array] = []
-        self.size = 0
-
-    def add(self, part: units.Slice, rows: pa.Array, may: np.ndarray) -> None:
-        starts = chunk_starts(part, may)
-        if len(starts):
-            ends = np.append(starts[1:], len(part.data))
-            hashes = units.span_hashes(units.byte_values(part.data), starts, ends)
-            distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-            blob, here = part.data.tobytes(), []
-            for key, at in zip(distinct.tolist(), first.tolist(), strict=True):
-                number = self.numbers.setdefault(key, len(self.chunks))
-                if number == len(self.chunks):
-                    self.chunks.append(blob[starts[at] : ends[at]])
-                here.append(number)
-            self.codes.append(np.array(here, dtype=np.uint32)[which])
-        self.counts.append(np.diff(np.searchsorted(starts, part.bounds)))
-        self.rows.append(rows)
-        self.size += len(part.data) + 64 * part.rows
-
-    def batch(self, block: int) -> pa.RecordBatch:
-        codes = np.concatenate(self.codes) if self.codes else np.zeros(0, np.uint32)
-        rows, chunks = pa.concat_arrays(self.rows), pa.array(self.chunks, pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block]),
-                pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows),
-                pa.array([np.concatenate(self.counts).astype(np.uint32).tobytes()], pa.binary()),
-                pa.array([pa.compress(codes.tobytes(), _CODEC, asbytes=True)], pa.binary()),
-                pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks),
-            ],
-            ["block", "rows", "counts", "codes", "chunks"],
-        )
-
-
-def _cut(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Blocks of a task, numbered so that no two tasks share a number."""
-        number, block, may = TaskContext.get().partitionId() << 32, _Block(), joints(path)
-        for batch in batches:
-            rows = batch.column("row")
-            for part in units.slices(marked_texts(batch.column("text"))):
-                if block.size and block.size + len(part.data) > BLOCK_BYTES:
-                    yield block.batch(number)
-                    number, block = number + 1, _Block()
-                block.add(part, rows.slice(part.first, part.rows), may)
-        if block.rows:
-            yield block.batch(number)
-
-    return run
-
-
-# -- table and join back ---------------------------------------------------------------------------
-
-
-def _packed(path: str) -> type:
-    """Width of ids on their way back to the blocks."""
-    return np.uint16 if processor(path).get_piece_size() <= 1 << 16 else np.uint32
-
-
-def chunk_ids(asked: DataFrame, path: str) -> DataFrame:
-    """``asked`` (of_block, number, chunk) with the packed ids of its chunk in place of the chunk.
-
-    Rows of one chunk come together, and the first of them has it encoded for all.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, width = processor(path, marked=False), _packed(path)
-        last, known = None, b""
-        for batch in batches:
-            chunks = batch.column("chunk").to_pylist()
-            new = [c for c, before in zip(chunks, [last, *chunks], strict=False) if c != before]
-            made = iter([np.array(ids, dtype=width).tobytes() for ids in model.encode(new, num_threads=1)])
-            ids = []
-            for chunk in chunks:
-                if chunk != last:
-                    last, known = chunk, next(made)
-                ids.append(known)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("of_block"), batch.column("number"), pa.array(ids, pa.binary())], ["of_block", "number", "ids"]
-            )
-
-    together = asked.repartition("chunk").sortWithinPartitions("chunk")
-    return together.mapInArrow(run, "of_block bigint, number int, ids binary")
-
-
-def _assemble(path: str, end: int | None):
-    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
-        """Ids and decoded texts of one block's rows, chunk by chunk in order."""
-        packed = answers.sort_by("number").column("ids").to_pylist()
-        width = np.dtype(_packed(path))
-        size = np.fromiter((len(p) // width.itemsize for p in packed), np.int64, len(packed))
-        flat = np.frombuffer(b"".join(packed), width).astype(np.int32)
-        first = np.cumsum(size) - size
-        lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(flat)), pa.int32()), pa.array(flat))
-        pieces = processor(path, marked=False).decode(lists.to_pylist(), num_threads=1) if packed else []
-        counts = np.frombuffer(block.column("counts")[0].as_py(), np.uint32).astype(np.int64)
-        stops = np.cumsum(counts)
-        total = int(stops[-1]) if len(stops) else 0
-        raw = pa.decompress(block.column("codes")[0].as_py(), 4 * total, _CODEC, asbytes=True)
-        codes = np.frombuffer(raw, np.uint32).astype(np.int64)
-        length = size[codes]
-        done = np.cumsum(length)
-        bounds = np.concatenate([[0], done])[np.concatenate([[0], stops])]
-        ids = flat[np.repeat(first[codes] - (done - length), length) + np.arange(bounds[-1])]
+class ChunkTable:
+    """Distinct chunks met so far: row number by hash, ids and decoded text by row number."""
+
+    def __init__(self, path: str) -> None:
+        self.model, self.may = processor(path, marked=False), joints(path)
+        self._clear()
+
+    def _clear(self) -> None:
+        self.known: dict[int, int] = {}
+        self.pieces: list[str] = []
+        self.sizes, self.firsts = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.flat, self.filled = np.zeros(1 << 14, np.int32), 0
+
+    def _add(self, chunks: list[str]) -> np.ndarray:
+        """Rows of new chunks, each encoded and decoded once."""
+        ids = self.model.encode(chunks, num_threads=1)
+        rows = np.arange(len(self.pieces), len(self.pieces) + len(chunks))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        stop = self.filled + int(sizes.sum())
+        self.pieces.extend(self.model.decode(ids, num_threads=1))
+        while len(self.pieces) > len(self.sizes):
+            self.sizes, self.firsts = np.resize(self.sizes, 2 * len(self.sizes)), np.resize(self.firsts, 2 * len(self.firsts))
+        while stop > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.sizes[rows], self.firsts[rows] = sizes, self.filled + np.cumsum(sizes) - sizes
+        self.flat[self.filled : stop] = np.fromiter((i for found in ids for i in found), np.int32, stop - self.filled)
+        self.filled = stop
+        return rows
+
+    def rows(self, part: units.Slice, starts: np.ndarray) -> np.ndarray:
+        """Table row of each chunk of a slice."""
+        if len(self.pieces) > TABLE_CHUNKS:
+            self._clear()
+        ends = np.append(starts[1:], len(part.data))
+        hashes = units.span_hashes(units.byte_values(part.data), starts, ends)
+        distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        rows = np.fromiter((self.known.get(k, -1) for k in keys), np.int64, len(keys))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            blob, at = part.data.tobytes(), first[missing]
+            spans = zip(starts[at].tolist(), ends[at].tolist(), strict=True)
+            rows[missing] = self._add([blob[a:b].decode("utf-8", "replace") for a, b in spans])
+            short = missing[ends[at] - starts[at] <= _LONGEST_KEPT]
+            self.known.update(zip([keys[m] for m in short.tolist()], rows[short].tolist(), strict=True))
+        return rows[which]
+
+    def encode(self, part: units.Slice, end: int | None) -> tuple[pa.Array, pa.Array]:
+        """(ids, decoded texts) of the texts of a slice of marked texts."""
+        starts = chunk_starts(part, self.may)
+        rows = self.rows(part, starts) if len(starts) else np.zeros(0, np.int64)
+        stops = np.searchsorted(starts, part.bounds)
+        size = self.sizes[rows]
+        done = np.cumsum(size)
+        bounds = np.concatenate([[0], done])[stops]
+        ids = self.flat[np.repeat(self.firsts[rows] - (done - size), size) + np.arange(bounds[-1])]
         if end is not None:
-            each = np.arange(len(counts) + 1)
-            closed = np.full(len(ids) + len(counts), end, dtype=np.int32)
+            each = np.arange(part.rows + 1)
+            closed = np.full(len(ids) + part.rows, end, dtype=np.int32)
             closed[np.arange(len(ids)) + np.repeat(each[:-1], np.diff(bounds))] = ids
             ids, bounds = closed, bounds + each
-        words = list(map(pieces.__getitem__, codes.tolist()))
+        words = list(map(self.pieces.__getitem__, rows.tolist()))
         # the marker before a text is the library's own
-        texts = ["".join(words[b - n : b])[1:] for b, n in zip(stops.tolist(), counts.tolist(), strict=True)]
-        return pa.table(
-            {
-                "row": block.column("rows").combine_chunks().flatten(),
-                "ids": pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32())),
-                "decoded": pa.array(texts, pa.string()),
-            }
-        )
-
-    return run
-
-
-def encode(
-    docs: DataFrame,
-    path: str,
-    carry: Sequence[str],
-    text: str = "text",
-    end: bool = True,
-    scratch: Scratch | None = None,
-) -> DataFrame:
+        texts = ["".join(words[a:b])[1:] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist(), strict=True)]
+        return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)), pa.array(texts, pa.string())
+
+
+@functools.cache
+def chunk_table(path: str) -> ChunkTable:
+    """One table per worker and model file."""
+    return ChunkTable(path)
+
+
+def encode(docs: DataFrame, path: str, carry: Sequence[str], text: str = "text", end: bool = True) -> DataFrame:
     """Ids of every whole text, and the text they decode to: row (the columns ``carry``), ids, decoded.
 
     ``path`` names the model file, the same on all machines; ``end`` closes each text with the
-    model's end id.  The texts pass once and are not shuffled; blocks of chunk numbers are.
+    model's end id.
     """
-    scratch = scratch or Scratch()
     last = processor(path).eos_id() if end else None
     given = docs.select(F.struct(*carry).alias("row"), F.col(text).alias("text"))
-    row = given.schema["row"].dataType
-    blocks = scratch.stage(
-        given.mapInArrow(
-            _cut(path),
-            T.StructType(
-                [
-                    T.StructField("block", T.LongType()),
-                    T.StructField("rows", T.ArrayType(row)),
-                    T.StructField("counts", T.BinaryType()),
-                    T.StructField("codes", T.BinaryType()),
-                    T.StructField("chunks", T.ArrayType(T.StringType())),
-                ]
-            ),
-        ),
-        "pieces-blocks",
-        {"parquet.block.size": str(_ROW_GROUP)},
-    )
-    asked = blocks.select(F.col("block").alias("of_block"), F.posexplode("chunks").alias("number", "chunk"))
-    return (
-        blocks.drop("chunks")
-        .groupBy("block")
-        .cogroup(chunk_ids(asked, path).groupBy("of_block"))
-        .applyInArrow(
-            _assemble(path, last),
-            T.StructType(
-                [
-                    T.StructField("row", row),
-                    T.StructField("ids", T.ArrayType(T.IntegerType())),
-                    T.StructField("decoded", T.StringType()),
-                ]
-            ),
-        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = chunk_table(path)
+        for batch in batches:
+            rows = batch.column("row")
+            for part in units.slices(marked_texts(batch.column("text"))):
+                found = table.encode(part, last)
+                yield pa.RecordBatch.from_arrays([rows.slice(part.first, part.rows), *found], ["row", "ids", "decoded"])
+
+    schema = T.StructType(
+        [
+            T.StructField("row", given.schema["row"].dataType),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
     )
+    return given.mapInArrow(run, schema)
 
 
 def decode_ids(df: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
