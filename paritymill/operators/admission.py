@@ -1,9 +1,9 @@
 """Subscription bindings and sequence admission of native rows.
 
 Bindings need no replay: the state of a binding at a row follows from its first answer
-and its first answer that contradicts it.  Both come from combining aggregates.  What is
-left for a fold is the sequence automaton, whose resets depend on earlier verdicts; it
-runs per (campaign, connection, order-book subscription), each of which starts afresh.
+and its first answer that contradicts it.  Both come from combining aggregates.  The sequence
+automaton, whose resets depend on earlier verdicts, runs per (campaign, connection,
+order-book subscription) in chunks (``sequences``).
 """
 
 from __future__ import annotations
@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from paritymill.fixed import ACK_TYPES, ORDERBOOK_TYPES, REJECT_TYPES
 from paritymill.functions.columns import is_true
-from paritymill.functions.folds import sorted_fold
 from paritymill.functions.ordered import scan
+from paritymill.operators.sequences import sequence_verdicts
 from paritymill.session import stage
 
 _CONN = ["campaign_id", "connection_epoch"]
@@ -142,90 +142,18 @@ def bind_rows(rows: DataFrame, requests: DataFrame, chunk: Column) -> DataFrame:
     ).drop("first_ord", "conflict_ord", "_answer")
 
 
-_OUT = (
-    "campaign_id string, connection_epoch bigint, subscription bigint, ord bigint, sequence_state string, "
-    "admission_status string, exclusion_reason string, resync_state string, failures bigint"
-)
-_SEQUENCE_EXCLUSION = {
-    "SEQUENCE_DUPLICATE": "SEQUENCE_DUPLICATE",
-    "SEQUENCE_OUT_OF_ORDER": "SEQUENCE_OUT_OF_ORDER",
-    "SEQUENCE_GAP_DETECTED": "SEQUENCE_GAP",
-}
+def prepare_rows(
+    bound: DataFrame, requests: DataFrame, requested_markets: Sequence[str], chunk: Column
+) -> tuple[DataFrame, DataFrame]:
+    """(rows as the sequence automaton reads them, order-book subscriptions) of ``bind_rows``.
 
-
-def _sequence_step(contiguous: bool):
-    def judge(state, row) -> str:
-        if not row.seq_present:
-            return "SEQUENCE_NOT_OBSERVED"
-        if not row.eligible or not row.seq_is_int:
-            return "SEQUENCE_PRESENT_SEMANTICS_UNKNOWN"
-        last, seq = state["last"], row.seq
-        if last is None:
-            state["last"] = seq
-            return "SEQUENCE_PRESENT_SEMANTICS_UNKNOWN"
-        if seq <= last:
-            return "SEQUENCE_DUPLICATE" if seq == last else "SEQUENCE_OUT_OF_ORDER"
-        state["last"] = seq
-        if not contiguous:
-            return "SEQUENCE_OBSERVED_MONOTONIC"
-        return "SEQUENCE_CONTIGUITY_VERIFIED" if seq == last + 1 else "SEQUENCE_GAP_DETECTED"
-
-    def step(state, row):
-        book = row.native_type in ORDERBOOK_TYPES
-        if row.native_type == "orderbook_snapshot" and row.requested and not state["markets"]:
-            state["last"] = None
-        verdict = judge(state, row)
-        # a static fault outranks a sequence fault; only the latter restarts the segment
-        fault = row.static_exclusion or _SEQUENCE_EXCLUSION.get(verdict)
-        status, resync, failures = "NOT_APPLICABLE", "RESYNC_REQUIRED", state["failures"]
-        if fault:
-            status = "EXCLUDED"
-        elif book and row.market_ticker is None:
-            status, fault = "EXCLUDED", "MISSING_MARKET_TICKER"
-        elif book and not row.requested:
-            status, fault = "EXCLUDED", "UNREQUESTED_MARKET_TICKER"
-        elif row.native_type == "orderbook_snapshot":
-            state["markets"].add(row.market_ticker)
-            status, resync = "ADMITTED", "RESYNCED_WITH_SNAPSHOT"
-        elif row.native_type == "orderbook_delta":
-            if row.market_ticker in state["markets"]:
-                status, resync = "ADMITTED", "RESYNCED_WITH_SNAPSHOT"
-            else:
-                status, fault, state["last"] = "EXCLUDED", "DELTA_BEFORE_SNAPSHOT", None
-        if book and row.static_exclusion is None and verdict in _SEQUENCE_EXCLUSION:
-            state["failures"] += 1
-            state["markets"], state["last"] = set(), None
-        return (
-            row.campaign_id, row.connection_epoch, row.subscription, row.ord, verdict, status, fault,
-            resync, failures,
-        )
-
-    return step
-
-
-def admit_rows(
-    rows: DataFrame,
-    requests: DataFrame,
-    connections: DataFrame,
-    requested_markets: Sequence[str],
-    chunk: Column,
-    contiguous: bool = False,
-) -> DataFrame:
-    """Binding, sequence state, admission and segment of every native row.
-
-    ``rows`` also need market_ticker, seq (text) and seq_is_int.
-    ``connections``: campaign_id, connection_epoch, one row per started connection.
+    A subscription is numbered in its connection and starts with its request; what comes
+    before the first belongs to subscription 0.
     """
-    bound = stage(bind_rows(rows, requests, chunk), "admission-bound")
     ob = requests.where(F.col("channel") == "orderbook_delta")
     cuts = scan(
         ob, _CONN, ["ord"], chunk, running={"subscription": ("sum", F.lit(1).cast("bigint"))}
     ).select(*_CONN, "ord", "subscription")
-    joined = bound.withColumn("subscription", F.lit(None).cast("bigint")).unionByName(
-        cuts.withColumn("_cut", F.lit(True)), allowMissingColumns=True
-    )
-    placed = scan(joined, _CONN, ["ord"], chunk, running={"_sub": ("last", F.col("subscription"))})
-    placed = placed.where(F.col("_cut").isNull()).withColumn("subscription", F.coalesce("_sub", F.lit(0)))
     kind = F.col("native_type")
     book = is_true(kind.isin(*ORDERBOOK_TYPES))
     data = is_true(kind.isin(*ORDERBOOK_TYPES, "trade"))
@@ -240,25 +168,43 @@ def admit_rows(
         .when(data & (F.col("_state") == "CONFLICTED"), "SUBSCRIPTION_BINDING_CONFLICTED")
         .when(data & ~acked, "PRE_ACKNOWLEDGMENT_DATA")
     )
-    prepared = placed.select(
-        *_CONN, "subscription", "ord", "native_type", "market_ticker",
-        F.coalesce(F.when(F.col("seq_is_int"), F.col("seq").cast("bigint")), F.lit(0)).alias("seq"),
+    number = is_true(F.col("seq_is_int"))
+    eligible = book & requested & F.col("envelope_rejection").isNull() & acked
+    narrow = bound.select(
+        *_CONN, "ord", "native_type", "market_ticker",
+        F.coalesce(F.when(number, F.col("seq").cast("bigint")), F.lit(0)).alias("seq"),
         F.col("seq").isNotNull().alias("seq_present"),
-        is_true(F.col("seq_is_int")).alias("seq_is_int"),
-        (book & requested & F.col("envelope_rejection").isNull() & acked).alias("eligible"),
+        (F.col("seq").isNotNull() & eligible & number).alias("known"),
         requested.alias("requested"),
         static.alias("static_exclusion"),
     )
-
-    def start(_key):
-        return {"last": None, "markets": set(), "failures": 0}
-
-    judged = stage(
-        sorted_fold(
-            prepared, [*_CONN, "subscription"], ["ord"], start, _sequence_step(contiguous), _OUT
+    joined = stage(
+        narrow.withColumn("subscription", F.lit(None).cast("bigint")).unionByName(
+            cuts.withColumn("_cut", F.lit(True)), allowMissingColumns=True
         ),
-        "admission-judged",
+        "admission-narrow",
     )
+    placed = scan(joined, _CONN, ["ord"], chunk, running={"_sub": ("last", F.col("subscription"))})
+    rows = placed.where(F.col("_cut").isNull()).withColumn("subscription", F.coalesce("_sub", F.lit(0)))
+    return rows.drop("_sub", "_cut"), cuts
+
+
+def admit_rows(
+    rows: DataFrame,
+    requests: DataFrame,
+    connections: DataFrame,
+    requested_markets: Sequence[str],
+    chunk: Column,
+    contiguous: bool = False,
+) -> DataFrame:
+    """Binding, sequence state, admission and segment of every native row.
+
+    ``rows`` also need market_ticker, seq (text) and seq_is_int.
+    ``connections``: campaign_id, connection_epoch, one row per started connection.
+    """
+    bound = bind_rows(rows, requests, chunk)
+    prepared, cuts = prepare_rows(bound, requests, requested_markets, chunk)
+    judged = stage(sequence_verdicts(prepared, [*_CONN, "subscription"], chunk, contiguous), "admission-judged")
     # segments are numbered through the campaign: one per connection start, per order-book
     # subscription and per sequence failure
     starts = connections.select(*_CONN, F.lit(0).cast("bigint").alias("subscription")).unionByName(

@@ -463,6 +463,51 @@ natd AS (
     CASE WHEN slot = 23 AND block % 150 = 0 THEN 9 WHEN e % 71 = 0 THEN 8 WHEN e % 73 <> 0 THEN 7 END AS sid_,
     e + CASE WHEN e % 29 = 0 THEN 1 WHEN e % 31 = 0 THEN -1 ELSE 0 END AS sq FROM nat
 )"""
+BOUND = """
+rq AS (SELECT event_id AS bo, event_id // 1000 AS camp, event_id // 250 AS cn, CASE WHEN event_id % 50 = 0 THEN 'orderbook_delta' ELSE 'trade' END AS bch, event_id + 1 AS cmd
+  FROM events WHERE event_id % 50 IN (0, 1)),
+bd AS (SELECT *, row_number() OVER (PARTITION BY camp, bch ORDER BY bo) AS gen, row_number() OVER (PARTITION BY camp ORDER BY bo) AS rix,
+  lead(bo) OVER (PARTITION BY cn, bch ORDER BY bo) AS eo FROM rq),
+nr AS (SELECT *, ord // 1000 AS camp, ord // 250 AS cn,
+  coalesce(ch, CASE WHEN kind IN ('orderbook_snapshot', 'orderbook_delta') THEN 'orderbook_delta' ELSE kind END) AS chan,
+  CASE WHEN sid_ IS NULL AND kind IN ('subscribed', 'orderbook_snapshot', 'orderbook_delta', 'trade') THEN 1 END AS rejected FROM natd),
+lk AS (SELECT nr.*, coalesce(o.bch, c.bch) AS bch, coalesce(o.gen, c.gen) AS gen, coalesce(o.cmd, c.cmd) AS cmd, coalesce(o.rix, c.rix) AS rix FROM nr
+  LEFT JOIN bd o ON o.cn = nr.cn AND o.bch = nr.chan AND o.bo < nr.ord AND (o.eo IS NULL OR o.eo > nr.ord)
+  LEFT JOIN bd c ON o.bo IS NULL AND nr.kind = 'error' AND c.cn = nr.cn AND c.cmd = nr.rid AND c.bo < nr.ord AND (c.eo IS NULL OR c.eo > nr.ord)),
+an AS (SELECT camp, bch, gen, ord, CASE WHEN kind = 'subscribed' THEN 'A' ELSE 'R' END AS a, sid_ FROM lk
+  WHERE rejected IS NULL AND gen IS NOT NULL AND kind IN ('subscribed', 'error') AND rid = cmd),
+fs AS (SELECT camp, bch, gen, min(ord) AS fo, arg_min(a, ord) AS fa, arg_min(coalesce(sid_, -1), ord) AS fsid FROM an GROUP BY 1, 2, 3),
+cf AS (SELECT camp, bch, gen, min(ord) AS co FROM an JOIN fs USING (camp, bch, gen) WHERE a <> fa OR (a = 'A' AND coalesce(sid_, -1) <> fsid) GROUP BY 1, 2, 3),
+j AS (SELECT lk.*, fo, fa, fsid, co, rejected IS NULL AND gen IS NOT NULL AND kind = 'subscribed' AS ack, rejected IS NULL AND gen IS NOT NULL AND kind = 'error' AS rej,
+  coalesce(rid = cmd, false) AS hit FROM lk LEFT JOIN fs USING (camp, bch, gen) LEFT JOIN cf USING (camp, bch, gen))"""
+WALK = """
+bs AS (SELECT j.*, kind IN ('orderbook_snapshot', 'orderbook_delta') AS book, kind = 'orderbook_snapshot' AS snap, e % 61 <> 0 AS has_seq,
+    CASE WHEN e % 59 <> 0 THEN 'M-' || (user_id % 3) END AS market, coalesce(gen IS NOT NULL AND fa = 'A' AND fo <= ord AND NOT coalesce(co <= ord, false), false) AS acked,
+    coalesce(co <= ord, false) AS conflicted, (SELECT count(*) FROM rq WHERE rq.cn = j.cn AND rq.bch = 'orderbook_delta' AND rq.bo < j.ord) AS sub FROM j),
+st AS (SELECT *, coalesce(market IN ('M-0', 'M-1'), false) AS wanted, book OR kind = 'trade' AS data FROM bs),
+r AS (SELECT *, wanted AND book AND rejected IS NULL AND acked AND has_seq AS known, row_number() OVER (PARTITION BY cn, sub ORDER BY ord) AS n,
+    CASE WHEN data AND acked AND coalesce(sid_ <> fsid, false) THEN 'SUBSCRIPTION_IDENTITY_MISMATCH'
+      WHEN data AND chan <> CASE WHEN book THEN 'orderbook_delta' ELSE 'trade' END THEN 'CHANNEL_TYPE_MISMATCH'
+      WHEN rejected IS NOT NULL THEN 'NATIVE_ENVELOPE_REJECTED' WHEN data AND gen IS NOT NULL AND conflicted THEN 'SUBSCRIPTION_BINDING_CONFLICTED'
+      WHEN data AND NOT acked THEN 'PRE_ACKNOWLEDGMENT_DATA' END AS static FROM st),
+w AS (
+  SELECT DISTINCT cn, sub, 0::BIGINT AS n, NULL::BIGINT AS ord, NULL::BIGINT AS last, []::VARCHAR[] AS seen, 0::BIGINT AS failures, 0::BIGINT AS made,
+    '' AS verdict, '' AS status, '' AS fault, '' AS resync FROM r
+  UNION ALL
+  SELECT cn, sub, n, ord, CASE WHEN broken OR fault = 'DELTA_BEFORE_SNAPSHOT' THEN NULL WHEN known AND (last0 IS NULL OR sq > last0) THEN sq ELSE last0 END AS last,
+    CASE WHEN broken THEN [] WHEN status = 'ADMITTED' AND snap THEN list_distinct(list_append(seen, market)) ELSE seen END AS seen,
+    made AS failures, made + broken::BIGINT AS made, verdict, status, fault, CASE WHEN status = 'ADMITTED' THEN 'RESYNCED_WITH_SNAPSHOT' ELSE 'RESYNC_REQUIRED' END AS resync
+  FROM (SELECT *, book AND static IS NULL AND seqfault IS NOT NULL AS broken,
+      CASE WHEN coalesce(static, seqfault) IS NOT NULL THEN 'EXCLUDED' WHEN NOT book THEN 'NOT_APPLICABLE'
+        WHEN NOT wanted THEN 'EXCLUDED' WHEN snap OR list_contains(seen, market) THEN 'ADMITTED' ELSE 'EXCLUDED' END AS status,
+      CASE WHEN coalesce(static, seqfault) IS NOT NULL THEN coalesce(static, seqfault) WHEN NOT book THEN NULL WHEN market IS NULL THEN 'MISSING_MARKET_TICKER'
+        WHEN NOT wanted THEN 'UNREQUESTED_MARKET_TICKER' WHEN snap OR list_contains(seen, market) THEN NULL ELSE 'DELTA_BEFORE_SNAPSHOT' END AS fault
+    FROM (SELECT *, CASE verdict WHEN 'SEQUENCE_DUPLICATE' THEN verdict WHEN 'SEQUENCE_OUT_OF_ORDER' THEN verdict WHEN 'SEQUENCE_GAP_DETECTED' THEN 'SEQUENCE_GAP' END AS seqfault
+      FROM (SELECT *, CASE WHEN NOT has_seq THEN 'SEQUENCE_NOT_OBSERVED' WHEN NOT known OR last0 IS NULL THEN 'SEQUENCE_PRESENT_SEMANTICS_UNKNOWN'
+          WHEN sq = last0 THEN 'SEQUENCE_DUPLICATE' WHEN sq < last0 THEN 'SEQUENCE_OUT_OF_ORDER' WHEN sq = last0 + 1 THEN 'SEQUENCE_CONTIGUITY_VERIFIED'
+          ELSE 'SEQUENCE_GAP_DETECTED' END AS verdict
+        FROM (SELECT r.*, w.seen, w.made, CASE WHEN r.snap AND r.wanted AND len(w.seen) = 0 THEN NULL ELSE w.last END AS last0
+          FROM w JOIN r ON r.cn = w.cn AND r.sub = w.sub AND r.n = w.n + 1)))))"""
 RECD = """
 recd AS (
   SELECT event_id AS e, event_id AS row_index, user_id, event_id // 40 AS sg, 'conn-' || ((event_id // 40) % 7) AS connection_id, 'seg-' || (event_id // 40) AS segment_id,
@@ -1160,26 +1205,36 @@ SELECT market_ticker, connection_id, 'seg-1' AS segment_id, count(*) AS frame_co
   list_reduce(list_prepend('', list(frame_hash ORDER BY row_index)), lambda a, x: sha256(unhex(a || x))) AS frame_hash_chain,
   arg_max(frame_hash, row_index) AS latest_frame_hash FROM hsh GROUP BY 1, 2"""
     out["binding_state"] = f"""WITH {NATIVE},
-rq AS (SELECT event_id AS bo, event_id // 1000 AS camp, event_id // 250 AS cn, CASE WHEN event_id % 50 = 0 THEN 'orderbook_delta' ELSE 'trade' END AS bch, event_id + 1 AS cmd
-  FROM events WHERE event_id % 50 IN (0, 1)),
-bd AS (SELECT *, row_number() OVER (PARTITION BY camp, bch ORDER BY bo) AS gen, row_number() OVER (PARTITION BY camp ORDER BY bo) AS rix,
-  lead(bo) OVER (PARTITION BY cn, bch ORDER BY bo) AS eo FROM rq),
-nr AS (SELECT *, ord // 1000 AS camp, ord // 250 AS cn,
-  coalesce(ch, CASE WHEN kind IN ('orderbook_snapshot', 'orderbook_delta') THEN 'orderbook_delta' ELSE kind END) AS chan,
-  CASE WHEN sid_ IS NULL AND kind IN ('subscribed', 'orderbook_snapshot', 'orderbook_delta', 'trade') THEN 1 END AS rejected FROM natd),
-lk AS (SELECT nr.*, coalesce(o.bch, c.bch) AS bch, coalesce(o.gen, c.gen) AS gen, coalesce(o.cmd, c.cmd) AS cmd, coalesce(o.rix, c.rix) AS rix FROM nr
-  LEFT JOIN bd o ON o.cn = nr.cn AND o.bch = nr.chan AND o.bo < nr.ord AND (o.eo IS NULL OR o.eo > nr.ord)
-  LEFT JOIN bd c ON o.bo IS NULL AND nr.kind = 'error' AND c.cn = nr.cn AND c.cmd = nr.rid AND c.bo < nr.ord AND (c.eo IS NULL OR c.eo > nr.ord)),
-an AS (SELECT camp, bch, gen, ord, CASE WHEN kind = 'subscribed' THEN 'A' ELSE 'R' END AS a, sid_ FROM lk
-  WHERE rejected IS NULL AND gen IS NOT NULL AND kind IN ('subscribed', 'error') AND rid = cmd),
-fs AS (SELECT camp, bch, gen, min(ord) AS fo, arg_min(a, ord) AS fa, arg_min(coalesce(sid_, -1), ord) AS fsid FROM an GROUP BY 1, 2, 3),
-cf AS (SELECT camp, bch, gen, min(ord) AS co FROM an JOIN fs USING (camp, bch, gen) WHERE a <> fa OR (a = 'A' AND coalesce(sid_, -1) <> fsid) GROUP BY 1, 2, 3),
-j AS (SELECT lk.*, fo, fa, co, rejected IS NULL AND gen IS NOT NULL AND kind = 'subscribed' AS ack, rejected IS NULL AND gen IS NOT NULL AND kind = 'error' AS rej,
-  coalesce(rid = cmd, false) AS hit FROM lk LEFT JOIN fs USING (camp, bch, gen) LEFT JOIN cf USING (camp, bch, gen))
+{BOUND}
 SELECT 'camp-' || camp AS campaign_id, cn % 4 + 1 AS connection_epoch, ord, bch AS binding_channel, gen AS generation, cmd AS command_id, rix AS run_request_index,
   CASE WHEN (ack OR rej) AND NOT hit THEN 'REQUEST_MISMATCH' WHEN gen IS NULL THEN 'UNKNOWN' WHEN co <= ord THEN 'CONFLICTED'
     WHEN fo <= ord THEN CASE fa WHEN 'A' THEN 'ACKNOWLEDGED' ELSE 'REJECTED' END ELSE 'REQUESTED' END AS binding_state,
   CASE WHEN ack AND NOT hit THEN 'STALE_ACK' WHEN ack AND ord = fo THEN 'ACKNOWLEDGED' WHEN ack AND co <= ord THEN 'CONFLICTING_ACK' WHEN ack THEN 'DUPLICATE_ACK'
     WHEN rej AND NOT hit THEN 'REJECTED' WHEN rej AND ord = fo THEN 'REJECTED' WHEN rej AND co <= ord THEN 'CONFLICTING_REJECTION' WHEN rej THEN 'DUPLICATE_REJECTION' END AS binding_observation
 FROM j"""
+    out["sequence_state"] = f"""WITH RECURSIVE {NATIVE},
+{BOUND},
+{WALK},
+ends AS (SELECT cn, sub, max(made) AS made FROM w GROUP BY 1, 2),
+starts AS (SELECT DISTINCT event_id // 1000 AS camp, event_id // 250 AS cn, 0 AS sub FROM events UNION ALL
+  SELECT camp, cn, row_number() OVER (PARTITION BY cn ORDER BY bo) FROM rq WHERE bch = 'orderbook_delta'),
+base AS (SELECT starts.*, coalesce(sum(coalesce(made, 0) + 1) OVER (PARTITION BY camp ORDER BY cn, sub ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + 1 AS base
+  FROM starts LEFT JOIN ends USING (cn, sub)),
+news AS (SELECT DISTINCT cn FROM bd WHERE bch = 'orderbook_delta' AND gen = 1)
+SELECT 'camp-' || r.camp AS campaign_id, r.ord, kind AS native_type, verdict AS sequence_state, status AS admission_status, fault AS exclusion_reason,
+  resync AS resync_state, (base + failures)::BIGINT AS segment_number,
+  CASE WHEN failures > 0 THEN 'INTEGRITY_FAILURE' WHEN r.sub = 0 AND r.cn % 4 = 0 THEN 'INITIAL_CONNECTION' WHEN r.sub = 0 THEN 'RECONNECTION'
+    WHEN r.sub = 1 AND news.cn IS NOT NULL THEN 'NEW_SUBSCRIPTION' ELSE 'RESUBSCRIPTION' END AS segment_boundary_reason
+FROM r JOIN w ON w.cn = r.cn AND w.sub = r.sub AND w.ord = r.ord JOIN base ON base.cn = r.cn AND base.sub = r.sub LEFT JOIN news ON news.cn = r.cn"""
+    out["sequence_stream"] = f"""WITH RECURSIVE {NATIVE},
+{BOUND},
+{WALK}
+SELECT 'camp-' || r.camp AS campaign_id, r.cn % 4 + 1 AS connection_epoch, r.sub AS subscription, r.ord, verdict AS sequence_state, status AS admission_status,
+  fault AS exclusion_reason, resync AS resync_state, failures FROM r JOIN w ON w.cn = r.cn AND w.sub = r.sub AND w.ord = r.ord"""
+    out["event_identity_stream"] = f"""WITH {DEMO}
+SELECT audit_id, event_id, ord, CASE WHEN ord = fo THEN 'first' WHEN h = fh THEN 'duplicate' ELSE 'conflicting_duplicate_event' END AS outcome
+FROM ev JOIN fst USING (audit_id, event_id)"""
+    out["late_split_stream"] = """WITH t AS (SELECT event_id, ts, CASE WHEN event_id % 10 < 6 THEN 0 WHEN event_id % 10 < 9 THEN 1 ELSE 2 END AS turn FROM events),
+m AS (SELECT turn, max(ts) AS latest FROM t GROUP BY 1)
+SELECT event_id, CASE WHEN ts < (SELECT max(latest) FROM m WHERE m.turn < t.turn) - INTERVAL 3 DAY THEN 'late' ELSE 'kept' END AS sink FROM t"""
     return out

@@ -34,7 +34,7 @@ from paritymill.operators import (
 from paritymill.plans import views as V
 from paritymill.session import shared_folder
 from paritymill.sources import jsonl, records
-from paritymill.streaming import streams
+from paritymill.streaming import stateful, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -1288,7 +1288,7 @@ def feed_consistency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("ts") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("k").cast("int"))).alias("observed_at"),
     )
     out = streams.run_available(
-        streams.feed_consistency_stream(feed_rows, "event_id", 30 * 60), "feed-stream"
+        stateful.feed_consistency_stream(feed_rows, "event_id", 30 * 60), "feed-stream"
     )
     return out.select("market_id", "arrival", "sequence", "flags")
 
@@ -1297,7 +1297,7 @@ def feed_consistency_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rebuild_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = V.messages_of(V.stream_events(spark, sf_dir)).where(F.col("native_type") != "heartbeat")
     out = streams.run_available(
-        streams.rebuild_stream(rebuild.parse_book_messages(msgs)), "rebuild-stream"
+        stateful.rebuild_stream(rebuild.parse_book_messages(msgs)), "rebuild-stream"
     )
     return out.select(
         "row_index", "market_ticker", "disposition", "reason", "frame_count",
@@ -1305,6 +1305,42 @@ def rebuild_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register("sequence_stream")
+def sequence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bound rows written once and read as a stream."""
+    prepared = V.v_prepared(spark, sf_dir)
+    folder = shared_folder(spark, "sequence-in")
+    prepared.write.parquet(folder)
+    live = spark.readStream.schema(prepared.schema).parquet(folder)
+    out = streams.run_available(stateful.sequence_stream(live, contiguous=True), "sequence-stream")
+    return out.select(
+        "campaign_id", "connection_epoch", "subscription", "ord", "sequence_state", "admission_status",
+        "exclusion_reason", "resync_state", "failures",
+    )
+
+
+@register("event_identity_stream")
+def event_identity_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First, repeated and conflicting arrivals of demo events."""
+    live = V.stream_events(spark, sf_dir).withColumn("block", F.floor(F.col("event_id") / 500))
+    found = stateful.event_identity_stream(V.demo_events(live), ["audit_id", "event_id"], "ord", "event_hash")
+    return streams.run_available(found, "identity-stream")
+
+
+@register("late_split_stream")
+def late_split_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events that arrive in three batches, those behind the watermark kept in a sink of their own."""
+    events = V.v_events(spark, sf_dir).select("event_id", "ts")
+    folder, files = shared_folder(spark, "late-in"), 8
+    turn = F.when(F.col("event_id") % 10 < 6, 0).when(F.col("event_id") % 10 < 9, 1).otherwise(2)
+    for arrival in range(3):
+        events.where(turn == arrival).repartition(files).write.mode("append").parquet(folder)
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(folder)
+    kept, late = streams.run_late_split(live, "ts", 3 * 24 * 3600, "late-stream")
+    sinks = [df.select("event_id", F.lit(name).alias("sink")) for df, name in ((kept, "kept"), (late, "late"))]
+    return sinks[0].unionByName(sinks[1])
+
+
 @register("distinct_events_stream")
 def distinct_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = V.stream_events(spark, sf_dir).select((F.col("event_id") % 500).alias("event_id"), "ts")
@@ -1321,13 +1357,13 @@ def _clocked(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("daily_counters_stream")
 def daily_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.daily_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour", ["market_id"])
-    return _plain(streams.run_available(out, "daily-stream", "complete"))
+    return _plain(streams.run_available(out, "daily-stream", "update", ["day", "market_id"]))
 
 
 @register("sliding_counters_stream")
 def sliding_counters_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = streams.daily_counters_stream(_clocked(spark, sf_dir), "ts", "1 hour")
-    return _plain(streams.sliding_windows(streams.run_available(daily, "sliding-stream", "complete"), 7))
+    return _plain(streams.sliding_windows(streams.run_available(daily, "sliding-stream", "update", ["day"]), 7))
 
 
 @register("quiet_sessions_stream")

@@ -351,23 +351,14 @@ def v_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proposals.unionByName(rows)
 
 
-def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """V8: (audited orders, demo events) with repeated and conflicting event ids."""
+def _order_id() -> Column:
+    return F.concat_ws("-", F.lit("O"), F.col("user_id").cast("string"), F.col("block").cast("string"))
+
+
+def demo_events(ev: DataFrame) -> DataFrame:
+    """Demo order events of a table or stream of events with their block."""
     e = F.col("event_id")
-    block = F.floor(e / 500)
-    ev = v_events(spark, sf_dir).withColumn("block", block)
-    order_id = F.concat_ws("-", F.lit("O"), F.col("user_id").cast("string"), F.col("block").cast("string"))
-    audit = F.concat(F.lit("A-"), F.col("block").cast("string"))
-    audits = ev.where(F.col("user_id") % 13 != 0).groupBy("user_id", "block").agg(F.lit(1).alias("_one")).select(
-        audit.alias("audit_id"),
-        F.concat(F.lit("P-"), F.col("block").cast("string")).alias("proposal_id"),
-        F.sha2(F.col("block").cast("string"), 256).alias("candidate_hash"),
-        F.concat(F.lit("APP-"), F.col("block").cast("string")).alias("approval_id"),
-        F.when(F.col("block") % 2 == 0, "submitted").otherwise("dry_run").alias("status"),
-        order_id.alias("client_order_id"),
-        F.when(F.col("user_id") % 2 == 0, "yes").otherwise("no").alias("side"),
-        F.lit("20").cast(QTY).alias("submitted_quantity"),
-    )
+    audit, order_id = F.concat(F.lit("A-"), F.col("block").cast("string")), _order_id()
     ident = F.when(e % 10 < 4, F.concat(F.lit("D-"), F.floor(e / 2).cast("string"))).otherwise(
         F.concat(F.lit("E-"), e.cast("string"))
     )
@@ -382,7 +373,7 @@ def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         .when(e % 4 == 0, "error")
         .otherwise("backfill")
     )
-    events = ev.select(
+    return ev.select(
         audit.alias("audit_id"),
         e.alias("ord"),
         ident.alias("event_id"),
@@ -397,7 +388,23 @@ def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
         (e % 10 + 1).cast(QTY).alias("quantity"),
         "ts",
     )
-    return audits, events
+
+
+def v_demo_orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """V8: (audited orders, demo events) with repeated and conflicting event ids."""
+    ev = v_events(spark, sf_dir).withColumn("block", F.floor(F.col("event_id") / 500))
+    audit, order_id = F.concat(F.lit("A-"), F.col("block").cast("string")), _order_id()
+    audits = ev.where(F.col("user_id") % 13 != 0).groupBy("user_id", "block").agg(F.lit(1).alias("_one")).select(
+        audit.alias("audit_id"),
+        F.concat(F.lit("P-"), F.col("block").cast("string")).alias("proposal_id"),
+        F.sha2(F.col("block").cast("string"), 256).alias("candidate_hash"),
+        F.concat(F.lit("APP-"), F.col("block").cast("string")).alias("approval_id"),
+        F.when(F.col("block") % 2 == 0, "submitted").otherwise("dry_run").alias("status"),
+        order_id.alias("client_order_id"),
+        F.when(F.col("user_id") % 2 == 0, "yes").otherwise("no").alias("side"),
+        F.lit("20").cast(QTY).alias("submitted_quantity"),
+    )
+    return audits, demo_events(ev)
 
 
 def v_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -626,6 +633,15 @@ def v_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def v_prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native rows as the sequence automaton reads them."""
+    from paritymill.operators.admission import bind_rows, prepare_rows
+
+    _, requests, _ = v_transport(spark, sf_dir)
+    chunk = chunk_of(F.col("ord"), CHUNK_ROWS)
+    return prepare_rows(bind_rows(v_native(spark, sf_dir), requests, chunk), requests, REQUESTED_MARKETS, chunk)[0]
+
+
 def v_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paritymill.operators.admission import admit_rows
 

@@ -1,163 +1,19 @@
-"""Structured Streaming twins of the batch operators.
+"""Streaming counters, sessions and splits, and runs of a stream over what there is.
 
-Keyed state holds one row per book or connection.  Rows of a key that arrive in one
-micro-batch are put in recorded order first, so a stream over the same files gives the
-rows the batch operator gives.
+Streams with keyed state of their own are in ``stateful``.
 """
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
-from decimal import Decimal
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from paritymill.fixed import DEFAULT_MAX_STALENESS_SECONDS, PRICE, QUIET_WARNING_SECONDS
+from paritymill.fixed import DEFAULT_MAX_STALENESS_SECONDS, QUIET_WARNING_SECONDS
 from paritymill.functions.columns import flags, micros_between
-from paritymill.operators.admission import _sequence_step
-from paritymill.operators.feed import BOOK_KEYS
-from paritymill.operators.rebuild import BOOK
 from paritymill.session import shared_folder
-
-
-def _ordered(batches: Iterator[pd.DataFrame], order: str) -> pd.DataFrame:
-    """Rows of one key in one micro-batch, in recorded order."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(order, kind="stable")
-
-
-def feed_consistency_stream(
-    df: DataFrame, order: str, max_staleness_seconds: int = DEFAULT_MAX_STALENESS_SECONDS
-) -> DataFrame:
-    """Gap, order and staleness flags; state is the last sequence and clock of each book."""
-    limit = max_staleness_seconds * 1_000_000
-    src = df.select(
-        *BOOK_KEYS, F.col(order).cast("bigint").alias("arrival"), "sequence",
-        F.unix_micros("observed_at").alias("observed_us"), F.unix_micros("received_at").alias("received_us"),
-    )
-
-    def run(key, batches, state: GroupState):
-        last_seq, last_seen = state.get if state.exists else (None, None)
-        rows = _ordered(batches, "arrival")
-        out = []
-        for r in rows.itertuples(index=False):
-            found = []
-            if last_seq is not None and r.sequence != last_seq + 1:
-                found.append("sequence_gap")
-            if last_seen is not None and r.observed_us < last_seen:
-                found.append("out_of_order")
-            if r.received_us - r.observed_us > limit:
-                found.append("stale_event")
-            out.append((*key, r.arrival, r.sequence, "|".join(found)))
-            last_seq, last_seen = int(r.sequence), int(r.observed_us)
-        state.update((last_seq, last_seen))
-        yield pd.DataFrame(out, columns=[*BOOK_KEYS, "arrival", "sequence", "flags"])
-
-    schema = "venue string, channel string, market_id string, arrival bigint, sequence bigint, flags string"
-    return src.groupBy(*BOOK_KEYS).applyInPandasWithState(
-        run, schema, "last_sequence bigint, last_observed bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def sequence_stream(prepared: DataFrame, contiguous: bool = False) -> DataFrame:
-    """Admission verdicts of bound rows; state is the last sequence, snapshots and failures.
-
-    ``prepared`` has the fold columns of the batch operator: campaign_id,
-    connection_epoch, subscription, ord, native_type, market_ticker, seq, seq_present,
-    seq_is_int, eligible, requested, static_exclusion.
-    """
-    keys = ("campaign_id", "connection_epoch", "subscription")
-    step = _sequence_step(contiguous)
-
-    def run(key, batches, state: GroupState):
-        memory = {"last": None, "markets": set(), "failures": 0}
-        if state.exists:
-            last, markets, failures = state.get
-            memory = {"last": last, "markets": set(json.loads(markets)), "failures": failures}
-        out = [step(memory, r) for r in _ordered(batches, "ord").itertuples(index=False)]
-        last = None if memory["last"] is None else int(memory["last"])
-        state.update((last, json.dumps(sorted(memory["markets"])), int(memory["failures"])))
-        yield pd.DataFrame(
-            out,
-            columns=[*keys, "ord", "sequence_state", "admission_status", "exclusion_reason", "resync_state", "failures"],
-        )
-
-    schema = (
-        "campaign_id string, connection_epoch bigint, subscription bigint, ord bigint, sequence_state string, "
-        "admission_status string, exclusion_reason string, resync_state string, failures bigint"
-    )
-    return prepared.groupBy(*keys).applyInPandasWithState(
-        run, schema, "last bigint, markets string, failures bigint", "append", GroupStateTimeout.NoTimeout
-    )
-
-
-def rebuild_stream(df: DataFrame, unified: bool = False) -> DataFrame:
-    """Disposition and top of book of parsed book messages; state is the ladder of each book."""
-    src = df.select(
-        *BOOK, F.col("row_index").cast("bigint").alias("row_index"), "native_type", "parse_error", "side",
-        F.col("price").cast("string").alias("price"), F.col("delta").cast("string").alias("delta"),
-        F.to_json(F.transform("yes_levels", lambda x: F.array(x["price"].cast("string"), x["quantity"].cast("string")))).alias("yes_json"),
-        F.to_json(F.transform("no_levels", lambda x: F.array(x["price"].cast("string"), x["quantity"].cast("string")))).alias("no_json"),
-    )
-
-    def ladder(text) -> dict:
-        return {Decimal(p): Decimal(q) for p, q in json.loads(text or "[]")}
-
-    def run(key, batches, state: GroupState):
-        started, invalid, frames = False, False, 0
-        sides = {"yes": {}, "no": {}}
-        if state.exists:
-            started, invalid, frames, kept = state.get
-            loaded = json.loads(kept)
-            sides = {s: {Decimal(p): Decimal(q) for p, q in loaded[s].items()} for s in ("yes", "no")}
-        out = []
-        for r in _ordered(batches, "row_index").itertuples(index=False):
-            verdict, reason = "FRAME_EMITTED", None
-            if r.native_type == "orderbook_snapshot":
-                if r.parse_error is not None:
-                    verdict, reason, invalid = "QUARANTINED", r.parse_error, True
-                else:
-                    sides = {"yes": ladder(r.yes_json), "no": ladder(r.no_json)}
-                    started, invalid = True, False
-            elif invalid:
-                verdict, reason = "EXCLUDED", "SEGMENT_INVALID"
-            elif not started:
-                verdict, reason, invalid = "QUARANTINED", "DELTA_BEFORE_SNAPSHOT", True
-            elif r.parse_error is not None:
-                verdict, reason, invalid = "QUARANTINED", r.parse_error, True
-            else:
-                price, book = Decimal(r.price), sides[r.side]
-                left = book.get(price, Decimal(0)) + Decimal(r.delta)
-                if left < 0:
-                    verdict, reason, invalid = "QUARANTINED", "NEGATIVE_RESULTING_QUANTITY", True
-                elif left == 0:
-                    book.pop(price, None)
-                else:
-                    book[price] = left
-            bid = ask = None
-            if verdict == "FRAME_EMITTED":
-                frames += 1
-                bid = max(sides["yes"], default=None)
-                if sides["no"]:
-                    ask = min(sides["no"]) if unified else 1 - max(sides["no"])
-            out.append((*key, r.row_index, verdict, reason, frames, bid, ask))
-        kept = json.dumps({s: {str(p): str(q) for p, q in sides[s].items()} for s in sides})
-        state.update((started, invalid, frames, kept))
-        yield pd.DataFrame(
-            out, columns=[*BOOK, "row_index", "disposition", "reason", "frame_count", "best_bid", "best_ask"]
-        )
-
-    schema = (
-        "market_ticker string, connection_id string, segment_id string, row_index bigint, disposition string, "
-        f"reason string, frame_count bigint, best_bid {PRICE}, best_ask {PRICE}"
-    )
-    return src.groupBy(*BOOK).applyInPandasWithState(
-        run, schema, "started boolean, invalid boolean, frames bigint, ladder string", "append",
-        GroupStateTimeout.NoTimeout,
-    )
+from paritymill.streaming.stateful import use_rocksdb
 
 
 def distinct_events_stream(df: DataFrame, clock: str, delay: str, keys: Sequence[str] = ("event_id",)) -> DataFrame:
@@ -166,7 +22,7 @@ def distinct_events_stream(df: DataFrame, clock: str, delay: str, keys: Sequence
 
 
 def daily_counters_stream(df: DataFrame, clock: str, delay: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Days with counts and quantity sums: closed ones in append mode, all so far in complete mode."""
+    """Days with counts and quantity sums: closed ones in append mode, changed ones in update mode."""
     return (
         df.withWatermark(clock, delay)
         .groupBy(F.window(clock, "1 day").alias("day"), *keys)
@@ -206,20 +62,74 @@ def split_stale(df: DataFrame, max_staleness_seconds: int = DEFAULT_MAX_STALENES
     return marked.where(~late), marked.where(late)
 
 
-def run_available(stream: DataFrame, label: str, output_mode: str = "append") -> DataFrame:
+def run_late_split(stream: DataFrame, clock: str, delay_seconds: int, label: str) -> tuple[DataFrame, DataFrame]:
+    """(kept, late) rows of a stream: late ones lie behind the watermark their batch met.
+
+    The watermark of a batch is the latest ``clock`` of all batches before it, less the delay.
+    Each batch writes its rows and its latest clock under its number, so a batch that runs
+    again after a failure replaces what it wrote.  Rows without a clock are kept.
+    """
+    spark: SparkSession = stream.sparkSession
+    root = shared_folder(spark, label)
+    clocks = f"{root}/clocks"
+    latest = F.max(F.unix_micros(clock)).alias("latest")
+
+    def split(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = None
+        if number:
+            seen = session.read.schema("batch bigint, latest bigint").parquet(clocks)
+            before = seen.where(F.col("batch") < number).agg(F.max("latest")).first()[0]
+        late = F.lit(False)
+        if before is not None:
+            late = F.coalesce(F.unix_micros(clock) < before - delay_seconds * 1_000_000, F.lit(False))
+        marked = batch.withColumn("_late", late)
+        marked.write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        written = session.read.schema(marked.schema).parquet(f"{root}/rows/batch={number}")
+        written.agg(latest).write.mode("overwrite").parquet(f"{clocks}/batch={number}")
+
+    query = (
+        stream.writeStream.foreachBatch(split).option("checkpointLocation", f"{root}/checkpoint")
+        .trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = spark.read.schema(f"{_ddl(stream)}, _late boolean, batch bigint").parquet(f"{root}/rows")
+    return rows.where("NOT _late").select(*stream.columns), rows.where("_late").select(*stream.columns)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
+def run_available(
+    stream: DataFrame, label: str, output_mode: str = "append", keys: Sequence[str] = (), closing_batch: bool = True
+) -> DataFrame:
     """Run a stream over everything there is into Parquet, and read the result.
 
-    Checkpoint and output live in the cluster's shared folder.  ``complete`` writes the whole
-    result of each batch over the last, so windows that are still open are in it.
+    Checkpoint and output live in the cluster's shared folder.  ``update`` writes the rows that
+    each batch changed and reads the latest of every ``keys``, so windows that are still open
+    are in it and no batch writes more than it changed.  ``complete`` writes the whole result
+    of each batch over the last.  ``closing_batch`` lets a batch without rows close windows at
+    the end; it must be off for streams with a time to live, which would ask for such batches
+    for ever.
     """
     spark: SparkSession = stream.sparkSession
+    use_rocksdb(spark)
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(closing_batch).lower())
     root = shared_folder(spark, label)
     rows = f"{root}/rows"
     writer = stream.writeStream.outputMode(output_mode).option("checkpointLocation", f"{root}/checkpoint")
     if output_mode == "complete":
         writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    elif output_mode == "update":
+        writer = writer.foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(f"{rows}/batch={n}"))
     else:
         writer = writer.format("parquet").option("path", rows)
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(rows)
+    if output_mode != "update":
+        return spark.read.schema(stream.schema).parquet(rows)
+    changed = spark.read.schema(f"{_ddl(stream)}, batch bigint").parquet(rows)
+    rest = [c for c in stream.columns if c not in keys]
+    last = changed.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns)

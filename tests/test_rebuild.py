@@ -1,4 +1,4 @@
-"""Book rebuild against a row-by-row ladder, in small chunks, batch and stream."""
+"""Book rebuild against a row-by-row ladder, in small chunks."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from decimal import Decimal as D
 
 
 from paritymill.operators import rebuild as R
-from paritymill.streaming import streams
 
 SCHEMA = (
     "row_index bigint, market_ticker string, connection_id string, segment_id string, native_type string, payload string"
@@ -112,16 +111,6 @@ def test_rebuild_matches_ladder_replay(spark):
             assert len(f.bids) == f.bid_level_count and [x.price for x in f.asks] == sorted(x.price for x in f.asks)
 
 
-def test_stream_gives_the_batch_rows(spark, tmp_path):
-    rows = messages(3)
-    folder = str(tmp_path / "in")
-    spark.createDataFrame(rows, SCHEMA).repartition(1).write.parquet(folder)
-    live = spark.readStream.schema(SCHEMA).parquet(folder)
-    out = streams.run_available(streams.rebuild_stream(R.parse_book_messages(live)), "t-rebuild")
-    got = {r.row_index: (r.disposition, r.reason, r.frame_count, r.best_bid, r.best_ask) for r in out.collect()}
-    assert got == {i: w[:5] for i, w in replay(rows).items()}
-
-
 def test_unified_books_need_no_complement(spark):
     rows = [(1, "m", "c", "s", "orderbook_snapshot",
              json.dumps({"yes_dollars_fp": [["0.41", "5.75"]], "no_dollars_fp": [["0.44", "4.5"]]}))]

@@ -1,4 +1,4 @@
-"""Sources, sinks, payload safety, hash chains and streams."""
+"""Sources, sinks, payload safety and hash chains."""
 
 from __future__ import annotations
 
@@ -14,7 +14,6 @@ from paritymill.functions.columns import decimal_from_text, decimal_text, identi
 from paritymill.functions.safety import payload_safety, redact_payload
 from paritymill.operators import connections, integrity, native, reports
 from paritymill.sources import jsonl, records
-from paritymill.streaming import streams
 
 
 def texts(spark, *values):
@@ -204,20 +203,3 @@ def test_quiet_gap_rounds_up_and_counts_both_ends(spark):
     )
     r = connections.max_quiet_gap(obs, runs, 1).first()
     assert (r.max_gap_seconds, r.last_age_seconds) == (7, 1)
-
-
-def test_sequence_stream_equals_fold(spark, tmp_path):
-    schema = (
-        "campaign_id string, connection_epoch bigint, subscription bigint, ord bigint, native_type string, market_ticker string, "
-        "seq bigint, seq_present boolean, seq_is_int boolean, eligible boolean, requested boolean, static_exclusion string"
-    )
-    kinds = ["orderbook_snapshot"] + ["orderbook_delta"] * 5
-    seqs = [1, 2, 3, 3, 4, 5]
-    rows = [("c", 1, 0, i, k, "M", s, True, True, True, True, None) for i, (k, s) in enumerate(zip(kinds, seqs, strict=True))]
-    folder = str(tmp_path / "seq")
-    spark.createDataFrame(rows, schema).write.parquet(folder)
-    out = streams.run_available(streams.sequence_stream(spark.readStream.schema(schema).parquet(folder), True), "t-seq")
-    got = {r.ord: (r.sequence_state, r.admission_status, r.exclusion_reason, r.failures) for r in out.collect()}
-    assert got[1] == ("SEQUENCE_CONTIGUITY_VERIFIED", "ADMITTED", None, 0)
-    assert got[3] == ("SEQUENCE_DUPLICATE", "EXCLUDED", "SEQUENCE_DUPLICATE", 0)
-    assert got[4] == ("SEQUENCE_PRESENT_SEMANTICS_UNKNOWN", "EXCLUDED", "DELTA_BEFORE_SNAPSHOT", 1)
