@@ -9,7 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+_OUT_ROWS = 10_000
 
 
 def sorted_fold(
@@ -57,6 +63,54 @@ def sorted_fold(
     return placed.mapInPandas(run, schema)
 
 
+def map_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: Sequence[str],
+    run: Callable[[tuple, list[tuple]], Iterator[tuple]],
+    schema: str,
+) -> DataFrame:
+    """``run(key, rows)`` for every group of ``keys``, its rows in ``order``, nulls first.
+
+    Groups must be bounded (a chunk of a key, or a key's chunk summaries).  They come one
+    after another from a sorted partition, so a group costs no more than its rows.
+    """
+    keys, columns = list(keys), list(columns)
+    out_schema = to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
+        current, held = None, []
+        for batch in batches:
+            names = zip(*[batch.column(k).to_pylist() for k in keys], strict=True)
+            rows = zip(*[batch.column(c).to_pylist() for c in columns], strict=True)
+            for key, row in zip(names, rows, strict=True):
+                if key != current:
+                    if held:
+                        yield current, held
+                    current, held = key, []
+                held.append(row)
+        if held:
+            yield current, held
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        made = zip(zip(*rows, strict=True), out_schema, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in made], schema=out_schema)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for key, rows in groups(batches):
+            out.extend(run(key, rows))
+            if len(out) >= _OUT_ROWS:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    placed = df.repartition(*keys).sortWithinPartitions(*keys, *[F.col(c).asc_nulls_first() for c in order])
+    return placed.mapInArrow(mapped, schema)
+
+
 def _split_schema(schema: str) -> list[str]:
     """Top-level fields of a DDL string."""
     parts, depth, current = [], 0, ""

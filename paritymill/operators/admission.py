@@ -52,8 +52,10 @@ def bind_rows(rows: DataFrame, requests: DataFrame, chunk: Column) -> DataFrame:
     both = rows.withColumn("_bind", F.lit(None).cast(own.schema["_bind"].dataType)).unionByName(
         own, allowMissingColumns=True
     )
+    # envelopes are parsed once: the scan reads its rows twice
+    both = stage(both.withColumn("_is_row", F.col("_bind").isNull()), "bind-both")
     marked = scan(
-        both.withColumn("_is_row", F.col("_bind").isNull()),
+        both,
         [*_CONN, "channel"], ["ord"], chunk, running={"_current": ("last", F.col("_bind"))},
     ).where("_is_row")
     # an error row without a binding of its own channel may name the command it answers

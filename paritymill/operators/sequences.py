@@ -20,10 +20,10 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Sequence
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paritymill.functions.folds import map_groups
 from paritymill.session import stage
 
 _LOW, _HIGH = -(1 << 62), 1 << 62
@@ -38,11 +38,6 @@ Memory = list[tuple[int, int]]  # (sequence, until)
 Bounds = tuple[int, int, int]
 
 
-def _rows(table: pa.Table) -> Iterable[tuple]:
-    table = table.sort_by("ord")
-    return zip(*[table.column(c).to_pylist() for c in _FACTS], strict=True)
-
-
 # -- what a chunk does to the last failure ---------------------------------------------------
 
 
@@ -106,19 +101,12 @@ class _Map:
         return sorted({_LOW} | {b for b in borders if _LOW < b < low})
 
 
-_SUMMARY = pa.schema(
-    [
-        *[pa.field(c, pa.int64()) for c in ("head_ord", "head_seq", "reach", "head_end", "head_failures")],
-        *[pa.field(c, pa.list_(pa.int64())) for c in (
-            "own_seqs", "own_untils", "starts", "ends", "failures", "tail_seqs", "tail_untils")],
-        pa.field("markets", pa.list_(pa.string())), pa.field("latest", pa.list_(pa.int64())),
-    ]
-)
-_SUMMARY_DDL = (
+_SUMMARY = (
     "head_ord bigint, head_seq bigint, reach bigint, head_end bigint, head_failures bigint, "
     "own_seqs array<bigint>, own_untils array<bigint>, starts array<bigint>, ends array<bigint>, failures array<bigint>, "
-    "tail_seqs array<bigint>, tail_untils array<bigint>, markets array<string>, latest array<bigint>"
+    "tail_seqs array<bigint>, tail_untils array<bigint>"
 )
+_HELD = "markets array<string>, latest array<bigint>"
 
 
 def summarize(rows: Iterable[tuple], latest: dict[str, int], contiguous: bool) -> dict:
@@ -246,6 +234,15 @@ class Automaton:
 
 # -- Spark -------------------------------------------------------------------------------------
 
+_VERDICT = (
+    "ord bigint, sequence_state string, admission_status string, exclusion_reason string, resync_state string, "
+    "failures bigint"
+)
+
+
+def _ddl(df: DataFrame, columns: Sequence[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
 
 def _snapshots_before(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Latest clean snapshot of each market before each chunk: at most one entry per requested market."""
@@ -257,18 +254,13 @@ def _snapshots_before(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.collect_list(F.when(F.col("_market").isNotNull(), F.struct("_market", "_at"))).alias("_own")
     )
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_chunk")
-        held, found = {}, []
-        for own in table.column("_own").to_pylist():
-            found.append(sorted(held.items()))
+    def run(key: tuple, chunks: list[tuple]) -> Iterable[tuple]:
+        held: dict[str, int] = {}
+        for chunk, own in chunks:
+            yield *key, chunk, sorted(held), [held[m] for m in sorted(held)]
             held.update((e["_market"], e["_at"]) for e in own)
-        return table.drop(["_own"]).append_column(
-            "markets", pa.array([[m for m, _ in f] for f in found], pa.list_(pa.string()))
-        ).append_column("latest", pa.array([[a for _, a in f] for f in found], pa.list_(pa.int64())))
 
-    schema = own.drop("_own").schema.simpleString()[len("struct<") : -1]
-    return own.groupBy(*keys).applyInArrow(run, f"{schema.replace(':', ' ')}, markets array<string>, latest array<bigint>")
+    return map_groups(own, keys, ["_chunk"], ["_chunk", "_own"], run, f"{_ddl(own, [*keys, '_chunk'])}, {_HELD}")
 
 
 def sequence_verdicts(rows: DataFrame, keys: Sequence[str], chunk: Column, contiguous: bool = False) -> DataFrame:
@@ -281,45 +273,38 @@ def sequence_verdicts(rows: DataFrame, keys: Sequence[str], chunk: Column, conti
     number of failures before the row.
     """
     keys = list(keys)
-    narrow = stage(rows.select(*keys, chunk.alias("_chunk"), *_FACTS), "sequence-rows")
-    ddl = narrow.select(*keys, "_chunk").schema.simpleString()[len("struct<") : -1].replace(":", " ")
     place = [*keys, "_chunk"]
-
-    def map_chunk(key: tuple, table: pa.Table, carry: pa.Table) -> pa.Table:
-        held = carry.to_pylist()[0]
-        found = summarize(_rows(table), dict(zip(held["markets"], held["latest"], strict=True)), contiguous)
-        found |= {c: held[c] for c in (*place, "markets", "latest")}
-        return pa.Table.from_pylist([found], pa.schema([*[carry.schema.field(c) for c in place], *_SUMMARY]))
-
-    def enter(table: pa.Table) -> pa.Table:
-        table = table.sort_by("_chunk")
-        found = entries(table.to_pylist(), contiguous)
-        out = table.select([*place, "markets", "latest"])
-        for i, name in enumerate(("p", "before", "last")):
-            out = out.append_column(name, pa.array([f[i] for f in found], pa.int64()))
-        return out
-
-    def walk(key: tuple, table: pa.Table, entry: pa.Table) -> pa.Table:
-        held = entry.to_pylist()[0]
-        markets = {m for m, at in zip(held["markets"], held["latest"], strict=True) if at > held["p"]}
-        automaton = Automaton(contiguous, held["last"], markets, held["before"])
-        made = list(zip(*map(automaton.take, _rows(table)), strict=True))
-        types = [pa.int64(), *[pa.string()] * 4, pa.int64()]
-        columns = [pa.array([held[c]] * len(table), entry.schema.field(c).type) for c in keys]
-        columns += [pa.array(m, t) for m, t in zip(made, types, strict=True)]
-        return pa.Table.from_arrays(columns, [*keys, "ord", *_VERDICTS])
+    narrow = stage(rows.select(*keys, chunk.alias("_chunk"), *_FACTS), "sequence-rows")
+    at = _ddl(narrow, place)
+
+    def summary(key: tuple, group: list[tuple]) -> Iterable[tuple]:
+        markets, latest = group[0][-2:]
+        facts = [r[: len(_FACTS)] for r in group[1:]]
+        found = summarize(facts, dict(zip(markets, latest, strict=True)), contiguous)
+        yield *key, *found.values(), markets, latest
+
+    def enter(key: tuple, chunks: list[tuple]) -> Iterable[tuple]:
+        names = [f.split()[0] for f in _SUMMARY.split(", ")]
+        found = entries([dict(zip(names, c[1:], strict=False)) for c in chunks], contiguous)
+        for c, (p, failures, last) in zip(chunks, found, strict=True):
+            markets = [m for m, since in zip(c[-2], c[-1], strict=True) if since > p]
+            yield *key, c[0], markets, failures, last
+
+    def walk(key: tuple, group: list[tuple]) -> Iterable[tuple]:
+        markets, failures, last = group[0][-3:]
+        automaton = Automaton(contiguous, last, set(markets), failures)
+        for r in group[1:]:
+            yield *key[:-1], *automaton.take(r[: len(_FACTS)])
+
+    def entered_rows(entry: DataFrame, extra: list[str], run, schema: str) -> DataFrame:
+        # the row a chunk is entered with has no position and sorts before its rows
+        both = narrow.unionByName(entry, allowMissingColumns=True)
+        return map_groups(both, place, ["ord"], [*_FACTS, *extra], run, schema)
 
     before = _snapshots_before(narrow, keys)
-    summaries = narrow.groupBy(*place).cogroup(before.groupBy(*place)).applyInArrow(map_chunk, f"{ddl}, {_SUMMARY_DDL}")
-    entered = summaries.groupBy(*keys).applyInArrow(
-        enter, f"{ddl}, markets array<string>, latest array<bigint>, p bigint, before bigint, last bigint"
+    summaries = entered_rows(before, ["markets", "latest"], summary, f"{at}, {_SUMMARY}, {_HELD}")
+    columns = summaries.columns[len(keys) :]
+    entry = map_groups(
+        summaries, keys, ["_chunk"], columns, enter, f"{at}, entered array<string>, before bigint, last bigint"
     )
-    own = narrow.select(*keys).schema.simpleString()[len("struct<") : -1].replace(":", " ")
-    return narrow.groupBy(*place).cogroup(entered.groupBy(*place)).applyInArrow(
-        walk,
-        f"{own}, ord bigint, sequence_state string, admission_status string, exclusion_reason string, "
-        "resync_state string, failures bigint",
-    )
-
-
-_VERDICTS = ["sequence_state", "admission_status", "exclusion_reason", "resync_state", "failures"]
+    return entered_rows(entry, ["entered", "before", "last"], walk, f"{_ddl(narrow, keys)}, {_VERDICT}")
