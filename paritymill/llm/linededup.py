@@ -1,27 +1,35 @@
 """Fuzzy line deduplication: one line of each group of near-equal lines stays.
 
-Lines are compared in lower case without outer white space; lines under 20 characters are left
-alone.  Two lines are linked when their lengths lie within 75% and their sets of
+Lines are compared in lower case without outer white space; lines under ``MIN_CHARS``
+characters are left alone, exact copies included.  Two lines are linked when their sets of
 five-character shingles have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
-2. Signature: the six least hashes of the same set, the MinHash bottom sketch.
+2. Signature: the six least hashes of the set, the MinHash bottom sketch, and the set's size.
 3. Banding: every two of the six minima are a bucket.  Simulated at a similarity of 0.75, a pair shares none
    with a chance of 0.004% to 0.06% for unions of 40 to 400 shingles.
-4. Candidates are confirmed on their full sets of five-character shingles, leaders first
-   (``buckets``), and links grouped by union-find (``components``).
+4. Candidates are confirmed on their full sets, leaders first and then blocks (``buckets``),
+   and links grouped by union-find (``components``).
 5. The first line of a group, by document and place, stays; the others go.
 
-DataFrame expressions only.  Texts are shuffled once, for the candidates; all else is narrow rows.
+Shingles are hashed and sorted as numpy arrays over Arrow batches of lines.  The same by
+DataFrame expressions, a regular expression and a lambda per character, takes three times
+the CPU limit (README).  Everything else is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paritymill.llm.buckets import bucket_links, live_members
+from paritymill.llm import units
+from paritymill.llm.buckets import bucket_links
 from paritymill.llm.components import components
+from paritymill.llm.neardup import compare_sets
 from paritymill.llm.pii import let
 from paritymill.llm.shared import Scratch, maybe_in, stage
 
@@ -33,39 +41,81 @@ _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, line, body) of the lines that take part, from (doc, text)."""
-    placed = docs.select("doc", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"))
-    bare = F.lower(F.btrim("raw", F.lit(_SPACE_CHARS)))
-    return placed.select("doc", "line", bare.alias("body")).where(F.length("body") >= MIN_CHARS)
+# -- shingles ----------------------------------------------------------------------------------
+
 
+def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each line of a slice, by row and hash."""
+    starts = np.flatnonzero((part.data & 0xC0) != 0x80)  # of characters
+    bounds = np.searchsorted(starts, part.bounds)
+    count = np.maximum(np.diff(bounds) - SHINGLE + 1, 0)
+    row = np.repeat(np.arange(part.rows), count)
+    if not len(row):
+        return row, np.zeros(0, np.uint64)
+    first = np.arange(len(row)) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)
+    edges = np.append(starts, len(part.data))
+    value = units.span_hashes(units.byte_values(part.data), starts[first], edges[first + SHINGLE])
+    order = np.argsort(value)
+    by_row = np.argsort(row[order].astype(np.uint16) if part.rows < 65_536 else row[order], kind="stable")
+    row, value = row[order][by_row], value[order][by_row]
+    new = np.ones(len(row), dtype=bool)
+    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+    return row[new], value[new]
 
-def _shingles(body: Column) -> Column:
-    """Distinct hashes of all shingles of a line of at least ``SHINGLE`` characters."""
-    every = F.regexp_extract_all(body, F.lit(rf"(?s)(?=(.{{{SHINGLE}}}))"), F.lit(1))
-    return F.array_distinct(F.transform(every, lambda x: F.xxhash64(x)))
 
+def _sets(column: pa.Array) -> list[np.ndarray]:
+    """Sorted shingle hashes of each line."""
+    out: list[np.ndarray] = []
+    for part in units.slices(column):
+        row, value = shingle_sets(part)
+        out += np.split(value, np.searchsorted(row, np.arange(1, part.rows)))
+    return out
 
-def similar(a: Column, b: Column) -> Column:
-    """Whether the shingle sets of two lines reach the Jaccard similarity."""
 
-    def enough(s: Column) -> Column:
-        both = F.size(F.array_intersect(s["x"], s["y"]))
-        return 100 * both >= PERCENT * (F.size(s["x"]) + F.size(s["y"]) - both)
+def alike(p: np.ndarray, q: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    both = int(np.count_nonzero(q[np.minimum(at, len(q) - 1)] == p)) if len(q) else 0
+    return 100 * both >= PERCENT * (len(p) + len(q) - both)
 
-    return let(F.struct(_shingles(a).alias("x"), _shingles(b).alias("y")), enough)
 
+# -- lines ---------------------------------------------------------------------------------------
 
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(doc, line, key, size, m0 to m5): minima missing in short lines are null."""
-    least = lines.select(
-        "doc",
-        "line",
-        F.xxhash64("body").alias("key"),
-        F.length("body").alias("size"),
-        F.slice(F.sort_array(_shingles(F.col("body"))), 1, MINIMA).alias("minima"),
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """(doc, version, line, key, body) of the lines that take part, from (doc, text)."""
+    placed = docs.select(
+        "doc", F.xxhash64("text").alias("version"),
+        F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "raw"),
     )
-    return least.select("doc", "line", "key", "size", *[F.get("minima", F.lit(i)).alias(f"m{i}") for i in range(MINIMA)])
+    bare = F.lower(F.btrim("raw", F.lit(_SPACE_CHARS)))
+    lines = placed.select("doc", "version", "line", bare.alias("body")).where(F.length("body") >= MIN_CHARS)
+    return lines.select("doc", "version", "line", F.xxhash64("body").alias("key"), "body")
+
+
+_SIGNED = "doc bigint, version bigint, line int, key bigint, size int, " + ", ".join(f"m{i} int" for i in range(MINIMA))
+
+
+def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Size and least hashes (their upper halves) of each line; minima missing in short lines are null."""
+    for batch in batches:
+        kept = batch.select(["doc", "version", "line", "key"])
+        for part in units.slices(batch.column("body")):
+            row, value = shingle_sets(part)
+            bounds = np.searchsorted(row, np.arange(part.rows + 1))
+            size = np.diff(bounds)
+            high = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            minima = []
+            for i in range(MINIMA):
+                held = size > i
+                at = np.where(held, bounds[:-1] + i, 0)
+                minima.append(pa.array(high[at] if len(high) else np.zeros(part.rows, np.int32), mask=~held))
+            yield pa.RecordBatch.from_arrays(
+                [*kept.slice(part.first, part.rows).columns, pa.array(size.astype(np.int32)), *minima],
+                [*kept.schema.names, "size", *[f"m{i}" for i in range(MINIMA)]],
+            )
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -78,50 +128,81 @@ def _buckets(classes: DataFrame) -> DataFrame:
     return classes.select(F.explode(F.array_compact(keys)).alias("bucket"), F.col("key").alias("rep"), "size")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows, sorted by bucket, whose bucket the row before or behind them has too."""
+    last, given = None, False  # the newest row, and whether a row of its bucket went out
+    for batch in batches:
+        batch = pa.Table.from_batches([*([last] if last else []), batch]).combine_chunks().to_batches()[0]
+        bucket = batch.column("bucket").to_numpy()
+        same = np.zeros(len(bucket) + 1, dtype=bool)
+        same[0] = given
+        same[1:-1] = bucket[1:] == bucket[:-1]
+        keep = same[:-1] | same[1:]
+        last, given = batch.slice(len(bucket) - 1), bool(same[-2])
+        yield batch.slice(0, len(bucket) - 1).filter(pa.array(keep[:-1]))
+    if last is not None and given:
+        yield last
+
+
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(``doc_id``, line from 0, first_doc, first_line) of every line that goes.
+    """(``doc_id``, version, line from 0, first_doc, first_line) of every line that goes.
 
-    ``first_doc`` and ``first_line`` name the line that stays for it: the least of its group.
-    Null and empty texts have no lines; rows with a null id take no part.  Rows that repeat an
-    id count as one document: their lines share a place and stay or go together.  An
+    ``version`` is ``xxhash64`` of the whole text: rows that repeat an id with other texts are
+    documents of their own.  ``first_doc`` and ``first_line`` name the line that stays: the
+    least of its group.  Null and empty texts have no lines; rows with a null id take no part.
+    Rows equal in id and text count as one document: their lines stay or go together.  An
     empty table gives an empty result; other columns are not looked at.
     """
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    signed = stage(_signatures(_lines(source)), "line-signatures")
+    signed = stage(_lines(source).mapInArrow(_sign, _SIGNED), "line-signatures")
     minima = [f"m{i}" for i in range(MINIMA)]
     # equal lines have equal signatures, so any row's will do; primitive columns combine in a hash map
     classes = signed.groupBy("key").agg(F.max("size").alias("size"), *[F.max(m).alias(m) for m in minima])
     scratch = Scratch()
-    members = scratch.stage(live_members(_buckets(classes), "bucket", "rep"), "line-members")
-    wanted = members.select(F.col("rep").alias("key")).distinct()
-    wanted = scratch.stage(wanted, "line-wanted")
-    bodies = maybe_in(_lines(source).select(F.xxhash64("body").alias("key"), "body"), "key", wanted)
+    placed = _buckets(classes).repartition("bucket").sortWithinPartitions("bucket")
+    members = scratch.stage(placed.mapInArrow(_shared, placed.schema), "line-members")
+    wanted = scratch.stage(members.select(F.col("rep").alias("key")).distinct(), "line-wanted")
+    bodies = maybe_in(_lines(source).select("key", "body"), "key", wanted)
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
     bodies = scratch.stage(bodies, "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                sides = [_sets(batch.column(c)) for c in ("body_a", "body_b")]
+                keep = [alike(p, q) for p, q in zip(*sides, strict=True)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
         full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
-        return full.where(similar(F.col("body_a"), F.col("body_b"))).select("a", "b")
+        return full.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
+
+    def compare_blocks(blocks: DataFrame) -> DataFrame:
+        def run(key: tuple, table: pa.Table) -> pa.Table:
+            return compare_sets(key, table, _sets(table.column("body")), PERCENT)
+
+        full = blocks.join(bodies.toDF("rep", "body"), "rep")
+        return full.groupBy("bucket", "low", "high").applyInArrow(run, "a bigint, b bigint")
 
-    links = bucket_links(members, PERCENT, confirm, scratch)
+    links = bucket_links(members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks)
     groups = components(links, "a", "b").toDF("key", "component")
     scratch.clear()
-    # least place of each class, in two primitive steps: document, then line of that document
-    first = signed.groupBy("key").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("rows"))
+    place = F.struct("doc", "line", "version")
+    first = signed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     grouped = first.join(groups, "key", "left").where("rows > 1 OR component IS NOT NULL")
     grouped = stage(grouped.select("key", F.coalesce("component", "key").alias("component"), "first"), "line-groups")
     stays = grouped.groupBy("component").agg(F.min("first").alias("first"))
     keep = grouped.select("key", "component").join(stays, "component").select("key", "first")
-    gone = signed.select("key", "doc", "line").join(keep, "key").where(F.struct("doc", "line") != F.col("first"))
+    gone = signed.select("key", "doc", "version", "line").join(keep, "key").where(place != F.col("first"))
     return gone.select(
-        F.col("doc").alias(doc_id), "line", F.col("first.doc").alias("first_doc"), F.col("first.line").alias("first_line")
+        F.col("doc").alias(doc_id), "version", "line", F.col("first.doc").alias("first_doc"),
+        F.col("first.line").alias("first_line"),
     ).distinct()
 
 
 def dropped_by_document(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, dropped): ascending line numbers that go, for documents that lose any."""
+    """(doc, version, dropped): ascending line numbers that go, for documents that lose any."""
     gone = duplicate_lines(docs, doc_id, text)
-    return gone.groupBy(F.col(doc_id).alias("doc")).agg(F.sort_array(F.collect_list("line")).alias("dropped"))
+    return gone.groupBy(F.col(doc_id).alias("doc"), "version").agg(F.sort_array(F.collect_list("line")).alias("dropped"))
 
 
 def without_lines(text: Column, dropped: Column) -> Column:
@@ -145,8 +226,9 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
     A document that is left without a word keeps its row, or goes with ``drop_emptied``;
     documents that lose no line always stay.
     """
-    gone = dropped_by_document(docs, doc_id, text).withColumnRenamed("doc", "_gone_doc").withColumnRenamed("dropped", "_gone_lines")
-    joined = docs.join(gone, F.col(doc_id) == F.col("_gone_doc"), "left")
+    gone = dropped_by_document(docs, doc_id, text).toDF("_gone_doc", "_gone_version", "_gone_lines")
+    same = (F.col(doc_id) == F.col("_gone_doc")) & (F.xxhash64(text) == F.col("_gone_version"))
+    joined = docs.join(gone, same, "left")
     if drop_emptied:
         left = without_lines(F.col(text), F.col("_gone_lines"))
         joined = joined.where(F.col("_gone_lines").isNull() | left.rlike(f"[^{_SPACE}]"))

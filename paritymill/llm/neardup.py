@@ -164,13 +164,12 @@ def _overlaps(row: np.ndarray, value: np.ndarray, rows: int, width: int = 4096)
     return both
 
 
-def _compare(key: tuple, table: pa.Table) -> pa.Table:
+def compare_sets(key: tuple, table: pa.Table, sets: list[np.ndarray], percent: int) -> pa.Table:
     """Links that join the groups of two chunks of a bucket: at most one for each member."""
     rep, label, chunk = (table.column(n).to_numpy() for n in ("rep", "label", "chunk"))
-    sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("shingles")]
     size = np.array([len(s) for s in sets])
     both = _overlaps(np.repeat(np.arange(len(sets)), size), np.concatenate(sets), len(sets))
-    linked = 100 * both >= PERCENT * (size[:, None] + size[None, :] - both)
+    linked = 100 * both >= percent * (size[:, None] + size[None, :] - both)
     linked &= label[:, None] != label[None, :]
     if key[1].as_py() != key[2].as_py():
         linked &= chunk[:, None] != chunk[None, :]
@@ -191,6 +190,11 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array([o[0] for o in out], pa.int64()), "b": pa.array([o[1] for o in out], pa.int64())})
 
 
+def _compare(key: tuple, table: pa.Table) -> pa.Table:
+    sets = [np.frombuffer(s.as_buffer(), dtype=np.uint64) for s in table.column("shingles")]
+    return compare_sets(key, table, sets, PERCENT)
+
+
 def _links_of(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links between class representatives; their transitive closure is that of all links."""
     exploded = scratch.stage(classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size")), "buckets")

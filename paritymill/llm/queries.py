@@ -117,10 +117,11 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that repeat, nearly or exactly, an earlier line of the corpus."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = linededup.dropped_by_document(docs).toDF("gone_id", "dropped")
+    gone = linededup.dropped_by_document(docs).toDF("gone_id", "gone_version", "dropped")
     lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
-    sized = docs.select("doc_id", lines.alias("n_lines"))
-    joined = sized.join(gone, F.col("doc_id") == F.col("gone_id"), "left")
+    sized = docs.select("doc_id", F.xxhash64("text").alias("version"), lines.alias("n_lines"))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.col("version") == F.col("gone_version"))
+    joined = sized.join(gone, same, "left")
     dropped = F.coalesce("dropped", F.array().cast("array<int>"))
     return joined.select(
         "doc_id", "n_lines", F.size(dropped).cast("bigint").alias("n_dropped"), F.array_join(dropped, ",").alias("dropped")
