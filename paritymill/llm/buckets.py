@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritymill.llm.components import components
@@ -29,21 +29,20 @@ def live_members(exploded: DataFrame, bucket: str, rep: str) -> DataFrame:
     return exploded.join(ends.where("low < high").select(bucket), bucket)
 
 
-def _pairs(met: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of near enough size: the smaller needs ``percent`` of the larger."""
-    close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
+def _pairs(met: DataFrame, close: Column) -> DataFrame:
+    """Distinct pairs of rows that ``close`` does not rule out."""
     return met.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def blocks(rest: DataFrame) -> DataFrame:
-    """(bucket, low, high, chunk, rep, label): every member once for each two chunks it meets in."""
+def blocks(rest: DataFrame, *extra: str) -> DataFrame:
+    """(bucket, low, high, chunk, rep, label, extra): every member once for each two chunks it meets in."""
     chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
     counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
     dealt = rest.join(counts.select("bucket", chunks.alias("chunks")), "bucket")
     dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("chunks")).cast("int"))
-    met = dealt.select("bucket", "rep", "label", "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    met = dealt.select("bucket", "rep", "label", *extra, "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
     return met.select(
-        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "label"
+        "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "label", *extra
     )
 
 
@@ -54,14 +53,20 @@ def bucket_links(
     scratch: Scratch,
     rounds: int = 2,
     compare_blocks: Callable[[DataFrame], DataFrame] | None = None,
+    small: int = 0,
+    close: Column | None = None,
 ) -> DataFrame:
     """Confirmed links (a, b) whose closure is that of all links inside buckets.
 
     ``members`` is a stage table (bucket, rep, size).  ``confirm`` keeps the linked pairs of a
     table (a, b); pairs whose sizes differ too much to link are not put to it.  ``compare_blocks``
-    takes the rest as ``blocks`` instead of pairs and returns links that join the same groups.
+    takes the rest as ``blocks`` instead of pairs and returns links that join the same groups;
+    buckets of at most ``small`` members, whose pairs are few, still go pair by pair.
+    ``close`` tells from the members' sizes, ``na`` and ``nb``, which pairs may link at all.
     The links read tables of ``scratch``.
     """
+    if close is None:  # the smaller needs ``percent`` of the larger
+        close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     links = tested = None
     for turn in range(rounds + 1):
         if links is None:
@@ -75,7 +80,13 @@ def bucket_links(
             mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
             rest = labelled.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi")
         if turn == rounds and compare_blocks is not None:
-            return links.union(scratch.stage(compare_blocks(blocks(rest)), "confirmed"))
+            if not small:
+                return links.union(scratch.stage(compare_blocks(blocks(rest)), "confirmed"))
+            rest = scratch.stage(rest, "rest")
+            counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
+            large = rest.join(counts.where(F.col("members") > small).select("bucket"), "bucket")
+            links = links.union(scratch.stage(compare_blocks(blocks(large, "size")), "confirmed"))
+            rest = rest.join(counts.where(F.col("members") <= small).select("bucket"), "bucket")
         if turn < rounds:
             entry = F.struct("rep", "label", "size")
             ranked = [F.struct(F.xxhash64(F.lit(2 * turn + k), "rep").alias("h"), entry.alias("e")) for k in (0, 1)]
@@ -86,7 +97,7 @@ def bucket_links(
         else:
             met = rest.toDF("bucket", "x", "na", "label_x").join(rest.toDF("bucket", "y", "nb", "label_y"), "bucket")
             met = met.where(F.col("label_x") < F.col("label_y"))
-        pairs = _pairs(met, percent)
+        pairs = _pairs(met, close)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = scratch.stage(pairs, "pairs")

@@ -5,9 +5,11 @@ characters are left alone, exact copies included.  Two lines are linked when the
 five-character shingles have a Jaccard similarity of 0.75 or more.
 
 1. Equal lines become one class, by a 64-bit hash.
-2. Signature: the six least hashes of the set, the MinHash bottom sketch, and the set's size.
-3. Banding: every two of the six minima are a bucket.  Simulated at a similarity of 0.75, a pair shares none
-   with a chance of 0.004% to 0.06% for unions of 40 to 400 shingles.
+2. Signature: MinHash of the set in ``BANDS * ROWS`` slots (``neardup.super_minhash``).
+3. Banding: ``ROWS`` slots are a bucket.  A pair at similarity 0.75 shares none of the 19 with a
+   chance of 0.07%, and lines that only use the same language share few: two minima of one
+   hash, tried before, put four of five lines of the check tables in a bucket with others.
+   Buckets with one line are dropped as the sorted rows stream by.
 4. Candidates are confirmed on their full sets, leaders first and then blocks (``buckets``),
    and links grouped by union-find (``components``).
 5. The first line of a group, by document and place, stays; the others go.
@@ -29,14 +31,17 @@ from pyspark.sql import functions as F
 from paritymill.llm import units
 from paritymill.llm.buckets import bucket_links
 from paritymill.llm.components import components
-from paritymill.llm.neardup import compare_sets
+from paritymill.llm.neardup import compare_sets, super_minhash
 from paritymill.llm.pii import let
 from paritymill.llm.shared import Scratch, maybe_in, stage
 
 MIN_CHARS = 20
 PERCENT = 75
 SHINGLE = 5
-MINIMA = 6
+BANDS, ROWS = 19, 4
+SMALL = 64
+MAX_APART = 20  # of 64 bits; at similarity 0.75 a bit differs with a chance of 1/8, 21 do with one of 0.002%
+_SIGN_BYTES = 1 << 18
 _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
@@ -44,8 +49,8 @@ _SPACE_CHARS = " \t\n\x0b\f\r"
 # -- shingles ----------------------------------------------------------------------------------
 
 
-def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each line of a slice, by row and hash."""
+def shingles(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of every shingle of each line of a slice, repeated ones included."""
     starts = np.flatnonzero((part.data & 0xC0) != 0x80)  # of characters
     bounds = np.searchsorted(starts, part.bounds)
     count = np.maximum(np.diff(bounds) - SHINGLE + 1, 0)
@@ -54,7 +59,12 @@ def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
         return row, np.zeros(0, np.uint64)
     first = np.arange(len(row)) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)
     edges = np.append(starts, len(part.data))
-    value = units.span_hashes(units.byte_values(part.data), starts[first], edges[first + SHINGLE])
+    return row, units.span_hashes(units.byte_values(part.data), starts[first], edges[first + SHINGLE])
+
+
+def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
+    """(row, hash) of the distinct shingles of each line of a slice, by row and hash."""
+    row, value = shingles(part)
     order = np.argsort(value)
     by_row = np.argsort(row[order].astype(np.uint16) if part.rows < 65_536 else row[order], kind="stable")
     row, value = row[order][by_row], value[order][by_row]
@@ -95,53 +105,53 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "version", "line", F.xxhash64("body").alias("key"), "body")
 
 
-_SIGNED = "doc bigint, version bigint, line int, key bigint, size int, " + ", ".join(f"m{i} int" for i in range(MINIMA))
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rep, size) of every line class met in a batch; repeated lines of a batch are signed once.
 
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Size and least hashes (their upper halves) of each line; minima missing in short lines are null."""
+    ``size`` is a sketch: a bit of each of 64 slots, to tell unlike lines of a bucket apart.
+    """
     for batch in batches:
-        kept = batch.select(["doc", "version", "line", "key"])
-        for part in units.slices(batch.column("body")):
-            row, value = shingle_sets(part)
-            bounds = np.searchsorted(row, np.arange(part.rows + 1))
-            size = np.diff(bounds)
-            high = (value >> np.uint64(32)).astype(np.uint32).view(np.int32)
-            minima = []
-            for i in range(MINIMA):
-                held = size > i
-                at = np.where(held, bounds[:-1] + i, 0)
-                minima.append(pa.array(high[at] if len(high) else np.zeros(part.rows, np.int32), mask=~held))
-            yield pa.RecordBatch.from_arrays(
-                [*kept.slice(part.first, part.rows).columns, pa.array(size.astype(np.int32)), *minima],
-                [*kept.schema.names, "size", *[f"m{i}" for i in range(MINIMA)]],
-            )
-
-
-def _buckets(classes: DataFrame) -> DataFrame:
-    """A bucket for every two minima; a line with one shingle has a bucket of its own kind."""
-    twos = [(i, j) for i in range(MINIMA) for j in range(i + 1, MINIMA)]
-    keys = F.array(
-        F.when(F.col("m1").isNull(), F.xxhash64("m0")),
-        *[F.when(F.col(f"m{j}").isNotNull(), F.xxhash64(f"m{i}", f"m{j}")) for i, j in twos],
-    )
-    return classes.select(F.explode(F.array_compact(keys)).alias("bucket"), F.col("key").alias("rep"), "size")
+        key = batch.column("key").to_numpy()
+        _, first = np.unique(key, return_index=True)
+        key, bodies = key[first], batch.column("body").take(pa.array(first))
+        for part in units.slices(bodies, _SIGN_BYTES):
+            signature = super_minhash(*shingles(part), part.rows, BANDS * ROWS)
+            bands = [
+                units.mix(units.ngram_hashes(signature[:, b * ROWS : (b + 1) * ROWS].reshape(-1), ROWS)[::ROWS], b)
+                for b in range(BANDS)
+            ]
+            bucket = np.stack(bands, axis=1).reshape(-1).view(np.int64)
+            rep = np.repeat(key[part.first : part.first + part.rows], BANDS)
+            bits = (units.mix(signature[:, :64], 5) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
+            sketch = np.repeat(np.bitwise_or.reduce(bits, axis=1).view(np.int64), BANDS)
+            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep), pa.array(sketch)], _MEMBER)
+
+
+_MEMBER = ["bucket", "rep", "size"]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows, sorted by bucket, whose bucket the row before or behind them has too."""
-    last, given = None, False  # the newest row, and whether a row of its bucket went out
+    """Distinct rows, sorted by bucket and rep, of the buckets that hold several."""
+    held = [np.zeros(0, np.int64)] * len(_MEMBER)
+    given = False  # whether a row of the newest row's bucket went out
+
+    def out(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], _MEMBER)
+
     for batch in batches:
-        batch = pa.Table.from_batches([*([last] if last else []), batch]).combine_chunks().to_batches()[0]
-        bucket = batch.column("bucket").to_numpy()
+        held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _MEMBER, strict=True)]
+        bucket, rep = held[:2]
+        new = np.ones(len(rep), dtype=bool)
+        new[1:] = (bucket[1:] != bucket[:-1]) | (rep[1:] != rep[:-1])
+        held = [h[new] for h in held]
+        bucket = held[0]
         same = np.zeros(len(bucket) + 1, dtype=bool)
         same[0] = given
         same[1:-1] = bucket[1:] == bucket[:-1]
-        keep = same[:-1] | same[1:]
-        last, given = batch.slice(len(bucket) - 1), bool(same[-2])
-        yield batch.slice(0, len(bucket) - 1).filter(pa.array(keep[:-1]))
-    if last is not None and given:
-        yield last
+        yield out([h[:-1] for h in held], (same[:-1] | same[1:])[:-1])
+        held, given = [h[-1:] for h in held], bool(same[-2])
+    if given:
+        yield out(held, np.ones(1, dtype=bool))
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -154,15 +164,13 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     empty table gives an empty result; other columns are not looked at.
     """
     source = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("bigint").alias("doc"), F.col(text).alias("text"))
-    signed = stage(_lines(source).mapInArrow(_sign, _SIGNED), "line-signatures")
-    minima = [f"m{i}" for i in range(MINIMA)]
-    # equal lines have equal signatures, so any row's will do; primitive columns combine in a hash map
-    classes = signed.groupBy("key").agg(F.max("size").alias("size"), *[F.max(m).alias(m) for m in minima])
+    lines = stage(_lines(source), "lines")
     scratch = Scratch()
-    placed = _buckets(classes).repartition("bucket").sortWithinPartitions("bucket")
+    placed = lines.select("key", "body").mapInArrow(_buckets, "bucket bigint, rep bigint, size bigint")
+    placed = placed.repartition("bucket").sortWithinPartitions("bucket", "rep")
     members = scratch.stage(placed.mapInArrow(_shared, placed.schema), "line-members")
     wanted = scratch.stage(members.select(F.col("rep").alias("key")).distinct(), "line-wanted")
-    bodies = maybe_in(_lines(source).select("key", "body"), "key", wanted)
+    bodies = maybe_in(lines.select("key", "body"), "key", wanted)
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
     bodies = scratch.stage(bodies, "line-bodies")
 
@@ -177,22 +185,32 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return full.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
     def compare_blocks(blocks: DataFrame) -> DataFrame:
+        def near(key: tuple, table: pa.Table) -> pa.Table:
+            """Members whose sketch is close to one of another label."""
+            sketch, label = (table.column(c).to_numpy() for c in ("size", "label"))
+            close = np.bitwise_count((sketch[:, None] ^ sketch[None, :]).view(np.uint64)) <= MAX_APART
+            return table.filter(pa.array((close & (label[:, None] != label[None, :])).any(axis=1)))
+
         def run(key: tuple, table: pa.Table) -> pa.Table:
             return compare_sets(key, table, _sets(table.column("body")), PERCENT)
 
-        full = blocks.join(bodies.toDF("rep", "body"), "rep")
-        return full.groupBy("bucket", "low", "high").applyInArrow(run, "a bigint, b bigint")
+        group = ["bucket", "low", "high"]
+        full = blocks.groupBy(*group).applyInArrow(near, blocks.schema).join(bodies.toDF("rep", "body"), "rep")
+        return full.groupBy(*group).applyInArrow(run, "a bigint, b bigint")
 
-    links = bucket_links(members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks)
+    apart = F.bit_count(F.col("na").bitwiseXOR(F.col("nb")))
+    links = bucket_links(
+        members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks, small=SMALL, close=apart <= MAX_APART
+    )
     groups = components(links, "a", "b").toDF("key", "component")
     scratch.clear()
     place = F.struct("doc", "line", "version")
-    first = signed.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
+    first = lines.groupBy("key").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("rows"))
     grouped = first.join(groups, "key", "left").where("rows > 1 OR component IS NOT NULL")
     grouped = stage(grouped.select("key", F.coalesce("component", "key").alias("component"), "first"), "line-groups")
     stays = grouped.groupBy("component").agg(F.min("first").alias("first"))
     keep = grouped.select("key", "component").join(stays, "component").select("key", "first")
-    gone = signed.select("key", "doc", "version", "line").join(keep, "key").where(place != F.col("first"))
+    gone = lines.select("key", "doc", "version", "line").join(keep, "key").where(place != F.col("first"))
     return gone.select(
         F.col("doc").alias(doc_id), "version", "line", F.col("first.doc").alias("first_doc"),
         F.col("first.line").alias("first_line"),
