@@ -53,18 +53,18 @@ def bucket_links(
     scratch: Scratch,
     rounds: int = 2,
     compare_blocks: Callable[[DataFrame], DataFrame] | None = None,
-    small: int = 0,
     close: Column | None = None,
 ) -> DataFrame:
     """Confirmed links (a, b) whose closure is that of all links inside buckets.
 
     ``members`` is a stage table (bucket, rep, size).  ``confirm`` keeps the linked pairs of a
     table (a, b); pairs whose sizes differ too much to link are not put to it.  ``compare_blocks``
-    takes the rest as ``blocks`` instead of pairs and returns links that join the same groups;
-    buckets of at most ``small`` members, whose pairs are few, still go pair by pair.
-    ``close`` tells from the members' sizes, ``na`` and ``nb``, which pairs may link at all.
+    takes the rest as ``blocks`` instead of pairs and returns links that join the same groups.
+    ``close`` tells from the members' sizes, ``na`` and ``nb``, which pairs may link at all;
+    blocks then show the sizes too.
     The links read tables of ``scratch``.
     """
+    by_size = close is not None
     if close is None:  # the smaller needs ``percent`` of the larger
         close = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
     links = tested = None
@@ -80,13 +80,8 @@ def bucket_links(
             mixed = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"))
             rest = labelled.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi")
         if turn == rounds and compare_blocks is not None:
-            if not small:
-                return links.union(scratch.stage(compare_blocks(blocks(rest)), "confirmed"))
-            rest = scratch.stage(rest, "rest")
-            counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-            large = rest.join(counts.where(F.col("members") > small).select("bucket"), "bucket")
-            links = links.union(scratch.stage(compare_blocks(blocks(large, "size")), "confirmed"))
-            rest = rest.join(counts.where(F.col("members") <= small).select("bucket"), "bucket")
+            extra = ["size"] if by_size else []
+            return links.union(scratch.stage(compare_blocks(blocks(rest, *extra)), "confirmed"))
         if turn < rounds:
             entry = F.struct("rep", "label", "size")
             ranked = [F.struct(F.xxhash64(F.lit(2 * turn + k), "rep").alias("h"), entry.alias("e")) for k in (0, 1)]

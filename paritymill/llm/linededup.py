@@ -9,9 +9,9 @@ five-character shingles have a Jaccard similarity of 0.75 or more.
 3. Banding: ``ROWS`` slots are a bucket.  A pair at similarity 0.75 shares none of the 19 with a
    chance of 0.07%, and lines that only use the same language share few: two minima of one
    hash, tried before, put four of five lines of the check tables in a bucket with others.
-   Buckets with one line are dropped as the sorted rows stream by.
-4. Candidates are confirmed on their full sets, leaders first and then blocks (``buckets``),
-   and links grouped by union-find (``components``).
+   Buckets with one line are dropped, and small ones paired, as the sorted rows stream by.
+4. Candidates are confirmed on their full sets, in large buckets leaders first and then in
+   blocks (``buckets``), and links grouped by union-find (``components``).
 5. The first line of a group, by document and place, stays; the others go.
 
 Shingles are hashed and sorted as numpy arrays over Arrow batches of lines.  The same by
@@ -130,28 +130,60 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _MEMBER = ["bucket", "rep", "size"]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct rows, sorted by bucket and rep, of the buckets that hold several."""
-    held = [np.zeros(0, np.int64)] * len(_MEMBER)
-    given = False  # whether a row of the newest row's bucket went out
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What rows sorted by bucket and rep meet in their buckets: (bucket, rep, size, other).
 
-    def out(rows: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(r[keep]) for r in rows], _MEMBER)
+    A bucket of at most ``SMALL`` lines gives its pairs with close sketches, ``rep`` and
+    ``other``; a larger one gives its lines, with no ``other``.  Lines alone in their bucket,
+    nearly all, give nothing.  No more than ``SMALL`` rows are held from batch to batch.
+    """
+    held = [np.zeros(0, np.int64)] * len(_MEMBER)
+    large = None  # bucket known to be large, whose rows go out as they come
+
+    def out(rows: list[np.ndarray], other: np.ndarray | None = None) -> pa.RecordBatch:
+        last = pa.nulls(len(rows[0]), pa.int64()) if other is None else pa.array(other)
+        return pa.RecordBatch.from_arrays([*[pa.array(r) for r in rows], last], [*_MEMBER, "other"])
+
+    def groups(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        bucket = rows[0]
+        edges = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
+        members = np.repeat(np.diff(np.append(edges, len(bucket))), np.diff(np.append(edges, len(bucket))))
+        many = members > SMALL
+        if many.any():
+            yield out([r[many] for r in rows])
+        bucket, rep, sketch = (r[(members > 1) & ~many] for r in rows)
+        for step in range(1, SMALL):
+            met = np.flatnonzero(bucket[step:] == bucket[:-step])
+            if not len(met):
+                break
+            met = met[np.bitwise_count((sketch[met] ^ sketch[met + step]).view(np.uint64)) <= MAX_APART]
+            yield out([bucket[met], rep[met], sketch[met]], rep[met + step])
 
     for batch in batches:
         held = [np.concatenate([h, batch.column(c).to_numpy()]) for h, c in zip(held, _MEMBER, strict=True)]
         bucket, rep = held[:2]
+        if not len(rep):
+            continue
         new = np.ones(len(rep), dtype=bool)
         new[1:] = (bucket[1:] != bucket[:-1]) | (rep[1:] != rep[:-1])
         held = [h[new] for h in held]
-        bucket = held[0]
-        same = np.zeros(len(bucket) + 1, dtype=bool)
-        same[0] = given
-        same[1:-1] = bucket[1:] == bucket[:-1]
-        yield out([h[:-1] for h in held], (same[:-1] | same[1:])[:-1])
-        held, given = [h[-1:] for h in held], bool(same[-2])
-    if given:
-        yield out(held, np.ones(1, dtype=bool))
+        if large is not None:
+            stop = int(np.searchsorted(held[0], large, side="right"))
+            yield out([h[1:stop] for h in held])  # the first row went out before and only tells repeats
+            if stop == len(held[0]):
+                held = [h[-1:] for h in held]
+            else:
+                held, large = [h[stop:] for h in held], None
+        if large is None:
+            begin = int(np.searchsorted(held[0], held[0][-1]))
+            yield from groups([h[:begin] for h in held])
+            held = [h[begin:] for h in held]
+            if len(held[0]) > SMALL:
+                large = held[0][-1]
+                yield out(held)
+                held = [h[-1:] for h in held]
+    if large is None:
+        yield from groups(held)
 
 
 def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -168,8 +200,12 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     scratch = Scratch()
     placed = lines.select("key", "body").mapInArrow(_buckets, "bucket bigint, rep bigint, size bigint")
     placed = placed.repartition("bucket").sortWithinPartitions("bucket", "rep")
-    members = scratch.stage(placed.mapInArrow(_shared, placed.schema), "line-members")
-    wanted = scratch.stage(members.select(F.col("rep").alias("key")).distinct(), "line-wanted")
+    met = scratch.stage(placed.mapInArrow(_meet, "bucket bigint, rep bigint, size bigint, other bigint"), "line-met")
+    close = met.where("other IS NOT NULL").select(F.col("rep").alias("a"), F.col("other").alias("b")).distinct()
+    close = scratch.stage(close, "line-pairs")
+    members = met.where("other IS NULL").drop("other")
+    reps = close.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("rep"))
+    wanted = scratch.stage(reps.distinct(), "line-wanted")
     bodies = maybe_in(lines.select("key", "body"), "key", wanted)
     bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
     bodies = scratch.stage(bodies, "line-bodies")
@@ -199,9 +235,11 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         return full.groupBy(*group).applyInArrow(run, "a bigint, b bigint")
 
     apart = F.bit_count(F.col("na").bitwiseXOR(F.col("nb")))
+    found = scratch.stage(confirm(close), "line-links")
     links = bucket_links(
-        members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks, small=SMALL, close=apart <= MAX_APART
+        members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks, close=apart <= MAX_APART
     )
+    links = links.union(found)
     groups = components(links, "a", "b").toDF("key", "component")
     scratch.clear()
     place = F.struct("doc", "line", "version")

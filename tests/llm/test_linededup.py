@@ -173,14 +173,22 @@ def test_pairs_at_the_threshold_share_a_bucket():
     assert pairs - len(met) <= 0.002 * pairs
 
 
-def test_rows_of_shared_buckets_stream_by():
-    rows = [(1, 1), (1, 1), (2, 1), (2, 1), (2, 2), (3, 5), (4, 1), (4, 2), (4, 2), (4, 3), (5, 9), (5, 9)]
-    want = [(2, 1), (2, 2), (4, 1), (4, 2), (4, 3)]
-    for width in range(1, len(rows) + 1):
-        batches = [rows[i : i + width] for i in range(0, len(rows), width)]
-        made = [pa.RecordBatch.from_arrays([*[pa.array(c) for c in zip(*b, strict=True)], pa.array([7] * len(b))], linededup._MEMBER) for b in batches]
-        out = [tuple(r.values())[:2] for part in linededup._shared(iter(made)) for r in part.to_pylist()]
-        assert out == want
+def test_rows_of_shared_buckets_meet_as_they_stream_by(monkeypatch):
+    monkeypatch.setattr(linededup, "SMALL", 3)
+    rng = random.Random(2)
+    for _ in range(30):
+        rows = sorted((b, rng.randrange(1, 9)) for b in range(6) for _ in range(rng.choice([0, 1, 1, 3, 6])))
+        held = {b: sorted({r for x, r in rows if x == b}) for b, _ in rows}
+        pairs = {(b, x, y) for b, r in held.items() if len(r) <= 3 for x in r for y in r if x < y}
+        lines = {(b, x, None) for b, r in held.items() if len(r) > 3 for x in r}
+        for width in range(1, len(rows) + 1):
+            parts = [rows[i : i + width] for i in range(0, len(rows), width)]
+            made = [
+                pa.RecordBatch.from_arrays([*[pa.array(c) for c in zip(*p, strict=True)], pa.array([7] * len(p))], linededup._MEMBER)
+                for p in parts
+            ]
+            out = [(r["bucket"], r["rep"], r["other"]) for part in linededup._meet(iter(made)) for r in part.to_pylist()]
+            assert len(out) == len(set(out)) and set(out) == pairs | lines, (width, rows)
 
 
 def test_query_covers_all_documents(spark, tiny):
