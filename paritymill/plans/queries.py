@@ -105,8 +105,10 @@ def complement_from_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fee_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fees per supplier from a fee table; suppliers without a row have a missing fee."""
     top = V.v_top_of_book(spark, sf_dir).withColumn("venue", F.col("l_suppkey").cast("string"))
-    fees = V.table(spark, sf_dir, "supplier").where(F.col("s_acctbal") > 2000).select(
-        F.col("s_suppkey").cast("string").alias("venue"),
+    key = F.col("s_suppkey").cast("string")
+    # poor suppliers' rows carry a name that no venue has
+    fees = V.table(spark, sf_dir, "supplier").select(
+        F.when(F.col("s_acctbal") > 2000, key).otherwise(F.concat(F.lit("none-"), key)).alias("venue"),
         F.when(F.col("s_acctbal") > 6000, "unknown").otherwise("supplied").alias("fee_status"),
         F.lit("0.02").cast(V.PRICE).alias("fee_per_contract"),
         F.lit("supplier fee").alias("fee_source_note"),
@@ -657,7 +659,10 @@ def event_identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("missing_events")
 def missing_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = V.v_market_events(spark, sf_dir).where(F.col("ord") % 3 == 0)
+    known = F.col("event_ticker")
+    events = V.v_market_events(spark, sf_dir).withColumn(
+        "event_ticker", F.when(F.col("ord") % 3 == 0, known).otherwise(F.concat(F.lit("OTHER-"), known))
+    )
     return selection.missing_events(V.v_markets(spark, sf_dir), events)
 
 
@@ -794,9 +799,10 @@ def public_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("selected_market_semi_join")
 def selected_market_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.when(F.col("n_nationkey") % 2 == 0, "M-").otherwise("OTHER-")
     chosen = V.table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("M-"), F.col("n_nationkey").cast("string")).alias("market_ticker")
-    ).where(F.col("n_nationkey") % 2 == 0)
+        F.concat(prefix, F.col("n_nationkey").cast("string")).alias("market_ticker")
+    )
     out = evidence.classify_trades(V.v_recorded(spark, sf_dir), chosen)
     return out.where(F.col("trade_class") == "trade").select("row_index", "market_ticker", "trade_id")
 
@@ -1200,8 +1206,10 @@ def manifest_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("part/"), F.col("p_partkey").cast("string")).alias("local_path"), kind.alias("input_kind"),
         (F.col("p_size") % 4 == 0).alias("required"),
     )
-    rows = V.table(spark, sf_dir, "lineitem").where(F.col("l_shipdate") < "1996-01-01").select(
-        F.concat(F.lit("part/"), F.col("l_partkey").cast("string")).alias("local_path")
+    # later lines belong to files that the manifest does not name
+    folder = F.when(F.col("l_shipdate") < "1996-01-01", "part/").otherwise("later/")
+    rows = V.table(spark, sf_dir, "lineitem").select(
+        F.concat(folder, F.col("l_partkey").cast("string")).alias("local_path")
     )
     return records.manifest_coverage(manifest, rows)
 
