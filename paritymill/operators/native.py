@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from paritymill.fixed import ACK_TYPES, ORDERBOOK_TYPES
 
-_DEPTH = ("", "msg.", "params.", "msg.msg.", "msg.params.", "params.msg.", "params.params.")
-
 
 def _get(v: Column, path: str) -> Column:
     return F.variant_get(v, f"$.{path}", "variant")
@@ -107,6 +105,22 @@ def native_scalar(payload: Column, *keys: str, kinds: tuple[str, ...] = ("STRING
 
 
 def pricing_values(payload: Column) -> Column:
-    """JSON text of every ``use_yes_price`` in nested ``msg`` / ``params``, two levels deep."""
-    v = F.try_parse_json(payload)
-    return F.array_compact(F.array(*[F.to_json(_get(v, p + "use_yes_price")) for p in _DEPTH]))
+    """JSON text of every ``use_yes_price`` in nested ``msg`` / ``params`` at any depth, outer ones first.
+
+    Each step takes the values of one level and goes on to the objects below it; a text has no
+    more levels than opening braces, and a level without objects costs nothing.
+    """
+    levels = F.length(payload) - F.length(F.replace(payload, F.lit("{"), F.lit("")))
+    start = F.struct(
+        F.array(F.try_parse_json(payload)).alias("level"), F.array().cast("array<string>").alias("found")
+    )
+
+    def descend(s: Column, _: Column) -> Column:
+        own = F.transform(s["level"], lambda v: F.to_json(_get(v, "use_yes_price")))
+        below = F.flatten(F.transform(s["level"], lambda v: F.array(_get(v, "msg"), _get(v, "params"))))
+        return F.struct(
+            F.filter(below, lambda v: v.isNotNull()).alias("level"),
+            F.concat(s["found"], F.array_compact(own)).alias("found"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(levels, F.lit(1))), start, descend)["found"]

@@ -919,7 +919,8 @@ SELECT ord, kind AS native_type, coalesce(ch, CASE WHEN kind IN ('orderbook_snap
   CASE WHEN sid_ IS NULL THEN 'missing' ELSE 'top_level' END AS sid_source FROM natd"""
     tok = """['true', 'false', '"yes"', '1'][event_id % 4 + 1]"""
     out["pricing_values"] = f"""SELECT event_id, concat_ws('|', CASE WHEN event_id % 5 = 0 THEN NULL END,
-  CASE WHEN event_id % 3 = 0 THEN {tok} END, CASE WHEN event_id % 5 = 0 THEN {tok} END) AS pricing_values FROM events"""
+  CASE WHEN event_id % 3 = 0 THEN {tok} END, CASE WHEN event_id % 5 = 0 THEN {tok} END,
+  CASE WHEN event_id % 7 = 0 THEN {tok} END) AS pricing_values FROM events"""
     out["sequence_summary"] = f"""WITH {RECD}
 SELECT connection_id, segment_id, any_value(boundary) AS segment_boundary_reasons, array_to_string(list_sort(list_distinct(list(sid) FILTER (sid IS NOT NULL))), '|') AS native_sid_values,
   count(*) FILTER (e % 17 <> 0) AS native_seq_present_count,

@@ -704,7 +704,8 @@ def pricing_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     inner = F.concat(F.lit('"params":{"use_yes_price":'), token, F.lit("}"))
     payload = F.concat(
         F.lit('{"type":"x"'), F.when(e % 3 == 0, F.concat(F.lit(","), inner)).otherwise(""),
-        F.lit(',"msg":{"a":1'), F.when(e % 5 == 0, F.concat(F.lit(","), inner)).otherwise(""), F.lit("}}"),
+        F.lit(',"msg":{"a":1'), F.when(e % 5 == 0, F.concat(F.lit(","), inner)).otherwise(""),
+        F.when(e % 7 == 0, F.concat(F.lit(',"msg":{"params":{"msg":{'), inner, F.lit("}}}"))).otherwise(""), F.lit("}}"),
     )
     df = V.v_events(spark, sf_dir).select("event_id", payload.alias("payload"))
     return df.select("event_id", joined(native.pricing_values(F.col("payload"))).alias("pricing_values"))
