@@ -5,6 +5,8 @@ before ASCII white space that follows something else, and between an ASCII lette
 and ASCII punctuation.  The ids of a text are the ids of its units in order, so a worker
 encodes a unit once and finds it by hash from then on.  A text with white space outside
 ASCII, whose runs these cuts could split, is one unit when white space is part of the ids.
+Special tokens of the file that stand in a text are units of their own, as the tokenizer finds them
+before anything else: leftmost, the longest of those that start together.
 
 Tests hold the result against encoding whole texts at once.
 """
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import functools
 import os
+import re
 
 import numpy as np
 
@@ -37,7 +40,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized or t.lstrip or t.rstrip or t.single_word for t in added):
+            raise ValueError("added tokens must be matched as they stand")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.special = re.compile(b"|".join(map(re.escape, names))) if names else None
         self.keep_space = keep_space
         self._clear()
 
@@ -63,9 +70,26 @@ class Encoder:
         self.used, self.filled = self.used + count, self.filled + size
         return made
 
-    def _units(self, part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
+    def _specials(self, part: units.Slice) -> list[tuple[int, int]]:
+        """Places of special tokens, each inside one text."""
+        found: list[tuple[int, int]] = []
+        blob, at = part.data.tobytes(), 0
+        while self.special and (hit := self.special.search(blob, at)):
+            stop = int(part.bounds[np.searchsorted(part.bounds, hit.start(), side="right")])
+            if hit.end() > stop:  # the bytes of two texts
+                hit = self.special.search(blob[:stop], at)
+            if hit is None:
+                at = stop
+                continue
+            found.append(hit.span())
+            at = hit.end()
+        return found
+
+    def _units(self, part: units.Slice, special: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
         data, bounds = part.data, part.bounds
         space = units.IS_SPACE[data]
+        for a, b in special:
+            space[a:b] = False
         filled = bounds[:-1][bounds[:-1] < bounds[1:]]
         cut = np.zeros(len(data), dtype=bool)
         cut[1:] = _WORD[data[:-1]] & _PUNCTUATION[data[1:]]
@@ -74,15 +98,23 @@ class Encoder:
             cut[filled] = True
             for row in self._wide_rows(part):
                 cut[bounds[row] + 1 : bounds[row + 1]] = False
+            self._cut_out(cut, special)
             starts = np.flatnonzero(cut)
             return starts, np.append(starts[1:], len(data))
         cut[1:] |= space[:-1]
         cut[filled] = True
+        self._cut_out(cut, special)
         starts = np.flatnonzero(cut & ~space)
         stop = np.flatnonzero(cut | space)
         ends = np.append(stop, len(data))[np.searchsorted(stop, starts, side="right")]
         return starts, ends
 
+    @staticmethod
+    def _cut_out(cut: np.ndarray, special: list[tuple[int, int]]) -> None:
+        for a, b in special:
+            cut[a + 1 : b] = False
+            cut[a : b + 1 : b - a] = True
+
     @staticmethod
     def _wide_rows(part: units.Slice) -> list[int]:
         maybe = np.flatnonzero(np.isin(part.data, [0xC2, 0xE1, 0xE2, 0xE3]))
@@ -95,12 +127,13 @@ class Encoder:
 
     def encode(self, part: units.Slice, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, bounds of the texts); ``end`` closes each text."""
+        special = self._specials(part) if len(part.data) else []
         if len(part.data):
-            starts, ends = self._units(part)
+            starts, ends = self._units(part, special)
         else:
             starts = ends = np.zeros(0, dtype=np.int64)
         if len(starts):
-            ids, bounds = self._gather(part, starts, ends)
+            ids, bounds = self._gather(part, starts, ends, special)
         else:
             ids, bounds = np.zeros(0, np.uint32), np.zeros(part.rows + 1, np.int64)
         if end is None:
@@ -110,9 +143,14 @@ class Encoder:
         out[np.arange(len(ids)) + np.repeat(each[:-1], np.diff(bounds))] = ids
         return out, bounds + each
 
-    def _gather(self, part: units.Slice, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _gather(
+        self, part: units.Slice, starts: np.ndarray, ends: np.ndarray, special: list[tuple[int, int]]
+    ) -> tuple[np.ndarray, np.ndarray]:
         data = part.data if self.keep_space else units.LOWER[part.data]
         hashes = units.span_hashes(units.byte_values(data), starts, ends)
+        if special:  # told from equal letters in other cases
+            at = np.searchsorted(starts, [a for a, _ in special])
+            hashes[at] = units.span_hashes(units.byte_values(part.data), starts[at], ends[at]) ^ np.uint64(1)
         order = np.argsort(hashes)
         ranked = hashes[order]
         new = np.ones(len(ranked), dtype=bool)

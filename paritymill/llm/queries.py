@@ -83,7 +83,7 @@ def op6_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document; labels of documents with crc32(id) mod 5 = 0 are never read."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     labels = _table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic")
     labelled = docs.join(labels, "doc_id").select(F.col("doc_id").alias("id"), "text", "toxic")
     scored = toxicity.score(docs, toxicity.fit(labelled))

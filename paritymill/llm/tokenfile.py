@@ -30,6 +30,7 @@ from paritymill.llm.shared import stage
 
 BLOCK_IDS = 1 << 22
 _SAMPLE = 256
+_RUN = 1024
 _MAGIC = b"TKB1\0\0\0\0"
 _HEAD = struct.Struct("<8s7q")
 _CODE = struct.Struct("<4q")
@@ -81,18 +82,33 @@ class Ascending:
             value = value << 1 | int(self.low[bit // 8] >> (bit % 8) & 1)
         return value
 
-    def all(self) -> np.ndarray:
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64)
+    def select_run(self, first: int, stop: int) -> np.ndarray:
+        """Values ``first`` to ``stop - 1``: only the bits between the sampled ones about them are read."""
+        if first >= stop:
+            return np.zeros(0, dtype=np.uint64)
+        before, after = first // _SAMPLE, (stop - 1) // _SAMPLE + 1
+        at = int(self.samples[before])
+        end = int(self.samples[after]) // 8 + 1 if after < len(self.samples) else len(self.high)
+        bits = np.unpackbits(self.high[at // 8 : end], bitorder="little")
+        bits[: at % 8] = 0
+        ones = np.flatnonzero(bits)[first - before * _SAMPLE : stop - before * _SAMPLE] + at // 8 * 8
+        high = (ones - np.arange(first, stop)).astype(np.uint64)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits)
-        low = (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
+        low_at, low_end = first * self.low_bits, stop * self.low_bits
+        packed = np.unpackbits(self.low[low_at // 8 : -(-low_end // 8)], bitorder="little")
+        lows = packed[low_at % 8 :][: low_end - low_at].reshape(stop - first, self.low_bits)
+        low = (lows.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
         return high << np.uint64(self.low_bits) | low
 
+    def all(self) -> np.ndarray:
+        return self.select_run(0, self.n)
+
 
 def pack_block(doc_ids: np.ndarray, nulls: int, sizes: np.ndarray, ids: np.ndarray, width: int) -> bytes:
     """A block of ``nulls`` documents without an id and then those of ``doc_ids``, ascending."""
+    if len(ids) and int(ids.max()) >> (8 * width):
+        raise ValueError(f"id {int(ids.max())} does not fit {width} bytes")
     least = int(doc_ids[0]) if len(doc_ids) else 0
     above = (doc_ids.view(np.uint64) - np.array(least, np.int64).view(np.uint64)) if len(doc_ids) else doc_ids
     index = encode_ascending(above)
@@ -168,7 +184,7 @@ def write_token_files(
 ) -> None:
     """Encode all texts and write the blocks below ``path`` in ascending order of document id.
 
-    ``width`` is 2 for vocabularies of at most 65,536 ids, else 4.  Null texts are empty: just
+    ``width`` is 2 for vocabularies of at most 65,536 ids, else 4; an id that does not fit is refused.  Null texts are empty: just
     the end id.  Rows with a null id come first; rows that repeat an id keep a place each.
     One shuffle of the texts, by ranges of ids.
     """
@@ -182,17 +198,21 @@ def _read_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for base, blob in zip(batch.column("base").to_pylist(), batch.column("block"), strict=True):
             b = Block(blob.as_buffer().to_pybytes())
-            bounds = b.bounds.all().astype(np.int64)
-            ids, at = b.ids.astype("<u4").tobytes(), (bounds * 4).tolist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(b.doc_ids(), pa.int64()),
-                    pa.array(bounds[:-1] + base),
-                    pa.array(np.diff(bounds)),
-                    pa.array([ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
-                ],
-                names=["doc_id", "start", "n_tokens", "ids"],
-            )
+            doc_ids = pa.array(b.doc_ids(), pa.int64())
+            for first in range(0, b.n_docs, _RUN):
+                stop = min(first + _RUN, b.n_docs)
+                bounds = b.bounds.select_run(first, stop + 1).astype(np.int64)
+                ids = b.ids[bounds[0] : bounds[-1]].astype("<u4").tobytes()
+                at = ((bounds - bounds[0]) * 4).tolist()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        doc_ids.slice(first, stop - first),
+                        pa.array(bounds[:-1] + base),
+                        pa.array(np.diff(bounds)),
+                        pa.array([ids[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids"],
+                )
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:

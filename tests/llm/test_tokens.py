@@ -11,14 +11,12 @@ from paritymill.llm import bpe, packing, tokenfile, units
 from paritymill.llm.queries import op5_mixture_packing, op8_token_files
 
 FILES = [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)]
-ODD = ["don't", "'s", "\xa0", " ", "\n", "\t", "a", "é", "é,", "…", ".", ",", "  ", "x　 y", "​", "<|endoftext|>", "12",
+ODD = ["don't", "'s", "\xa0", " ", "\n", "\t", "a", "é", "é,", "…", ".", ",", "  ", "x　 y", "​", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|end", "oftext|>", "12",
        "3.5", "ΑΣ'", "́", "\r\n", "_", "😀", "!!", "\x1c", "\x85", "İ", "ß", "ﬁ", " 're", " "]
 
 
 def tokenizer(name):
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
 
 
 def crc(ids):
@@ -39,6 +37,17 @@ def test_units_give_the_ids_of_whole_texts(name, keep_space):
     assert row == len(texts)
 
 
+@pytest.mark.parametrize("name,keep_space", FILES)
+def test_special_tokens_are_found_as_the_library_finds_them(name, keep_space):
+    texts = ["a<|endoftext|>b", "<|endoftext|><|endoftext|>", "x  <|endoftext|>  y", "<|endof", "text|>", "<|end\u2003oftext|>",
+             "\u2003<|endoftext|>\u2003 z", "<|startoftext|>'s", "<|EndOfText|>", "<|endoftext|>", ""]
+    plain, encoder = tokenizer(name), bpe.Encoder(public_tokenizers.path(name), keep_space)
+    for part in units.slices(pa.array(texts), 10_000):
+        ids, bounds = encoder.encode(part)
+        got = [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packing_query_holds_every_id_once(spark, tiny):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tiny}/documents.parquet").collect()}
     rows = op5_mixture_packing(spark, tiny).collect()
@@ -113,6 +122,9 @@ def test_elias_fano_round_trip():
         code = tokenfile.encode_ascending(np.array(values, dtype=np.int64))
         back = tokenfile.Ascending(code)
         assert back.all().tolist() == values
+        for _ in range(20):
+            a, b = sorted(rng.integers(0, len(values) + 1, 2).tolist())
+            assert back.select_run(a, b).tolist() == values[a:b]
         for i in {0, 1, 255, 256, 257, len(values) - 1, len(values) // 2}:
             if 0 <= i < len(values):
                 assert back.select(i) == values[i]
@@ -146,4 +158,6 @@ def test_block_random_access():
     ids = np.arange(3000, dtype=np.uint32)
     block = tokenfile.Block(tokenfile.pack_block(np.array([3, 3, 9]), 1, np.array([1000, 0, 500, 1500]), ids, 2))
     assert block.doc_ids() == [None, 3, 3, 9]
+    with pytest.raises(ValueError):
+        tokenfile.pack_block(np.array([1]), 0, np.array([1]), np.array([70_000], np.uint32), 2)
     assert block.document(2).tolist() == ids[1000:1500].tolist() and len(block.document(1)) == 0
