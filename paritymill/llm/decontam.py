@@ -1,15 +1,16 @@
 """Benchmark decontamination: three-word seeds find candidates, Smith-Waterman alignment scores them.
 
-1. Every three-word gram of the test items that occurs in the documents is a seed, however frequent: a
-   copy held by very many documents makes its own grams frequent, and an edited or partial one
-   leaves only some of them.
+1. The rarest three-word grams of each test item are its seeds.  Of n different grams, absent ones counted
+   as none, all but the ``ceil(SHARED * n) - 2`` most frequent are taken: a passage that shares a fifth
+   of an item's grams has two seeds of it at least, whatever the number of its copies, while phrases that
+   many items and documents share are the first to go.  Rarity is judged inside an item only.
 2. Documents with two different seeds near each other are joined to the items by equality of seeds.
 3. Hits of one item on nearby diagonals (place in the document less place in the item), of two different
    seeds or more, make a candidate passage.
 4. The passage and the item are aligned locally word by word (match 2, mismatch and gap -1).  A score
    of half the item's own or more, over eight matched words or more, is a leak: copies, edited and
    paraphrased ones alike.  Edits that leave fewer than two runs of three words hide a leak (every third
-   word changed scores one half).  An item under eight words cannot be told from ordinary text and never leaks.
+   word changed scores one half), and so do edits that leave less than a fifth of the item's grams.  An item under eight words cannot be told from ordinary text and never leaks.
 5. A leak must rest on more than ordinary phrases.  It holds two grams of the rarest half of its item's, or two
    of the rarest half of an eight-word stretch, counts being compared with the item's own only; or it holds
    a gram that stands mostly in leaks of that item, as those of a copy do however often it is repeated.
@@ -38,6 +39,7 @@ DIAGONAL = 64
 SLACK = 16
 MIN_MATCHED = 8
 MIN_SHARE = 0.5
+SHARED = 0.2
 MATCH, MISS, GAP = 2, -1, -1
 
 _ITEM = "item bigint, words binary, n_words int"
@@ -176,13 +178,11 @@ def smith_waterman(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple
 
 
 def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Leaks among candidates (row, doc, item, rare, low, high, item_words, words)."""
+    """Leaks among candidates (row, doc, item, rare, start, item_words, passage)."""
     for batch in batches:
-        low, high = (batch.column(c).to_numpy() for c in ("low", "high"))
+        start = batch.column("start").to_numpy()
         items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("item_words")]
-        texts = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("words")]
-        start = np.maximum(low - SLACK, 0)
-        passages = [t[s : h + len(i) + SLACK] for t, s, h, i in zip(texts, start, high, items, strict=True)]
+        passages = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("passage")]
         size = np.array([len(i) for i in items], dtype=np.int64)
         order = np.argsort([len(p) for p in passages], kind="stable")
         score, begin, end = (np.zeros(len(items), dtype=np.int64) for _ in range(3))
@@ -204,8 +204,12 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """(item, at, gram, found, rare, rare_here) of the grams that occur: rare in its item, rare in its stretch of it."""
+    """(item, at, gram, found, rare, rare_here) of the rarest grams that occur: rare in its item, rare in its stretch of it."""
     counted = grams.join(counts, "gram", "left")
+    ranked = counted.groupBy("item", "gram").agg(F.coalesce(F.max("found"), F.lit(0)).alias("f"))
+    order = Window.partitionBy("item").orderBy("f", "gram")
+    ranked = ranked.withColumns({"place": F.row_number().over(order), "kinds": F.count(F.lit(1)).over(Window.partitionBy("item"))})
+    chosen = ranked.where(F.col("place") <= F.col("kinds") - F.ceil(F.lit(SHARED) * F.col("kinds")) + 2).select("item", "gram")
     item, stretch = Window.partitionBy("item"), Window.partitionBy("item", F.floor(F.col("at") / STRETCH))
     placed = counted.withColumn("n", F.count(F.lit(1)).over(item)).where("found > 0").withColumns(
         {
@@ -215,7 +219,8 @@ def _seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
         }
     )
     rare, rare_here = F.expr("2 * rank <= n + 1"), F.expr("2 * rank_here <= n_here + 1")
-    return placed.select("item", "at", "gram", "found", rare.alias("rare"), rare_here.alias("rare_here"))
+    placed = placed.select("item", "at", "gram", "found", rare.alias("rare"), rare_here.alias("rare_here"))
+    return placed.join(chosen, ["item", "gram"], "left_semi")
 
 
 def _grounded(leaks: DataFrame, met: DataFrame) -> DataFrame:
@@ -277,9 +282,13 @@ def find_leaks(
         .groupBy("row", "item", "low", "high")
         .agg(F.max(F.coalesce(F.expr("r0 < r1"), F.lit(False))).alias("rare"))
     )
-    texts = items.select("item", F.col("words").alias("item_words")).distinct()
+    texts = items.select("item", "n_words", F.col("words").alias("item_words")).distinct()
     candidates = found.join(texts, "item").join(hits.select("row", "doc", "words"), "row")
-    aligned = candidates.select("row", "doc", "item", "rare", "low", "high", "item_words", "words").mapInArrow(_align, LEAKS)
+    start = F.greatest(F.col("low") - SLACK, F.lit(0))
+    span = F.col("high") + F.col("n_words") + SLACK - start
+    passage = F.substring("words", (8 * start + 1).cast("int"), (8 * F.greatest(span, F.lit(0))).cast("int"))
+    cut = candidates.select("row", "doc", "item", "rare", start.alias("start"), "item_words", passage.alias("passage"))
+    aligned = cut.mapInArrow(_align, LEAKS)
     leaks = _grounded(stage(aligned, "aligned"), met.select("row", "item", "gram", "place", "found", "rare_here"))
     best = leaks.groupBy("doc", "item").agg(
         F.max(F.struct("score", (-F.col("start_word")).alias("back"), "end_word")).alias("best")

@@ -9,7 +9,8 @@ or more, and each link is confirmed on the full sets.
    A document stops at the first level that can lower no slot.  Levels are done for
    all shingles of a slice of texts at once, which gives the same signature as element
    by element.
-2. Equal sets become one class before anything else, however many copies there are.
+2. Equal sets become one class before anything else, however many copies there are.  Classes have
+   numbers of their own, so rows that repeat an id with different texts are compared each.
 3. Banding.  20 bands of 3 slots: a pair at similarity 0.75 shares a band with a chance of
    0.99998.
 4. Verification on full sets, leaders first (``buckets``), and union-find (``components``).
@@ -87,7 +88,8 @@ def super_minhash(row: np.ndarray, value: np.ndarray, rows: int, slots: int) ->
 
 
 _SIGNATURE = "id bigint, n_shingles bigint, key1 bigint, key2 bigint, bands array<bigint>"
-_SET = "id bigint, shingles binary"
+_SET = "id bigint, n_shingles bigint, key1 bigint, key2 bigint, shingles binary"
+_CLASS = ["key1", "key2", "n_shingles"]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, units.Slice, np.ndarray, np.ndarray]]:
@@ -96,6 +98,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, units.S
             yield batch.column("id").slice(part.first, part.rows), part, *shingle_sets(part)
 
 
+def _set_keys(value: np.ndarray, bounds: np.ndarray) -> list[pa.Array]:
+    """128 bits of each set that do not depend on its order."""
+    keys = []
+    for salt in (71, 72):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(units.mix(value, salt), dtype=np.uint64)])
+        keys.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
+    return keys
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, part, row, value in _read(batches):
         bounds = np.searchsorted(row, np.arange(part.rows + 1))
@@ -110,15 +121,11 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         filled = size > 0
         offsets = np.concatenate([[0], np.cumsum(np.where(filled, BANDS, 0))]).astype(np.int32)
-        keys = []
-        for salt in (71, 72):  # 128 bits that do not depend on the order of the set
-            total = np.concatenate([[np.uint64(0)], np.cumsum(units.mix(value, salt), dtype=np.uint64)])
-            keys.append(pa.array((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64)))
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
                 pa.array(size.astype(np.int64)),
-                *keys,
+                *_set_keys(value, bounds),
                 pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[filled].reshape(-1).view(np.int64))),
             ],
             names=["id", "n_shingles", "key1", "key2", "bands"],
@@ -127,10 +134,13 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, part, row, value in _read(batches):
-        bounds = np.searchsorted(row, np.arange(part.rows + 1)) * 8
-        blob = value.tobytes()
-        sets = [blob[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([ids, pa.array(sets, pa.binary())], names=["id", "shingles"])
+        bounds = np.searchsorted(row, np.arange(part.rows + 1))
+        blob, at = value.tobytes(), bounds * 8
+        sets = [blob[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [ids, pa.array(np.diff(bounds).astype(np.int64)), *_set_keys(value, bounds), pa.array(sets, pa.binary())],
+            names=["id", "n_shingles", "key1", "key2", "shingles"],
+        )
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +206,15 @@ def _compare(key: tuple, table: pa.Table) -> pa.Table:
 
 
 def _links_of(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Links between class representatives; their transitive closure is that of all links."""
-    exploded = scratch.stage(classes.select(F.explode("bands").alias("bucket"), "rep", F.col("n_shingles").alias("size")), "buckets")
+    """Links between classes; their transitive closure is that of all links."""
+    exploded = scratch.stage(classes.select(F.explode("bands").alias("bucket"), F.col("class").alias("rep"), F.col("n_shingles").alias("size")), "buckets")
     members = scratch.stage(live_members(exploded, "bucket", "rep"), "members")
-    wanted = members.select(F.col("rep").alias("id")).distinct()
-    sets = scratch.stage(docs.join(wanted, "id", "left_semi").mapInArrow(_sets, _SET).dropDuplicates(["id"]), "sets")
+    wanted = classes.join(members.select(F.col("rep").alias("class")).distinct(), "class").select("class", F.col("rep").alias("id"), *_CLASS)
+    wanted = scratch.stage(wanted, "wanted")
+    of_ids = docs.join(wanted.select("id"), "id", "left_semi").mapInArrow(_sets, _SET)
+    # a class of a repeated id has its set among those of the id's texts, once or more
+    chosen = of_ids.dropDuplicates(["id", *_CLASS]).join(wanted, ["id", *_CLASS])
+    sets = scratch.stage(chosen.select(F.col("class").alias("id"), "shingles"), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         # a member's set moves twice, a leader's not at all
@@ -219,18 +233,21 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Null, empty and blank texts have no set: they link with nothing and stay.  A row with a
     null id cannot be linked: it has no component and stays.  Rows that repeat an id are
-    returned as often, share one component and are kept or dropped together.  An empty table
+    returned as often, share one component and are kept or dropped together; what is like
+    the text of one of them is linked to all.  An empty table
     gives an empty result; other columns of ``docs`` are not looked at.
     """
     source = docs.select(F.col(doc_id).cast("bigint").alias("id"), F.col(text).alias("text"))
     signed = stage(source.mapInArrow(_signatures, _SIGNATURE), "signatures")
     real = signed.where("n_shingles > 0 AND id IS NOT NULL")
-    key = ["key1", "key2", "n_shingles"]
     scratch = Scratch()
-    classes = scratch.stage(real.groupBy(*key).agg(F.min("id").alias("rep"), F.first("bands").alias("bands")), "classes")
-    near = _links_of(classes.select("rep", "n_shingles", "bands"), source.where("id IS NOT NULL"), scratch)
+    grouped = real.groupBy(*_CLASS).agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
+    classes = scratch.stage(grouped.withColumn("class", F.monotonically_increasing_id()), "classes")
+    linked = _links_of(classes, source.where("id IS NOT NULL"), scratch)
+    a, b = (classes.select(F.col("class").alias(c), F.col("rep").alias(f"rep_{c}")) for c in "ab")
+    near = linked.join(a, "a").join(b, "b").where("rep_a <> rep_b").select("rep_a", "rep_b").toDF("a", "b")
     copies = (
-        real.select("id", *key).join(classes.select(*key, "rep"), key).where("id <> rep").select("rep", "id")
+        real.select("id", *_CLASS).join(classes.select(*_CLASS, "rep"), _CLASS).where("id <> rep").select("rep", "id")
     )
     groups = components(near.union(copies), "a", "b").toDF("id", "component")
     scratch.clear()

@@ -106,3 +106,39 @@ def test_repeated_edited_copies_and_excerpts_are_found(spark):
     holders = [100, 100, 4, 101]
     assert [sum(i == n for _, i in got) for n in range(4)] == holders
     assert got[0, 0] == 0.85 and got[100, 1] == 0.6 and got[203, 2] == 0.5
+
+
+def seed_meetings(spark, docs, items):
+    """Rows at which seeds of items meet places of documents that share nothing but a phrase."""
+    phrase = "as we have said before in this very place"
+    rows = [(k, " ".join([f"d{k}x{j}" for j in range(20)]) + f" {phrase} " + f"e{k}") for k in range(docs)]
+    tests = [(k, " ".join(f"i{k}x{j}" for j in range(40)) + f" {phrase}") for k in range(items)]
+    source = spark.createDataFrame(rows, "doc bigint, text string")
+    grams = spark.createDataFrame(tests, "item bigint, text string").mapInArrow(decontam._read_items, decontam._ITEM)
+    grams = grams.mapInArrow(decontam._item_grams, decontam._GRAM_ROWS)
+    every = spark.sparkContext.broadcast(decontam._bitmap(grams))
+    counts = source.select("text").mapInArrow(decontam._count(every), decontam._COUNT_ROWS).groupBy("gram").sum("found").toDF("gram", "found")
+    return decontam._seeds(grams, counts).where(f"found >= {docs}").count() * docs
+
+
+def test_a_phrase_of_many_items_and_documents_is_no_seed(spark):
+    # 7 grams of the phrase among 47: 47 - 10 + 2 seeds leave none of the phrase but the rarest ties
+    assert seed_meetings(spark, 60, 10) == 0
+    assert seed_meetings(spark, 120, 20) == 0
+
+
+def test_recall_by_edit_rate(spark):
+    rng = random.Random(12)
+    items = [[f"t{rng.randrange(4000)}" for _ in range(40)] for _ in range(40)]
+    found = {}
+    for every in (10, 6, 4):
+        rows = []
+        for i, words in enumerate(items):
+            copy = [f"z{rng.randrange(10**6)}" if k % every == every - 1 else w for k, w in enumerate(words)]
+            rows.append((i, " ".join([f"p{rng.randrange(4000)}" for _ in range(80)] + copy)))
+        d = spark.createDataFrame(rows, "doc_id bigint, text string")
+        b = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id bigint, text string")
+        got = {(r.doc_id, r.item_id) for r in decontam.find_leaks(d, b).collect()}
+        assert all(x == y for x, y in got)
+        found[every] = len(got)
+    assert found == {10: 40, 6: 40, 4: 40}

@@ -73,6 +73,23 @@ def test_null_ids_repeats_and_empty_table(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    a, b = [f"a{k}" for k in range(60)], [f"b{k}" for k in range(60)]
+    rows = [(1, a), (1, b), (2, [*a[:59], "x"]), (3, [*b[:59], "y"]), (4, [f"c{k}" for k in range(60)])]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame([(i, " ".join(w)) for i, w in order], "doc_id bigint, text string")
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in neardup.near_duplicates(df).collect())
+        assert got == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_three_quarters_exactly_is_a_link(spark):
+    # 8 and 6 shingles, 6 of them shared; then 7 and 5, 5 shared
+    rows = [(1, "a b c d e f g h i j k l"), (2, "a b c d e f g h i j"), (3, "p q r s t u v w x y z"), (4, "p q r s t u v w x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    check(rows, neardup.near_duplicates(df).collect())
+    assert {r.doc_id: r.component_id for r in neardup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+
+
 def plain_super_minhash(values, slots):
     sig = [float("inf")] * slots
     for v in values:
