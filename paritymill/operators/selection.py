@@ -415,24 +415,43 @@ def eligible_candidates(
 ) -> DataFrame:
     """Probe candidates in rank order, stop after enough are eligible.
 
-    With ``max_probes`` only so many candidates are probed at all: a distributed top-k comes
-    first and the running count sees that many rows at most.
+    The candidates are dealt into ranges of all rank columns and written once.  One row of
+    counts per range tells the last range that holds a probe at all; later ranges are
+    left unread, since every file holds one range.  A null ``eligible`` counts as not eligible.
     """
-    top = _rank_columns(selected, by_activity)
+    ranged = _rank_columns(selected.withColumn("eligible", eligible), by_activity).repartitionByRange(*_RANK)
+    r = stage(ranged.withColumn("_range", F.spark_partition_id()), "eligible-ranges")
+    passed = F.coalesce(F.col("eligible").cast("bigint"), F.lit(0).cast("bigint"))
+    counts = r.groupBy("_range").agg(F.count(F.lit(1)).alias("rows"), F.sum(passed).alias("passed"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    zero = F.lit(0).cast("bigint")
+    entered = counts.select(
+        "_range",
+        F.coalesce(F.sum("rows").over(earlier), zero).alias("_rows_before"),
+        F.coalesce(F.sum("passed").over(earlier), zero).alias("_passed_before"),
+    )
     if max_probes is not None:
-        top = top.orderBy(*_RANK).limit(max_probes)
-    w = Window.orderBy(*_RANK)
-    probed = top.withColumns(
+        entered = entered.where(F.col("_rows_before") < max_probes)
+    if eligible_limit is not None:
+        entered = entered.where(F.col("_passed_before") < eligible_limit)
+    last = entered.agg(F.coalesce(F.max("_range"), F.lit(-1)).alias("n")).head().n
+    inside = Window.partitionBy("_range").orderBy(*_RANK)
+    before = F.sum(passed).over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    probed = r.where(F.col("_range") <= last).withColumns(
+        {"_place": F.row_number().over(inside), "_inside": F.coalesce(before, zero)}
+    )
+    probed = probed.join(entered, "_range").withColumns(
         {
-            "candidate_rank": F.row_number().over(w).cast("bigint"),
-            "_earlier": F.coalesce(
-                F.sum(eligible.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
+            "candidate_rank": (F.col("_rows_before") + F.col("_place")).cast("bigint"),
+            "_earlier": F.col("_passed_before") + F.col("_inside"),
         }
     )
+    if max_probes is not None:
+        probed = probed.where(F.col("candidate_rank") <= max_probes)
     if eligible_limit is not None:
         probed = probed.where(F.col("_earlier") < eligible_limit)
-    return probed.withColumn("eligible", eligible).drop(*_RANK, "_earlier")
+    names = [c for c in selected.columns if c not in ("eligible", "candidate_rank")]
+    return probed.select(*names, "candidate_rank", "eligible")
 
 
 def discovery_audit(selected: DataFrame) -> DataFrame:

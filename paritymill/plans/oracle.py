@@ -121,11 +121,11 @@ decided AS (
 PROPOSE = f"""{CAND},
 keyed AS (SELECT *, {KEY} AS line_key FROM cand),
 sim_rows AS (
-  SELECT venue, market_id, line_key AS sim_key, least(least(CAST(30 AS {Q}), ys), least(CAST(30 AS {Q}), ns)) AS completed,
+  SELECT venue, CASE WHEN l_linenumber < 4 THEN 'other-' ELSE '' END || market_id AS market_id, line_key AS sim_key, least(least(CAST(30 AS {Q}), ys), least(CAST(30 AS {Q}), ns)) AS completed,
     abs(least(CAST(30 AS {Q}), ys) - least(CAST(30 AS {Q}), ns)) AS failed,
     CAST(gross - coalesce(fee, 0) - 0.03 - 0.005 AS {P}) AS pair_net,
     CAST(yes_ask + 0.01 AS {P}) AS yfp, CAST(no_ask + 0.02 AS {P}) AS nfp
-  FROM keyed WHERE l_linenumber >= 4
+  FROM keyed
 ),
 sims AS (
   SELECT *, sha256('sim:' || sim_key) AS simulation_hash FROM sim_rows
@@ -137,7 +137,6 @@ paired AS (
       || '","market_id":"' || k.market_id || '","simulation_hash":"' || s.simulation_hash
       || '","venue":"' || k.venue || '"}}') END AS proposal_id
   FROM keyed k LEFT JOIN sims s ON s.venue = k.venue AND s.market_id = k.market_id
-  WHERE k.decision <> 'reject'
 )"""
 
 K = "CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT)"
@@ -893,7 +892,7 @@ UNION ALL SELECT 'deadline', ord, row_number() OVER (ORDER BY {RANKD}) FROM c"""
     out["eligible_candidates"] = f"""WITH {MKT},
 r AS (SELECT ord, lvl > 2 AS eligible, row_number() OVER (ORDER BY {RANKA}) AS candidate_rank FROM rej WHERE profile = 'canary'),
 e AS (SELECT *, coalesce(sum(CASE WHEN eligible THEN 1 ELSE 0 END) OVER (ORDER BY candidate_rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n
-  FROM r WHERE candidate_rank <= 100)
+  FROM r)
 SELECT ord, candidate_rank, eligible FROM e WHERE n < 12"""
     out["market_dedupe"] = """WITH d AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 41 = 0 THEN 'MKT ' ELSE 'MKT-' END || (p_partkey // 3) AS ticker,
   p_partkey % 41 = 0 AS bad FROM part)

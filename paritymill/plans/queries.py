@@ -632,7 +632,7 @@ def candidate_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("eligible_candidates")
 def eligible_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     sel = _selected(spark, sf_dir)
-    out = selection.eligible_candidates(sel, F.col("orderbook_level_count") > 2, 100, 12)
+    out = selection.eligible_candidates(sel, F.col("orderbook_level_count") > 2, eligible_limit=12)
     return out.select("ord", "candidate_rank", "eligible")
 
 
@@ -897,26 +897,28 @@ def preview_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, key = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
     digest = lambda bad: F.sha2(F.concat(F.when(bad, "x").otherwise(""), key), 256)
     base = o.select(key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"))
-    risk = o.where(k % 17 != 0).select(
-        key.alias("proposal_id"), digest(k % 19 == 0).alias("candidate_hash"),
+    # a side without a row for a proposal has one under another name
+    named = lambda gone: F.when(gone, F.concat(F.lit("other-"), key)).otherwise(key).alias("proposal_id")
+    risk = o.select(
+        named(k % 17 == 0), digest(k % 19 == 0).alias("candidate_hash"),
         F.when(k % 5 == 0, "reject").otherwise("manual_review_required").alias("decision"),
         F.when(k % 23 == 0, F.array(F.lit("manual_approval_required"), F.lit("stale_data"))).otherwise(
             F.array(F.lit("manual_approval_required"))
         ).alias("reasons"),
     )
-    approvals = o.where(k % 7 != 0).select(
-        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+    approvals = o.select(
+        named(k % 7 == 0), F.sha2(key, 256).alias("candidate_hash"),
         F.concat(F.lit("A"), key).alias("approval_id"),
         F.when(k % 11 == 0, F.lit("2025-01-01T00:00:00Z")).otherwise("2027-01-01T00:00:00Z").cast("timestamp").alias("expires_at"),
         (k % 13 == 0).alias("used"), (k % 4 != 0).alias("approved"),
         F.when(k % 4 != 0, "approved_for_paper_once").otherwise("reject").alias("status"),
     )
-    ledger_side = o.where(k % 29 != 0).select(
-        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+    ledger_side = o.select(
+        named(k % 29 == 0), F.sha2(key, 256).alias("candidate_hash"),
         (k % 31 == 0).cast("bigint").alias("reconciliation_mismatch_count"),
     )
-    recon = o.where(k % 37 != 0).select(
-        key.alias("proposal_id"), F.sha2(key, 256).alias("candidate_hash"),
+    recon = o.select(
+        named(k % 37 == 0), F.sha2(key, 256).alias("candidate_hash"),
         F.concat(F.when(k % 41 == 0, "B").otherwise("A"), key).alias("approval_id"),
         (k % 43 == 0).cast("bigint").alias("mismatch_count"),
     )

@@ -141,15 +141,16 @@ def v_risk_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def v_proposal_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(candidates, simulations) keyed by market, each with a content hash."""
+    """(candidates, simulations) keyed by market, each with a content hash; lines 1 to 3 simulate other markets."""
     from paritymill.operators.parity import fill_stress
 
     cand = v_candidates(spark, sf_dir)
-    chosen = cand.where(F.col("decision") != "reject").withColumns(
+    chosen = cand.withColumns(
         {"candidate_hash": F.sha2(line_key(), 256), "line_key": line_key()}
     )
-    sims = fill_stress(cand.where(F.col("l_linenumber") >= 4), SCENARIOS[1:2]).withColumns(
-        {"simulation_hash": F.sha2(F.concat(F.lit("sim:"), line_key()), 256), "sim_key": line_key()}
+    market = F.when(F.col("l_linenumber") < 4, F.concat(F.lit("other-"), "market_id")).otherwise(F.col("market_id"))
+    sims = fill_stress(cand, SCENARIOS[1:2]).withColumns(
+        {"market_id": market, "simulation_hash": F.sha2(F.concat(F.lit("sim:"), line_key()), 256), "sim_key": line_key()}
     )
     return chosen, sims
 
