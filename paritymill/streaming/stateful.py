@@ -12,6 +12,8 @@ store must be RocksDB (``use_rocksdb``).
 
 from __future__ import annotations
 
+import json
+import zlib
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
@@ -253,27 +255,53 @@ def rebuild_stream(df: DataFrame, unified: bool = False, ttl_seconds: int | None
 # -- event identity ------------------------------------------------------------------------------
 
 
-class _Identity(_Keyed):
-    order = "ord"
+ID_BUCKETS, ID_PARTS = 1024, 16
+
+
+class _Identity(StatefulProcessor):
+    """First payload hash of every id of a bucket of ids; one call takes a bucket's rows of a batch.
+
+    Every call to the state store costs as much as hundreds of rows, so a part of a bucket is one
+    entry: the ids in it as JSON, each with its hash and, with a time to live, when it last came.
+    """
 
     def __init__(self, keys: Sequence[str], ttl_seconds: int | None) -> None:
-        super().__init__(ttl_seconds)
-        self.columns = [*keys, "ord", "outcome"]
+        self.keys, self.ttl = list(keys), ttl_seconds * 1000 if ttl_seconds else None
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.first = handle.getValueState("first", "payload_hash string", self.ttl)
+        self.parts = handle.getMapState("parts", "part int", "ids string", self.ttl)
 
-    def apply(self, key, rows):
-        first = self.first.get()[0] if self.first.exists() else None
-        out = []
-        for r in rows:
+    def _held(self, part: int, now: int) -> dict[str, list]:
+        found = self.parts.getValue((part,))
+        ids = json.loads(found[0]) if found else {}
+        return {k: v for k, v in ids.items() if v[1] + self.ttl > now} if self.ttl else ids
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        frame = pd.concat(list(rows), ignore_index=True).sort_values("ord", kind="stable", ignore_index=True)
+        now = timerValues.getCurrentProcessingTimeInMs() if self.ttl else 0
+        known = self.parts.exists()
+        held: dict[int, dict[str, list]] = {}
+        changed, outcomes = set(), []
+        for *name, payload_hash in zip(*[frame[c] for c in [*self.keys, "payload_hash"]], strict=True):
+            ident = json.dumps([None if pd.isna(n) else n for n in name])
+            part = zlib.crc32(ident.encode()) % ID_PARTS
+            if part not in held:
+                held[part] = self._held(part, now) if known else {}
+            first = held[part].get(ident)
             if first is None:
-                first, outcome = r["payload_hash"], "first"
+                held[part][ident] = [payload_hash, now]
+                outcomes.append("first")
             else:
-                outcome = "duplicate" if r["payload_hash"] == first else "conflicting_duplicate_event"
-            out.append((*key, r["ord"], outcome))
-        self.first.update((first,))
-        return out
+                outcomes.append("duplicate" if first[0] == payload_hash else "conflicting_duplicate_event")
+                first[1] = now
+            if first is None or self.ttl:
+                changed.add(part)
+        for part in changed:
+            self.parts.updateValue((part,), (json.dumps(held[part]),))
+        yield frame[[*self.keys, "ord"]].assign(outcome=outcomes)
+
+    def close(self) -> None:
+        pass
 
 
 def event_identity_stream(
@@ -282,7 +310,17 @@ def event_identity_stream(
     """Whether each event is the first of its id, repeats it, or contradicts it.
 
     State is the payload hash that the first arrival of an id brought; hashes are not null.
+    Ids are many and small, so they share ``ID_BUCKETS`` map states of ``ID_PARTS`` entries; a
+    running stream must keep these numbers.  Ids are of types that a cast to text and back leaves as they are.
     """
-    src = df.select(*keys, F.col(order).cast("bigint").alias("ord"), F.col(payload_hash).alias("payload_hash"))
-    fields = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keys)
-    return _run(src, list(keys), _Identity(keys, ttl_seconds), f"{fields}, ord bigint, outcome string")
+    text = [F.col(c).cast("string").alias(c) for c in keys]
+    bucket = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in keys]), F.lit(ID_BUCKETS)).cast("int")
+    src = df.select(
+        bucket.alias("_bucket"), *text, F.col(order).cast("bigint").alias("ord"), F.col(payload_hash).alias("payload_hash")
+    )
+    fields = ", ".join(f"`{c}` string" for c in keys)
+    processor, mode = _Identity(keys, ttl_seconds), "processingTime" if ttl_seconds else "none"
+    found = src.groupBy("_bucket").transformWithStateInPandas(
+        processor, f"{fields}, ord bigint, outcome string", "Append", mode
+    )
+    return found.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in keys], "ord", "outcome")

@@ -102,6 +102,23 @@ def test_conflicting_duplicates_of_a_stream_are_those_of_the_batch(spark, tmp_pa
     assert want and {(r.audit_id, r.event_id, r.ord) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("ttl", [None, 3600])
+def test_ids_share_map_states(spark, tmp_path, ttl):
+    rows = [(None if i % 7 == 0 else i % 90 + 2**60, f"n{i % 4}", i, f"h{i % 5 == 4}") for i in range(400)]
+    schema = "account bigint, name string, ord bigint, payload_hash string"
+    live = arrivals(spark, tmp_path / "in", [rows[:150], rows[150:160], rows[160:]], schema)
+    found = stateful.event_identity_stream(live, ["account", "name"], "ord", "payload_hash", ttl)
+    assert found.schema["account"].dataType.simpleString() == "bigint"
+    assert "_bucket" in found._jdf.queryExecution().analyzed().toString()
+    got = {r.ord: (r.account, r.name, r.outcome) for r in streams.run_available(found, "t-ids", closing_batch=False).collect()}
+    first, want = {}, {}
+    for account, name, at, payload in rows:
+        same = first.setdefault((account, name), (at, payload))
+        outcome = "duplicate" if same[1] == payload else "conflicting_duplicate_event"
+        want[at] = (account, name, "first" if same[0] == at else outcome)
+    assert got == want
+
+
 @pytest.mark.parametrize("delay", [0, 30])
 def test_kept_and_late_rows_are_the_input(spark, tmp_path, delay):
     at = lambda s: datetime(2026, 1, 1, tzinfo=timezone.utc) + timedelta(seconds=s)
