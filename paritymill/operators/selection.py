@@ -498,7 +498,11 @@ def discovery_audit(selected: DataFrame) -> DataFrame:
 
 
 def near_misses(selected: DataFrame, limit: int = NEAR_MISS_LIMIT) -> DataFrame:
-    """Markets closest to the required end, nulls last, identities hashed: a top-k report."""
+    """Markets closest to the required end, nulls last, identities hashed: a top-k report.
+
+    Markets without an identity share the place of their event; the rest of the report orders
+    them, so the cut does not depend on how the rows lie.
+    """
     short_hash = lambda c: F.substring(F.sha2(c, 256), 1, 16)
     event = F.when(identifier_ok(F.col("event_ticker")), F.col("event_ticker"))
     rows = selected.select(
@@ -514,6 +518,7 @@ def near_misses(selected: DataFrame, limit: int = NEAR_MISS_LIMIT) -> DataFrame:
         F.abs("lifecycle_margin_seconds").asc_nulls_last(),
         F.coalesce("market_id_hash", F.lit("")),
         F.coalesce("event_id_hash", F.lit("")),
+        *[F.col(c) for c in rows.columns if not c.endswith("_hash")],
     ).limit(limit)
 
 

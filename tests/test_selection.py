@@ -8,7 +8,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from paritymill.operators.selection import eligible_candidates
+from paritymill.operators.selection import eligible_candidates, near_misses
 
 SCHEMA = (
     "ord bigint, activity decimal(38,18), closes_early boolean, seconds_to_deadline bigint, "
@@ -58,3 +58,15 @@ def test_no_window_over_all_candidates(spark, capsys):
     plan = capsys.readouterr().out
     windows = [line for line in plan.splitlines() if " Window [" in line]
     assert windows and all("_range" in line for line in windows)
+
+
+def test_near_misses_at_the_cut_do_not_depend_on_the_rows_places(spark):
+    rows = [("EV", None, "r", "close_time", 0, 0, None if i % 2 else i, "MISSING", None, False, i % 3 == 0, False, i % 2 == 0, i % 5 == 0) for i in range(40)]
+    schema = (
+        "event_ticker string, market_identity string, primary_rejection_reason string, lifecycle_deadline_source string, "
+        "lifecycle_margin_seconds bigint, close_margin_seconds bigint, expiration_margin_seconds bigint, occurrence_class string, "
+        "occurrence_margin_seconds bigint, dual_interpretation_pass boolean, closes_early boolean, sports boolean, "
+        "match_like boolean, current_quote boolean"
+    )
+    cut = lambda r: [tuple(x) for x in near_misses(spark.createDataFrame(r, schema).coalesce(1), 7).collect()]
+    assert cut(rows) == cut(rows[::-1])
