@@ -5,6 +5,8 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+import pyarrow as pa
 import pytest
 
 import test_rebuild
@@ -102,6 +104,30 @@ def test_conflicting_duplicates_of_a_stream_are_those_of_the_batch(spark, tmp_pa
     assert want and {(r.audit_id, r.event_id, r.ord) for r in got.collect()} == want
 
 
+def test_rows_of_a_key_become_python_rows_by_slices(monkeypatch):
+    monkeypatch.setattr(stateful, "SLICE_ROWS", 10)
+    sizes = []
+
+    class Tail(stateful._Keyed):
+        order, columns = "at", ["k", "at", "seen"]
+        schema = pa.schema([("at", pa.int64()), ("n", pa.int64()), ("t", pa.list_(pa.string()))])
+
+        def init(self, handle):
+            pass
+
+        def apply(self, key, rows):
+            sizes.append(len(rows))
+            return [(*key, r["at"], (r["n"], r["t"])) for r in rows]
+
+    rows = [(i * 7 % 45, None if i % 4 else 2**60 + i, None if i % 3 else [str(i)]) for i in range(45)]
+    frame = pd.DataFrame({"at": [r[0] for r in rows], "n": pd.Series([r[1] for r in rows], dtype=object), "t": [r[2] for r in rows]})
+    batches = [frame[a : a + 20] for a in (0, 20, 40)]
+    out = list(Tail(None).handleInputRows(("k",), iter(batches), None))
+    assert sizes == [10, 10, 10, 10, 5]
+    got = [tuple(r) for r in pd.concat(out).itertuples(index=False)]
+    assert got == [("k", a, (n, t)) for a, n, t in sorted(rows, key=lambda r: r[0])]
+
+
 @pytest.mark.parametrize("ttl", [None, 3600])
 def test_ids_share_map_states(spark, tmp_path, ttl):
     rows = [(None if i % 7 == 0 else i % 90 + 2**60, f"n{i % 4}", i, f"h{i % 5 == 4}") for i in range(400)]
