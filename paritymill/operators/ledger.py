@@ -15,13 +15,16 @@ from paritymill.fixed import (
     PROPOSAL_RECORD,
     TOTAL,
 )
+from paritymill.functions.columns import digest
 from paritymill.functions.folds import sorted_fold
-from paritymill.functions.ordered import last_rows, scan, scan_net
+from paritymill.functions.ordered import CHUNK_ROWS, chunk_of, scan, scan_net
 from paritymill.session import stage
 
 _QTY = "decimal(28,8)"
 _SIDE = ["proposal_id", "side"]
 _FINE = Decimal(1).scaleb(-18)
+_HASHES = ("candidate_hash", "simulation_hash")
+STRETCH_RUNS = 16_384
 
 
 def classify_events(events: DataFrame, order: Sequence[str], chunk: Column) -> DataFrame:
@@ -49,37 +52,41 @@ def _fold_inputs(usable: DataFrame, order: Sequence[str], chunk: Column) -> Data
 
     Average cost only matters at a settlement, so the fills before one are added first,
     on the map side.  A position that never runs short resets whenever it reaches zero;
-    those resets cut a long position into stretches that fold separately.
+    those resets cut a position of more than ``STRETCH_RUNS`` settlements into stretches that
+    fold separately.
     """
     settle = F.col("record_type") == PAPER_SETTLEMENT_RECORD
     change = F.when(settle, -F.col("quantity")).otherwise(F.col("quantity")).cast(_QTY)
-    netted = stage(
-        scan_net(
-            usable.withColumn("_change", change), _SIDE, order, chunk, F.col("_change"), "min", "_net", "_low"
-        ),
-        "ledger-net",
+    netted = scan_net(
+        usable.withColumn("_change", change), _SIDE, order, chunk, F.col("_change"), "min", "_net", "_low",
+        sums={"_settled": settle.cast("bigint")},
     )
-    short = netted.groupBy(*_SIDE).agg((F.min("_net") < 0).alias("_short"))
-    runs = scan(
-        netted, _SIDE, order, chunk,
-        exclusive={
-            "_run": ("sum", settle.cast("bigint")),
-            "_zero": ("sum", ((F.col("_net") == 0) & settle & (F.col("quantity") > 0)).cast("bigint")),
-        },
-    ).join(short, _SIDE)
-    stretch = F.when(F.col("_short"), 0).otherwise(F.coalesce("_zero", F.lit(0))).cast("bigint")
     fill = ~settle
-    return runs.groupBy(
-        *_SIDE, stretch.alias("stretch"), F.coalesce("_run", F.lit(0)).cast("bigint").alias("run")
-    ).agg(
-        F.count_if(fill).alias("fills"),
-        F.sum(F.when(fill, F.col("quantity").cast(_QTY))).cast(_QTY).alias("fill_quantity"),
-        F.sum(F.when(fill, (F.col("price") * F.col("quantity")).cast(TOTAL))).cast(TOTAL).alias("fill_cost"),
-        F.sum(F.when(fill, F.col("fee"))).cast(TOTAL).alias("fill_fee"),
-        F.max(F.when(settle, F.col("event_key"))).alias("settle_key"),
-        F.max(F.when(settle, F.col("quantity").cast(_QTY))).alias("settle_quantity"),
-        F.max(F.when(settle, F.col("payout_per_contract"))).alias("payout"),
+    runs = stage(
+        netted.groupBy(*_SIDE, (F.col("_settled") - settle.cast("bigint")).alias("run")).agg(
+            F.count_if(fill).alias("fills"),
+            F.sum(F.when(fill, F.col("quantity").cast(_QTY))).cast(_QTY).alias("fill_quantity"),
+            F.sum(F.when(fill, (F.col("price") * F.col("quantity")).cast(TOTAL))).cast(TOTAL).alias("fill_cost"),
+            F.sum(F.when(fill, F.col("fee"))).cast(TOTAL).alias("fill_fee"),
+            F.max(F.when(settle, F.col("event_key"))).alias("settle_key"),
+            F.max(F.when(settle, F.col("quantity").cast(_QTY))).alias("settle_quantity"),
+            F.max(F.when(settle, F.col("payout_per_contract"))).alias("payout"),
+            F.min("_net").alias("_least"),
+            F.max(F.when(settle, (F.col("_net") == 0) & (F.col("quantity") > 0))).alias("_emptied"),
+        ),
+        "ledger-runs",
     )
+    # at most one side in STRETCH_RUNS runs is cut, so the table of them is small
+    sides = runs.groupBy(*_SIDE).agg(F.count(F.lit(1)).alias("_runs"), F.min("_least").alias("_least"))
+    cut = F.broadcast(sides.where((F.col("_runs") > STRETCH_RUNS) & (F.col("_least") >= 0)).select(*_SIDE))
+    stretch = F.coalesce("_zero", F.lit(0)).cast("bigint").alias("stretch")
+    columns = [c for c in runs.columns if c not in ("_least", "_emptied")]
+    long = scan(
+        runs.join(cut, _SIDE, "left_semi"), _SIDE, ["run"], chunk_of(F.col("run"), CHUNK_ROWS),
+        exclusive={"_zero": ("sum", F.coalesce("_emptied", F.lit(False)).cast("bigint"))},
+    ).select(*columns, stretch)
+    whole = runs.join(cut, _SIDE, "left_anti").select(*columns, F.lit(0).cast("bigint").alias("stretch"))
+    return whole.unionByName(long)
 
 
 _OUT = (
@@ -134,7 +141,11 @@ def replay_ledger(events: DataFrame, order: Sequence[str], chunk: Column) -> dic
     Returns tables: ``events`` (classified), ``settlements``, ``positions`` (emptied ones
     included), ``mismatches`` and ``state`` (one row of totals).
     """
-    classified = stage(classify_events(events, order, chunk), "ledger-events")
+    # the hashes are only compared: digests travel in their place, and no further than that
+    digests = {c: digest(F.col(c)) for c in _HASHES}
+    classified = stage(
+        classify_events(events.withColumns(digests), order, chunk).drop(*_HASHES), "ledger-events"
+    )
     usable = classified.where(
         F.col("mismatch").isNull() & (F.col("record_type") != PROPOSAL_RECORD)
     ).select(
@@ -151,8 +162,10 @@ def replay_ledger(events: DataFrame, order: Sequence[str], chunk: Column) -> dic
         "event_key", *_SIDE, "accepted", "quantity", "average_price", F.col("amount").alias("realized_pnl")
     )
     parts = folded.where(F.col("kind") == "position")
-    fees = parts.groupBy(*_SIDE).agg(F.sum("amount").cast(TOTAL).alias("fees_paid"))
-    positions = last_rows(parts, _SIDE, ["stretch"], ["quantity", "average_price"]).join(fees, _SIDE)
+    positions = parts.groupBy(*_SIDE).agg(
+        F.max_by(F.struct("quantity", "average_price"), "stretch").alias("_last"),
+        F.sum("amount").cast(TOTAL).alias("fees_paid"),
+    ).select(*_SIDE, "_last.*", "fees_paid")
     rejected = settlements.where(~F.col("accepted")).select(
         "event_key", "proposal_id", F.lit("settlement_exceeds_position").alias("reason")
     )
@@ -180,7 +193,7 @@ def replay_ledger(events: DataFrame, order: Sequence[str], chunk: Column) -> dic
         (F.col("_unlinked") + F.col("_rejected")).alias("reconciliation_mismatch_count"),
     )
     return {
-        "events": classified,
+        "events": classify_events(events, order, chunk),
         "settlements": settlements,
         "positions": positions,
         "mismatches": mismatches,

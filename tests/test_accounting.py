@@ -93,6 +93,30 @@ def test_ledger_mismatches_in_order_of_checks(spark):
     }
 
 
+def test_ledger_stages_no_hashes_and_cuts_only_long_positions(spark, monkeypatch):
+    rng, held, events = random.Random(4), D(0), [proposal("p", 0)]
+    for o in range(1, 120):
+        sold = o % 3 == 0 and held > 0
+        qty = (held if rng.random() < 0.5 else D(1)) if sold else D(rng.randint(1, 3))
+        held += -qty if sold else qty
+        events.append(settle("p", o, "yes", qty, "1") if sold else fill("p", o, "yes", D(rng.randint(1, 99)) / 100, qty))
+    staged, stretches, plain = {}, [], ledger.stage
+
+    def watched(df, label):
+        out = staged[label] = plain(df, label)
+        return out
+
+    monkeypatch.setattr(ledger, "stage", watched)
+    found = []
+    for limit in (ledger.STRETCH_RUNS, 2):
+        monkeypatch.setattr(ledger, "STRETCH_RUNS", limit)
+        out = run(spark, events)
+        found.append([sorted(map(tuple, out[k].collect())) for k in ("positions", "settlements", "state")])
+        stretches.append(staged["ledger-fold"].select("stretch").distinct().count())
+    assert found[0] == found[1] and stretches[0] == 1 and stretches[1] > 3
+    assert not {"candidate_hash", "simulation_hash"} & set(staged["ledger-events"].columns)
+
+
 def test_ledger_matches_loop_with_and_without_rejections(spark):
     rng = random.Random(9)
     events = [proposal("hot", 0), proposal("b", 1)]
