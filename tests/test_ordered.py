@@ -7,7 +7,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from paritymill.functions.ordered import chunk_of, scan, scan_net
+from paritymill.functions.ordered import chunk_of, scan, scan_net, spread
 
 
 def rows(seed=7, n=600):
@@ -58,3 +58,12 @@ def test_scan_net_carries_extremes(spark):
                 earlier, net, ups = low, net + v, ups + max(v, 0)
                 assert got[(k, i)] == (net, earlier, ups)
                 low = min(low, net)
+
+
+def test_spread_deals_only_hot_keys(spark):
+    rows = spark.range(4000).selectExpr("IF(id % 4 < 3, 'hot', CONCAT('k', id % 97)) AS k", "id")
+    out = spread(rows, ["k"], ["id"], hot_rows=500)
+    per = {r.k: r for r in out.groupBy("k").agg(F.count("*").alias("n"), F.count_distinct("_salt").alias("ways")).collect()}
+    assert per["hot"].n == 3000 and per["hot"].ways >= 6
+    assert sum(r.n for r in per.values()) == 4000
+    assert all(r.ways == 1 for k, r in per.items() if k != "hot")

@@ -7,6 +7,7 @@ from decimal import Decimal as D
 from pyspark.sql import functions as F
 
 from paritymill.operators import controls, parity, quotes
+from paritymill.plans.queries import queries
 
 BOOK = (
     "venue string, market_id string, best_yes_bid decimal(20,18), best_no_bid decimal(20,18), "
@@ -129,3 +130,13 @@ def test_single_open_slot_blocks_the_second_side(spark):
     out = quotes.quote_hysteresis(df, "0.01", F.lit(0), max_open=1)
     got = {r.ord: (r.action, r.result_status) for r in out.collect()}
     assert got == {1: ("place", "accepted"), 2: ("place", "skipped"), 3: ("place", "skipped")}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scenarios_multiply_candidates_behind_their_shuffle(spark):
+    plan = plan_of(queries()["fill_stress"](spark, "/root/testdata/sf0.001"))
+    below = plan[plan.index("Generate explode"):]
+    assert "Exchange hashpartitioning(market_id" in below
