@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paritymill.fixed import CANDIDATE_RECORD, FILL_SIM_RECORD, PROPOSAL_RECORD
 from paritymill.functions.columns import canonical_json, decimal_text, flags, record_hash
+from paritymill.functions.ordered import spread
 
 _CANDIDATE_DECIMALS = (
     "candidate_size",
@@ -82,24 +83,48 @@ def proposal_hash() -> Column:
     )
 
 
-def propose(candidates: DataFrame, sims: DataFrame, sim_order: str) -> tuple[DataFrame, DataFrame]:
-    """Join candidates to the latest simulation of their market.
+_HEX = r"^[0-9a-f]{64}$"
+
+
+def _packed(c: Column) -> Column:
+    """A hash as 32 bytes while it travels; other text stays text."""
+    hexed = F.coalesce(c.rlike(_HEX), F.lit(False))
+    return F.struct(F.when(hexed, F.unhex(c)).alias("raw"), F.when(~hexed, c).alias("text"))
+
+
+def _unpacked(c: Column) -> Column:
+    return F.coalesce(c["text"], F.lower(F.hex(c["raw"])))
+
+
+def propose_all(candidates: DataFrame, sims: DataFrame, sim_order: str) -> DataFrame:
+    """Every candidate with the proposal of its market's latest simulation, ``simulated`` or not.
 
     ``candidates`` carries candidate_hash and decision, ``sims`` simulation_hash and the
-    fill columns.  Returns (proposals, candidates without a simulation).
-    The dedupe keeps one row per market before the join, so a market repeated many
-    times on the simulation side cannot multiply the output.
+    fill columns.  One row per market is kept before the join, so a market repeated many
+    times on the simulation side cannot multiply the output.  Simulations are sorted where
+    their market is, not before they travel; hashes travel as bytes.  Without a simulation
+    the columns that rest on one are null and ``legs`` is empty.
     """
     kept = [
         "simulation_hash", "completed_pair_size", "failed_leg_quantity",
         "simulated_net_edge_per_pair", "yes_fill_price", "no_fill_price",
     ]
-    latest = sims.groupBy("venue", "market_id").agg(
-        F.max_by(F.struct(*kept), F.col(sim_order)).alias("_sim")
+    market = ["venue", "market_id"]
+    narrow = sims.select(*market, _packed(F.col(kept[0])).alias(kept[0]), *kept[1:], F.col(sim_order).alias("_order"))
+    near = spread(narrow, market, ["_order"])
+    part = near.groupBy(*market, "_salt").agg(
+        F.max_by(F.struct(*kept), "_order").alias("_sim"), F.max("_order").alias("_order")
     )
+    latest = part.groupBy(*market).agg(F.max_by("_sim", "_order").alias("_sim"))
     base = candidates.select(*[c for c in candidates.columns if c not in kept])
-    joined = base.join(latest, ["venue", "market_id"], "left")
-    matched = joined.where(F.col("_sim").isNotNull()).select(*base.columns, "_sim.*")
+    light = base.withColumn("candidate_hash", _packed(F.col("candidate_hash")))
+    joined = light.join(latest, market, "left").select(
+        *[c for c in base.columns if c != "candidate_hash"],
+        _unpacked(F.col("candidate_hash")).alias("candidate_hash"),
+        _unpacked(F.col("_sim.simulation_hash")).alias("simulation_hash"),
+        *[f"_sim.{c}" for c in kept[1:]],
+        F.col("_sim").isNotNull().alias("simulated"),
+    )
     leg = lambda side: F.struct(
         F.lit(side).alias("side"),
         F.col(f"{side}_fill_price").alias("limit_price"),
@@ -108,15 +133,22 @@ def propose(candidates: DataFrame, sims: DataFrame, sim_order: str) -> tuple[Dat
     legs = F.when(F.col("completed_pair_size") > 0, F.array(leg("yes"), leg("no"))).otherwise(
         F.filter(F.array(leg("yes")), lambda x: F.lit(False))
     )
-    proposals = matched.withColumns(
+    found = F.col("simulated")
+    return joined.select(*base.columns, *kept, "simulated").withColumns(
         {
-            "proposal_id": proposal_hash(),
+            "proposal_id": F.when(found, proposal_hash()),
             "legs": legs,
-            "risk_reasons": risk_preview(),
+            "risk_reasons": F.when(found, risk_preview()),
             "allowed_for_paper": F.lit(False),
             "record_type": F.lit(PROPOSAL_RECORD),
             "executable_order_intent": F.lit(False),
         }
     )
-    missing = joined.where(F.col("_sim").isNull()).select(*base.columns)
-    return proposals, missing
+
+
+def propose(candidates: DataFrame, sims: DataFrame, sim_order: str) -> tuple[DataFrame, DataFrame]:
+    """(proposals, candidates without a simulation) of ``propose_all``."""
+    both = propose_all(candidates, sims, sim_order)
+    kept = [c for c in candidates.columns if c in both.columns]
+    lost = both.where(~F.col("simulated")).select(*kept)
+    return both.where("simulated").drop("simulated"), lost
