@@ -173,3 +173,21 @@ def test_admission_matches_row_by_row_model(spark):
         assert got.keys() == want.keys()
         bad = {k: (got[k], want[k]) for k in want if got[k] != want[k]}
         assert not bad, (seed, next(iter(bad.items())), len(bad))
+
+
+def test_envelopes_are_parsed_once_and_dealt_first(spark, monkeypatch):
+    """A file of few bytes is read by few tasks; its messages are dealt before they are parsed."""
+    from paritymill.operators import admission
+    from paritymill.plans.queries import queries
+
+    plans = {}
+    real = admission.stage
+
+    def watched(df, label):
+        plans[label] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, label)
+
+    monkeypatch.setattr(admission, "stage", watched)
+    queries()["binding_state"](spark, "/root/testdata/sf0.001")
+    assert "Exchange hashpartitioning(event_id" in plans["binding-rows"]
+    assert "from_json" not in plans["bound-rows"] and "parse_json" not in plans["bound-rows"]
