@@ -70,3 +70,20 @@ def test_near_misses_at_the_cut_do_not_depend_on_the_rows_places(spark):
     )
     cut = lambda r: [tuple(x) for x in near_misses(spark.createDataFrame(r, schema).coalesce(1), 7).collect()]
     assert cut(rows) == cut(rows[::-1])
+
+
+def test_markets_are_selected_once_for_both_rankings(spark, monkeypatch):
+    """Ranges are sampled first, so what a ranking reads must be written already."""
+    from paritymill.operators import selection
+    from paritymill.plans.queries import queries
+
+    plans = []
+    real = selection.stage
+
+    def watched(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, label)
+
+    monkeypatch.setattr(selection, "stage", watched)
+    queries()["candidate_rank"](spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2 and all("Join" not in p and "part.parquet" not in p for p in plans)
