@@ -127,3 +127,11 @@ def test_contradiction_poisons_the_rest_of_a_segment(spark):
     )
     got = {r.row_index: r.segment_error for r in R.segment_contradictions(df, ["sid"]).collect()}
     assert got == {1: None, 2: None, 3: "IDENTITY_MISMATCH", 4: "IDENTITY_MISMATCH", 5: "IDENTITY_MISMATCH"}
+
+
+def test_events_are_dealt_before_they_become_messages(spark):
+    """The events file is small for its rows: few tasks read it, all tasks parse."""
+    from paritymill.plans import views
+
+    plan = views.v_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("payload") < plan.index("Exchange hashpartitioning(event_id")
