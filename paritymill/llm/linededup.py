@@ -33,7 +33,7 @@ from paritymill.llm.buckets import bucket_links
 from paritymill.llm.components import components
 from paritymill.llm.neardup import compare_sets, super_minhash
 from paritymill.llm.pii import let
-from paritymill.llm.shared import Scratch, maybe_in, stage
+from paritymill.llm.shared import Scratch, found_in, stage
 
 MIN_CHARS = 20
 PERCENT = 75
@@ -206,9 +206,8 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     members = met.where("other IS NULL").drop("other")
     reps = close.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("rep"))
     wanted = scratch.stage(reps.distinct(), "line-wanted")
-    bodies = maybe_in(lines.select("key", "body"), "key", wanted)
-    bodies = bodies.join(wanted, "key", "left_semi").groupBy("key").agg(F.min("body").alias("body"))
-    bodies = scratch.stage(bodies, "line-bodies")
+    bodies = found_in(lines.select("key", "body"), "key", wanted)
+    bodies = scratch.stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

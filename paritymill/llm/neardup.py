@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from paritymill.llm import units
 from paritymill.llm.buckets import bucket_links, live_members
 from paritymill.llm.components import components
-from paritymill.llm.shared import Scratch, stage
+from paritymill.llm.shared import Scratch, found_in, stage
 
 SHINGLE = 5
 BANDS, ROWS = 20, 3
@@ -211,7 +211,8 @@ def _links_of(classes: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFram
     members = scratch.stage(live_members(exploded, "bucket", "rep"), "members")
     wanted = classes.join(members.select(F.col("rep").alias("class")).distinct(), "class").select("class", F.col("rep").alias("id"), *_CLASS)
     wanted = scratch.stage(wanted, "wanted")
-    of_ids = docs.join(wanted.select("id"), "id", "left_semi").mapInArrow(_sets, _SET)
+    # texts that no pair needs stay where they are; only the others travel
+    of_ids = found_in(docs, "id", wanted).mapInArrow(_sets, _SET)
     # a class of a repeated id has its set among those of the id's texts, once or more
     chosen = of_ids.dropDuplicates(["id", *_CLASS]).join(wanted, ["id", *_CLASS])
     sets = scratch.stage(chosen.select(F.col("class").alias("id"), "shingles"), "sets")

@@ -54,9 +54,10 @@ def discard(*tables: DataFrame) -> None:
 _BITMAP_BITS = 23
 
 
-def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose BIGINT ``key`` may be in ``wanted``, by a bitmap; a semi-join follows.
+def found_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose BIGINT ``key`` is in ``wanted``; most others are left out by a bitmap before they travel.
 
+    The join is an inner one: Spark would put a semi-join below the bitmap, where it shuffles every row.
     The bitmap has at most 2^17 rows of 64 bits (2 MB), whatever the size of ``wanted``, so it is
     broadcast.  A small ``wanted`` saves the shuffle of nearly all other rows; a huge one lets all through.
     """
@@ -68,7 +69,8 @@ def maybe_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     word, bit = place(key)
     table = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
     held = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word")
-    return held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
+    maybe = held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
+    return maybe.join(wanted.select(key).distinct(), key).select(*df.columns)
 
 
 class Scratch:

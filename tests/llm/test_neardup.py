@@ -3,7 +3,7 @@ import re
 
 import numpy as np
 
-from paritymill.llm import neardup, units
+from paritymill.llm import neardup, shared, units
 from paritymill.llm.components import components
 from paritymill.llm.queries import op4_near_duplicates
 
@@ -135,3 +135,17 @@ def test_components_of_paths_stars_and_cycles(spark):
     got = {r.node: r.component for r in components(df, "a", "b").collect()}
     assert got == {**{i: 0 for i in range(301)}, **{1000 + i: 1000 for i in range(200)}, **{2000 + i: 2000 for i in range(50)}}
     assert components(df.limit(0), "a", "b").count() == 0
+
+
+def test_texts_that_no_pair_needs_do_not_travel(spark):
+    rows = [(i, f"t{i}") for i in range(300)] + [(7, "again"), (None, "none")]
+    docs = spark.createDataFrame(rows, "id bigint, text string")
+    wanted = spark.createDataFrame([(7,), (7,), (250,), (-1,)], "id bigint")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = shared.found_in(docs, "id", wanted)
+        plan = got._jdf.queryExecution().sparkPlan().toString()
+        assert sorted(map(tuple, got.collect())) == [(7, "again"), (7, "t7"), (250, "t250")]
+        assert "LeftSemi" not in plan and plan.index("SortMergeJoin") < plan.index("_bits")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
