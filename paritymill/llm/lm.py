@@ -9,8 +9,8 @@
    to level 1 + floor(log_B c) and entered once for each level up to its own, K bits each;
    a look-up probes level after level until one is missing.  The filter has as many blocks of fixed
    size as hold all entries at half filling, so no bigram is dropped at any corpus size.  Up to 2^28 bits it is
-   broadcast; a larger one is never in one place: chunks send their bigrams to the blocks and get
-   counts back, as for the words.
+   broadcast; a larger one is never in one place: it has a block for each group, and chunks send all
+   their bigrams there once, which are counted, entered, probed and answered in the same task.
 4. Scores.  With c(v) exact, C(v, w) from the filter and P(w) the smoothed word probability,
    P(w | v) = L(v) C(v, w) / c(v) + (1 - L(v)) P(w),  L(v) = L c(v) / (c(v) + M).
    A text starts after, and closes with, the end token.
@@ -32,7 +32,7 @@ from paritymill.llm import units
 from paritymill.llm.shared import stage
 
 CHUNK_TOKENS = 1 << 21
-GROUP_TOKENS = 1 << 17
+GROUP_TOKENS = 1 << 18  # fewer entries than a block holds
 FILTER_BITS, BLOCK_BITS, PROBES = 28, 22, 8
 BROADCAST_BITS = 28
 BASE = 1.5
@@ -49,12 +49,30 @@ _WORDS = "grp int, chunk bigint, words binary, uses binary"
 _WORD_COUNTS = "chunk bigint, grp int, counts binary, known bigint"
 _PAIRS = "grp int, keys binary, counts binary"
 _ENTRIES = "grp int, entries bigint, keys binary, counts binary"
-_ASKED = "block int, chunk bigint, hashes binary"
-_FOUND = "chunk bigint, block int, levels binary"
+_ASKED = "grp int, chunk bigint, keys binary, counts binary"
+_FOUND = "chunk bigint, grp int, levels binary"
 _BITS = "block int, bits binary"
 SCORES = "doc bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
+def _by_use(uses: np.ndarray) -> np.ndarray:
+    """Places of a chunk's words, the most used first."""
+    return np.argsort(-uses.astype(np.int64), kind="stable")
+
+
+def _pack_tokens(place: np.ndarray, uses: np.ndarray) -> bytes:
+    """Ranks of the tokens by use, whose high bytes are mostly zero, byte by byte."""
+    rank = np.empty(len(uses), dtype="<u4")
+    rank[_by_use(uses)] = np.arange(len(uses), dtype="<u4")
+    return pa.compress(rank[place].view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True)
+
+
+def _rows(batch: pa.RecordBatch | pa.Table) -> Iterator[dict[str, pa.Scalar]]:
+    """Chunks of a batch."""
+    for values in zip(*batch.columns, strict=True):
+        yield dict(zip(batch.schema.names, values, strict=True))
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     first, seq = TaskContext.get().partitionId() << 32, 0
     docs: list = []
@@ -68,7 +86,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uses = np.bincount(place[learn], minlength=len(words)).astype("<u4")
         values = [
             first + seq, docs, train, size.tolist(), int(learn.sum()),
-            place.astype("<u4").tobytes(), words.tobytes(), uses.tobytes(),
+            _pack_tokens(place, uses), words.tobytes(), uses.tobytes(),
         ]
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), *[pa.binary()] * 3]
         names = [c.split(" ")[0] for c in _CHUNKS.split(", ")]
@@ -143,6 +161,15 @@ def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return units.mix(units.mix(before, 11) + word, 12)
 
 
+def _tokens(row: dict[str, pa.Scalar]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens as places in the words, words, tokens of each text) of a chunk."""
+    words, uses = (np.frombuffer(row[c].as_buffer(), kind) for c, kind in (("words", np.uint64), ("uses", "<u4")))
+    sizes = np.array(row["sizes"].as_py())
+    number = int(sizes.sum())
+    planes = np.frombuffer(pa.decompress(row["tokens"].as_buffer(), 4 * number, "zstd"), np.uint8).reshape(4, number)
+    return _by_use(uses)[planes.T.copy().view("<u4").reshape(-1)], words, sizes
+
+
 def _before(place: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The token before each token; a text starts after the end token."""
     out = np.empty_like(place)
@@ -161,11 +188,10 @@ def _send_pairs(bits: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t, w, n, learn in zip(*[batch.column(c) for c in ("tokens", "words", "sizes", "train")], strict=True):
-                place, words = np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(w.as_buffer(), np.uint64)
-                sizes = np.array(n.as_py())
+            for row in _rows(batch):
+                place, words, sizes = _tokens(row)
                 before = _before(place, sizes, int(np.searchsorted(words, _END)))
-                mask = np.repeat(np.array(learn.as_py(), dtype=bool), sizes)
+                mask = np.repeat(np.array(row["train"].as_py(), dtype=bool), sizes)
                 pairs, _, counts = _distinct_pairs(before[mask], place[mask])
                 hashes = pair_hash(words[(pairs >> np.uint64(32)).astype(np.int64)], words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
                 order = np.argsort(hashes)
@@ -239,6 +265,11 @@ def _short(hashes: np.ndarray, bits: int) -> np.ndarray:
     return hashes >> np.uint64(cut) << np.uint64(cut)
 
 
+def _whole(group: int, low: np.ndarray, bits: int) -> np.ndarray:
+    """Hash as the filter knows it, from its group and the 40 bits after the group's."""
+    return _short(np.uint64(group << (64 - bits)) | (low << np.uint64(24) >> np.uint64(bits)), bits)
+
+
 def _places(hashes: np.ndarray, level: int, probe: int) -> np.ndarray:
     return (units.mix(hashes, 100 + level * PROBES + probe) >> np.uint64(64 - BLOCK_BITS)).astype(np.int64)
 
@@ -249,8 +280,7 @@ def _fill(bits: int, least: float) -> Callable:
     def run(key: tuple, table: pa.Table) -> pa.Table:
         block = np.zeros(1 << BLOCK_BITS, dtype=np.uint8)
         for group, k, c in zip(table.column("grp").to_pylist(), table.column("keys"), table.column("counts"), strict=True):
-            low = _unpack(k.as_buffer())
-            hashes = _short(np.uint64(group << (64 - bits)) | (low << np.uint64(24) >> np.uint64(bits)), bits)
+            hashes = _whole(group, _unpack(k.as_buffer()), bits)
             level = levels(np.frombuffer(c.as_buffer(), "<f8"), least)
             for j in range(1, int(level.max(initial=0)) + 1):
                 at = hashes[level >= j]
@@ -290,53 +320,50 @@ class LogFrequencyFilter:
         return level_count(_probe(self.data, block << BLOCK_BITS, _short(hashes, self.bits)), self.least)
 
 
-def _chunk_pairs(t: pa.Scalar, w: pa.Scalar, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _chunk_pairs(place: np.ndarray, words: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(pairs, place of each token's pair in them, their hashes, ascending order of the hashes) of one chunk."""
-    place, words = np.frombuffer(t.as_buffer(), "<u4"), np.frombuffer(w.as_buffer(), np.uint64)
     pairs, which, _ = _distinct_pairs(_before(place, sizes, int(np.searchsorted(words, _END))), place)
     hashes = pair_hash(words[(pairs >> np.uint64(32)).astype(np.int64)], words[(pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)])
     return pairs, which, hashes, np.argsort(hashes, kind="stable")
 
 
-def _ask(over: int) -> Callable:
-    """Bigram hashes of each chunk, ascending, by the filter block that knows them."""
+def _ask(bits: int) -> Callable:
+    """Bigrams of each chunk by group, in ascending hashes, with their uses in training texts, maybe none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, t, w, n in zip(*[batch.column(c) for c in ("chunk", "tokens", "words", "sizes")], strict=True):
-                _, _, hashes, order = _chunk_pairs(t, w, np.array(n.as_py()))
+            for row in _rows(batch):
+                place, words, sizes = _tokens(row)
+                pairs, which, hashes, order = _chunk_pairs(place, words, sizes)
+                mask = np.repeat(np.array(row["train"].as_py(), dtype=bool), sizes)
+                counts = np.bincount(which[mask], minlength=len(pairs))[order].astype("<u4")
                 hashes = hashes[order]
-                at = _cuts(hashes, over)
+                at, keys = _cuts(hashes, bits), _pack(hashes, bits)
                 full = np.flatnonzero(np.diff(at)).tolist()
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(full, pa.int32()),
-                        pa.array([number.as_py()] * len(full), pa.int64()),
-                        pa.array([hashes[at[g] : at[g + 1]].tobytes() for g in full], pa.binary()),
+                        pa.array([row["chunk"].as_py()] * len(full), pa.int64()),
+                        pa.array([keys[at[g] : at[g + 1]].tobytes() for g in full], pa.binary()),
+                        pa.array([counts[at[g] : at[g + 1]].tobytes() for g in full], pa.binary()),
                     ],
-                    names=["block", "chunk", "hashes"],
+                    names=["grp", "chunk", "keys", "counts"],
                 )
 
     return run
 
 
 def _answer(bits: int) -> Callable:
-    """Levels of the bigrams that chunks ask of one block, in the order asked."""
+    """Levels of the bigrams that chunks ask of one group, in the order asked, by the group's block of the filter."""
     fill = _fill(bits, 1.0)
 
-    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        data = np.frombuffer(fill(key, right).column("bits")[0].as_buffer(), np.uint8)
-        out = []
-        for asked in _blobs(left.column("hashes"), "<u8"):
-            known = _short(asked, bits)
-            out.append(_probe(data, np.zeros(len(known), dtype=np.int64), known).astype(np.uint8).tobytes())
-        return pa.table(
-            {
-                "chunk": left.column("chunk"),
-                "block": pa.array([key[0].as_py()] * len(out), pa.int32()),
-                "levels": pa.array(out, pa.binary()),
-            }
-        )
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        learnt = _sum_pairs(key, table)
+        data = np.frombuffer(fill(key, learnt).column("bits")[0].as_buffer(), np.uint8)
+        distinct = _unpack(learnt.column("keys")[0].as_buffer())
+        level = _probe(data, np.zeros(len(distinct), dtype=np.int64), _whole(key[0].as_py(), distinct, bits)).astype(np.uint8)
+        out = [level[np.searchsorted(distinct, _unpack(x.as_buffer()))].tobytes() for x in table.column("keys")]
+        return pa.table({"chunk": table.column("chunk"), "grp": table.column("grp"), "levels": pa.array(out, pa.binary())})
 
     return run
 
@@ -349,10 +376,10 @@ def _score(model, total: int, known: int) -> Callable:
         right = right.sort_by("grp")
         level = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for x in right.column("levels") if x.is_valid)])
         counts = np.concatenate([np.zeros(0), *(np.frombuffer(x.as_buffer(), "<u8") for x in right.column("counts") if x.is_valid)])
-        for t, w, n in zip(*[left.column(c) for c in ("tokens", "words", "sizes")], strict=True):
-            place, sizes = np.frombuffer(t.as_buffer(), "<u4").astype(np.int64), np.array(n.as_py())
+        for row in _rows(left):
+            place, words, sizes = _tokens(row)
             plain = (counts + ALPHA) / norm
-            pairs, which, hashes, order = _chunk_pairs(t, w, sizes)
+            pairs, which, hashes, order = _chunk_pairs(place, words, sizes)
             first, second = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
             seen = counts[first]
             if model is None:
@@ -402,21 +429,22 @@ def score_documents(docs: DataFrame, learns: Column, doc_id: str = "doc_id", tex
     counted = stage(sent.groupBy("grp").applyInArrow(_sum_words, _WORD_COUNTS), "lm-words")
     known = counted.where("chunk = -1").agg(F.coalesce(F.sum("known"), F.lit(0)).alias("n")).head().n
 
-    pairs = chunks.select("tokens", "words", "sizes", "train").mapInArrow(_send_pairs(bits), _PAIRS)
-    entries = stage(pairs.groupBy("grp").applyInArrow(_sum_pairs, _ENTRIES), "lm-pairs")
-    over = _block_bits(entries.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("n")).head().n)
-    # a count makes no more entries than it has tokens, so a group never spans two blocks
-    blocks = entries.select(F.shiftright("grp", bits - over).alias("block"), "grp", "keys", "counts").groupBy("block")
-    left = chunks.select("chunk", "docs", "sizes", "tokens", "words").groupBy("chunk")
+    left = chunks.select("chunk", "docs", "sizes", "tokens", "words", "uses").groupBy("chunk")
     right = counted.where("chunk >= 0").select("chunk", "grp", "counts", F.lit(None).cast("binary").alias("levels"))
+    bigrams = chunks.select("chunk", "tokens", "words", "uses", "sizes", "train")
+    # a count makes no more entries than it has tokens
+    over = _block_bits(total)
     if over + BLOCK_BITS <= BROADCAST_BITS:
+        pairs = bigrams.mapInArrow(_send_pairs(bits), _PAIRS)
+        entries = pairs.groupBy("grp").applyInArrow(_sum_pairs, _ENTRIES)
+        blocks = entries.select(F.shiftright("grp", bits - over).alias("block"), "grp", "keys", "counts").groupBy("block")
         held = blocks.applyInArrow(_fill(bits, 1.0), _BITS).toPandas()
         bloom = LogFrequencyFilter(dict(zip(held["block"], map(bytes, held["bits"]), strict=True)), bits, 1.0)
         model = spark.sparkContext.broadcast(bloom)
     else:
-        asked = chunks.select("chunk", "tokens", "words", "sizes").mapInArrow(_ask(over), _ASKED).groupBy("block")
-        answers = asked.cogroup(blocks).applyInArrow(_answer(bits), _FOUND)
-        right = right.union(answers.select("chunk", "block", F.lit(None).cast("binary"), "levels"))
+        asked = bigrams.mapInArrow(_ask(bits), _ASKED)
+        answers = asked.groupBy("grp").applyInArrow(_answer(bits), _FOUND)
+        right = right.union(answers.select("chunk", "grp", F.lit(None).cast("binary"), "levels"))
         model = None
     right, run = right.groupBy("chunk"), _score(model, total, known)
     scored = left.cogroup(right).applyInArrow(run, SCORES)

@@ -102,3 +102,23 @@ def test_a_filter_in_more_blocks_keeps_every_bigram(spark, monkeypatch):
     keys = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
     table = pa.table({"keys": pa.array([keys], pa.binary()), "counts": pa.array([np.ones(400_000, "<u4").tobytes()], pa.binary())})
     assert lm._sum_pairs((pa.scalar(0),), table).column("entries")[0].as_py() == len(np.unique(hashes))
+
+
+def test_bigrams_travel_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(d, " ".join(f"w{k}" for k in rng.integers(0, 3000, 2000))) for d in range(100)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2)
+    monkeypatch.setattr(lm, "BROADCAST_BITS", 0)
+    sent = []
+    for name in ("_send_pairs", "_ask"):
+        made = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda bits, name=name, made=made: sent.append(name) or made(bits))
+    assert lm.score_documents(df, F.col("doc_id") % 10 != 0).count() == 100
+    assert sent == ["_ask"]
+    place, uses = rng.integers(0, 70_000, 5000), rng.integers(0, 9, 70_000).astype("<u4")
+    words, sizes = np.arange(70_000, dtype=np.uint64), [2000, 3000]
+    row = {"tokens": lm._pack_tokens(place, uses), "words": words.tobytes(), "uses": uses.tobytes(), "sizes": sizes}
+    import pyarrow as pa
+
+    back = lm._tokens({k: pa.scalar(v) for k, v in row.items()})
+    assert (back[0] == place).all() and (back[1] == words).all() and back[2].tolist() == sizes
