@@ -55,6 +55,21 @@ def test_a_late_sequence_row_is_marked_and_changes_nothing(spark, tmp_path):
     assert got[4] == ("SEQUENCE_CONTIGUITY_VERIFIED", "ADMITTED", None)
 
 
+def test_subscriptions_share_calls_and_keep_their_own_state(spark, tmp_path):
+    rng = random.Random(5)
+    keys = [("c", None if s % 7 == 0 else 2**60 + s, s if s % 5 else None) for s in range(40)]
+    keys = list(dict.fromkeys(keys))
+    rows = {k: test_sequences.make(rng, 12, 0.8) for k in keys}
+    flat = [(*k, *r) for k in keys for r in rows[k]]
+    flat.sort(key=lambda r: r[3])
+    live = arrivals(spark, tmp_path / "in", [flat[:200], flat[200:]], PREPARED)
+    stream = stateful.sequence_stream(live, contiguous=True)
+    assert "_bucket" in stream._jdf.queryExecution().analyzed().toString()
+    out = streams.run_available(stream, "t-shared")
+    got = {tuple(r)[:4]: tuple(r)[4:] for r in out.collect()}
+    assert got == {(*k, v[0]): v[1:] for k in keys for v in test_sequences.one_walk(rows[k], True)}
+
+
 def test_rebuild_stream_over_batches_equals_the_replay(spark, tmp_path):
     rows = test_rebuild.messages(3)
     live = arrivals(spark, tmp_path / "in", [rows[:90], rows[90:91], rows[91:]], test_rebuild.SCHEMA)
