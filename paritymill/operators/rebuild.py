@@ -201,7 +201,11 @@ def segment_contradictions(
 
 
 def _with_epoch(df: DataFrame, chunk_rows: int) -> DataFrame:
-    """Epoch and position of every row in its book."""
+    """Epoch and position of every row in its book.
+
+    The scan reads its rows twice, so they are written parsed: the messages are parsed once.
+    """
+    df = stage(df, "book-messages")
     good = (F.col("native_type") == "orderbook_snapshot") & F.col("parse_error").isNull()
     return scan(
         df.withColumn("_good", good),
@@ -294,7 +298,7 @@ def rebuild_books(df: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
 
     Input: BOOK columns, row_index (unique per book), native_type and the columns of
     ``parse_book_messages``.  Adds epoch, disposition, reason, reset_reason, frame_count.
-    The rows are staged once after the epoch scan.  Rows meet their epoch facts in one
+    The rows are staged before and after the epoch scan.  Rows meet their epoch facts in one
     join on (book, epoch); the facts are one row per snapshot, so a hot epoch is a skewed
     probe side only, which adaptive execution splits or broadcasts past.
     """

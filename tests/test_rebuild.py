@@ -135,3 +135,9 @@ def test_events_are_dealt_before_they_become_messages(spark):
 
     plan = views.v_messages(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.index("payload") < plan.index("Exchange hashpartitioning(event_id")
+
+
+def test_messages_are_parsed_once(spark):
+    df = R.parse_book_messages(spark.createDataFrame(messages(5), SCHEMA))
+    plan = R._with_epoch(df, 64)._jdf.queryExecution().optimizedPlan().toString()
+    assert "parse_json" not in plan and "from_json" not in plan.lower()
