@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paritymill.fixed import TOTAL
-from paritymill.functions.columns import flags, is_true
+from paritymill.functions.columns import canonical_json, digest, flags, is_true
 from paritymill.functions.ordered import scan
 from paritymill.session import stage
 
@@ -17,6 +17,11 @@ EVENT_TYPES = ("accepted", "rejected", "partial_fill", "full_fill", "cancel", "e
 TERMINAL_TYPES = ("rejected", "cancel", "error", "timeout")
 
 
+def _source() -> Column:
+    """Digest of the proposal and candidate that a row names; nulls are values."""
+    return digest(canonical_json({c: F.col(c) for c in ("proposal_id", "candidate_hash")}))
+
+
 def reconcile(audits: DataFrame, events: DataFrame, chunk: Column) -> dict[str, DataFrame]:
     """Order states, mismatches and counts for many audits at once.
 
@@ -30,35 +35,41 @@ def reconcile(audits: DataFrame, events: DataFrame, chunk: Column) -> dict[str,
     it is accepted from its first acceptance before that end.  So three aggregates, each
     combined before its shuffle, replace the per-order state.
     """
-    firsts = events.groupBy("audit_id", "event_id").agg(
-        F.min("ord").alias("_first_ord"), F.min_by("event_hash", "ord").alias("_first_hash")
+    kind = F.when(F.col("event_type") == "backfill", F.col("resolved_event_type")).otherwise(
+        F.col("event_type")
     )
-    header = audits.groupBy("audit_id").agg(
-        *[F.first(c).alias(f"_{c}") for c in ("proposal_id", "candidate_hash", "approval_id", "status")]
+    # hashes are only compared: digests travel in their place, and no verdict is carried further as its parts
+    narrow = events.select(
+        *_ORDER, "ord", "event_id", "event_type", kind.alias("kind"), "price", F.col("quantity").cast(_QTY).alias("quantity"),
+        digest(F.col("event_hash")).alias("_hash"), _source().alias("_source"), "approval_id",
     )
-    orders = audits.select(*_ORDER, "side", F.col("submitted_quantity").cast(_QTY).alias("submitted_quantity"))
-    seen = events.join(firsts, ["audit_id", "event_id"]).join(header, "audit_id")
-    seen = seen.join(orders.select(*_ORDER, "submitted_quantity"), _ORDER, "left")
-    first = F.col("ord") == F.col("_first_ord")
-    same = F.col("event_hash") == F.col("_first_hash")
-    link = (
-        F.when(~first & same, "duplicate")
-        .when(~first, "conflicting_duplicate_event")
-        .when(
-            ~F.col("proposal_id").eqNullSafe(F.col("_proposal_id"))
-            | ~F.col("candidate_hash").eqNullSafe(F.col("_candidate_hash")),
-            "source_hash_mismatch",
-        )
-        .when(~F.col("approval_id").eqNullSafe(F.col("_approval_id")), "approval_id_mismatch")
-        .when(F.col("submitted_quantity").isNull(), "unknown_client_order_id")
+    firsts = narrow.groupBy("audit_id", "event_id").agg(
+        F.min("ord").alias("_first_ord"), F.min_by("_hash", "ord").alias("_first_hash")
     )
-    kind = F.when(F.col("event_type") == "backfill", F.col("resolved_event_type")).otherwise(
-        F.col("event_type")
+    header = audits.select("audit_id", _source().alias("_source"), "approval_id", "status").groupBy("audit_id").agg(
+        F.first("_source").alias("_audited"), F.first("approval_id").alias("_approval_id"), F.first("status").alias("_status")
     )
+    orders = audits.select(*_ORDER, "side", F.col("submitted_quantity").cast(_QTY).alias("submitted_quantity"))
+    first = F.col("ord") == F.col("_first_ord")
+    same = F.col("_hash") == F.col("_first_hash")
+    seen = narrow.join(firsts, ["audit_id", "event_id"]).withColumn(
+        "_link", F.when(~first & same, "duplicate").when(~first, "conflicting_duplicate_event")
+    ).drop("_hash", "_first_ord", "_first_hash")
+    seen = seen.join(header.drop("_status"), "audit_id").withColumn(
+        "_link",
+        F.coalesce(
+            "_link",
+            F.when(F.col("_source") != F.col("_audited"), "source_hash_mismatch").when(
+                ~F.col("approval_id").eqNullSafe(F.col("_approval_id")), "approval_id_mismatch"
+            ),
+        ),
+    ).drop("_source", "_audited", "approval_id", "_approval_id")
+    seen = seen.join(orders.select(*_ORDER, "submitted_quantity"), _ORDER, "left")
+    unknown = F.when(F.col("submitted_quantity").isNull(), "unknown_client_order_id")
     linked = stage(
         seen.select(
-            *_ORDER, "ord", "event_id", "event_type", kind.alias("kind"), "price",
-            F.col("quantity").cast(_QTY).alias("quantity"), "submitted_quantity", link.alias("link"),
+            *_ORDER, "ord", "event_id", "event_type", "kind", "price", "quantity", "submitted_quantity",
+            F.coalesce("_link", unknown).alias("link"),
         ),
         "reconcile-events",
     )

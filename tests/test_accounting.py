@@ -223,3 +223,34 @@ def test_reconcile_matches_loop(spark):
         assert (r.accepted, r.filled_quantity) == (s["acc"], s["filled"])
         assert [k for k, v in ended.items() if v] == ([s["end"]] if s["end"] else [])
     assert out["counts"].first().duplicate_event_count == dup
+
+
+def test_reconcile_joins_carry_no_hashes(spark, monkeypatch):
+    staged, plain = {}, reconcile.stage
+    monkeypatch.setattr(reconcile, "stage", lambda df, label: staged.setdefault(label, (df, plain(df, label)))[1])
+    audit = "audit_id string, proposal_id string, candidate_hash string, approval_id string, "
+    orders = [("A", "P", None, None, "submitted", "o", "yes", D(6))]
+    event = lambda o, i, h, p, c: ("A", p, c, None, o, i, h, "accepted", None, "o", D("0.5"), D(1))
+    events = [
+        event(0, "e0", "x", "P", None), event(1, "e0", "x", "P", None), event(2, "e0", "y", "P", None),
+        event(3, "e1", "x", "P", "null"), event(4, "e2", "x", None, "P"), event(5, "e3", None, "P", None), event(6, "e3", None, "P", None),
+    ]
+    out = reconcile.reconcile(
+        spark.createDataFrame(orders, audit + "status string, client_order_id string, side string, submitted_quantity decimal(17,8)"),
+        spark.createDataFrame(events, audit + "ord bigint, event_id string, event_hash string, event_type string, resolved_event_type string, "
+                              "client_order_id string, price decimal(20,18), quantity decimal(17,8)"),
+        chunk_of(F.col("ord"), 32),
+    )
+    assert sorted((r.ord, r.reason) for r in out["mismatches"].collect()) == [
+        (2, "conflicting_duplicate_event"), (3, "source_hash_mismatch"), (4, "source_hash_mismatch"), (6, "conflicting_duplicate_event"),
+    ]
+    outputs = []
+
+    def walk(node):
+        outputs.append((node.nodeName(), node.output().mkString(",")))
+        for i in range(node.children().size()):
+            walk(node.children().apply(i))
+
+    walk(staged["reconcile-events"][0]._jdf.queryExecution().optimizedPlan())
+    joins = [columns for name, columns in outputs if "Join" in name]
+    assert len(joins) == 3 and not any("event_hash" in c or "candidate_hash" in c for c in joins)
