@@ -73,13 +73,16 @@ def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
     return row[new], value[new]
 
 
-def _sets(column: pa.Array) -> list[np.ndarray]:
-    """Sorted shingle hashes of each line."""
+def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Sorted shingle hashes of each line; a line that a batch repeats is hashed once."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    coded = column.dictionary_encode()
     out: list[np.ndarray] = []
-    for part in units.slices(column):
+    for part in units.slices(coded.dictionary):
         row, value = shingle_sets(part)
         out += np.split(value, np.searchsorted(row, np.arange(1, part.rows)))
-    return out
+    return [out[i] for i in coded.indices.to_pylist()]
 
 
 def alike(p: np.ndarray, q: np.ndarray) -> bool:

@@ -195,3 +195,13 @@ def test_query_covers_all_documents(spark, tiny):
     out = op10_fuzzy_lines(spark, tiny)
     assert out.count() == spark.read.parquet(f"{tiny}/documents.parquet").count()
     assert out.where("n_dropped > n_lines").count() == 0 and out.where("n_dropped > 0").count() > 0
+
+
+def test_repeated_lines_of_a_batch_are_hashed_once(monkeypatch):
+    lines = ["the same long line of text", "another line of the text", "the same long line of text", "", "äöü" * 9]
+    seen, plain = [], linededup.shingle_sets
+    monkeypatch.setattr(linededup, "shingle_sets", lambda part: seen.append(part.rows) or plain(part))
+    column = pa.chunked_array([pa.array(lines[:2]), pa.array(lines[2:])])
+    got = linededup._sets(column)
+    assert sum(seen) == 4 and [len(s) for s in got] == [len({x[i : i + 5] for i in range(len(x) - 4)}) for x in lines]
+    assert (got[0] == got[2]).all() and linededup._sets(pa.array([], pa.string())) == []
