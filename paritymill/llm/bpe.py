@@ -23,6 +23,7 @@ from paritymill.llm import units
 
 CACHE_UNITS = 1 << 20
 _LONGEST_CACHED = 64
+_AT_ONCE = 4096
 _WORD = np.zeros(256, dtype=bool)
 for _low, _high in ("09", "AZ", "az"):
     _WORD[ord(_low) : ord(_high) + 1] = True
@@ -165,7 +166,10 @@ class Encoder:
             blob = part.data.tobytes()
             at = first[missing]
             texts = [blob[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            encoded = []
+            for some in range(0, len(texts), _AT_ONCE):  # an encoding takes many times the memory of its ids
+                found = self.tokenizer.encode_batch_fast(texts[some : some + _AT_ONCE], add_special_tokens=False)
+                encoded += [e.ids for e in found]
             made = self._store(encoded)
             slots[missing] = made
             short = np.flatnonzero(ends[at] - starts[at] <= _LONGEST_CACHED)

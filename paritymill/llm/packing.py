@@ -20,6 +20,7 @@ each partition and over one row per (source, partition), never over a source in
 from __future__ import annotations
 
 import functools
+from array import array
 from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
@@ -92,7 +93,7 @@ class Schedule:
         for turn, side in enumerate(sides):
             self._split(side, totals, weights, [*path, (turn, *node)])
 
-    @functools.lru_cache(maxsize=1 << 17)  # noqa: B019 - lives as long as the task
+    @functools.lru_cache(maxsize=1 << 14)  # noqa: B019 - lives as long as the task
     def position(self, source: str, w: int) -> tuple[int, int]:
         """(tokens of ``source``, tokens of the sources left of it) in the first ``w`` windows."""
         x, left_of = min(w * self.window, self.total), 0
@@ -128,20 +129,37 @@ class Schedule:
 
 
 def _cut(schedule: Schedule) -> Callable:
+    """Arrow mapper: pieces of documents, about ``units.SLICE_BYTES`` of ids at a time.
+
+    The pieces of a batch follow each other as their ids do, so a run of them shares the batch's bytes.
+    """
+
+    def made(batch: pa.RecordBatch, flat: array) -> pa.RecordBatch:
+        row, start, size, window, offset = np.frombuffer(flat, np.int64).reshape(-1, 5).T
+        ids, source, doc, total = (batch.column(n) for n in ("ids", "source", "id", "n_tokens"))
+        bounds = np.concatenate([[0], np.cumsum(4 * size)])
+        first = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset + row[0]] + 4 * start[0]
+        shared = [None, pa.py_buffer(bounds.astype(np.int32)), ids.buffers()[2].slice(int(first), int(bounds[-1]))]
+        row = pa.array(row)
+        columns = [
+            doc.take(row), source.take(row), *map(pa.array, (start, size)), total.take(row), *map(pa.array, (window, offset)),
+            pa.Array.from_buffers(pa.binary(), len(row), shared),
+        ]
+        return pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in PIECES.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = zip(*[batch.column(n).to_pylist() for n in ("id", "source", "base", "n_tokens")], batch.column("ids"), strict=True)
-            out: list[tuple] = []
-            for doc, source, base, size, blob in rows:
-                ids = blob.as_buffer().to_pybytes()
-                out += [
-                    (doc, source, at, n, size, w, offset, ids[4 * at : 4 * (at + n)])
-                    for at, n, w, offset in schedule.pieces(source or "", base, size)
-                ]
-            names = [c.split(" ")[0] for c in PIECES.split(", ")]
-            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 5, pa.binary()]
-            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+            flat, held = array("q"), 0
+            rows = zip(*[batch.column(n).to_pylist() for n in ("source", "base", "n_tokens")], strict=True)
+            for row, (source, base, size) in enumerate(rows):
+                for piece in schedule.pieces(source, base, size):
+                    flat.extend((row, *piece))
+                    held += 4 * piece[1]
+                    if held >= units.SLICE_BYTES:
+                        yield made(batch, flat)
+                        flat, held = array("q"), 0
+            if flat:
+                yield made(batch, flat)
 
     return run
 

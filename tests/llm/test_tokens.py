@@ -161,3 +161,23 @@ def test_block_random_access():
     with pytest.raises(ValueError):
         tokenfile.pack_block(np.array([1]), 0, np.array([1]), np.array([70_000], np.uint32), 2)
     assert block.document(2).tolist() == ids[1000:1500].tolist() and len(block.document(1)) == 0
+
+
+def test_pieces_are_cut_in_bounded_runs():
+    """A batch of documents is several times the ids that go out at once; a slice of a batch is cut like a batch."""
+    sizes = [70_000, 1, 300_000, 4096, 500_000, 90_000]
+    names = ["a", "b", "a", "", "b", "a"]
+    ids = [np.random.default_rng(n).integers(0, 49_000, n).astype("<u4").tobytes() for n in sizes]
+    base = [0, 0, 70_000, 0, 1, 370_000]
+    columns = [pa.array(range(6)), pa.array(names), pa.array(base), pa.array(sizes), pa.array(ids, pa.binary())]
+    batch = pa.RecordBatch.from_arrays(columns, ["id", "source", "base", "n_tokens", "ids"])
+    cut = packing._cut(packing.Schedule({"a": 460_000, "b": 500_001, "": 4096}, {}))
+    for first in (0, 2):
+        out = list(cut(iter([batch.slice(first)])))
+        assert len(out) > 3 and max(r.column("ids").nbytes for r in out) <= 2 * units.SLICE_BYTES
+        rows = [r for part in out for r in part.to_pylist()]
+        for doc in range(first, 6):
+            own = [r for r in rows if r["doc_id"] == doc]
+            assert b"".join(r["ids"] for r in own) == ids[doc]
+            assert [r["start"] for r in own] == np.cumsum([0, *[r["length"] for r in own]])[:-1].tolist()
+            assert all(r["doc_tokens"] == sizes[doc] and len(r["ids"]) == 4 * r["length"] and r["source"] == names[doc] for r in own)
