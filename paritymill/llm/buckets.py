@@ -7,7 +7,7 @@ buckets.  Leaders are chosen by a hash that changes each round.
 
 The rest is compared pair by pair, or, where a family of texts lies about the threshold and
 its pairs would be too many rows, in blocks: members of a bucket are dealt into chunks of about
-``CHUNK``, and each two chunks meet in one group that returns links only.
+``CHUNK``, and each two chunks meet in one group that returns links only; chunks of one label do not meet.
 """
 
 from __future__ import annotations
@@ -35,12 +35,30 @@ def _pairs(met: DataFrame, close: Column) -> DataFrame:
 
 
 def blocks(rest: DataFrame, *extra: str) -> DataFrame:
-    """(bucket, low, high, chunk, rep, label, extra): every member once for each two chunks it meets in."""
-    chunks = F.ceil(F.col("members") / F.lit(CHUNK)).cast("int")
-    counts = rest.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"))
-    dealt = rest.join(counts.select("bucket", chunks.alias("chunks")), "bucket")
-    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64(F.lit(7), "rep"), F.col("chunks")).cast("int"))
-    met = dealt.select("bucket", "rep", "label", *extra, "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    """(bucket, low, high, chunk, rep, label, extra): every member once for each two chunks it meets in.
+
+    Where more than a chunk of members have one label, they get chunks of their own, which meet
+    those of the others only: the rows grow with the members that are not joined yet, not with the
+    square of a family that is.
+    """
+    sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
+    most = sizes.groupBy("bucket").agg(F.sum("same").alias("members"), F.max(F.struct("same", "label")).alias("most"))
+    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    same = F.col("most.same")
+    counts = most.select(
+        "bucket", F.when(same > CHUNK, F.col("most.label")).alias("joined"),
+        F.when(same > CHUNK, chunks(same)).otherwise(0).alias("first"),
+        chunks(F.when(same > CHUNK, F.col("members") - same).otherwise(F.col("members"))).alias("chunks"),
+    )
+    inside = F.coalesce(F.col("label") == F.col("joined"), F.lit(False))
+    deal = lambda n: F.pmod(F.xxhash64(F.lit(7), "rep"), F.nullif(n, F.lit(0))).cast("int")
+    first, last = F.col("first"), F.col("first") + F.col("chunks") - 1
+    dealt = rest.join(counts, "bucket").withColumns({
+        "chunk": F.when(inside, deal(first)).otherwise(first + deal(F.col("chunks"))),
+        "meets": F.when(F.col("chunks") == 0, F.array().cast("array<int>"))
+        .when(inside, F.sequence(first, last)).otherwise(F.sequence(F.lit(0), last)),
+    })
+    met = dealt.select("bucket", "rep", "label", *extra, "chunk", F.explode("meets").alias("other"))
     return met.select(
         "bucket", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "label", *extra
     )

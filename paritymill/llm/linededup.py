@@ -42,6 +42,7 @@ BANDS, ROWS = 19, 4
 SMALL = 64
 MAX_APART = 20  # of 64 bits; at similarity 0.75 a bit differs with a chance of 1/8, 21 do with one of 0.002%
 _SIGN_BYTES = 1 << 18
+_ROW_BITS = 16
 _SPACE = r"\x20\x09-\x0D"
 _SPACE_CHARS = " \t\n\x0b\f\r"
 
@@ -63,14 +64,22 @@ def shingles(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
 
 
 def shingle_sets(part: units.Slice) -> tuple[np.ndarray, np.ndarray]:
-    """(row, hash) of the distinct shingles of each line of a slice, by row and hash."""
+    """(row, hash) of the distinct shingles of each line of a slice, by row and hash.
+
+    Hashes have 48 bits here, so row and hash are one number and sorted as one.  Two shingles of a
+    pair of lines share a hash with a chance of about (shingles)^2 / 2^49.
+    """
     row, value = shingles(part)
-    order = np.argsort(value)
-    by_row = np.argsort(row[order].astype(np.uint16) if part.rows < 65_536 else row[order], kind="stable")
-    row, value = row[order][by_row], value[order][by_row]
-    new = np.ones(len(row), dtype=bool)
-    new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
-    return row[new], value[new]
+    value = value >> np.uint64(_ROW_BITS)
+    if part.rows > 1 << _ROW_BITS:  # lines of a few characters
+        order = np.lexsort((value, row))
+        row, value = row[order], value[order]
+        new = np.ones(len(row), dtype=bool)
+        new[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
+        return row[new], value[new]
+    both = np.sort((row.astype(np.uint64) << np.uint64(64 - _ROW_BITS)) | value)
+    both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
+    return (both >> np.uint64(64 - _ROW_BITS)).astype(np.int64), both & np.uint64((1 << 64 - _ROW_BITS) - 1)
 
 
 def _sets(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
@@ -239,7 +248,7 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     apart = F.bit_count(F.col("na").bitwiseXOR(F.col("nb")))
     found = scratch.stage(confirm(close), "line-links")
     links = bucket_links(
-        members, PERCENT, confirm, scratch, rounds=1, compare_blocks=compare_blocks, close=apart <= MAX_APART
+        members, PERCENT, confirm, scratch, rounds=2, compare_blocks=compare_blocks, close=apart <= MAX_APART
     )
     links = links.union(found)
     groups = components(links, "a", "b").toDF("key", "component")

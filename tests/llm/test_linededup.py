@@ -205,3 +205,29 @@ def test_repeated_lines_of_a_batch_are_hashed_once(monkeypatch):
     got = linededup._sets(column)
     assert sum(seen) == 4 and [len(s) for s in got] == [len({x[i : i + 5] for i in range(len(x) - 4)}) for x in lines]
     assert (got[0] == got[2]).all() and linededup._sets(pa.array([], pa.string())) == []
+
+
+def test_rows_in_blocks_grow_with_what_is_not_joined(spark, monkeypatch):
+    """A large joined family meets the others of its bucket, not itself; every pair of labels meets."""
+    from paritymill.llm import buckets
+
+    monkeypatch.setattr(buckets, "CHUNK", 8)
+    family = [(1, rep, 0) for rep in range(400)] + [(1, rep, rep) for rep in range(400, 406)]
+    mixed = [(2, rep, rep // 5) for rep in range(40)]
+    rest = spark.createDataFrame([*family, *mixed, *[(3, rep, 9) for rep in range(20)]], "bucket bigint, rep bigint, label bigint")
+    rows = buckets.blocks(rest).collect()
+    assert sum(r.bucket == 1 for r in rows) <= 400 + 6 * 51 and not [r for r in rows if r.bucket == 3]
+    met = set()
+    for bucket, low, high in {(r.bucket, r.low, r.high) for r in rows}:
+        own = [r for r in rows if (r.bucket, r.low, r.high) == (bucket, low, high)]
+        met |= {(x.rep, y.rep) for x in own for y in own if x.rep < y.rep and x.label != y.label and (low == high or x.chunk != y.chunk)}
+    want = {(x[1], y[1]) for part in (family, mixed) for x in part for y in part if x[1] < y[1] and x[2] != y[2]}
+    assert met >= want
+
+
+def test_many_short_lines_have_the_sets_of_few():
+    lines = [f"line {i % 7} é" for i in range(70_000)]
+    few = [list(s) for s in linededup._sets(pa.array(lines[:7]))]
+    part = next(linededup.units.slices(pa.array(lines), 1 << 22))
+    row, value = linededup.shingle_sets(part)
+    assert part.rows == 70_000 and [list(value[row == i]) for i in (0, 6, 69_999)] == [few[0], few[6], few[69_999 % 7]]
