@@ -34,21 +34,23 @@ def _pairs(met: DataFrame, close: Column) -> DataFrame:
     return met.where(close).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def blocks(rest: DataFrame, *extra: str) -> DataFrame:
+def blocks(rest: DataFrame, *extra: str, width: int = 1) -> DataFrame:
     """(bucket, low, high, chunk, rep, label, extra): every member once for each two chunks it meets in.
 
+    A chunk holds about ``width`` times ``CHUNK`` members.
     Where more than a chunk of members have one label, they get chunks of their own, which meet
     those of the others only: the rows grow with the members that are not joined yet, not with the
     square of a family that is.
     """
     sizes = rest.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("same"))
     most = sizes.groupBy("bucket").agg(F.sum("same").alias("members"), F.max(F.struct("same", "label")).alias("most"))
-    chunks = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
+    chunk = width * CHUNK
+    chunks = lambda n: F.ceil(n / F.lit(chunk)).cast("int")
     same = F.col("most.same")
     counts = most.select(
-        "bucket", F.when(same > CHUNK, F.col("most.label")).alias("joined"),
-        F.when(same > CHUNK, chunks(same)).otherwise(0).alias("first"),
-        chunks(F.when(same > CHUNK, F.col("members") - same).otherwise(F.col("members"))).alias("chunks"),
+        "bucket", F.when(same > chunk, F.col("most.label")).alias("joined"),
+        F.when(same > chunk, chunks(same)).otherwise(0).alias("first"),
+        chunks(F.when(same > chunk, F.col("members") - same).otherwise(F.col("members"))).alias("chunks"),
     )
     inside = F.coalesce(F.col("label") == F.col("joined"), F.lit(False))
     deal = lambda n: F.pmod(F.xxhash64(F.lit(7), "rep"), F.nullif(n, F.lit(0))).cast("int")
@@ -72,6 +74,7 @@ def bucket_links(
     rounds: int = 2,
     compare_blocks: Callable[[DataFrame], DataFrame] | None = None,
     close: Column | None = None,
+    width: int = 1,
 ) -> DataFrame:
     """Confirmed links (a, b) whose closure is that of all links inside buckets.
 
@@ -79,7 +82,7 @@ def bucket_links(
     table (a, b); pairs whose sizes differ too much to link are not put to it.  ``compare_blocks``
     takes the rest as ``blocks`` instead of pairs and returns links that join the same groups.
     ``close`` tells from the members' sizes, ``na`` and ``nb``, which pairs may link at all;
-    blocks then show the sizes too.
+    blocks then show the sizes too.  ``width`` is that of ``blocks``.
     The links read tables of ``scratch``.
     """
     by_size = close is not None
@@ -99,7 +102,7 @@ def bucket_links(
             rest = labelled.join(mixed.where("low < high").select("bucket"), "bucket", "left_semi")
         if turn == rounds and compare_blocks is not None:
             extra = ["size"] if by_size else []
-            return links.union(scratch.stage(compare_blocks(blocks(rest, *extra)), "confirmed"))
+            return links.union(scratch.stage(compare_blocks(blocks(rest, *extra, width=width)), "confirmed"))
         if turn < rounds:
             entry = F.struct("rep", "label", "size")
             ranked = [F.struct(F.xxhash64(F.lit(2 * turn + k), "rep").alias("h"), entry.alias("e")) for k in (0, 1)]

@@ -10,9 +10,11 @@ five-character shingles have a Jaccard similarity of 0.75 or more.
    chance of 0.07%, and lines that only use the same language share few: two minima of one
    hash, tried before, put four of five lines of the check tables in a bucket with others.
    Buckets with one line are dropped, and small ones paired, as the sorted rows stream by.
-4. Candidates are confirmed on their full sets, in large buckets leaders first and then in
+4. Candidates are compared by their marks, four bits of each of 64 slots, which lines of a
+   similarity below 0.4 seldom pass.  Only the texts of those that do travel.
+5. What passes is confirmed on its full sets, in large buckets leaders first and then in
    blocks (``buckets``), and links grouped by union-find (``components``).
-5. The first line of a group, by document and place, stays; the others go.
+6. The first line of a group, by document and place, stays; the others go.
 
 Shingles are hashed and sorted as numpy arrays over Arrow batches of lines.  The same by
 DataFrame expressions, a regular expression and a lambda per character, takes three times
@@ -33,7 +35,7 @@ from paritymill.llm.buckets import bucket_links
 from paritymill.llm.components import components
 from paritymill.llm.neardup import compare_sets, super_minhash
 from paritymill.llm.pii import let
-from paritymill.llm.shared import Scratch, found_in, stage
+from paritymill.llm.shared import Scratch, found_in, parted, stage
 
 MIN_CHARS = 20
 PERCENT = 75
@@ -41,6 +43,10 @@ SHINGLE = 5
 BANDS, ROWS = 19, 4
 SMALL = 64
 MAX_APART = 20  # of 64 bits; at similarity 0.75 a bit differs with a chance of 1/8, 21 do with one of 0.002%
+MARK_APART = 31  # of 64 slots; at similarity 0.75 one differs with a chance of 15/64, 32 do with one of 0.0003%
+MARKS = ["m0", "m1", "m2", "m3"]
+BLOCK_WIDTH = 4  # chunks of a block are so many times those of ``buckets``: most rows of a block go by their marks
+_SLAB = 256
 _SIGN_BYTES = 1 << 18
 _ROW_BITS = 16
 _SPACE = r"\x20\x09-\x0D"
@@ -117,26 +123,79 @@ def _lines(docs: DataFrame) -> DataFrame:
     return lines.select("doc", "version", "line", F.xxhash64("body").alias("key"), "body")
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(bucket, rep, size) of every line class met in a batch; repeated lines of a batch are signed once.
-
-    ``size`` is a sketch: a bit of each of 64 slots, to tell unlike lines of a bucket apart.
-    """
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(keys, signatures) of the line classes met in a batch; repeated lines of a batch are signed once."""
     for batch in batches:
         key = batch.column("key").to_numpy()
         _, first = np.unique(key, return_index=True)
         key, bodies = key[first], batch.column("body").take(pa.array(first))
         for part in units.slices(bodies, _SIGN_BYTES):
-            signature = super_minhash(*shingles(part), part.rows, BANDS * ROWS)
-            bands = [
-                units.mix(units.ngram_hashes(signature[:, b * ROWS : (b + 1) * ROWS].reshape(-1), ROWS)[::ROWS], b)
-                for b in range(BANDS)
-            ]
-            bucket = np.stack(bands, axis=1).reshape(-1).view(np.int64)
-            rep = np.repeat(key[part.first : part.first + part.rows], BANDS)
-            bits = (units.mix(signature[:, :64], 5) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
-            sketch = np.repeat(np.bitwise_or.reduce(bits, axis=1).view(np.int64), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep), pa.array(sketch)], _MEMBER)
+            yield key[part.first : part.first + part.rows], super_minhash(*shingles(part), part.rows, BANDS * ROWS)
+
+
+def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, rep, size) of every line class met in a batch.
+
+    ``size`` is a sketch: a bit of each of 64 slots, to tell unlike lines of a bucket apart.
+    """
+    for key, signature in _signed(batches):
+        bands = [
+            units.mix(units.ngram_hashes(signature[:, b * ROWS : (b + 1) * ROWS].reshape(-1), ROWS)[::ROWS], b)
+            for b in range(BANDS)
+        ]
+        bucket = np.stack(bands, axis=1).reshape(-1).view(np.int64)
+        rep = np.repeat(key, BANDS)
+        bits = (units.mix(signature[:, :64], 5) & np.uint64(1)) << np.arange(64, dtype=np.uint64)
+        sketch = np.repeat(np.bitwise_or.reduce(bits, axis=1).view(np.int64), BANDS)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(rep), pa.array(sketch)], _MEMBER)
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, marks) of every line class met in a batch: four bits of each of 64 slots."""
+    place = 4 * np.arange(16, dtype=np.uint64)
+    for key, signature in _signed(batches):
+        bits = units.mix(signature[:, :64], 6) & np.uint64(15)
+        words = [np.bitwise_or.reduce(bits[:, 16 * k : 16 * k + 16] << place, axis=1) for k in range(len(MARKS))]
+        yield pa.RecordBatch.from_arrays([pa.array(key), *[pa.array(w.view(np.int64)) for w in words]], ["key", *MARKS])
+
+
+_LOW_BITS = 0x1111111111111111
+
+
+def _marks_apart(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Slots in which the marks differ."""
+    total = 0
+    for p, q in zip(left, right, strict=True):
+        x = (p ^ q).view(np.uint64)
+        x = x | (x >> np.uint64(1))
+        total = total + np.bitwise_count((x | (x >> np.uint64(2))) & np.uint64(_LOW_BITS)).astype(np.int16)
+    return total
+
+
+def _slots_apart(left: list[str], right: list[str]) -> Column:
+    """The same of columns."""
+    total = F.lit(0)
+    for p, q in zip(left, right, strict=True):
+        x = F.col(p).bitwiseXOR(F.col(q))
+        for step in (1, 2):
+            x = x.bitwiseOR(F.shiftright(x, step))
+        total = total + F.bit_count(x.bitwiseAND(F.lit(_LOW_BITS)))
+    return total
+
+
+def _near(table: pa.Table) -> np.ndarray:
+    """Rows of a block whose sketch and marks are close to those of a row of another label."""
+    sketch, label = (table.column(c).to_numpy() for c in ("size", "label"))
+    marks = [table.column(c).to_numpy() for c in MARKS]
+    keep = np.zeros(len(label), dtype=bool)
+    for low in range(0, len(label), _SLAB):
+        some = slice(low, low + _SLAB)
+        close = np.bitwise_count((sketch[some, None] ^ sketch[None, low:]).view(np.uint64)) <= MAX_APART
+        i, j = np.nonzero(close & (label[some, None] != label[None, low:]))
+        i, j = i + low, j + low
+        near = _marks_apart([m[i] for m in marks], [m[j] for m in marks]) <= MARK_APART if len(i) else np.zeros(0, bool)
+        keep[i[near]] = keep[j[near]] = True
+    return keep
 
 
 _MEMBER = ["bucket", "rep", "size"]
@@ -217,9 +276,14 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     close = scratch.stage(close, "line-pairs")
     members = met.where("other IS NULL").drop("other")
     reps = close.select(F.explode(F.array("a", "b")).alias("key")).union(members.select("rep"))
-    wanted = scratch.stage(reps.distinct(), "line-wanted")
-    bodies = found_in(lines.select("key", "body"), "key", wanted)
-    bodies = scratch.stage(bodies.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
+    texts = lines.select("key", "body")
+    held = found_in(texts, "key", scratch.stage(reps.distinct(), "line-wanted"), exact=False)
+    marks = held.mapInArrow(_mark, ", ".join(f"{c} bigint" for c in ("key", *MARKS))).dropDuplicates(["key"])
+    marks = scratch.stage(marks, "line-marks")
+
+    def bodies_of(keys: DataFrame) -> DataFrame:
+        found = found_in(texts, "key", scratch.stage(keys.distinct(), "line-texts"))
+        return scratch.stage(found.groupBy("key").agg(F.min("body").alias("body")), "line-bodies")
 
     def confirm(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,27 +292,33 @@ def duplicate_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
                 keep = [alike(p, q) for p, q in zip(*sides, strict=True)]
                 yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-        full = pairs.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
+        at_a, at_b = ([f"{side}_{c}" for c in MARKS] for side in "ab")
+        marked = pairs.join(marks.toDF("b", *at_b), "b").join(marks.toDF("a", *at_a), "a")
+        likely = scratch.stage(marked.where(_slots_apart(at_a, at_b) <= MARK_APART).select("a", "b"), "line-likely")
+        bodies = bodies_of(likely.select(F.explode(F.array("a", "b")).alias("key")))
+        full = likely.join(bodies.toDF("b", "body_b"), "b").join(bodies.toDF("a", "body_a"), "a")
         return full.select("a", "b", "body_a", "body_b").mapInArrow(run, "a bigint, b bigint")
 
     def compare_blocks(blocks: DataFrame) -> DataFrame:
+        columns = blocks.columns
+
         def near(key: tuple, table: pa.Table) -> pa.Table:
-            """Members whose sketch is close to one of another label."""
-            sketch, label = (table.column(c).to_numpy() for c in ("size", "label"))
-            close = np.bitwise_count((sketch[:, None] ^ sketch[None, :]).view(np.uint64)) <= MAX_APART
-            return table.filter(pa.array((close & (label[:, None] != label[None, :])).any(axis=1)))
+            return table.filter(pa.array(_near(table))).select(columns)
 
         def run(key: tuple, table: pa.Table) -> pa.Table:
             return compare_sets(key, table, _sets(table.column("body")), PERCENT)
 
         group = ["bucket", "low", "high"]
-        full = blocks.groupBy(*group).applyInArrow(near, blocks.schema).join(bodies.toDF("rep", "body"), "rep")
+        marked = blocks.join(marks.toDF("rep", *MARKS), "rep").select(*columns, *MARKS)
+        rows = scratch.stage(marked.groupBy(*group).applyInArrow(near, blocks.schema), "line-near")
+        full = rows.join(bodies_of(rows.select("rep").toDF("key")).toDF("rep", "body"), "rep")
         return full.groupBy(*group).applyInArrow(run, "a bigint, b bigint")
 
     apart = F.bit_count(F.col("na").bitwiseXOR(F.col("nb")))
     found = scratch.stage(confirm(close), "line-links")
     links = bucket_links(
-        members, PERCENT, confirm, scratch, rounds=2, compare_blocks=compare_blocks, close=apart <= MAX_APART
+        members, PERCENT, confirm, scratch, rounds=2, compare_blocks=compare_blocks, close=apart <= MAX_APART,
+        width=BLOCK_WIDTH,
     )
     links = links.union(found)
     groups = components(links, "a", "b").toDF("key", "component")
@@ -291,14 +361,18 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", dro
     """``docs`` with the duplicate lines taken out of ``text``; all columns stay.
 
     A document that is left without a word keeps its row, or goes with ``drop_emptied``;
-    documents that lose no line always stay.
+    documents that lose no line always stay, and most of them do not travel.
     """
     gone = dropped_by_document(docs, doc_id, text).toDF("_gone_doc", "_gone_version", "_gone_lines")
+    gone = stage(gone, "line-gone")
+    keyed = docs.withColumn("_gone_doc", F.col(doc_id).cast("bigint"))
+    touched, rest = (part.select(*docs.columns) for part in parted(keyed, "_gone_doc", gone))
     same = (F.col(doc_id) == F.col("_gone_doc")) & (F.xxhash64(text) == F.col("_gone_version"))
-    joined = docs.join(gone, same, "left")
+    joined = touched.join(gone, same, "left")
     if drop_emptied:
         left = without_lines(F.col(text), F.col("_gone_lines"))
         joined = joined.where(F.col("_gone_lines").isNull() | left.rlike(f"[^{_SPACE}]"))
-    return joined.select(
+    changed = joined.select(
         *[without_lines(F.col(c), F.col("_gone_lines")).alias(c) if c == text else F.col(c) for c in docs.columns]
     )
+    return changed.union(rest)

@@ -51,26 +51,45 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-_BITMAP_BITS = 23
+_BITMAP_BITS = 25
 
 
-def found_in(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+def _place(c: str) -> tuple[Column, Column]:
+    """Word of the bitmap and bit in it of a BIGINT column."""
+    at = F.pmod(F.col(c), F.lit(1 << _BITMAP_BITS))
+    return F.shiftright(at, 6), F.expr(f"shiftleft(1L, CAST(pmod({c}, 64) AS INT))")
+
+
+def _marked(df: DataFrame, key: str, wanted: DataFrame, how: str) -> DataFrame:
+    """``df`` with its ``_bit`` and the ``_bits`` that ``wanted`` sets in its word.
+
+    The bitmap has at most 2^19 rows of 64 bits (4 MB), whatever the size of ``wanted``, so it is
+    broadcast.  A small ``wanted`` marks few rows; a huge one marks all.
+    """
+    word, bit = _place(key)
+    table = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    return df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word", how)
+
+
+def found_in(df: DataFrame, key: str, wanted: DataFrame, exact: bool = True) -> DataFrame:
     """Rows of ``df`` whose BIGINT ``key`` is in ``wanted``; most others are left out by a bitmap before they travel.
 
     The join is an inner one: Spark would put a semi-join below the bitmap, where it shuffles every row.
-    The bitmap has at most 2^17 rows of 64 bits (2 MB), whatever the size of ``wanted``, so it is
-    broadcast.  A small ``wanted`` saves the shuffle of nearly all other rows; a huge one lets all through.
+    Without ``exact`` nothing travels, and a few other rows stay with those wanted.
     """
+    held = _marked(df, key, wanted, "inner")
+    maybe = held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
+    return maybe.join(wanted.select(key).distinct(), key).select(*df.columns) if exact else maybe
 
-    def place(c: str) -> tuple[Column, Column]:
-        at = F.pmod(F.col(c), F.lit(1 << _BITMAP_BITS))
-        return F.shiftright(at, 6), F.expr(f"shiftleft(1L, CAST(pmod({c}, 64) AS INT))")
 
-    word, bit = place(key)
-    table = wanted.select(word.alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
-    held = df.withColumns({"_word": word, "_bit": bit}).join(F.broadcast(table), "_word")
-    maybe = held.where(F.col("_bits").bitwiseAND(F.col("_bit")) != 0).select(*df.columns)
-    return maybe.join(wanted.select(key).distinct(), key).select(*df.columns)
+def parted(df: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows whose BIGINT ``key`` may be in ``wanted``, rows whose key is null or surely not); nothing travels.
+
+    What is done for keys in ``wanted`` needs a join of the first only.  ``df`` is read for each.
+    """
+    held = _marked(df, key, wanted, "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    return held.where(hit).select(*df.columns), held.where(~hit).select(*df.columns)
 
 
 class Scratch:

@@ -231,3 +231,61 @@ def test_many_short_lines_have_the_sets_of_few():
     part = next(linededup.units.slices(pa.array(lines), 1 << 22))
     row, value = linededup.shingle_sets(part)
     assert part.rows == 70_000 and [list(value[row == i]) for i in (0, 6, 69_999)] == [few[0], few[6], few[69_999 % 7]]
+
+
+def test_marks_pass_lines_at_the_threshold_and_few_others(spark):
+    rng = random.Random(11)
+    rows = []
+    for share in (48, 14):  # of 64 shingles each: similarities of 0.6 x 5/4 = 0.75 and below 0.13
+        for _ in range(300):
+            shared, left, right = ("".join(chr(rng.randrange(0x4E00, 0x9FFF)) for _ in range(n)) for n in (share + 4, 56 - share, 56 - share))
+            rows += [shared + left, right + shared]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(rows))), pa.array(rows)], ["key", "body"])
+    table = pa.Table.from_batches(linededup._mark(iter([batch])))
+    marks = [table.column(c).to_numpy() for c in linededup.MARKS]
+    apart = linededup._marks_apart([m[::2] for m in marks], [m[1::2] for m in marks])
+    assert (apart[:300] <= linededup.MARK_APART).all() and (apart[300:] > linededup.MARK_APART).all()
+    names = [[f"{side}{c}" for c in linededup.MARKS] for side in "ab"]
+    pairs = [[int(m[i + k]) for k in (0, 1) for m in marks] for i in range(0, 100, 2)]
+    df = spark.createDataFrame(pairs, ", ".join(f"{c} bigint" for c in names[0] + names[1]))
+    assert [r[0] for r in df.select(linededup._slots_apart(*names)).collect()] == apart[:50].tolist()
+
+
+def test_texts_of_unlike_lines_do_not_travel(spark, monkeypatch):
+    """Lines that share a bucket and a sketch but are unlike are told apart before their texts are sent."""
+    rng = random.Random(12)
+    lines = ["".join(rng.choice("abcdefghijklmnop") for _ in range(60)) for _ in range(40)]
+    lines += [lines[0] + "x", lines[1] + "y"]
+    plain, sent = linededup._buckets, []
+
+    def one_bucket(batches):
+        for part in plain(batches):
+            rep = pa.array(sorted(set(part.column("rep").to_pylist())))
+            yield pa.RecordBatch.from_arrays([pa.array([1] * len(rep)), rep, pa.array([0] * len(rep))], linededup._MEMBER)
+
+    class Watched(linededup.Scratch):
+        def stage(self, df, label, options=None):
+            out = super().stage(df, label, options)
+            if label == "line-bodies":
+                sent.append({r.body for r in out.collect()})
+            return out
+
+    monkeypatch.setattr(linededup, "_buckets", one_bucket)
+    monkeypatch.setattr(linededup, "Scratch", Watched)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id bigint, text string")
+    for small in (64, 3):  # as pairs, and as a large bucket
+        sent.clear()
+        monkeypatch.setattr(linededup, "SMALL", small)
+        got = {(r.doc_id, r.first_doc) for r in linededup.duplicate_lines(df).collect()}
+        assert got == {(40, 0), (41, 1)} and set().union(*sent) == {lines[0], lines[1], lines[40], lines[41]}
+
+
+def test_rows_that_need_no_join_stay_where_they_are(spark):
+    from paritymill.llm import shared
+
+    df = spark.createDataFrame([(k, f"t{k}") for k in [*range(-50, 50), 7, None]], "id bigint, text string")
+    wanted = spark.createDataFrame([(7,), (-3,), ((1 << 40) + 99,)], "id bigint")
+    maybe, rest = shared.parted(df, "id", wanted)
+    assert sorted(r.id for r in maybe.collect()) == [-3, 7, 7]
+    assert rest.count() == 99 and rest.where("id IS NULL").count() == 1
+    assert "hashpartitioning(id" not in rest._jdf.queryExecution().executedPlan().toString()
