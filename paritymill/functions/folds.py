@@ -25,17 +25,23 @@ def sorted_fold(
     start: Callable[[tuple], object],
     step: Callable[[object, tuple], tuple | None],
     schema: str,
-    finish: Callable[[object], tuple | None] | None = None,
+    finish: Callable[[object], tuple | list[tuple] | None] | None = None,
+    placed: bool = False,
 ) -> DataFrame:
     """Fold every key in ``order``.
 
     ``start(key)`` makes the state, ``step(state, row)`` may return an output row and
-    ``finish(state)`` may return one after the last row of the key.
-    ``row`` is a named tuple of the columns of ``df``.
+    ``finish(state)`` may return one, or a list of them, after the last row of the key.
+    ``row`` is a named tuple of the columns of ``df``.  ``placed`` tells that the rows of a key
+    are in one partition already.
     """
     keys = list(keys)
     names = [part.strip().split(" ")[0].strip("`") for part in _split_schema(schema)]
 
+    def done(state: object) -> list[tuple]:
+        made = finish(state) if finish is not None else None
+        return made if isinstance(made, list) else [made] if made is not None else []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
         for batch in batches:
@@ -44,23 +50,20 @@ def sorted_fold(
             for row in batch.itertuples(index=False, name="Row"):
                 key = tuple(row[i] for i in positions)
                 if state is None or key != current:
-                    if state is not None and finish is not None:
-                        done = finish(state)
-                        if done is not None:
-                            out.append(done)
+                    if state is not None:
+                        out.extend(done(state))
                     current, state = key, start(key)
                 made = step(state, row)
                 if made is not None:
                     out.append(made)
             if out:
                 yield pd.DataFrame(out, columns=names)
-        if state is not None and finish is not None:
-            done = finish(state)
-            if done is not None:
-                yield pd.DataFrame([done], columns=names)
+        last = done(state) if state is not None else []
+        if last:
+            yield pd.DataFrame(last, columns=names)
 
-    placed = df.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return placed.mapInPandas(run, schema)
+    near = df if placed else df.repartition(*keys)
+    return near.sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
 def map_groups(
