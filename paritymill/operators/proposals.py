@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from paritymill.fixed import CANDIDATE_RECORD, FILL_SIM_RECORD, PROPOSAL_RECORD
 from paritymill.functions.columns import canonical_json, decimal_text, flags, record_hash
-from paritymill.functions.ordered import spread
+from paritymill.functions.ordered import near_last, spread
 
 _CANDIDATE_DECIMALS = (
     "candidate_size",
@@ -101,8 +101,9 @@ def propose_all(candidates: DataFrame, sims: DataFrame, sim_order: str) -> DataF
 
     ``candidates`` carries candidate_hash and decision, ``sims`` simulation_hash and the
     fill columns.  One row per market is kept before the join, so a market repeated many
-    times on the simulation side cannot multiply the output.  Simulations are sorted where
-    their market is, not before they travel; hashes travel as bytes.  Without a simulation
+    times on the simulation side cannot multiply the output.  Simulations that are surely not the
+    latest stay where they are, the others are sorted where their market is, not before they
+    travel; hashes travel as bytes, and candidates are not sorted to meet their simulation.  Without a simulation
     the columns that rest on one are null and ``legs`` is empty.
     """
     kept = [
@@ -111,14 +112,14 @@ def propose_all(candidates: DataFrame, sims: DataFrame, sim_order: str) -> DataF
     ]
     market = ["venue", "market_id"]
     narrow = sims.select(*market, _packed(F.col(kept[0])).alias(kept[0]), *kept[1:], F.col(sim_order).alias("_order"))
-    near = spread(narrow, market, ["_order"])
+    near = spread(near_last(narrow, market, "_order"), market, ["_order"], counted=narrow)
     part = near.groupBy(*market, "_salt").agg(
         F.max_by(F.struct(*kept), "_order").alias("_sim"), F.max("_order").alias("_order")
     )
     latest = part.groupBy(*market).agg(F.max_by("_sim", "_order").alias("_sim"))
     base = candidates.select(*[c for c in candidates.columns if c not in kept])
     light = base.withColumn("candidate_hash", _packed(F.col("candidate_hash")))
-    joined = light.join(latest, market, "left").select(
+    joined = light.join(latest.hint("shuffle_hash"), market, "left").select(
         *[c for c in base.columns if c != "candidate_hash"],
         _unpacked(F.col("candidate_hash")).alias("candidate_hash"),
         _unpacked(F.col("_sim.simulation_hash")).alias("simulation_hash"),

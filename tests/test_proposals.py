@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
+from paritymill.functions.ordered import near_last
 from paritymill.operators import proposals
 from paritymill.plans.queries import queries
 
@@ -51,3 +52,21 @@ def test_simulations_are_not_sorted_before_they_travel(spark):
         # the innermost aggregate of the simulations finds them partitioned by market
         last = max(i for i, x in enumerate(lines) if "partial_max_by" in x)
         assert any("Exchange hashpartitioning(venue" in x for x in lines[last:])
+
+
+def test_only_rows_that_may_be_the_last_are_kept(spark):
+    rows = [(f"m{i % 7}" if i % 50 else None, t, i) for i in range(700) for t in (f"{i:05d}:x", f"\u00e9{i % 3}" if i % 97 == 0 else None, "")]
+    df = spark.createDataFrame(rows, "market string, ord string, n bigint")
+    kept = near_last(df, ["market"], "ord")
+    last = {m: max(o.encode() for k, o, _ in rows if k == m and o is not None) for m in {r[0] for r in rows}}
+    got = [tuple(r) for r in kept.collect()]
+    assert {r for r in rows if r[1] is not None and r[1].encode() == last[r[0]]} <= set(got) <= set(rows) and len(got) < 20
+    assert {(r.market, r.n) for r in near_last(df, ["market"], "n").collect()} >= {(m, max(n for k, _, n in rows if k == m)) for m in last}
+    same = spark.createDataFrame([("a", f"common head {i}") for i in range(9)] + [("b", None)], "market string, ord string")
+    assert near_last(same, ["market"], "ord").count() == 9
+
+
+def test_candidates_are_not_sorted_and_old_simulations_do_not_travel_wide(spark):
+    plan = queries()["proposal_join"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "partial_max(_head" in plan
